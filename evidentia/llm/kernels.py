@@ -83,10 +83,11 @@ def text_slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20) -
         start = stop
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash every word of a run of texts: (64-bit hash of each word, row of each word), in text order."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every word of a run of texts in text order: 64-bit hash, row, first byte, byte after the last."""
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
     data = _LOWER[raw] if lower else raw
     inside = ~_IS_SPACE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
@@ -99,7 +100,12 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray
     value = (total[ends] - total[begins]) * down[begins]
     value ^= (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     row = np.searchsorted(offsets, begins, side="right") - 1
-    return mix64(value), row
+    return mix64(value), row, begins, ends
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word of a run of texts, in text order."""
+    return word_spans(raw, offsets, lower)[:2]
 
 
 def windows(word: np.ndarray, row: np.ndarray, width: int, rows: int, short: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe_round_trip
+from .quality_net import op2_quality_net
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_quality_net": op2_quality_net,
 }
 
 ORACLES: dict[str, str] = {}
