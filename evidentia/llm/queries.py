@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .bpe import op1_bpe_round_trip
 from .quality_net import op2_quality_net
+from .quality_rules import op3_robust_rules
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_quality_net": op2_quality_net,
+    "op3_robust_rules": op3_robust_rules,
 }
 
 ORACLES: dict[str, str] = {}
