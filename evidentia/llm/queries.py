@@ -6,12 +6,14 @@ from .bpe import op1_bpe_round_trip
 from .quality_net import op2_quality_net
 from .html_text import op8_main_text
 from .quality_rules import op3_robust_rules
+from .vptree import op10_vantage_trees
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_quality_net": op2_quality_net,
     "op3_robust_rules": op3_robust_rules,
     "op8_main_text": op8_main_text,
+    "op10_vantage_trees": op10_vantage_trees,
 }
 
 ORACLES: dict[str, str] = {}
