@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe_round_trip
+from .kneser_ney import op9_kneser_ney
 from .quality_net import op2_quality_net
 from .html_text import op8_main_text
 from .quality_rules import op3_robust_rules
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_quality_net": op2_quality_net,
     "op3_robust_rules": op3_robust_rules,
     "op8_main_text": op8_main_text,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_vantage_trees": op10_vantage_trees,
 }
 
