@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe_round_trip
+from .jaccard_join import op6_jaccard_components
 from .kneser_ney import op9_kneser_ney
 from .quality_net import op2_quality_net
 from .html_text import op8_main_text
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_quality_net": op2_quality_net,
     "op3_robust_rules": op3_robust_rules,
+    "op6_jaccard_components": op6_jaccard_components,
     "op8_main_text": op8_main_text,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_vantage_trees": op10_vantage_trees,
