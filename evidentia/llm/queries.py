@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+from . import license_scan
 from .bpe import op1_bpe_round_trip
+from .html_text import op8_main_text
 from .jaccard_join import op6_jaccard_components
 from .kneser_ney import op9_kneser_ney
+from .license_scan import op7_license_digests
+from .mixing import op4_soft_mixing
 from .quality_net import op2_quality_net
-from .html_text import op8_main_text
 from .quality_rules import op3_robust_rules
+from .token_counts import op5_trie_counts
 from .vptree import op10_vantage_trees
 
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_quality_net": op2_quality_net,
     "op3_robust_rules": op3_robust_rules,
+    "op4_soft_mixing": op4_soft_mixing,
+    "op5_trie_counts": op5_trie_counts,
     "op6_jaccard_components": op6_jaccard_components,
+    "op7_license_digests": op7_license_digests,
     "op8_main_text": op8_main_text,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_vantage_trees": op10_vantage_trees,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_license_digests": license_scan.oracle()}
