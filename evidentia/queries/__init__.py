@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .align import ORACLES as _ALIGN_ORACLES
-from .align import QUERIES as _ALIGN
+from . import align, kernels
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**_ALIGN}
-ORACLES: dict[str, str] = {**_ALIGN_ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**align.QUERIES, **kernels.QUERIES}
+ORACLES: dict[str, str] = {**align.ORACLES, **kernels.ORACLES}
 ENTRY = QUERIES["align_orders_lineitem"]
