@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,25 +26,35 @@ def canonical_key(name: Column) -> Column:
     return lookup(normalize_name(name), ALIASES)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, whatever the number of times that it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_PRODUCT, _POWER, _SCALED = r"^([0-9.]+)[×xX*]10\^?(-?[0-9]+)$", r"^10(?:\^(-?[0-9]+)|(-[0-9]+))$", r"^([0-9.]+)\s*([kKMGB])$"
+
+
 def normalize_number(raw: Column) -> Column:
     """A text as a double; null if it is none. Percent signs do not scale; superscripts, typographic minus signs,
     thousands separators, powers of ten and the suffixes k, K, M, G and B are read. A bare number that starts
     with 10 is itself: a power of ten needs its caret, a superscript or a sign."""
     raised = F.regexp_replace(F.trim(raw.cast("string")), "([⁰¹²³⁴⁵⁶⁷⁸⁹⁻]+)$", "^$1")
-    s = F.trim(F.regexp_replace(F.translate(raised, "⁰¹²³⁴⁵⁶⁷⁸⁹⁻−–—", "0123456789----"), "%$", ""))
-    s = F.when(s.rlike(r"^[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"), F.replace(s, F.lit(","), F.lit(""))).otherwise(s)
-    tight = F.replace(s, F.lit(" "), F.lit(""))
-    product, power, scaled = r"^([0-9.]+)[×xX*]10\^?(-?[0-9]+)$", r"^10(?:\^(-?[0-9]+)|(-[0-9]+))$", r"^([0-9.]+)\s*([kKMGB])$"
-    number = lambda c: F.when(c.rlike(f"^{NUMBER}$"), c.try_cast("double"))
-    exponent = F.concat(F.regexp_extract(tight, power, 1), F.regexp_extract(tight, power, 2))
-    scale = lookup(F.regexp_extract(s, scaled, 2), {"k": 1e3, "K": 1e3, "M": 1e6, "G": 1e9, "B": 1e9})
-    # one cast of "ae-b" rounds once, where a product of two doubles would round twice
-    return (
-        F.when(tight.rlike(product), F.concat(F.regexp_extract(tight, product, 1), F.lit("e"), F.regexp_extract(tight, product, 2)).try_cast("double"))
-        .when(tight.rlike(power), F.concat(F.lit("1e"), exponent).try_cast("double"))
-        .when(s.rlike(scaled), F.regexp_extract(s, scaled, 1).try_cast("double") * scale)
-        .otherwise(number(s))
-    )
+    plain = F.trim(F.regexp_replace(F.translate(raised, "⁰¹²³⁴⁵⁶⁷⁸⁹⁻−–—", "0123456789----"), "%$", ""))
+    joined = lambda x: F.when(x.rlike(r"^[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"), F.replace(x, F.lit(","), F.lit(""))).otherwise(x)
+
+    def read(s: Column) -> Column:
+        tight = F.replace(s, F.lit(" "), F.lit(""))
+        exponent = F.concat(F.regexp_extract(tight, _POWER, 1), F.regexp_extract(tight, _POWER, 2))
+        scale = lookup(F.regexp_extract(s, _SCALED, 2), {"k": 1e3, "K": 1e3, "M": 1e6, "G": 1e9, "B": 1e9})
+        # one cast of "ae-b" rounds once, where a product of two doubles would round twice
+        return (
+            F.when(s.rlike(f"^{NUMBER}$"), s.try_cast("double"))
+            .when(tight.rlike(_PRODUCT), F.concat(F.regexp_extract(tight, _PRODUCT, 1), F.lit("e"), F.regexp_extract(tight, _PRODUCT, 2)).try_cast("double"))
+            .when(tight.rlike(_POWER), F.concat(F.lit("1e"), exponent).try_cast("double"))
+            .when(s.rlike(_SCALED), F.regexp_extract(s, _SCALED, 1).try_cast("double") * scale)
+        )
+
+    return bound(bound(plain, joined), read)
 
 
 def compare_form(text: Column) -> Column:
@@ -51,6 +63,10 @@ def compare_form(text: Column) -> Column:
 
 def numbers_equal(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
     """Null if either is null; zero equals only zero."""
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda x: _equal(x["a"], x["b"], tolerance))
+
+
+def _equal(a: Column, b: Column, tolerance: float) -> Column:
     close = F.abs(a - b) / F.greatest(F.abs(a), F.abs(b)) <= tolerance
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean")).when(a == b, True).when((a == 0) | (b == 0), False).otherwise(close)
 
@@ -62,20 +78,21 @@ def values_equal(a: Column, b: Column) -> Column:
 
 def text_match(a: Column, b: Column) -> Column:
     """Texts that are equal or of which one holds the other; never numbers."""
-    x, y = compare_form(a), compare_form(b)
     numeric = normalize_number(a).isNotNull() | normalize_number(b).isNotNull()
-    return F.coalesce(~numeric & (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x)), F.lit(False))
+    held = bound(F.struct(compare_form(a).alias("x"), compare_form(b).alias("y")), lambda s: (s["x"] != "") & (s["y"] != "") & (F.contains(s["x"], s["y"]) | F.contains(s["y"], s["x"])))
+    return F.coalesce(~numeric & held, F.lit(False))
 
 
 def within_range(key: Column, number: Column, ranges: dict[str, tuple[float, float, bool]]) -> Column:
     """True or false by the key's range; null without a rule or a number."""
-    out = F.lit(None).cast("boolean")
-    for name, (low, high, whole) in ranges.items():
-        fits = (number >= low) & (number <= high)
-        if whole:
-            fits = fits & (F.abs(number - F.rint(number)) <= 1e-9)
-        out = F.when(key == name, fits).otherwise(out)
-    return out
+    rule = lookup(key, {name: f"{float(low)!r},{float(high)!r},{int(whole)}" for name, (low, high, whole) in ranges.items()})
+
+    def fits(x: Column) -> Column:
+        part = lambda i: F.split(x["rule"], ",")[i].cast("double")
+        whole = (part(2) == 0) | (F.abs(x["v"] - F.rint(x["v"])) <= 1e-9)
+        return F.when(x["rule"].isNotNull(), (x["v"] >= part(0)) & (x["v"] <= part(1)) & whole)
+
+    return bound(F.struct(rule.alias("rule"), number.alias("v")), fits)
 
 
 def is_plausible(key: Column, raw: Column) -> Column:
