@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import patterns as P
@@ -34,7 +35,7 @@ def in_distribution_call(before: str) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def inside_distribution(before: pd.Series) -> pd.Series:
     return before.map(lambda b: in_distribution_call(b or ""))
 
