@@ -6,8 +6,8 @@ Sets are the distinct word n-grams of a text as 64-bit hashes; equal sets are on
 1. A first scan counts in how many sets each hash bucket occurs, into a table of two bits a bucket of
    bounded size (once, a few, tens, hundreds). It gives one order of all n-grams, rare ones first.
 2. By that order two linked sets share an n-gram in their prefixes. A set whose prefix holds an n-gram that
-   is proved to occur in it alone at each place links with nothing and is left behind here; of the others
-   the prefix and the set are kept.
+   is proved to occur in it alone at each place links with nothing and is left behind here. The sets of the
+   others are sent only once the index lists are known, and only those of lists with two sets or more.
 3. An index list holds the sets with one prefix n-gram. Its pivot is its most shared set. Each set is
    compared with its pivots first, and the answers of the others are derived from theirs: what is linked
    to the pivot is one component already and needs no comparison, and with a pivot at distance d(x, p),
@@ -41,6 +41,8 @@ from .shared_arrays import pack, unpack
 #: Buckets for each byte of text, as a share; the least and the most buckets (two bits each) as powers of two.
 BUCKETS_PER_BYTE, LEAST_BITS, MOST_BITS = 1 / 4, 22, 30
 CHUNK_BITS = 20
+#: The most buckets of the table that marks the sets of index lists.
+MARK_BITS = 28
 RUN = 3_000_000
 #: Largest list that one task works through; sets of a block of larger ones.
 WHOLE, BLOCK = 512, 1024
@@ -85,25 +87,30 @@ def _key_sums(hashed: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarra
 _SEEN = "kind int, doc_id bigint, n bigint, d1 bigint, d2 bigint, chunk int, buckets binary, counts binary"
 
 
+_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+_SCHEMA = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in _SEEN.split(", ")])
+
+
+def _seen_batch(**columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SCHEMA]
+    return pa.RecordBatch.from_arrays(arrays, schema=_SCHEMA)
+
+
+def _packed_counts(hashed: np.ndarray, bits: int, least: int = 1) -> pa.RecordBatch:
+    """How often each bucket of some hashes occurs, packed by chunks of buckets; each occurrence counts at least ``least``."""
+    bucket = np.sort((hashed >> np.uint64(64 - bits)).astype(np.uint32))
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    many, bucket = np.clip(np.diff(starts, append=len(bucket)), least, 65535).astype(np.uint16), bucket[starts]
+    chunks = 1 << (bits - CHUNK_BITS)
+    at = np.searchsorted(bucket >> np.uint32(CHUNK_BITS), np.arange(chunks + 1, dtype=np.uint32))
+    full = [k for k in range(chunks) if at[k + 1] > at[k]]
+    cuts = [slice(at[k], at[k + 1]) for k in full]
+    return _seen_batch(kind=[1] * len(full), chunk=full, buckets=[pack(bucket[c] & np.uint32((1 << CHUNK_BITS) - 1), True) for c in cuts], counts=[pack(many[c]) for c in cuts])
+
+
 def _scan(docs: DataFrame, width: int, bits: int) -> DataFrame:
     """Rows of kind 0: a document with its set's size and digests; of kind 1: packed counts of a chunk of buckets."""
-    names = [x.split()[0] for x in _SEEN.split(", ")]
-    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
-    schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in _SEEN.split(", ")])
-
-    def batch(**columns) -> pa.RecordBatch:
-        n = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], schema.field(c).type) if c in columns else pa.nulls(n, schema.field(c).type) for c in names], schema=schema)
-
-    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
-        bucket = np.sort(np.concatenate(held))
-        starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        many, bucket = np.minimum(np.diff(starts, append=len(bucket)), 65535).astype(np.uint16), bucket[starts]
-        chunks = 1 << (bits - CHUNK_BITS)
-        at = np.searchsorted(bucket >> np.uint32(CHUNK_BITS), np.arange(chunks + 1, dtype=np.uint32))
-        full = [k for k in range(chunks) if at[k + 1] > at[k]]
-        cuts = [slice(at[k], at[k + 1]) for k in full]
-        return batch(kind=[1] * len(full), chunk=full, buckets=[pack(bucket[c] & np.uint32((1 << CHUNK_BITS) - 1), True) for c in cuts], counts=[pack(many[c]) for c in cuts])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -111,18 +118,34 @@ def _scan(docs: DataFrame, width: int, bits: int) -> DataFrame:
         for b in batches:
             for start, stop, hashed, row in shingle_sets(b.column(1), width):
                 n, one, two = _key_sums(hashed, row, stop - start)
-                yield batch(kind=np.zeros(stop - start, np.int32), doc_id=b.column(0).slice(start, stop - start), n=n, d1=one, d2=two)
-                held.append((hashed >> np.uint64(64 - bits)).astype(np.uint32))
+                yield _seen_batch(kind=np.zeros(stop - start, np.int32), doc_id=b.column(0).slice(start, stop - start), n=n, d1=one, d2=two)
+                held.append(hashed)
                 size += len(hashed)
                 if size >= RUN:
-                    yield counts(held)
+                    yield _packed_counts(np.concatenate(held), bits)
                     held, size = [], 0
         if size:
-            yield counts(held)
+            yield _packed_counts(np.concatenate(held), bits)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, _SEEN)
 
 
+def _marks(keys: DataFrame, bits: int) -> DataFrame:
+    """Buckets of some 64-bit keys, in the form of counts."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                yield _packed_counts(b.column(0).to_numpy().view(np.uint64), bits, 2)
+
+    return keys.mapInArrow(scan, _SEEN)
+
+
+def _rank(levels: np.ndarray, hashed: np.ndarray, bits: int) -> np.ndarray:
+    bucket = hashed >> np.uint64(64 - bits)
+    return (levels[bucket >> np.uint64(2)] >> ((bucket & np.uint64(3)) << np.uint64(1)).astype(np.uint8)) & 3
+
+
 def _levels(seen: DataFrame, bits: int) -> np.ndarray:
     """Two bits for each bucket, four buckets a byte: at most 2**MOST_BITS / 4 bytes, however large the corpus."""
 
@@ -138,46 +161,66 @@ def _levels(seen: DataFrame, bits: int) -> np.ndarray:
         return pd.DataFrame({"chunk": [key[0]], "levels": [pack(packed)]})
 
     merged = seen.filter("kind = 1").groupBy("chunk").applyInPandas(merge, "chunk int, levels binary")
-    out = np.zeros(1 << (bits - 2), np.uint8)
+    out = np.zeros(1 << (bits - 2), np.uint8)  # the rows below are its chunks, packed
     width = 1 << (CHUNK_BITS - 2)
-    for r in merged.toLocalIterator():
+    for r in merged.collect():
         out[r["chunk"] * width : (r["chunk"] + 1) * width] = unpack(bytes(r["levels"]), np.uint8)
     return out
 
 
-def _candidates(docs: DataFrame, rule: Rule, levels, bits: int) -> DataFrame:
-    """Sets that may link at all: d1, n, how many of its n-grams may be shared, prefix n-grams, and the set, packed."""
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-    names = ["d1", "n", "shared", "prefix", "grams"]
+def _prefixes(docs: DataFrame, rule: Rule, levels, bits: int) -> DataFrame:
+    """Sets that may link at all: key d1, size n, how many of its n-grams may be shared, and its prefix n-grams."""
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    schema = pa.schema(list(zip(["d1", "n", "shared", "prefix"], types, strict=True)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
         for b in batches:
             for start, stop, hashed, row in shingle_sets(b.column(0), rule.width):
                 rows = stop - start
                 n, one, _ = _key_sums(hashed, row, rows)
-                bucket = hashed >> np.uint64(64 - bits)
-                rank = (level[bucket >> np.uint64(2)] >> ((bucket & np.uint64(3)) << np.uint64(1)).astype(np.uint8)) & 3
+                rank = _rank(levels.value, hashed, bits)
                 shared = np.bincount(row, weights=rank > 0, minlength=rows).astype(np.int64)
                 most = n - rule.least_overlap(n) + 1
                 may = (n > 0) & (n - shared < most)
                 if not may.any():
                     continue
                 inside = may[row]
-                hashed_in, row_in, rank_in = hashed[inside], row[inside], rank[inside]
-                order = np.lexsort((hashed_in, rank_in, row_in))
-                first = np.searchsorted(row_in, np.arange(rows))
-                place = np.arange(len(row_in)) - first[row_in]
-                head = order[(place < most[row_in]) & (rank_in[order] > 0)]  # order keeps the rows together
+                hashed, row, rank = hashed[inside], row[inside], rank[inside]
+                order = np.lexsort((hashed, rank, row))
+                place = np.arange(len(row)) - np.searchsorted(row, np.arange(rows))[row]
+                head = order[(place < most[row]) & (rank[order] > 0)]  # order keeps the rows together
                 which = np.flatnonzero(may)
-                cuts = np.searchsorted(row_in[head], np.concatenate((which, [rows])))
-                prefix = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashed_in[head].view(np.int64)))
-                ends = np.searchsorted(row_in, which, side="right")
-                grams = [hashed_in[first[r] : e].tobytes() for r, e in zip(which, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(one[which]), pa.array(n[which]), pa.array(shared[which]), prefix, pa.array(grams, pa.binary())], schema=pa.schema(list(zip(names, types, strict=True))))
+                cuts = np.searchsorted(row[head], np.concatenate((which, [rows])))
+                prefix = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashed[head].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(one[which]), pa.array(n[which]), pa.array(shared[which]), prefix], schema=schema)
+
+    found = docs.filter("doc_id is not null").select("text").mapInArrow(scan, "d1 bigint, n bigint, shared bigint, prefix array<bigint>")
+    return found.groupBy("d1").agg(*[F.first(c).alias(c) for c in ("n", "shared", "prefix")])
 
-    found = docs.filter("doc_id is not null").select("text").mapInArrow(scan, "d1 bigint, n bigint, shared bigint, prefix array<bigint>, grams binary")
-    return found.groupBy("d1").agg(*[F.first(c).alias(c) for c in names[1:]])
+
+#: Bytes of an n-gram in a set that is sent; two sets of one pivot are compared by these.
+GRAM_BYTES = 6
+
+
+def _grams(docs: DataFrame, rule: Rule, marked, bits: int) -> DataFrame:
+    """The sets (d1, grams) whose keys are marked."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, stop, hashed, row in shingle_sets(b.column(0), rule.width):
+                n, one, _ = _key_sums(hashed, row, stop - start)
+                which = np.flatnonzero((n > 0) & (_rank(marked.value, one.view(np.uint64), bits) > 0))
+                if not len(which):
+                    continue
+                _, first = np.unique(one[which], return_index=True)  # copies within a run are sent once
+                which = which[np.sort(first)]
+                raw = np.ascontiguousarray(hashed.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES]
+                at, ends = np.searchsorted(row, which), np.searchsorted(row, which, side="right")
+                sets = [raw[x:y].tobytes() for x, y in zip(at, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(one[which]), pa.array(sets, pa.binary())], ["d1", "grams"])
+
+    found = docs.filter("doc_id is not null").select("text").mapInArrow(scan, "d1 bigint, grams binary")
+    return found.groupBy("d1").agg(F.first("grams").alias("grams"))
 
 
 class _Forest:
@@ -286,7 +329,11 @@ def join_blocks(left: list[tuple], right: list[tuple], rule: Rule) -> list[tuple
 
 
 def _set(data) -> np.ndarray:
-    return np.frombuffer(data.as_buffer(), np.uint64)
+    """A sent set as numbers, in order."""
+    raw = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, GRAM_BYTES)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 8 - GRAM_BYTES :] = raw
+    return out.view(">u8").ravel().astype(np.uint64)
 
 
 _LINKS = "a bigint, b bigint"
@@ -311,16 +358,23 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield now, held
 
 
-def linked_sets(sets: DataFrame, rule: Rule) -> DataFrame:
-    """Spanning links (a, b) between the keys d1 of the candidate sets."""
-    postings = sets.select("d1", (F.col("shared") / F.col("n")).alias("share"), F.explode("prefix").alias("gram"))
+def list_members(prefixes: DataFrame) -> DataFrame:
+    """(pivot, d1): the sets of each index list with its pivot, the most shared one; lists of one set are left out."""
+    postings = prefixes.select("d1", (F.col("shared") / F.col("n")).alias("share"), F.explode("prefix").alias("gram"))
     lists = postings.groupBy("gram").agg(F.max(F.struct("share", "d1")).alias("top"), F.count("*").alias("n_sets")).filter("n_sets > 1")
-    members = postings.select("gram", "d1").join(lists.select("gram", F.col("top.d1").alias("pivot")), "gram").select("pivot", "d1").distinct()
-    members = cut(members, "members")
+    return postings.select("gram", "d1").join(lists.select("gram", F.col("top.d1").alias("pivot")), "gram").select("pivot", "d1").distinct()
+
+
+def linked_sets(docs: DataFrame, prefixes: DataFrame, rule: Rule) -> DataFrame:
+    """Spanning links (a, b) between the keys d1 of the candidate sets."""
+    spark = docs.sparkSession
+    members = cut(list_members(prefixes), "members")
+    # every pivot is a member of its own lists, so that these are all keys
+    bits = min(MARK_BITS, max(CHUNK_BITS, (8 * members.count()).bit_length()))
+    marked = spark.sparkContext.broadcast(_levels(_marks(members.select("d1"), bits), bits))
     sizes = members.groupBy("pivot").agg(F.count("*").alias("size"))
-    # a pivot is a member of its own lists; groups of one need nothing
     sized = members.join(sizes.filter("size > 1"), "pivot")
-    full = sized.join(sets.select("d1", "grams"), "d1")
+    full = cut(sized.join(_grams(docs, rule, marked, bits), "d1").select("pivot", "size", "d1", "grams"), "list-sets")
 
     def whole(batches):
         for (pivot,), rows in _groups(batches, 1):
@@ -340,7 +394,7 @@ def linked_sets(sets: DataFrame, rule: Rule) -> DataFrame:
                 out.append((len(x) + len(p) - 2 * overlap, bool(rule.links(np.int64(overlap), len(x), len(p)))))
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(3)], pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.bool_())], ["pivot", "d1", "grams", "far", "linked"])
 
-    of_pivot = sets.select(F.col("d1").alias("pivot"), F.col("grams").alias("p_grams"))
+    of_pivot = full.filter((F.col("size") > WHOLE) & (F.col("pivot") == F.col("d1"))).select("pivot", F.col("grams").alias("p_grams"))
     large = full.filter(F.col("size") > WHOLE).select("pivot", "d1", "grams").join(of_pivot, "pivot").select("pivot", "d1", "grams", "p_grams")
     large = cut(large.mapInArrow(measure, "pivot bigint, d1 bigint, grams binary, far bigint, linked boolean"), "measured")
     counts = large.groupBy("pivot").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("u")).filter("u > 0")
@@ -375,8 +429,8 @@ def jaccard_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     seen = cut(_scan(docs, rule.width, bits), "seen")
     stats = seen.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
     levels = spark.sparkContext.broadcast(_levels(seen, bits))
-    sets = cut(_candidates(docs, rule, levels, bits), "sets")
-    links = cut(linked_sets(sets, rule), "set-links")
+    prefixes = cut(_prefixes(docs, rule, levels, bits), "prefixes")
+    links = cut(linked_sets(docs, prefixes, rule), "set-links")
     nodes = cut(stats.filter("doc_id is not null and n_shingles > 0").groupBy("d1").agg(F.min("doc_id").alias("least")), "nodes")
     named = links.join(nodes.select(F.col("d1").alias("a"), F.col("least").alias("x")), "a").join(nodes.select(F.col("d1").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     # a document with rows of several sets is one node
