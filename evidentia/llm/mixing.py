@@ -15,7 +15,7 @@ rounded by the hash of its id, so that expected domain totals meet the targets.
 
 Defined cases: a null or empty text has no tokens and the prior as posterior; without labelled rows there
 is one domain "all"; a target for a domain without tokens cannot be met and leaves the others as they are;
-rows that share an id share their copies. Columns beside doc_id, text and lang are passed on by ``mix``.
+a null id is rounded like any other. Columns beside doc_id, text and lang are passed on by ``mix``.
 """
 
 from __future__ import annotations
@@ -83,10 +83,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> DomainClassifier:
     return DomainClassifier.fit([r["x"]["text"] for r in rows], [r["x"]["lang"] for r in rows])
 
 
-def memberships(docs: DataFrame, classifier: DomainClassifier) -> DataFrame:
-    """doc_id, n_tokens and p (steps of the grid for each domain) of every row of ``docs``."""
-    bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+def membership(text: Column, shared) -> Column:
+    """A struct of n (tokens) and p (steps of the grid for each domain) of a text; ``shared`` is a broadcast classifier of fixed size."""
 
     @F.arrow_udf("struct<n:bigint,p:array<int>>")
     def of(column: pa.Array) -> pa.Array:
@@ -97,7 +95,13 @@ def memberships(docs: DataFrame, classifier: DomainClassifier) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(model.domains), pa.int32()), pa.array(p.ravel(), pa.int32()))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), lists], ["n", "p"])
 
-    return docs.select("doc_id", of(F.col("text")).alias("m")).select("doc_id", F.col("m.n").alias("n_tokens"), "m.p")
+    return of(text)
+
+
+def memberships(docs: DataFrame, shared) -> DataFrame:
+    """doc_id, n_tokens and p of every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
+    return docs.select("doc_id", membership(F.col("text"), shared).alias("m")).select("doc_id", F.col("m.n").alias("n_tokens"), "m.p")
 
 
 def rate(p: Column, gaps: list[list[float]]) -> Column:
@@ -132,24 +136,35 @@ def fit_rates(member: DataFrame, domains: list[str], targets: dict[str, float] |
     return gaps
 
 
+def copies(rate_of: Column, doc_id: Column) -> Column:
+    """A rate rounded by the hash of an id."""
+    share = (F.pmod(F.xxhash64(doc_id, F.lit(29)), F.lit(1 << 20)) / (1 << 20)).cast("double")
+    return F.floor(rate_of + share).cast("int")
+
+
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """doc_id, n_tokens, domain (the likeliest), rate and copies of every row of ``docs``."""
     classifier = fit_classifier(docs, labels)
-    member = cut(memberships(docs, classifier), "mix-members")
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    member = cut(memberships(docs, shared), "mix-members")
     gaps = fit_rates(member, classifier.domains, targets)
     names = F.array(*map(F.lit, classifier.domains))
     likely = F.get(names, F.array_position("p", F.array_max("p")).cast("int") - 1)
-    share = (F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) / (1 << 20)).cast("double")
     out = member.select("doc_id", "n_tokens", likely.alias("domain"), rate(F.col("p"), gaps).alias("rate"))
-    return out.withColumn("copies", F.floor(F.col("rate") + share).cast("int"))
+    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """Every row of ``docs`` as many times as its copies say, with its own columns."""
+    """Every row of ``docs`` as many times as its copies say, with its own columns. A rate is a function of the posterior
+    alone, so that the texts are classified once more where they are, and no text is shuffled."""
     names = docs.columns
-    copies = mixing_rates(docs, labels, targets).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    classifier = fit_classifier(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    gaps = fit_rates(memberships(docs, shared), classifier.domains, targets)
+    placed = docs.withColumn("_mix", membership(F.col("text"), shared)).withColumn("_copies", copies(rate(F.col("_mix.p"), gaps), F.col("doc_id")))
+    # no filter on the copies: it would be pushed below and classify the texts twice
+    times = F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies")))
+    return placed.withColumn("_copy", F.explode(times)).select(*names)
 
 
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
