@@ -34,6 +34,8 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Squared distance that a normal vector of four exceeds once in 100,000.
 CUTOFF = 28.47
 SUBSET, STEPS, LEAST = 0.75, 3, 40
+#: Parts that the rows of a group are joined in.
+SALTS = 32
 #: Fixed spreads that are added to those estimated, in the order of the statistics.
 FLOORS = (0.03, 0.06, 0.06, 0.05)
 _P = len(FLOORS)
@@ -155,10 +157,15 @@ def _with_factor(moments: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, *[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i in range(_P) for j in range(i + 1)])
 
 
+def _spread(small: DataFrame) -> DataFrame:
+    """A table of groups once for each salt: a group that holds a third of all rows is then joined in as many tasks."""
+    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _distance(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
     lower = [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in range(_P)]
     drop = [c for c in estimates.columns if c not in keys]
-    return rows.join(estimates, keys, "left").withColumn("d2", _squared_distance([F.col(f"m{i}") for i in range(_P)], lower)).drop(*drop)
+    return rows.join(_spread(estimates), [*keys, "salt"], "left").withColumn("d2", _squared_distance([F.col(f"m{i}") for i in range(_P)], lower)).drop(*drop)
 
 
 def _subset(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -168,7 +175,7 @@ def _subset(rows: DataFrame, keys: list[str]) -> DataFrame:
     ordered = Window.partitionBy(*keys).orderBy("bin")
     running = per_bin.select(*keys, "bin", F.sum("n").over(ordered).alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("all"))
     limits = running.filter(F.col("upto") >= SUBSET * F.col("all")).groupBy(*keys).agg(F.min("bin").alias("limit"))
-    return binned.join(limits, keys).filter(F.col("bin") <= F.col("limit"))
+    return binned.join(_spread(limits), [*keys, "salt"]).filter(F.col("bin") <= F.col("limit"))
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -180,13 +187,14 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _pooled_groups(rows: DataFrame) -> DataFrame:
     """Group g of every row: its language and source, or the pool that its few rows share."""
     none = F.lit("\x00")
-    named = rows.withColumn("gl", F.coalesce("lang", none)).withColumn("gs", F.coalesce("source", none))
+    salt = F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int")
+    named = rows.withColumn("gl", F.coalesce("lang", none)).withColumn("gs", F.coalesce("source", none)).withColumn("salt", salt)
     counts = named.groupBy("gl", "gs").agg(F.count_if(~F.col("base_failed")).alias("n"))
     small = F.col("n") < LEAST
     by_lang = Window.partitionBy("gl")
     counts = counts.withColumn("n_lang", F.sum(F.when(small, F.col("n")).otherwise(0)).over(by_lang))
     level = F.when(~small, F.concat(F.lit("s\x01"), "gl", F.lit("\x01"), "gs")).when(F.col("n_lang") >= LEAST, F.concat(F.lit("l\x01"), "gl")).otherwise(F.lit("a"))
-    return named.join(counts.select("gl", "gs", level.alias("g")), ["gl", "gs"]).drop("gl", "gs")
+    return named.join(_spread(counts.select("gl", "gs", level.alias("g"))), ["gl", "gs", "salt"]).drop("gl", "gs")
 
 
 def robust_verdicts(stats: DataFrame) -> DataFrame:
@@ -204,7 +212,7 @@ def robust_verdicts(stats: DataFrame) -> DataFrame:
         estimates = cut(_with_factor(_moments(_subset(measured, keys), keys), keys), f"rules-step{step}")
     verdict = _distance(grouped, estimates, keys)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
-    return verdict.withColumn("kept", kept).drop("g", *[f"x{i}" for i in range(_P)])
+    return verdict.withColumn("kept", kept).drop("g", "salt", *[f"x{i}" for i in range(_P)])
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
