@@ -3,8 +3,13 @@
 A text is brought to one form: lower case, without copyright lines, with one spelling of equivalent words
 and no punctuation. The digest of its whole form, and of each of its lines, is joined by hash to the
 digests of the known licence texts and notices, which go through the same expressions. The known table
-is a constant of this module or an argument; it does not grow with the corpus. Only lines as long as a
-known text are digested.
+is a constant of this module (with the whole texts in the folder licenses) or an argument; it does not
+grow with the corpus. Only lines as long as a known text are digested. A line that starts with the word
+copyright is left out only if a year, (c), a template or a holder's name follows: license texts in their
+usual wrapping have other lines that start with it, and list items that start with (c).
+
+The SQL knows the notices and one-line texts alone and drops every line that starts with copyright or (c);
+it gives the same rows where documents hold no whole text of the folder and no such line.
 
 Defined cases: a null or empty text has the digest of the empty form and no licence; several licences are
 given in order with commas; rows that share a doc_id share the licences found in any of them; columns
@@ -13,6 +18,8 @@ beside doc_id and text are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +28,8 @@ from .session import table
 #: Equivalent spellings, as (pattern, spelling); after lower case.
 SPELLINGS = (("licence", "license"), ("sub[- ]licens", "sublicens"), ("non[- ]commercial", "noncommercial"), ("merchantab[a-z]*", "merchantability"), ("copyright (owner|holder)", "copyright holder"), ("https://", "http://"), ("&", " and "))
 COPYRIGHT_LINE = "(^|\n)[ \t]*(copyright|\\(c\\)|©)[^\n]*"
+#: Real copyright lines, before lower case: a capital starts a holder's name, unless the word is one of prose.
+HOLDER_LINE = "(^|\n)[ \t]*(?:(?i:copyright)[ \t:,]*(?:(?i:\\(c\\)|by\\b)|©|(?:19|20)[0-9]{2}|[\\[<{]|(?!(?i:notices?|licen[cs]es?|laws?|holders?|owners?|statements?|interests?|and|or)\\b)\\p{Lu}\\p{Ll})|(?i:\\(c\\))[ \t]*(?:(?i:copyright)|(?:19|20)[0-9]{2})|©)[^\n]*"
 OTHER = "[^\\p{L}\\p{N}\n]+"
 
 _MIT = (
@@ -34,6 +43,16 @@ _TEXTS = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_END,
     "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_END,
 }
+WHOLE_TEXTS = Path(__file__).parent / "licenses"
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "{0} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "{1} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    "{2}THIS SOFTWARE IS PROVIDED BY THE {3} AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE {4} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD_NAME = "{0} Neither the name of the {1} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
 _HEADINGS = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License",), "0BSD": ("BSD Zero Clause License",)}
 
 
@@ -53,16 +72,42 @@ def known_texts() -> list[tuple[str, str]]:
     return out
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """Licence ids with whole texts: the files of the folder, with and without what follows their terms, and the forms of BSD."""
+    out = []
+    for file in sorted(WHOLE_TEXTS.glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        out.append((file.stem, text))
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        if end:
+            out += [(file.stem, terms + end), (file.stem, terms)]
+    holders = [("COPYRIGHT HOLDERS", "COPYRIGHT HOLDER"), ("COPYRIGHT HOLDERS", "COPYRIGHT HOLDERS"), ("COPYRIGHT HOLDER", "COPYRIGHT HOLDER"), ("REGENTS", "REGENTS"), ("AUTHOR", "AUTHOR"), ("AUTHORS", "AUTHORS")]
+    names = ("copyright holder", "copyright holders", "University", "<organization>", "author", "authors")
+    for marks in (("1.", "2.", "3."), ("*", "*", "*"), ("a.", "b.", "c.")):
+        for first, second in holders:
+            forms = [("BSD-2-Clause", _BSD.format(*marks[:2], "", first, second))]
+            forms += [("BSD-3-Clause", _BSD.format(*marks[:2], _BSD_NAME.format(marks[2], name), first, second)) for name in names]
+            for licence, text in forms:
+                n = licence[4]
+                for heading in ("", f"BSD {n}-Clause License", f"The {n}-Clause BSD License", f"The BSD {n}-Clause License", "BSD License", "The BSD License"):
+                    out += [(licence, f"{heading}\n\n{reserved}{text}") for reserved in ("", "All rights reserved.\n\n")]
+    return out
+
+
 def canonical_lines(text: Column) -> Column:
     """The form of a text with its line ends: one space for each run of other characters between them."""
-    form = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "$1")
+    form = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), HOLDER_LINE, "$1"))
     for pattern, spelling in SPELLINGS:
         form = F.regexp_replace(form, pattern, spelling)
     return F.regexp_replace(form, OTHER, " ")
 
 
 def whole_form(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+    """One line, with the spellings of words that a line end parts."""
+    form = F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+    for words, spelling in (("copyright owner", "copyright holder"), ("sub licens", "sublicens"), ("non commercial", "noncommercial")):
+        form = F.replace(form, F.lit(words), F.lit(spelling))
+    return form
 
 
 def digest(form: Column) -> Column:
@@ -71,7 +116,7 @@ def digest(form: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license_id, size) of the known texts; a digest of several licences stands for the first by name."""
-    rows = spark.createDataFrame(known if known is not None else known_texts(), "license_id string, text string")
+    rows = spark.createDataFrame(known if known is not None else known_texts() + whole_texts(), "license_id string, text string")
     form = rows.select("license_id", whole_form(canonical_lines(F.col("text"))).alias("form"))
     return form.groupBy(digest(F.col("form")).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(F.length("form")).alias("size"))
 
@@ -79,8 +124,9 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
 def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, text_sha256 of the whole form, license_id of the whole text, and the licences of its lines."""
     spark = docs.sparkSession
-    digests = known_digests(spark, known)
-    sizes = [r["size"] for r in digests.select("size").distinct().collect()]  # of the constant table
+    constant = known_digests(spark, known).collect()
+    digests = spark.createDataFrame(constant, "digest string, license_id string, size int")
+    sizes = sorted({r["size"] for r in constant})
     forms = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
     units = forms.select("doc_id", digest(whole_form(F.col("lines"))).alias("text_sha256"))
     whole = units.join(F.broadcast(digests.select(F.col("digest").alias("text_sha256"), "license_id")), "text_sha256", "left")

@@ -6,6 +6,7 @@ import collections
 import math
 import random
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -217,6 +218,27 @@ def test_licenses(spark, odd):
     assert license_scan.scan_licenses(odd).count() == len(ODD)
 
 
+def test_whole_licenses(spark):
+    isc = """ISC License
+
+Copyright Jane Doe
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+""" + textwrap.fill(license_scan._ISC_END, 76)
+    texts = [("ISC", isc), *[(x, (license_scan.WHOLE_TEXTS / f"{x}.txt").read_text()) for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "Unlicense", "CC0-1.0")]]
+    apache = (license_scan.WHOLE_TEXTS / "Apache-2.0.txt").read_text()
+    texts += [("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2021 Some One")), ("Apache-2.0", apache[: apache.index("APPENDIX")])]
+    texts += [(x, textwrap.fill(t, w)) for w in (60, 79) for x, t in [("BSD-3-Clause", license_scan._BSD.format("1.", "2.", license_scan._BSD_NAME.format("3.", "copyright holder"), "COPYRIGHT HOLDERS", "COPYRIGHT OWNER"))]]
+    texts += [("BSD-2-Clause", "Copyright (c) 2011, Some One\nAll rights reserved.\n\n" + textwrap.fill(license_scan._BSD.format("*", "*", "", "COPYRIGHT HOLDERS", "COPYRIGHT OWNER"), 70))]
+    texts += [(None, apache + "\nand more"), (None, "(c) the third item\n" + isc)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [x for x, _ in texts]
+
+
 def test_html(spark):
     page = """<html><head><title>t</title><script>var a = "<p>no</p>";</script></head><body><nav><a href=x>Menu</a></nav><div class="ad">Buy now, cheap, today, really good offer</div>
     <div id="main"><h1>Title &amp; more</h1><p>First&nbsp;paragraph, with some commas, and   enough words to count.<p>Second <b>bold</b> one, which is<br>also long enough, as text.<ul><li>item one<li>item two</ul></div>
