@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.llm.bpe import encode_round_trip
-from evidentia.llm.jaccard_join import keep_one
+from evidentia.llm.jaccard_join import Rule, keep_one
 from evidentia.llm.mixing import mix
 from evidentia.llm.quality_net import fit_network, keep_good
 from evidentia.llm.quality_rules import keep_sound
@@ -28,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies."""
-    return keep_one(docs)
+    """The document with the smallest id of each component of near copies: sets of five-word shingles at 0.8 or more."""
+    return keep_one(docs, Rule(80, 5))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from evidentia.llm import bpe, html_text, jaccard_join, kneser_ney, license_scan, mixing, quality_net, quality_rules, token_counts, vptree
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -209,6 +210,18 @@ def test_jaccard_odd(spark, odd):
     assert jaccard_join.keep_one(odd).columns == odd.columns
 
 
+def test_pipeline_near_duplicates(spark):
+    """Near copies by five words at 0.8 that are none by four words at 0.85, and a pair under both rules."""
+    words = [f"w{i}" for i in range(100)]
+    edited = ["x" if i == 30 else "y" if i == 70 else w for i, w in enumerate(words)]
+    longer = [f"a{i}" for i in range(100)] + [f"b{i}" for i in range(20)]
+    far = [f"c{i}" for i in range(100)]
+    texts = [words, edited, longer[:100], longer, far, ["z" if i % 30 == 9 else w for i, w in enumerate(far)]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 4, 5]
+    assert jaccard_join.keep_one(docs).count() == 6
+
+
 def test_licenses(spark, odd):
     mit = license_scan._TEXTS["MIT"]
     rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ,")), (2, "text\nReleased under the MIT Licence.\nmore"), (3, mit + " extra"), (4, None)]
