@@ -2,24 +2,28 @@
 
 The domains are the languages of labelled documents. A classifier that is fitted on a bounded sample of the
 labelled table gives every document a posterior over the domains (naive Bayes over hashed words; the
-evidence of a text counts as that of at most ``EVIDENCE`` words, so that membership stays soft; posteriors
-are given in steps of 1 / ``GRID``). The rates r are the nonnegative least-squares fit of
+evidence of a text counts as that of at most ``EVIDENCE`` words, so that membership stays soft). The rates r
+are the nonnegative least-squares fit of
 
     sum_k ((sum_d r_d n_d p_dk - T_k) / N)^2 / 2 + DAMPING * sum_d n_d (r_d - 1)^2 / (2 N)
 
-by projected gradient steps in the metric of the token counts n: r <- max(0, r - step * (p . g + DAMPING *
-(r - 1))) with g the domains' gaps, which every step sums over the corpus in Spark. A rate is thus a
-function of the posterior alone, and the steps run over the distinct posteriors with their summed tokens,
-of which there are as many as the grid allows, whatever the corpus. A document's copies are its rate
-rounded by the hash of its id, so that expected domain totals meet the targets.
+At its optimum r = max(0, 1 + p . pull) with one number for each domain, pull = -gap / DAMPING. These few
+numbers are found by Newton steps with a line search on the dual problem, which is convex and smooth; a step
+is one pass of sums over all posteriors in Spark. The steps end when the optimum is met to ``EXACT``; the
+gaps that are left to the targets are ``DAMPING`` * pull, and a warning names them when they are above
+``TOLERANCE`` of all tokens (targets that no rates can meet) or when ``STEPS`` do not suffice. A document's
+copies are its rate rounded by the hash of its id, so that expected domain totals meet the targets.
 
 Defined cases: a null or empty text has no tokens and the prior as posterior; without labelled rows there
-is one domain "all"; a target for a domain without tokens cannot be met and leaves the others as they are;
+is one domain "all"; a target for a domain without tokens cannot be met, which is warned of;
 a null id is rounded like any other. Columns beside doc_id, text and lang are passed on by ``mix``.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +33,9 @@ from .kernels import text_slices, words
 from .session import bounded_batches, cut, table
 
 SAMPLE, SAMPLE_BYTES, DOMAINS = 3000, 16_384, 15
-FEATURES, EVIDENCE, GRID = 1 << 14, 40, 32
-DAMPING, STEPS = 1e-3, 25
+FEATURES, EVIDENCE = 1 << 14, 40
+#: Weight of rates of one; share of all tokens that a gap may have, and that the optimum is met to; most Newton steps.
+DAMPING, TOLERANCE, EXACT, STEPS = 1e-6, 1e-3, 1e-7, 200
 
 
 class DomainClassifier:
@@ -54,23 +59,18 @@ class DomainClassifier:
         return cls(names, np.log(prior / prior.sum()), np.log(share))
 
     def posteriors(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words of each text, and its posterior in whole steps of the grid (which add up to it)."""
+        """Words of each text, and its posterior."""
         rows = len(offsets) - 1
         word, row = words(raw, offsets, True)
         n = np.bincount(row, minlength=rows)
+        feature = (word & np.uint64(FEATURES - 1)).astype(np.int64)
         logit = np.zeros((rows, len(self.domains)))
-        full = np.flatnonzero(n)
-        if len(full):
-            seen = self.weights[(word & np.uint64(FEATURES - 1)).astype(np.int64)]
-            logit[full] = np.add.reduceat(seen, np.searchsorted(row, full), axis=0)
-            logit[full] *= np.minimum(1, EVIDENCE / n[full])[:, None]
+        for k in range(len(self.domains)):  # one domain at a time: memory does not grow with their number
+            logit[:, k] = np.bincount(row, self.weights[feature, k], rows)
+        logit *= np.minimum(1, EVIDENCE / np.maximum(n, 1))[:, None]
         logit += self.prior
         p = np.exp(logit - logit.max(axis=1, keepdims=True))
-        p *= GRID / p.sum(axis=1, keepdims=True)
-        whole = np.floor(p).astype(np.int64)
-        left = GRID - whole.sum(axis=1)
-        rank = np.argsort(np.argsort(-(p - whole), axis=1, kind="stable"), axis=1, kind="stable")
-        return n, whole + (rank < left[:, None])
+        return n, p / p.sum(axis=1, keepdims=True)
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame) -> DomainClassifier:
@@ -84,15 +84,15 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> DomainClassifier:
 
 
 def membership(text: Column, shared) -> Column:
-    """A struct of n (tokens) and p (steps of the grid for each domain) of a text; ``shared`` is a broadcast classifier of fixed size."""
+    """A struct of n (tokens) and p (share of each domain) of a text; ``shared`` is a broadcast classifier of fixed size."""
 
-    @F.arrow_udf("struct<n:bigint,p:array<int>>")
+    @F.arrow_udf("struct<n:bigint,p:array<double>>")
     def of(column: pa.Array) -> pa.Array:
         model = shared.value
         parts = [model.posteriors(raw, offsets) for _, _, raw, offsets in text_slices(column)]
         n = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int64)
-        p = np.concatenate([x for _, x in parts]) if parts else np.zeros((0, len(model.domains)), np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(model.domains), pa.int32()), pa.array(p.ravel(), pa.int32()))
+        p = np.concatenate([x for _, x in parts]) if parts else np.zeros((0, len(model.domains)))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(model.domains), pa.int32()), pa.array(p.ravel(), pa.float64()))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), lists], ["n", "p"])
 
     return of(text)
@@ -104,36 +104,66 @@ def memberships(docs: DataFrame, shared) -> DataFrame:
     return docs.select("doc_id", membership(F.col("text"), shared).alias("m")).select("doc_id", F.col("m.n").alias("n_tokens"), "m.p")
 
 
-def rate(p: Column, gaps: list[list[float]]) -> Column:
-    """The rate of a posterior after the steps whose gaps are given."""
-    r = F.lit(1.0)
-    step = 1 / (1 + DAMPING)
-    for g in gaps:
-        pull = sum((F.get(p, k) * (x / GRID) for k, x in enumerate(g)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r * (1 - step * DAMPING) - (pull - DAMPING) * step)
-    return r
+def rate(p: Column, pull: list[float]) -> Column:
+    """The rate of a posterior."""
+    return F.greatest(F.lit(0.0), sum((F.get(p, k) * x for k, x in enumerate(pull)), F.lit(1.0)))
+
+
+def _sums(member: DataFrame, pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Sums over all rows, for rates r: n r^2 / 2, n r p for each domain, and n p p' of the rows with a rate above zero."""
+    size = len(pull)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 + size + size * size)
+        for batch in batches:
+            n = np.asarray(batch.column(0).fill_null(0), np.float64)
+            p = np.asarray(batch.column(1).flatten()).reshape(-1, size)
+            r = np.maximum(0, 1 + p @ pull)
+            live = p * (n * (r > 0))[:, None]
+            out += np.concatenate(([(n * r * r).sum() / 2], p.T @ (n * r), (live.T @ p).ravel()))
+        yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(len(out)), pa.int32()), "v": pa.array(out, pa.float64())})
+
+    rows = member.select("n_tokens", "p").mapInArrow(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # 1 + K + K^2 numbers
+    out = np.zeros(1 + size + size * size)
+    for r in rows:
+        out[r["k"]] = r["v"]
+    return out[0], out[1 : 1 + size], out[1 + size :].reshape(size, size)
 
 
-def fit_rates(member: DataFrame, domains: list[str], targets: dict[str, float] | None) -> list[list[float]]:
-    """Gaps of every step. ``targets`` are the domains' shares of all tokens (default: equal parts of their square roots)."""
-    cells = cut(member.groupBy("p").agg(F.sum("n_tokens").alias("n")), "mix-cells")
-    total = [F.sum(F.get("p", F.lit(k)) * F.col("n") * F.col("r") / GRID).alias(f"s{k}") for k in range(len(domains))]
-    now = lambda gaps: [x or 0.0 for x in cells.withColumn("r", rate(F.col("p"), gaps)).agg(*total).first()]
-    start = now([])
-    every = sum(start)
+def fit_rates(member: DataFrame, domains: list[str], targets: dict[str, float] | None) -> list[float]:
+    """The pull of every domain. ``targets`` are the domains' shares of all tokens (default: equal parts of their square roots)."""
+    cells = cut(member.select("n_tokens", "p"), "mix-cells")
+    pull = np.zeros(len(domains))
+    square, now, curve = _sums(cells, pull)
+    every = now.sum()
     if not every:
-        return []
-    shares = np.array([targets.get(d, 0.0) if targets else np.sqrt(s) for d, s in zip(domains, start, strict=True)])
+        return pull.tolist()
+    shares = np.array([targets.get(d, 0.0) if targets else np.sqrt(s) for d, s in zip(domains, now, strict=True)])
     if not shares.sum():
-        return []
-    wanted = shares / shares.sum() * every
-    gaps: list[list[float]] = []
+        return pull.tolist()
+    wanted = shares / shares.sum()
+    loss = lambda x, square: square / every - wanted @ x + DAMPING * (x @ x) / 2
+    best = loss(pull, square)
     for _ in range(STEPS):
-        gap = [(s - t) / every for s, t in zip(now(gaps), wanted, strict=True)]
-        gaps.append(gap)
-        if max(map(abs, gap)) < 1e-4:
+        slope = now / every - wanted + DAMPING * pull
+        if np.abs(slope).max() <= EXACT:
             break
-    return gaps
+        move = -np.linalg.solve(curve / every + DAMPING * np.eye(len(domains)), slope)
+        size = 1.0
+        while True:
+            tried = pull + size * move
+            got = _sums(cells, tried)
+            if loss(tried, got[0]) <= best + 1e-4 * size * (slope @ move) + 1e-15 * abs(best) or size < 1e-6:
+                break
+            size /= 2
+        pull, (square, now, curve) = tried, got
+        best = loss(pull, square)
+    else:
+        warnings.warn(f"mixing: the optimum is not met after {STEPS} steps", stacklevel=2)
+    gaps = {d: float(x) for d, x in zip(domains, now / every - wanted, strict=True) if abs(x) > TOLERANCE}
+    if gaps:
+        warnings.warn(f"mixing: shares of all tokens above or below their targets: {gaps}", stacklevel=2)
+    return pull.tolist()
 
 
 def copies(rate_of: Column, doc_id: Column) -> Column:
@@ -147,10 +177,10 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     classifier = fit_classifier(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
     member = cut(memberships(docs, shared), "mix-members")
-    gaps = fit_rates(member, classifier.domains, targets)
+    pull = fit_rates(member, classifier.domains, targets)
     names = F.array(*map(F.lit, classifier.domains))
     likely = F.get(names, F.array_position("p", F.array_max("p")).cast("int") - 1)
-    out = member.select("doc_id", "n_tokens", likely.alias("domain"), rate(F.col("p"), gaps).alias("rate"))
+    out = member.select("doc_id", "n_tokens", likely.alias("domain"), rate(F.col("p"), pull).alias("rate"))
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
@@ -160,8 +190,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     names = docs.columns
     classifier = fit_classifier(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
-    gaps = fit_rates(memberships(docs, shared), classifier.domains, targets)
-    placed = docs.withColumn("_mix", membership(F.col("text"), shared)).withColumn("_copies", copies(rate(F.col("_mix.p"), gaps), F.col("doc_id")))
+    pull = fit_rates(memberships(docs, shared), classifier.domains, targets)
+    placed = docs.withColumn("_mix", membership(F.col("text"), shared)).withColumn("_copies", copies(rate(F.col("_mix.p"), pull), F.col("doc_id")))
     # no filter on the copies: it would be pushed below and classify the texts twice
     times = F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies")))
     return placed.withColumn("_copy", F.explode(times)).select(*names)

@@ -144,6 +144,28 @@ def test_mixing(spark, corpus, odd):
     assert mixing.mixing_rates(odd, labels.limit(0)).filter("rate = 1.0").count() == len(ODD)
 
 
+def _languages(shares):
+    """Documents whose words are those of their language, for numbers of documents by language."""
+    rng, rows = random.Random(5), []
+    for lang, n in shares.items():
+        for _ in range(n):
+            rows.append((len(rows), " ".join(f"{lang}{rng.randrange(50)}" for _ in range(60)), lang, "s", 0))
+    return rows
+
+
+@pytest.mark.parametrize("targets", [None, {"a": 0.5, "d": 0.5}])
+def test_mixing_small_domains(spark, targets):
+    """A domain of one per cent meets its target."""
+    docs = spark.createDataFrame(_languages({"a": 900, "b": 60, "c": 30, "d": 10}), DOCS)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    rows = mixing.mixing_rates(docs, labels, targets).collect()
+    roots = {k: math.sqrt(v) for k, v in {"a": 900, "b": 60, "c": 30, "d": 10}.items()}
+    want = targets or {k: v / sum(roots.values()) for k, v in roots.items()}
+    for d in "abcd":
+        got = sum(r["n_tokens"] * r["rate"] for r in rows if r["domain"] == d) / sum(r["n_tokens"] for r in rows)
+        assert got == pytest.approx(want.get(d, 0), abs=0.005)
+
+
 def test_token_counts(spark, odd, corpus):
     from tokenizers import Tokenizer, models
 
