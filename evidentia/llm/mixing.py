@@ -1,7 +1,7 @@
 """Operator 4: mixing sources to target weights with soft domain membership.
 
-The domains are the languages of labelled documents. A classifier that is fitted on a bounded sample of the
-labelled table gives every document a posterior over the domains (naive Bayes over hashed words; the
+The domains are the languages of all labelled documents, however many. A classifier that is fitted on a
+bounded sample of each domain's labelled documents gives every document a posterior over the domains (naive Bayes over hashed words; the
 evidence of a text counts as that of at most ``EVIDENCE`` words, so that membership stays soft). The rates r
 are the nonnegative least-squares fit of
 
@@ -15,7 +15,8 @@ gaps that are left to the targets are ``DAMPING`` * pull, and a warning names th
 copies are its rate rounded by the hash of its id, so that expected domain totals meet the targets.
 
 Defined cases: a null or empty text has no tokens and the prior as posterior; without labelled rows there
-is one domain "all"; a target for a domain without tokens cannot be met, which is warned of;
+is one domain "all"; a target for a domain without tokens cannot be met, which is warned of; one for a domain
+without labelled documents is an error; a domain without a given target has the target zero;
 a null id is rounded like any other. Columns beside doc_id, text and lang are passed on by ``mix``.
 """
 
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from .kernels import text_slices, words
 from .session import bounded_batches, cut, table
 
-SAMPLE, SAMPLE_BYTES, DOMAINS = 3000, 16_384, 15
+#: Labelled rows that the classifier is fitted on, those that each domain has at least where it has as many, and characters of each.
+SAMPLE, LEAST, SAMPLE_CHARS = 3000, 40, 16_384
 FEATURES, EVIDENCE = 1 << 14, 40
 #: Weight of rates of one; share of all tokens that a gap may have, and that the optimum is met to; most Newton steps.
 DAMPING, TOLERANCE, EXACT, STEPS = 1e-6, 1e-3, 1e-7, 200
@@ -43,18 +45,18 @@ class DomainClassifier:
         self.domains, self.prior, self.weights = domains, prior, weights
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str]) -> DomainClassifier:
-        names, count = np.unique(np.array(labels, dtype=object), return_counts=True)
-        names = list(names[np.argsort(-count, kind="stable")][:DOMAINS])
+    def fit(cls, texts: list[str], labels: list[str], counts: dict[str, int]) -> DomainClassifier:
+        """Fit on texts with their domains; ``counts`` are the labelled rows of every domain."""
+        names = sorted(counts, key=lambda x: (-counts[x], x))
         if not names:
             return cls(["all"], np.zeros(1), np.zeros((FEATURES, 1)))
+        place = {name: k for k, name in enumerate(names)}
         total = np.zeros((FEATURES, len(names)))
         for name, text in zip(labels, texts, strict=True):
-            if name in names:
-                raw = np.frombuffer(text.encode(), np.uint8)
-                word, _ = words(raw, np.array([0, len(raw)]), True)
-                total[:, names.index(name)] += np.bincount((word & np.uint64(FEATURES - 1)).astype(np.int64), minlength=FEATURES)
-        prior = np.array([labels.count(n) for n in names], dtype=float)
+            raw = np.frombuffer(text.encode(), np.uint8)
+            word, _ = words(raw, np.array([0, len(raw)]), True)
+            total[:, place[name]] += np.bincount((word & np.uint64(FEATURES - 1)).astype(np.int64), minlength=FEATURES)
+        prior = np.array([counts[n] for n in names], dtype=float)
         share = (total + 0.5) / (total + 0.5).sum(axis=0)
         return cls(names, np.log(prior / prior.sum()), np.log(share))
 
@@ -74,13 +76,23 @@ class DomainClassifier:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame) -> DomainClassifier:
-    """Fit on at most ``SAMPLE`` labelled documents, in the order of a hash of their id, of at most ``SAMPLE_BYTES`` bytes."""
-    ids = labels.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    fits = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null").filter(F.octet_length("text") <= SAMPLE_BYTES)
-    known = docs.sparkSession.createDataFrame(ids.collect(), "doc_id bigint")  # SAMPLE ids at most
-    rows = fits.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x")).collect()
+    """Fit on about ``SAMPLE`` labelled documents, chosen by a hash of their id, ``LEAST`` of a domain or all it has; of each
+    the first ``SAMPLE_CHARS`` characters. The domains and their priors are those of all labelled documents."""
+    fits = docs.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null")
+    ids = labels.select("doc_id").filter("doc_id is not null").distinct()
+    langs = cut(fits.select("doc_id", "lang").join(ids, "doc_id").groupBy("doc_id").agg(F.min("lang").alias("lang")), "mix-labelled")
+    counts = {r["lang"]: r["n"] for r in langs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return DomainClassifier.fit([], [], {})
+    every = sum(counts.values())
+    share = docs.sparkSession.createDataFrame([(d, min(1.0, max(SAMPLE / every, LEAST / n))) for d, n in counts.items()], "lang string, share double")
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    chosen = langs.join(F.broadcast(share), "lang").filter(hashed < F.col("share")).select("doc_id", "lang")
+    known = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id bigint, lang string")  # about SAMPLE ids
+    texts = fits.withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    rows = texts.join(F.broadcast(known), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: r["doc_id"])
-    return DomainClassifier.fit([r["x"]["text"] for r in rows], [r["x"]["lang"] for r in rows])
+    return DomainClassifier.fit([r["text"] for r in rows], [r["lang"] for r in rows], counts)
 
 
 def membership(text: Column, shared) -> Column:
@@ -131,7 +143,10 @@ def _sums(member: DataFrame, pull: np.ndarray) -> tuple[float, np.ndarray, np.nd
 
 
 def fit_rates(member: DataFrame, domains: list[str], targets: dict[str, float] | None) -> list[float]:
-    """The pull of every domain. ``targets`` are the domains' shares of all tokens (default: equal parts of their square roots)."""
+    """The pull of every domain, ``domains`` being those of all labelled rows. ``targets`` are the domains' shares of all tokens (default: equal parts of their square roots)."""
+    unknown = sorted(set(targets or ()) - set(domains))
+    if unknown:
+        raise ValueError(f"targets for domains without labelled documents: {unknown}")
     cells = cut(member.select("n_tokens", "p"), "mix-cells")
     pull = np.zeros(len(domains))
     square, now, curve = _sums(cells, pull)

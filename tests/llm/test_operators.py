@@ -166,6 +166,22 @@ def test_mixing_small_domains(spark, targets):
         assert got == pytest.approx(want.get(d, 0), abs=0.005)
 
 
+def test_mixing_many_domains(spark):
+    """Every labelled language is a domain, and soft mass counts in full."""
+    shares = {f"l{i}x": 30 for i in range(20)} | {"rare": 1}
+    docs = spark.createDataFrame(_languages(shares), DOCS)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    rows = mixing.mixing_rates(docs, labels).collect()
+    langs = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert {r["domain"] for r in rows} == set(shares) and all(r["domain"] == langs[r["doc_id"]] for r in rows)
+    with pytest.raises(ValueError, match="nowhere"):
+        mixing.mixing_rates(docs, labels, {"l1x": 0.5, "nowhere": 0.5})
+    model = mixing.fit_classifier(docs, labels)
+    text = b"l1x1 l2x2 l3x3 other words"
+    _, p = model.posteriors(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert p.sum() == pytest.approx(1) and (p > 0).all() and (p < 1 / 64).any()
+
+
 def test_token_counts(spark, odd, corpus):
     from tokenizers import Tokenizer, models
 
