@@ -4,13 +4,16 @@ Every text gives a vector of statistics, each transformed so that it has a like
 the logarithm of its mean word length (drawn to 5 characters by 50 words), the root of its symbols per
 word, its share of repeated lines, and its share of words in repeated windows. For each language and
 source a minimum-covariance-determinant estimate is made of these by concentration steps: from medians
-and fixed spreads, the three quarters of the rows with the smallest distance give a mean and a covariance
+and fixed spreads, the half of the rows with the smallest distance give a mean and a covariance
 (made consistent for the normal law and raised by a small fixed spread, so that it is never singular),
-which give new distances. A document is rejected when its squared Mahalanobis distance is beyond
+which give new distances, until the determinant of every group's covariance settles (a warning tells if it
+does not). The estimate is then made once more from all rows within ``NEAR`` of it, as is usual, which is
+more efficient and keeps the breakdown point of the half: near 50 %. A document is rejected when its squared Mahalanobis distance is beyond
 ``CUTOFF``, and also when it fails the base rules.
 
-The quarter is cut on a histogram of the distances, whose bins are whole numbers: it merges map-side, is
-bounded for each group, and gives the same rows whatever the partitioning. Only rows that pass the base
+The half is cut on a histogram of the distances, whose bins are whole numbers: it merges map-side, is
+bounded for each group, and gives the same rows whatever the partitioning. The rows of the bin that completes
+the half count by the share of them that it takes, so that copies, which are in one bin, do not all come in. Only rows that pass the base
 rules make an estimate. Groups with fewer than ``LEAST`` of them share the estimate of their language's small groups, these that of all small groups; below ``LEAST``
 rows there is no estimate and nothing is rejected by it.
 
@@ -21,6 +24,7 @@ group of its own; input columns beside doc_id, text, lang and source are ignored
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +37,11 @@ WIDTH = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Squared distance that a normal vector of four exceeds once in 100,000.
 CUTOFF = 28.47
-SUBSET, STEPS, LEAST = 0.75, 3, 40
+SUBSET, LEAST = 0.5, 40
+#: Squared distance within which a normal vector of four lies with the share ``NEAR_SHARE``.
+NEAR, NEAR_SHARE = 11.143, 0.975
+#: Most concentration steps; change in the logarithm of a determinant that counts as none.
+STEPS, SETTLED = 40, 1e-3
 #: Parts that the rows of a group are joined in.
 SALTS = 32
 #: Fixed spreads that are added to those estimated, in the order of the statistics.
@@ -140,11 +148,11 @@ def _squared_distance(mean: list[Column], lower: list[list[Column]]) -> Column:
     return total
 
 
-def _with_factor(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """Means m0.. and Cholesky entries l00.. from the sums of a subset."""
+def _with_factor(moments: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """Means m0.. and Cholesky entries l00.. from the sums of the central ``share`` of the rows."""
     n = F.col("n")
     out = moments.select(*keys, "n", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(_P)], *[f"q{i}{j}" for i in range(_P) for j in range(i + 1)])
-    scale = _consistency(SUBSET)
+    scale = _consistency(share)
     for i in range(_P):
         for j in range(i + 1):
             value = scale * (F.col(f"q{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}"))
@@ -169,19 +177,30 @@ def _distance(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFra
 
 
 def _subset(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows up to the bin of distances that completes the share ``SUBSET`` of each group."""
+    """The rows up to the bin of distances that completes the share ``SUBSET`` of each group, with their weight: one,
+    and in that bin the part of it that completes the share."""
     binned = rows.withColumn("bin", F.floor(F.log2(1 + F.col("d2")) * 256).cast("int"))
     per_bin = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     ordered = Window.partitionBy(*keys).orderBy("bin")
-    running = per_bin.select(*keys, "bin", F.sum("n").over(ordered).alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("all"))
-    limits = running.filter(F.col("upto") >= SUBSET * F.col("all")).groupBy(*keys).agg(F.min("bin").alias("limit"))
-    return binned.join(_spread(limits), [*keys, "salt"]).filter(F.col("bin") <= F.col("limit"))
+    running = per_bin.select(*keys, "bin", "n", F.sum("n").over(ordered).alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("all"))
+    need = SUBSET * F.col("all") - (F.col("upto") - F.col("n"))
+    limits = running.filter(F.col("upto") >= SUBSET * F.col("all")).groupBy(*keys).agg(F.min_by(F.struct(F.col("bin").alias("limit"), (need / F.col("n")).alias("part")), "bin").alias("x"))
+    joined = binned.join(_spread(limits.select(*keys, "x.limit", "x.part")), [*keys, "salt"]).filter(F.col("bin") <= F.col("limit"))
+    return joined.withColumn("weight", F.when(F.col("bin") == F.col("limit"), F.col("part")).otherwise(F.lit(1.0)))
+
+
+def _settled(before: DataFrame, after: DataFrame, keys: list[str]) -> bool:
+    """Whether no group's determinant has changed."""
+    size = lambda d: d.select(*keys, sum((2 * F.log(f"l{i}{i}") for i in range(_P)), F.lit(0.0)).alias("det"))
+    both = size(before).withColumnRenamed("det", "was").join(size(after), keys)
+    return (both.agg(F.max(F.abs(F.col("det") - F.col("was"))).alias("x")).first()["x"] or 0.0) <= SETTLED
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    x = [F.col(f"x{i}") for i in range(_P)]
-    sums = [F.sum(x[i]).alias(f"s{i}") for i in range(_P)] + [F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i in range(_P) for j in range(i + 1)]
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+    """Weighted sums of each group."""
+    w, x = F.col("weight"), [F.col(f"x{i}") for i in range(_P)]
+    sums = [F.sum(w * x[i]).alias(f"s{i}") for i in range(_P)] + [F.sum(w * x[i] * x[j]).alias(f"q{i}{j}") for i in range(_P) for j in range(i + 1)]
+    return rows.groupBy(*keys).agg(F.sum(w).alias("n"), *sums)
 
 
 def _pooled_groups(rows: DataFrame) -> DataFrame:
@@ -209,7 +228,13 @@ def robust_verdicts(stats: DataFrame) -> DataFrame:
     estimates = cut(start, "rules-start")
     for step in range(STEPS):
         measured = _distance(sound, estimates, keys).filter(F.col("d2").isNotNull())
-        estimates = cut(_with_factor(_moments(_subset(measured, keys), keys), keys), f"rules-step{step}")
+        before, estimates = estimates, cut(_with_factor(_moments(_subset(measured, keys), keys), keys, SUBSET), f"rules-step{step}")
+        if _settled(before, estimates, keys):
+            break
+    else:
+        warnings.warn(f"quality rules: an estimate has not settled after {STEPS} steps", stacklevel=2)
+    near = _distance(sound, estimates, keys).filter(F.col("d2") <= NEAR).withColumn("weight", F.lit(1.0))
+    estimates = cut(_with_factor(_moments(near, keys), keys, NEAR_SHARE), "rules-near")
     verdict = _distance(grouped, estimates, keys)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     return verdict.withColumn("kept", kept).drop("g", "salt", *[f"x{i}" for i in range(_P)])

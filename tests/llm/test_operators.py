@@ -126,6 +126,21 @@ def test_quality_rules(spark, odd, corpus):
     assert quality_rules.keep_sound(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("copies", [True, False])
+def test_quality_rules_third_of_junk(spark, copies):
+    """A third of a group is junk, as copies of one text or scattered: none of it is kept, and the rest stays."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdeiou") for _ in range(rng.randint(1, 9))) for _ in range(900)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(60, 200))), "en", "s", 0) for i in range(400)]
+    for i in range(200):
+        k = 0 if copies else i
+        rows.append((9000 + i, " ".join(f"w{k}x{j}" + "$#" * (2 + (k + j) % 3) for j in range(80 + k % 40)), "en", "s", 0))
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, DOCS)).collect()
+    assert not any(r["base_failed"] for r in got)
+    assert not any(r["kept"] for r in got if r["doc_id"] >= 9000)
+    assert all(r["kept"] for r in got if r["doc_id"] < 9000)
+
+
 def test_consistency_factor():
     x = np.random.default_rng(0).normal(size=(400_000, 4))
     d = (x**2).sum(axis=1)
