@@ -9,7 +9,10 @@ characters up to three, to its container and half of them to the container's con
 further one. Containers lose points by their share of text inside links. The best container is the main
 one; its siblings are kept too when they score near it or are plain prose. An element marked as the
 article (or the page's main part) starts with points of its own, as an author's mark is stronger than
-any count. The blocks of what is kept are joined in page order.
+any count: where the best container lies inside an article (or else a main part), that element is the result
+with all it holds, however many points its inner parts have. Elsewhere headings, lists, tables, figures,
+quotations and code beside the best container are kept too, unless they are mostly links or it lies right in
+the page's body. The blocks of what is kept are joined in page order.
 
 Defined cases: a null or empty page gives an empty text; a page without any container gives the blocks of
 its body; nothing is shortened. Nesting may be of any depth. Columns beside page_id, url and html are ignored.
@@ -35,6 +38,8 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
 _CONTAINER = {"article", "main", "section", "div", "body", "td", "center", "html", "blockquote", "#root"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", "li", "dt", "dd"}
+#: What belongs to the text beside it, if it is not mostly links.
+_BESIDE = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "ul", "ol", "dl", "pre", "table", "figure", "blockquote"}
 _SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "dl", "table", "article", "section", "main", "body", "html", "#root", "blockquote", "div", "td", "th", "nav", "footer", "header", "aside", "form"}
 
@@ -220,6 +225,19 @@ def blocks(kept: list[Element]) -> list[str]:
     return out
 
 
+def _marked(best: Element) -> Element:
+    """The outermost article around the best container, or else the outermost main part, or else itself."""
+    around, e = [], best
+    while e is not None:
+        around.append(e)
+        e = e.parent
+    for name in ("article", "main"):
+        found = [x for x in around if x.name == name]
+        if found:
+            return found[-1]
+    return best
+
+
 def extract(page: str | None) -> str:
     """The main text of a page."""
     if not page:
@@ -232,15 +250,16 @@ def extract(page: str | None) -> str:
     if not holders:
         body = next((e for e in order if e.name == "body"), order[0] if order else None)
         return "\n\n".join(blocks([body])) if body is not None else ""
-    best = max(holders, key=worth)
+    best = _marked(max(holders, key=worth))
     line = max(10.0, worth(best) * 0.2)
     kept = []
+    inner = best.name not in ("article", "main", "body", "html", "#root") and best.parent is not None and best.parent.name not in ("body", "html", "#root")
     for x in best.parent.parts if best.parent is not None else [best]:
         if not isinstance(x, Element) or x.cut:
             continue
         density = x.linked / x.length if x.length else 0.0
         prose = x.name == "p" and ((x.length > 80 and density < 0.25) or (0 < x.length <= 80 and not density and "." in _text(x)))
-        if x is best or (x.name in _CONTAINER and worth(x) >= line and best.name not in ("body", "html", "#root")) or (prose and best.name != "article"):
+        if x is best or (x.name in _CONTAINER and worth(x) >= line and best.name not in ("body", "html", "#root")) or (prose and best.name != "article") or (inner and x.name in _BESIDE and density < 0.25):
             kept.append(x)
     return "\n\n".join(blocks(kept))
 

@@ -317,6 +317,17 @@ def test_html(spark):
     assert {r["page_id"]: r["n_chars"] for r in html_text.extract_pages(pages).collect()} == {1: len(want), 2: 0}
 
 
+@pytest.mark.parametrize("n", [5, 50])
+@pytest.mark.parametrize("tag", ["article", "main", "section"])
+def test_html_nested_body(n, tag):
+    """A long article keeps what a short one does."""
+    prose = [f"Paragraph {k}, with some commas, and enough words in it to be counted as a sentence of prose, {'more words ' * 20}end." for k in range(n)]
+    inner = "<div class=body>" + "".join(f"<p>{x}</p>" for x in prose) + "</div>"
+    rest = "<h2>Short part</h2><ul><li>one<li>two</ul><pre>code()</pre><table><tr><td>cell</td></tr></table><blockquote>said</blockquote>"
+    page = f"<body><nav><a href=x>Menu</a></nav><{tag}><h1>Title</h1>{inner}{rest}</{tag}><div><a href=y>Other pages</a></div></body>"
+    assert html_text.extract(page).split("\n\n") == ["Title", *prose, "Short part", "one", "two", "code()", "cell", "said"]
+
+
 def test_kneser_ney(spark, odd, corpus):
     rows = [(i, t) for i, t, *_ in corpus[1]]
     docs = corpus[0].select("doc_id", "text")
