@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -88,14 +88,29 @@ def grounding_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     words finds the places; only these are compared, so that no nested loop runs over the corpus."""
     width = 6
     norm = lambda c: V.collapse_space(F.col(c))
-    head = lambda words, i: F.xxhash64(F.concat_ws(" ", F.slice(words, i, width)))
-    items = table(spark, sf_dir, "benchmark").select("item_id", norm("text").alias("item"))
-    items = items.withColumn("w", F.split("item", " ")).filter(F.size("w") > width + 1).select("item_id", "item", head(F.col("w"), 2).alias("h"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", norm("text").alias("item")).filter("item is not null").withColumn("w", F.split("item", " "))
     docs = table(spark, sf_dir, "documents").select("doc_id", norm("text").alias("doc")).withColumn("w", F.split("doc", " "))
-    places = docs.filter(F.size("w") >= width).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, width)))))).alias("h"))
-    pairs = items.select("item_id", "h").join(places, "h").select("item_id", "doc_id").distinct()
-    found = pairs.join(items.select("item_id", "item"), "item_id").join(docs.select("doc_id", "doc"), "doc_id").filter(F.contains("doc", "item"))
-    return found.select("item_id").distinct()
+
+    def windows(size: int, of) -> Column:
+        return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: of(F.concat_ws(" ", F.slice("w", i, size))))))
+
+    def inside(some: DataFrame, size: int) -> DataFrame:
+        """Items and documents that share ``size`` words after the item's first: its end words may be parts of words."""
+        heads = some.select("item_id", F.xxhash64(F.concat_ws(" ", F.slice("w", 2, size))).alias("h"))
+        places = docs.filter(F.size("w") >= size).select("doc_id", windows(size, F.xxhash64).alias("h"))
+        return heads.join(places, "h").select("item_id", "doc_id").distinct()
+
+    pairs = inside(items.filter(F.size("w") > width + 1), width)
+    short = items.filter(F.size("w") <= width + 1).select(F.size("w").alias("n"), F.length("item").alias("length")).distinct().collect()  # few shapes
+    for n in sorted({r["n"] for r in short if r["n"] > 2}):
+        pairs = pairs.unionByName(inside(items.filter(F.size("w") == n), n - 2))
+    found = pairs.distinct().join(items.select("item_id", "item"), "item_id").join(docs.select("doc_id", "doc"), "doc_id").filter(F.contains("doc", "item")).select("item_id")
+    for n in sorted({r["n"] for r in short if r["n"] <= 2}):  # no word between its ends: the parts, of its length, of the distinct windows
+        texts = docs.filter(F.size("w") >= n).select(windows(n, lambda x: x).alias("t")).distinct()
+        for length in sorted({r["length"] for r in short if r["n"] == n}):
+            parts = texts.filter(F.length("t") >= length).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - length + 1), lambda i: F.col("t").substr(i, F.lit(length)))).alias("item")).distinct()
+            found = found.unionByName(items.filter(F.size("w") == n).join(parts, "item").select("item_id"))
+    return found.distinct()
 
 
 def two_run_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:

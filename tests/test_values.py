@@ -57,3 +57,16 @@ def test_kernels(spark):
     band = lambda a, b: one(spark, G.tolerance_band(F.lit(a), F.lit(b)))
     assert [band(87.3, 87.3), band(87.8, 86.1), band(81.5, 78.0), band(83.1, 83.4)] == ["none", "medium", "high", "none"]
     assert math.isclose(one(spark, F.bround(F.lit(2.5))), 2.0)
+
+
+def test_grounding_of_short_items(spark, tmp_path):
+    """Items of any number of words, whose ends may be parts of words, against brute force."""
+    docs = ["the bobcat satin a hat", "one two three four five six seven eight nine", " x  y\nz ", None, "last"]
+    items = ["cat sat", "bobcat  satin a", "three four five", "four five six seven eight", "y z", "ast", "dog", "two four", "wo three four fiv", "one two three four five six seven eigh", "seven nine ten", "as", None, "last last"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    from evidentia.queries import kernels
+
+    flat = lambda x: " ".join(x.split())
+    want = [i for i, t in enumerate(items) if t is not None and any(flat(t) in flat(d) for d in docs if d is not None)]
+    assert sorted(r["item_id"] for r in kernels.grounding_semi_join(spark, str(tmp_path)).collect()) == want
