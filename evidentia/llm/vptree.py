@@ -19,6 +19,8 @@ query's are no candidates for it. Columns beside vec_id and embedding are ignore
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,8 @@ from .session import bounded_batches, table
 FACTOR, K = 1.0, 5
 #: Points of a leaf, points of a shard, and queries of a block.
 LEAF, SHARD, BLOCK = 192, 16_384, 2_048
+#: Queries of a block whose points at the edge are held at once.
+PART = 128
 #: Chords this near in the scaled vectors may be in another order in the originals.
 SLACK = 1e-7
 
@@ -89,6 +93,27 @@ class VantageTree:
             todo.append((inside, who[near_in], bound[near_in]))
         return rows, best
 
+    def within(self, queries: np.ndarray, radius: np.ndarray, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Places of queries and rows of all points at most the query's radius away."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        todo: list[tuple[object, np.ndarray, np.ndarray]] = [(self.root[0], np.arange(len(queries)), np.zeros(len(queries)))] if len(self.points) else []
+        while todo:
+            node, who, bound = todo.pop()
+            still = bound * factor <= radius[who] + SLACK
+            who, bound = who[still], bound[still]
+            if not len(who):
+                continue
+            if isinstance(node, np.ndarray):
+                at, place = np.nonzero(self._chord(queries[who] @ self.points[node].T) <= radius[who, None])
+                found.append((who[at], node[place]))
+                continue
+            vantage, (low, high), inside, outside = node
+            far = self._chord(queries[who] @ vantage)
+            todo.append((outside, who, np.maximum(bound, high - far)))
+            todo.append((inside, who, np.maximum(bound, far - low)))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *(x for x, _ in found)]), np.concatenate([none, *(x for _, x in found)])
+
 
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows that take part, as (vec_id, v) with double components."""
@@ -137,14 +162,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
                 if size not in found:
                     continue
                 original, unit, tree, ids = found[size]
+                least = np.array([min(x) for x in ids], np.int64)
                 q = np.stack([np.asarray(r["v"], np.float64) for r in rows])
-                # one more than k, as the query's own point is among them; those at the edge within rounding come too
-                got, far = tree.search(_unit(q), k + 1, factor)
-                where, place = np.nonzero(got >= 0)
-                score = _cosine(q[where], original[got[where, place]])
-                for w, p, s in zip(where.tolist(), got[where, place].tolist(), score.tolist(), strict=True):
-                    own = int(rows[w]["vec_id"])
-                    out += [(own, int(i), s) for i in ids[p] if i != own]
+                # one more than k, as the query's own point is among them; all points at the edge within rounding come
+                # too (one direction with many norms), and the best k by exact cosine and id go out
+                unit_q = _unit(q)
+                _, far = tree.search(unit_q, k + 1, factor)
+                for first in range(0, len(q), PART):
+                    part = slice(first, first + PART)
+                    where, point = tree.within(unit_q[part], far[part, k] + SLACK, factor)
+                    score = _cosine(q[part][where], original[point])
+                    order = np.lexsort((least[point], -score, where))
+                    where, point, score = where[order] + first, point[order], score[order]
+                    start = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else where
+                    for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(where)]):
+                        own = int(rows[where[lo]]["vec_id"])
+                        # a point's ids beyond its least may come after those of the next of the same cosine
+                        last = min(lo + k, hi - 1)
+                        end = lo + int(np.searchsorted(-score[lo:hi], -score[last], side="right")) if last < hi - 1 else hi
+                        near = heapq.nsmallest(k, ((-s, int(i)) for p, s in zip(point[lo:end].tolist(), score[lo:end].tolist()) for i in ids[p] if i != own))
+                        out += [(own, i, -s) for s, i in near]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     near = dealt.groupBy("shard").cogroup(routed.groupBy("shard")).applyInPandas(search, "query_id bigint, vec_id bigint, score double")

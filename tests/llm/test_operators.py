@@ -380,3 +380,16 @@ def test_vantage_trees(spark):
     exact = tree.search(unit[:50], 5)[0]
     loose = tree.search(unit[:50], 5, 1.5)[0]
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(exact, loose)]) > 0.6
+
+
+def test_vantage_trees_scaled_copies(spark):
+    """Many vectors of one direction: the smallest ids are the nearest, wherever they lie in the tree."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-50, 50, size=(400, 8)).astype(np.float64)
+    order = rng.permutation(40)
+    rows = [(i, (x[0] * 2.0 ** int(order[i])).tolist()) for i in range(40)] + [(i, x[i].tolist()) for i in range(40, 400)]
+    data = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in vptree.nearest(data, data.filter("vec_id in (20, 39)"), shard=1000).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got == {20: [0, 1, 2, 3, 4], 39: [0, 1, 2, 3, 4]}
