@@ -1,19 +1,24 @@
-"""Operator 9: language-model scores by an interpolated modified Kneser-Ney model of order two.
+"""Operator 9: language-model scores by an interpolated modified Kneser-Ney model of order three.
 
-The model is counted in Spark over all training texts. A first scan sums bigrams in the worker, and sends
-them as sorted, packed runs to the shard of their key range, which merges them into sorted hash arrays in
-the shared folder. A second scan looks up each bigram's total c there and gathers for each word its count,
-the number of distinct words before it (each of c occurrences adds 1/c) and the numbers of distinct words
-after it that follow once, twice and more often; these are merged by shards in the same way. Scoring is a
-third scan that maps both tables into memory. Nothing is cut off: every bigram and word is in the model,
-and what goes over the network grows with the distinct bigrams of the tasks' texts.
+The model is counted in Spark over all training texts, in three scans. Each scan sums in the worker what it
+counts, sends it as sorted, packed runs to the shard of its key range, and a task for each shard merges the runs
+into a sorted hash array in the shared folder:
 
-Words are known by 64-bit hashes, bigrams by ``BITS`` bits; two bigrams of one key would share a count.
+1. trigrams with their counts;
+2. bigrams: how often each occurs, the number of distinct words before it (each of the c occurrences of a
+   trigram adds 1/c; a bigram that begins a text counts by its occurrences), and the numbers of distinct words
+   that follow it once, twice and more often;
+3. words in the same way, by the counts of bigrams, with the number of distinct words before each.
 
-    p(v | u) = (max(c(u,v) - D(c(u,v)), 0) + (D1 N1(u) + D2 N2(u) + D3 N3(u)) q(v)) / c(u)
+Scoring is a fourth scan that maps the arrays into memory. Nothing is cut off: every trigram, bigram and word is
+in the model. Shards are as many as the text asks for, each of at most ``SHARD_BYTES`` of text, and a task merges
+one of them. Keys are hashes: a lookup takes one n-gram for another with a chance of about 4 in a million, at
+every size of the corpus.
 
-with q the same form over numbers of distinct predecessors, and at its end an equal share for each of V
-words and one unknown word. A word that was never a context hands its whole weight to q.
+    p(w | u v) = (max(c(uvw) - D(c(uvw)), 0) + (D1 N1(uv) + D2 N2(uv) + D3 N3(uv)) p(w | v)) / c(uv)
+
+with p(w | v) the same form over numbers of distinct predecessors, p(w) likewise, and at its end an equal share
+for each of V words and one unknown word. A context that was never seen hands its whole weight down.
 
 Defined cases: a null or empty text is one end token; without training texts every probability is that of
 the equal share; a row with a null id is scored and learned from. Columns beside doc_id and text are ignored.
@@ -30,21 +35,22 @@ from pyspark.sql import functions as F
 
 from .kernels import mix64, text_slices, words
 from .session import bounded_batches, shared_folder, table
-from .shared_arrays import ShardedTable, pack, save, shard_of, sum_by_key, unpack
+from .shared_arrays import BELOW, HashTable, pack, save, shard_bits, shard_file, sum_by_key, unpack
 
-BITS = 52
-#: Tokens a worker sums before it sends a run; bytes of text to a shard of bigrams; the most shards.
-RUN, SHARD_BYTES, SHARDS = 2_000_000, 24 << 20, 4096
+#: Tokens a worker sums before it sends a run; bytes of text to a shard of trigrams and bigrams, and of words; bytes of text that are scored together.
+RUN, SHARD_BYTES, WORD_BYTES, SCORED = 1_200_000, 24 << 20, 96 << 20, 2 << 20
 START, END = np.uint64(0x5353535353535353), np.uint64(0x4545454545454545)
-_WORD = {"count": "int64", "before": "int64", "once": "int64", "twice": "int64", "often": "int64"}
+#: Columns of the tables, in this order.
+BIGRAM = ("count", "before", "once", "twice", "often")
+WORD = ("count", "before", "total", "once", "twice", "often")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
 
 
-def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every token of a run of texts with the token before it and its row; each text ends with END and begins after START."""
+def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every token of a run of texts with the token before it, its row, and whether it is the first of its text."""
     word, row = words(raw, offsets, True)
     n = len(offsets) - 1
     ends = np.cumsum(np.bincount(row, minlength=n) + 1) - 1
@@ -52,38 +58,57 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inner = np.ones(len(out), bool)
     inner[ends] = False
     out[inner] = word
+    first = np.zeros(len(out), bool)
+    first[np.concatenate(([0], ends[:-1] + 1))] = True
     before = np.concatenate(([START], out[:-1]))
-    before[np.concatenate(([0], ends[:-1] + 1))] = START
-    return out, before, np.repeat(np.arange(n), np.diff(np.concatenate(([-1], ends))))
+    before[first] = START
+    return out, before, np.repeat(np.arange(n), np.diff(np.concatenate(([-1], ends)))), first
 
 
 def bigram_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64(mix64(before) + word) >> np.uint64(64 - BITS)
+    return mix64(mix64(before) + word)
+
+
+#: The context of a text's first token.
+BEGIN = bigram_key(np.array([START]), np.array([START]))[0]
+
 
+def contexts(pair: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The bigram before each token, from the bigrams that end with each token."""
+    out = np.concatenate(([BEGIN], pair[:-1]))
+    out[first] = BEGIN
+    return out
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tokens and their predecessors, at least ``RUN`` at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+def trigram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(mix64(context ^ np.uint64(0x3C3C3C3C3C3C3C3C)) + word)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens, their predecessors and whether they are the first of a text, at least ``RUN`` at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
     n = 0
+    join = lambda: tuple(np.concatenate(x) for x in zip(*held, strict=True))
     for batch in batches:
         for _, _, raw, offsets in text_slices(batch.column(0)):
-            word, before, _ = tokens(raw, offsets)
-            held.append((word, before))
+            word, before, _, first = tokens(raw, offsets)
+            held.append((word, before, first))
             n += len(word)
             if n >= RUN:
-                yield np.concatenate([w for w, _ in held]), np.concatenate([b for _, b in held])
+                yield join()
                 held, n = [], 0
     if held:
-        yield np.concatenate([w for w, _ in held]), np.concatenate([b for _, b in held])
+        yield join()
 
 
-def _send(keys: np.ndarray, values: list[np.ndarray], shards: int, bits: int) -> pa.RecordBatch:
+def _send(keys: np.ndarray, values: list[np.ndarray], bits: int) -> pa.RecordBatch:
     """One packed row for each shard of sorted keys."""
-    cuts = np.searchsorted(shard_of(keys, shards, bits), np.arange(shards + 1))
-    full = [k for k in range(shards) if cuts[k + 1] > cuts[k]]
-    columns = [pa.array(full, pa.int32()), pa.array([pack(keys[cuts[k] : cuts[k + 1]], True) for k in full], pa.binary())]
-    packed = [[pack(v[cuts[k] : cuts[k + 1]]) for v in values] for k in full]
-    columns.append(pa.array(packed, pa.list_(pa.binary())))
+    shards = np.arange((1 << bits) + 1) if len(keys) >> 4 > 1 << bits else np.unique(keys >> np.uint64(BELOW)).astype(np.int64)
+    low = np.searchsorted(keys, shards.astype(np.uint64) << np.uint64(BELOW))
+    high = np.searchsorted(keys, (shards.astype(np.uint64) + np.uint64(1)) << np.uint64(BELOW))
+    full = [(int(s), a, b) for s, a, b in zip(shards, low, high, strict=True) if b > a]
+    columns = [pa.array([s for s, _, _ in full], pa.int32()), pa.array([pack(keys[a:b], True) for _, a, b in full], pa.binary())]
+    columns.append(pa.array([[pack(v[a:b]) for v in values] for _, a, b in full], pa.list_(pa.binary())))
     return pa.RecordBatch.from_arrays(columns, ["shard", "keys", "vals"])
 
 
@@ -92,7 +117,7 @@ _SENT = "shard int, keys binary, vals array<binary>"
 
 def _merged(batches: Iterator[pa.RecordBatch], dtypes: list[str]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
     """Merge the runs of each shard of a partition that is sorted by shard."""
-    shard, held = -1, []
+    shard, held, size, merged = -1, [], 0, 0
 
     def close():
         keys = np.concatenate([h[0] for h in held])
@@ -102,25 +127,33 @@ def _merged(batches: Iterator[pa.RecordBatch], dtypes: list[str]) -> Iterator[tu
         for k, keys, values in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             if k != shard and held:
                 yield close()
-                held = []
+                held, size, merged = [], 0, 0
             shard = k
             held.append((unpack(keys.as_py(), np.uint64, True), *[unpack(v.as_py(), t) for v, t in zip(values, dtypes, strict=True)]))
-            if len(held) >= 64:  # runs are merged as they come, so that a shard holds its distinct keys and little more
+            size += len(held[-1][0])
+            if size >= merged + max(1 << 20, merged):  # runs are merged as they come, so that a shard holds its distinct keys and little more
                 held = [close()[1]]
+                size = merged = len(held[0][0])
     if held:
         yield close()
 
 
-def _count_of_counts(counts: np.ndarray) -> list[int]:
-    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+def _classes(counts: np.ndarray) -> list[int]:
+    """How many items are seen one to four times, and three times or more."""
+    return [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts >= 3).sum())]
 
 
 def discounts(n: list[int]) -> list[float]:
-    """D1, D2 and D3+ of the modified method from the numbers of items seen one to four times; a half where these say nothing."""
-    if min(n) <= 0:
+    """D1, D2 and D3+ of the modified method from the numbers of items seen one to four times; a half where these say
+    nothing, and a tenth at least, so that each context leaves some weight to what it was not seen with."""
+    if min(n[:4]) <= 0:
         return [0.5, 0.5, 0.5]
     y = n[0] / (n[0] + 2 * n[1])
-    return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) for k in (1, 2, 3)]
+    return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), float(k)) for k in (1, 2, 3)]
+
+
+_SHARD = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("classes", pa.list_(pa.int64())), ("total", pa.int64()), ("types", pa.int64())])
+_SAID = "shard int, n bigint, classes array<bigint>, total bigint, types bigint"
 
 
 def fit(texts: DataFrame, name: str = "lm") -> dict:
@@ -129,64 +162,84 @@ def fit(texts: DataFrame, name: str = "lm") -> dict:
     bounded_batches(spark)
     folder = shared_folder(spark, name)
     size = texts.select(F.octet_length(texts.columns[0]).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
-    shards = min(SHARDS, max(12, -(-size // SHARD_BYTES)))
-    few = max(12, shards // 6)
-
-    def send_bigrams(batches):
-        for word, before in _runs(batches):
-            keys = np.sort(bigram_key(before, word))
+    bits, few = shard_bits(size, SHARD_BYTES), shard_bits(size, WORD_BYTES)
+    short = lambda keys, b=bits: keys >> np.uint64(64 - BELOW - b)
+
+    def counted(label: str, bits: int, send, dtypes: list[str], finish) -> dict:
+        """Send runs, merge them by shard and save each shard; the shard's number is its task's."""
+
+        def merge(batches):
+            for shard, (keys, *sums) in _merged(batches, dtypes):
+                columns, classed = finish([np.rint(s).astype(np.int64) for s in sums])
+                save(folder, f"{label}-{shard:07d}", shard_file(keys, columns))
+                seen = columns[0]
+                yield pa.RecordBatch.from_pylist([{"shard": shard, "n": int((seen > 0).sum()), "classes": _classes(classed), "total": int(seen.sum()), "types": int(classed.sum())}], schema=_SHARD)
+
+        runs = texts.mapInArrow(send, _SENT).repartitionById(1 << bits, "shard").sortWithinPartitions("shard")
+        rows = runs.mapInArrow(merge, _SAID).collect()  # one row a shard
+        classes = [sum(r["classes"][k] for r in rows) for k in range(5)]
+        add = lambda c: sum(r[c] for r in rows)
+        return {"label": label, "bits": bits, "shards": [r["shard"] for r in rows], "n": add("n"), "total": add("total"), "types": add("types"), "classes": classes}
+
+    def send_trigrams(batches):
+        for word, before, first in _runs(batches):
+            keys = np.sort(short(trigram_key(contexts(bigram_key(before, word), first), word)))
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            yield _send(keys[starts], [np.diff(starts, append=len(keys)).astype(np.uint32)], shards, BITS)
+            yield _send(keys[starts], [np.diff(starts, append=len(keys)).astype(np.uint32)], bits)
 
-    def merge_bigrams(batches):
-        for shard, (keys, counts) in _merged(batches, ["uint32"]):
-            save(folder, f"bigram-{shard:05d}.key", keys)
-            save(folder, f"bigram-{shard:05d}.count", counts.astype(np.uint32))
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "n": len(keys), "c": _count_of_counts(counts), "total": 0}], schema=described)
+    trigrams = counted("trigram", bits, send_trigrams, ["uint32"], lambda sums: (sums, sums[0]))
 
-    described = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("c", pa.list_(pa.int64())), ("total", pa.int64())])
-    said = "shard int, n bigint, c array<bigint>, total bigint"
-    runs = texts.mapInArrow(send_bigrams, _SENT).repartition(shards, "shard").sortWithinPartitions("shard")
-    pairs = runs.mapInArrow(merge_bigrams, said).collect()  # one row a shard, SHARDS at most
-    bigrams = {"shards": [r["shard"] for r in pairs], "total": shards}
-    opened = lambda: ShardedTable(folder, "bigram", bigrams["shards"], shards, BITS, {"count": "uint32"})
+    def send_bigrams(batches):
+        known = HashTable(folder, "trigram", bits, trigrams["shards"], 1)
+        for word, before, first in _runs(batches):
+            pair = bigram_key(before, word)
+            context = contexts(pair, first)
+            keys, at, local = np.unique(short(trigram_key(context, word)), return_index=True, return_counts=True)
+            count = known.find(keys)[0]
+            share = local / np.maximum(count, 1)
+            # what a bigram that is the end of trigrams gets: occurrences, and predecessors less occurrences; both are equal
+            # in trigrams that occur once, so that the second is mostly zero and packs to nothing
+            more = np.where(first[at] | (before[at] == START), 0, share - local)
+            many = np.flatnonzero(count >= 2)  # of these contexts: followers seen twice, more often, and all their occurrences
+            none, few_ = np.zeros(len(keys)), np.zeros(len(many))
+            begun = int(first.sum())
+            ends = np.concatenate((short(pair[at]), short(context[at[many]]), short(np.array([BEGIN]))))
+            columns = [
+                np.concatenate((local, few_, [begun])),
+                np.concatenate((more, few_, [0])),
+                np.concatenate((none, np.where(count[many] == 2, share[many], 0), [0])),
+                np.concatenate((none, np.where(count[many] >= 3, share[many], 0), [0])),
+                np.concatenate((none, local[many], [0])),
+            ]
+            sent, occurs, *rest = sum_by_key(ends, *columns)
+            yield _send(sent, [occurs.astype(np.uint32), *rest], bits)
+
+    def finish_bigrams(sums):
+        count, more, twice, often, repeated = sums
+        return [count, count + more, np.maximum(count - repeated, 0), twice, often], count + more
+
+    bigrams = counted("bigram", bits, send_bigrams, ["uint32", *["float64"] * 4], finish_bigrams)
 
     def send_words(batches):
-        known = opened()
-        for word, before in _runs(batches):
-            keys, inverse, local = np.unique(bigram_key(before, word), return_inverse=True, return_counts=True)
-            count = known.find(keys)["count"].astype(np.float64)
-            first = np.zeros(len(keys), np.int64)
-            first[inverse] = np.arange(len(word))
-            share, u, v = local / count, before[first], word[first]
-            both = np.concatenate((v, u))
+        known = HashTable(folder, "bigram", bits, bigrams["shards"], len(BIGRAM))
+        for word, before, _ in _runs(batches):
+            keys, at, local = np.unique(short(bigram_key(before, word)), return_index=True, return_counts=True)
+            count, types = known.find(keys, (0, 1))
+            share = local / np.maximum(count, 1)
             none = np.zeros(len(keys))
-            columns = [np.concatenate((local, none)), np.concatenate((share, none))]
-            columns += [np.concatenate((none, np.where(at, share, 0))) for at in (count == 1, count == 2, count >= 3)]
-            keys, *sums = sum_by_key(both, *columns)
-            yield _send(keys, sums, few, 64)
-
-    def merge_words(batches):
-        for shard, (keys, *sums) in _merged(batches, ["float64"] * 5):
-            whole = [np.rint(s).astype(np.int64) for s in sums]
-            save(folder, f"word-{shard:05d}.key", keys)
-            for c, column in zip(_WORD, whole, strict=True):
-                save(folder, f"word-{shard:05d}.{c}", column)
-            seen = whole[0] > 0
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "n": int(seen.sum()), "c": [*_count_of_counts(whole[1]), int(whole[1].sum())], "total": int(whole[0].sum())}], schema=described)
-
-    runs = texts.mapInArrow(send_words, _SENT).repartition(few, "shard").sortWithinPartitions("shard")
-    vocabulary = runs.mapInArrow(merge_words, said).collect()  # one row a shard
-    add = lambda rows, k: sum(r["c"][k] for r in rows)
+            both = np.concatenate((word[at], before[at]))
+            columns = [np.concatenate((local, none)), np.concatenate((share, none)), np.concatenate((none, share * types))]
+            columns += [np.concatenate((none, np.where(x, share, 0))) for x in (types == 1, types == 2, types >= 3)]
+            sent, *sums = sum_by_key(short(both, few), *columns)
+            yield _send(sent, sums, few)
+
+    vocabulary = counted("word", few, send_words, ["float64"] * len(WORD), lambda sums: (sums, sums[1]))
     return {
         "folder": folder,
-        "bigrams": bigrams,
-        "words": {"shards": [r["shard"] for r in vocabulary], "total": few},
-        "tokens": sum(r["total"] for r in vocabulary),
-        "distinct": sum(r["n"] for r in vocabulary),
-        "types": add(vocabulary, 4),
-        "discounts": discounts([add(pairs, k) for k in range(4)]),
-        "lower_discounts": discounts([add(vocabulary, k) for k in range(4)]),
+        "tables": [trigrams, bigrams, vocabulary],
+        "tokens": vocabulary["total"],
+        "distinct": vocabulary["n"],
+        "discounts": [discounts(t["classes"]) for t in (trigrams, bigrams, vocabulary)],
     }
 
 
@@ -195,53 +248,52 @@ class KneserNey:
 
     def __init__(self, model: dict) -> None:
         self.model = model
-        self.bigrams = ShardedTable(model["folder"], "bigram", model["bigrams"]["shards"], model["bigrams"]["total"], BITS, {"count": "uint32"})
-        self.words = ShardedTable(model["folder"], "word", model["words"]["shards"], model["words"]["total"], 64, _WORD)
-        # of the lower order: the weight that its discounts leave to the equal share
-        self.left = self._left()
-
-    def _left(self) -> float:
-        if not self.model["types"]:
-            return 1.0
-        d, total = self.model["lower_discounts"], 0.0
-        for k in self.words.shards:
-            before = self.words._shard(k)[1]["before"]
-            for low, high, by in ((1, 1, d[0]), (2, 2, d[1]), (3, None, d[2])):
-                total += by * int(((before >= low) & (before <= high)).sum() if high else (before >= low).sum())
-        return total / self.model["types"]
+        self.trigrams, self.bigrams, self.words = (HashTable(model["folder"], t["label"], t["bits"], t["shards"], n) for t, n in zip(model["tables"], (1, len(BIGRAM), len(WORD)), strict=True))
+        lowest = model["tables"][2]
+        self.types = lowest["types"]
+        # of the lowest order: the weight that its discounts leave to the equal share
+        once, twice, _, _, often = lowest["classes"]
+        d = model["discounts"][2]
+        self.left = (d[0] * once + d[1] * twice + d[2] * often) / self.types if self.types else 1.0
 
     @staticmethod
     def _discounted(count: np.ndarray, d: list[float]) -> np.ndarray:
         return np.maximum(count - np.array([0.0, *d])[np.minimum(count, 3)], 0)
 
+    @staticmethod
+    def _looked_up(found: HashTable, keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The columns of distinct keys, and the place of each key among these."""
+        keys, place = np.unique(keys >> np.uint64(64 - BELOW - found.bits), return_inverse=True)
+        return found.find(keys), place
+
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: tokens, known tokens, base score and model score."""
         m, n = self.model, len(offsets) - 1
-        word, before, row = tokens(raw, offsets)
-        keys, where = np.unique(np.concatenate((word, before)), return_inverse=True)
-        known = self.words.find(keys)
-        w, u = where[: len(word)], where[len(word) :]
-        count = known["count"][w]
-        base = np.log10((count + 0.1) / (m["tokens"] + 0.1 * (m["distinct"] + 1)))
-        q = (self._discounted(known["before"][w], m["lower_discounts"]) / max(m["types"], 1)) + self.left / (m["distinct"] + 1)
-        pairs, place = np.unique(bigram_key(before, word), return_inverse=True)
-        both = self.bigrams.find(pairs)["count"][place].astype(np.int64)
-        d = m["discounts"]
-        after = [known[c][u] for c in ("once", "twice", "often")]
-        total = self._context(known, keys)[u]
-        back = d[0] * after[0] + d[1] * after[1] + d[2] * after[2]
-        p = np.where(total > 0, (self._discounted(both, d) + back * q) / np.maximum(total, 1), q)
+        third, second, lowest = m["discounts"]
+        word, before, row, first = tokens(raw, offsets)
+        pair = bigram_key(before, word)
+        context = contexts(pair, first)
+        (count,), place = self._looked_up(self.trigrams, trigram_key(context, word))
+        triple = count[place]
+        found, place = self._looked_up(self.bigrams, np.append(pair, BEGIN))
+        of_context = np.concatenate(([place[-1]], place[:-2]))
+        of_context[first] = place[-1]
+        total, once, twice, often = (found[k][of_context] for k in (0, 2, 3, 4))
+        types = found[1][place[:-1]]
+        known, place = self._looked_up(self.words, np.concatenate((word, before)))
+        w, v = place[: len(word)], place[len(word) :]
+        seen = known[0][w]
+        base = np.log10((seen + 0.1) / (m["tokens"] + 0.1 * (m["distinct"] + 1)))
+        p = self._discounted(known[1][w], lowest) / max(self.types, 1) + self.left / (m["distinct"] + 1)
+        p = self._mixed(types, known[2][v], [known[k][v] for k in (3, 4, 5)], second, p)
+        p = self._mixed(triple, total, [once, twice, often], third, p)
         sums = lambda x: np.bincount(row, weights=x, minlength=n)
-        return np.bincount(row, minlength=n), np.bincount(row, weights=count > 0, minlength=n).astype(np.int64), sums(base), sums(np.log10(p))
+        return np.bincount(row, minlength=n), sums(seen > 0).astype(np.int64), sums(base), sums(np.log10(p))
 
-    def _context(self, known: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
-        """How often a word was a context: as often as it was seen; START once a text."""
-        total = known["count"].copy()
-        at = np.searchsorted(keys, START)
-        if at < len(keys) and keys[at] == START:
-            end = self.words.find(np.array([END]))["count"][0]
-            total[at] = end  # each training text has one start and one end
-        return total
+    def _mixed(self, count: np.ndarray, total: np.ndarray, followers: list[np.ndarray], d: list[float], lower: np.ndarray) -> np.ndarray:
+        """One order over the next lower one; a context that was not seen leaves all to that."""
+        back = d[0] * followers[0] + d[1] * followers[1] + d[2] * followers[2]
+        return np.where(total > 0, (self._discounted(count, d) + back * lower) / np.maximum(total, 1), lower)
 
 
 def score_documents(docs: DataFrame, model: dict) -> DataFrame:
@@ -251,7 +303,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,base_score:double,score:double>")
     def score(column: pa.Array) -> pa.Array:
         opened, parts = _opened(model), []
-        for _, _, raw, offsets in text_slices(column):
+        for _, _, raw, offsets in text_slices(column, SCORED):
             parts.append(opened.score(raw, offsets))
         joined = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(4)]
         types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]

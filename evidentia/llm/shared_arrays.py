@@ -11,6 +11,10 @@ import numpy as np
 import zstandard
 
 
+#: Shards that a worker has mapped at once.
+MOST_OPEN = 1024
+
+
 def pack(array: np.ndarray, rising: bool = False) -> bytes:
     """A numeric array as compressed byte planes; rising whole numbers as their differences."""
     if rising:
@@ -36,9 +40,13 @@ def sum_by_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[starts], *[np.add.reduceat(v[order], starts) for v in values]
 
 
-def shard_of(keys: np.ndarray, shards: int, bits: int = 64) -> np.ndarray:
-    """Shards are equal ranges of hashed keys, so that joined shards are sorted too."""
-    return ((keys >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+#: Bits of a key below its shard: eight choose a bucket, the others are stored.
+BELOW = 40
+
+
+def shard_bits(size: int, shard_size: int) -> int:
+    """The power of two of shards that hold at most ``shard_size`` each, sixteen of them at least."""
+    return max(4, (-(-max(size, 1) // shard_size) - 1).bit_length())
 
 
 def _local(uri: str) -> str | None:
@@ -81,31 +89,98 @@ def mapped(uri: str, name: str, dtype) -> np.ndarray:
         return np.memmap(out.name, dtype=dtype, mode="r") if out.tell() else np.zeros(0, dtype)
 
 
-class ShardedTable:
-    """Sorted keys with columns, in shards by ranges of the key; looked up by sorted distinct keys."""
+def _bytes(n: int) -> int:
+    """Arrays of a file begin at multiples of eight bytes."""
+    return -(-n // 8) * 8
+
+
+def shard_file(keys: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """A shard as one array of bytes: sorted distinct keys by buckets, four bytes of each, and columns of one byte.
+
+    Larger values are kept apart by their place, so that no value is cut off.
+    """
+    low = keys & np.uint64((1 << BELOW) - 1)
+    offsets = np.searchsorted(low >> np.uint64(32), np.arange(257, dtype=np.uint64)).astype(np.uint32)
+    parts, head = [offsets, low.astype(np.uint32)], [len(keys)]
+    for column in columns:
+        large = np.flatnonzero(column >= 255)
+        head.append(len(large))
+        parts += [np.minimum(column, 255).astype(np.uint8), large.astype(np.uint32), column[large].astype(np.int64)]
+    parts.insert(0, np.array(head, np.int64))
+    out = np.zeros(sum(_bytes(p.nbytes) for p in parts), np.uint8)
+    at = 0
+    for p in parts:
+        out[at : at + p.nbytes] = np.ascontiguousarray(p).view(np.uint8)
+        at += _bytes(p.nbytes)
+    return out
+
+
+class HashedShard:
+    """A shard file that is mapped into memory."""
+
+    def __init__(self, data: np.ndarray, columns: int) -> None:
+        self.at, self.data = 0, data
+        n, *large = self._take(np.int64, 1 + columns).tolist() if len(data) else [0] * (1 + columns)
+        self.offsets, self.low = self._take(np.uint32, 257), self._take(np.uint32, n)
+        self.columns = [(self._take(np.uint8, n), self._take(np.uint32, m), self._take(np.int64, m)) for m in large]
+
+    def _take(self, dtype, n: int) -> np.ndarray:
+        size = n * np.dtype(dtype).itemsize
+        out = self.data[self.at : self.at + size].view(dtype)
+        self.at += _bytes(size)
+        return out
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys (without their shard), and whether they are there; all are searched for together."""
+        bucket, low = (keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32)
+        lo, end = self.offsets[bucket].astype(np.int64), self.offsets[bucket + 1].astype(np.int64)
+        hi = end.copy()
+        for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+            mid = (lo + hi) >> 1
+            less = (self.low[np.minimum(mid, len(self.low) - 1)] < low) & (lo < hi)
+            np.copyto(lo, mid + 1, where=less)
+            np.copyto(hi, mid, where=~less)
+        place = np.minimum(lo, max(len(self.low) - 1, 0))
+        return place, (lo < end) & (self.low[place] == low) if len(self.low) else np.zeros(len(keys), bool)
+
+    def values(self, column: int, place: np.ndarray) -> np.ndarray:
+        small, at, large = self.columns[column]
+        out = small[place].astype(np.int64)
+        full = np.flatnonzero(out == 255)
+        if len(full):
+            out[full] = large[np.searchsorted(at, place[full])]
+        return out
+
+
+class HashTable:
+    """Columns of whole numbers by hashed keys of ``bits`` + ``BELOW`` bits; the highest ones name the shard.
+
+    The stored part of a key is set against the keys of one bucket alone, so that the chance of taking one key
+    for another (some 16,000 in 2**32) is the same at every size of the table.
+    """
 
-    def __init__(self, uri: str, name: str, shards: list[int], total: int, bits: int, columns: dict[str, str]) -> None:
-        self.uri, self.name, self.shards, self.total, self.bits, self.columns = uri, name, set(shards), total, bits, columns
-        self._open: dict[int, tuple] = {}
+    def __init__(self, uri: str, name: str, bits: int, shards: list[int], columns: int) -> None:
+        self.uri, self.name, self.bits, self.shards, self.columns = uri, name, bits, set(shards), columns
+        self._open: dict[int, HashedShard] = {}
 
-    def _shard(self, k: int) -> tuple:
+    def _shard(self, k: int) -> HashedShard:
         if k not in self._open:
-            at = lambda c, t: mapped(self.uri, f"{self.name}-{k:05d}.{c}", t)
-            self._open[k] = (at("key", np.uint64), {c: at(c, t) for c, t in self.columns.items()})
+            if len(self._open) >= MOST_OPEN:
+                self._open.pop(next(iter(self._open)))
+            self._open[k] = HashedShard(mapped(self.uri, f"{self.name}-{k:07d}", np.uint8), self.columns)
         return self._open[k]
 
-    def find(self, keys: np.ndarray) -> dict[str, np.ndarray]:
-        """The columns of sorted keys; 0 where a key is not there."""
-        out = {c: np.zeros(len(keys), t) for c, t in self.columns.items()}
-        shard = shard_of(keys, self.total, self.bits)
+    def find(self, keys: np.ndarray, which: tuple[int, ...] | None = None) -> list[np.ndarray]:
+        """The columns (or some of them) of sorted keys; 0 where a key is not there."""
+        which = tuple(range(self.columns)) if which is None else which
+        out = [np.zeros(len(keys), np.int64) for _ in which]
+        shard = (keys >> np.uint64(BELOW)).astype(np.int64)
         cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(keys) else []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            k = int(shard[a])
-            if k not in self.shards:
+            if (k := int(shard[a])) not in self.shards:
                 continue
-            there, columns = self._shard(k)
-            at = np.minimum(np.searchsorted(there, keys[a:b]), len(there) - 1)
-            hit = there[at] == keys[a:b]
-            for c, values in columns.items():
-                out[c][a:b][hit] = values[at[hit]]
+            there = self._shard(k)
+            place, hit = there.find(keys[a:b] & np.uint64((1 << BELOW) - 1))
+            for values, column in zip(out, which, strict=True):
+                values[a:b] = np.where(hit, there.values(column, place), 0)
         return out

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evidentia.llm import bpe, html_text, jaccard_join, kneser_ney, license_scan, mixing, quality_net, quality_rules, token_counts, vptree
+from evidentia.llm import bpe, html_text, jaccard_join, kneser_ney, license_scan, mixing, quality_net, quality_rules, shared_arrays, token_counts, vptree
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -337,25 +337,46 @@ def test_kneser_ney(spark, odd, corpus):
 
     words = {i: [*WORD.findall(lower(t)), None] for i, t in rows}
     seen = [w for i, w in words.items() if zlib.crc32(str(i).encode()) % 10]
+    three = lambda w: list(zip([0, 0, *w[:-2]][: len(w)], [0, *w[:-1]], w))
     count = collections.Counter(x for w in seen for x in w)
-    pair = collections.Counter(p for w in seen for p in zip([0, *w[:-1]], w))
-    context, before, after = collections.Counter(), collections.Counter(), collections.defaultdict(lambda: [0, 0, 0, 0])
-    for (u, v), c in pair.items():
-        context[u] += c
-        before[v] += 1
-        after[u][min(c, 3)] += 1
-    d = [0, *kneser_ney.discounts([sum(c == k for c in pair.values()) for k in (1, 2, 3, 4)])]
-    e = [0, *kneser_ney.discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])]
-    types = sum(before.values())
-    left = sum(e[min(c, 3)] for c in before.values()) / types
-    q = lambda v: max(before[v] - e[min(before[v], 3)], 0) / types + left / (len(count) + 1)
-    p = lambda u, v: (max(pair[u, v] - d[min(pair[u, v], 3)], 0) + sum(d[k] * after[u][k] for k in (1, 2, 3)) * q(v)) / context[u] if context[u] else q(v)
-    assert sum(p(seen[0][0], v) for v in count) + p(seen[0][0], "unknown!") == pytest.approx(1)
+    triple = collections.Counter(t for w in seen for t in three(w))
+    pair = collections.Counter()  # distinct predecessors; occurrences at a text's start
+    for (_, v, w), c in triple.items():
+        pair[v, w] += c if v == 0 else 1
+    single = collections.Counter(w for _, w in pair)
+
+    def order(counts, lower):
+        """p of an order from its counts, as a function of a context and a word."""
+        d = [0, *kneser_ney.discounts([sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)])]
+        total, after = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0, 0])
+        for (*u, _), c in counts.items():
+            total[tuple(u)] += c
+            after[tuple(u)][min(c, 3)] += 1
+
+        def p(u, w):
+            c = counts[(*u, w)]
+            rest = sum(d[k] * after[u][k] for k in (1, 2, 3))
+            return (max(c - d[min(c, 3)], 0) + rest * lower(u[1:], w)) / total[u] if total[u] else lower(u[1:], w)
+
+        return p
+
+    e = [0, *kneser_ney.discounts([sum(c == k for c in single.values()) for k in (1, 2, 3, 4)])]
+    types = sum(single.values())
+    left = sum(e[min(c, 3)] for c in single.values()) / types
+    lowest = lambda _, w: max(single[w] - e[min(single[w], 3)], 0) / types + left / (len(count) + 1)
+    p = order(triple, order(pair, lowest))
+    for u in ((0, 0), (0, seen[0][0]), (seen[0][0], seen[0][1])):
+        assert sum(p(u, w) for w in count) + p(u, "unknown!") == pytest.approx(1)
     for r in kneser_ney.score_documents(docs, model).collect():
         w = words[r["doc_id"]]
-        assert r["score"] == pytest.approx(sum(math.log10(p(u, v)) for u, v in zip([0, *w[:-1]], w)), rel=1e-9)
+        assert r["score"] == pytest.approx(sum(math.log10(p(t[:2], t[2])) for t in three(w)), rel=1e-9)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(count[v] > 0 for v in w), sum(count.values()))
     assert kneser_ney.score_documents(odd, model).count() == len(ODD)
+    for values in (np.arange(2000), np.arange(2000) * 997 + 3):  # columns of one byte keep what is larger
+        keys = np.unique(np.random.default_rng(1).integers(0, 2**40, 2000, dtype=np.uint64))
+        shard = shared_arrays.HashedShard(shared_arrays.shard_file(keys, [values[: len(keys)]]), 1)
+        place, hit = shard.find(np.append(keys, np.uint64(77)))
+        assert hit[:-1].all() and not hit[-1] and (shard.values(0, place[:-1]) == values[: len(keys)]).all()
     empty = kneser_ney.fit(docs.limit(0).select("text"))
     assert {r["score"] for r in kneser_ney.score_documents(odd.filter("doc_id = 1"), empty).collect()} == {0.0}
 
