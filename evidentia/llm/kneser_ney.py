@@ -12,8 +12,8 @@ into a sorted hash array in the shared folder:
 
 Scoring is a fourth scan that maps the arrays into memory. Nothing is cut off: every trigram, bigram and word is
 in the model. Shards are as many as the text asks for, each of at most ``SHARD_BYTES`` of text, and a task merges
-one of them. Keys are hashes: a lookup takes one n-gram for another with a chance of about 4 in a million, at
-every size of the corpus.
+one of them. Words are known by 64-bit hashes. N-grams are known by so many bits that a lookup takes one for
+another with a chance of about 6 in 100,000, at every size of the corpus.
 
     p(w | u v) = (max(c(uvw) - D(c(uvw)), 0) + (D1 N1(uv) + D2 N2(uv) + D3 N3(uv)) p(w | v)) / c(uv)
 
@@ -35,10 +35,12 @@ from pyspark.sql import functions as F
 
 from .kernels import mix64, text_slices, words
 from .session import bounded_batches, shared_folder, table
-from .shared_arrays import BELOW, HashTable, pack, save, shard_bits, shard_file, sum_by_key, unpack
+from .shared_arrays import HashTable, pack, save, shard_bits, shard_file, sum_by_key, unpack
 
 #: Tokens a worker sums before it sends a run; bytes of text to a shard of trigrams and bigrams, and of words; bytes of text that are scored together.
-RUN, SHARD_BYTES, WORD_BYTES, SCORED = 1_200_000, 24 << 20, 96 << 20, 2 << 20
+RUN, SHARD_BYTES, WORD_BYTES, SCORED = 1_400_000, 24 << 20, 96 << 20, 2 << 20
+#: Bits of an n-gram's key below its shard; words have all 64.
+BELOW = 36
 START, END = np.uint64(0x5353535353535353), np.uint64(0x4545454545454545)
 #: Columns of the tables, in this order.
 BIGRAM = ("count", "before", "once", "twice", "often")
@@ -101,12 +103,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
         yield join()
 
 
-def _send(keys: np.ndarray, values: list[np.ndarray], bits: int) -> pa.RecordBatch:
+def _send(keys: np.ndarray, values: list[np.ndarray], below: int) -> pa.RecordBatch:
     """One packed row for each shard of sorted keys."""
-    shards = np.arange((1 << bits) + 1) if len(keys) >> 4 > 1 << bits else np.unique(keys >> np.uint64(BELOW)).astype(np.int64)
-    low = np.searchsorted(keys, shards.astype(np.uint64) << np.uint64(BELOW))
-    high = np.searchsorted(keys, (shards.astype(np.uint64) + np.uint64(1)) << np.uint64(BELOW))
-    full = [(int(s), a, b) for s, a, b in zip(shards, low, high, strict=True) if b > a]
+    shard = (keys >> np.uint64(below)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate((shard[1:] != shard[:-1], [True]))) + 1 if len(keys) else []
+    full = [(int(shard[a]), a, b) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
     columns = [pa.array([s for s, _, _ in full], pa.int32()), pa.array([pack(keys[a:b], True) for _, a, b in full], pa.binary())]
     columns.append(pa.array([[pack(v[a:b]) for v in values] for _, a, b in full], pa.list_(pa.binary())))
     return pa.RecordBatch.from_arrays(columns, ["shard", "keys", "vals"])
@@ -129,7 +130,7 @@ def _merged(batches: Iterator[pa.RecordBatch], dtypes: list[str]) -> Iterator[tu
                 yield close()
                 held, size, merged = [], 0, 0
             shard = k
-            held.append((unpack(keys.as_py(), np.uint64, True), *[unpack(v.as_py(), t) for v, t in zip(values, dtypes, strict=True)]))
+            held.append((unpack(keys.as_py(), np.uint64, True), *[unpack(v.as_py(), t).astype(_SUMS[t], copy=False) for v, t in zip(values, dtypes, strict=True)]))
             size += len(held[-1][0])
             if size >= merged + max(1 << 20, merged):  # runs are merged as they come, so that a shard holds its distinct keys and little more
                 held = [close()[1]]
@@ -138,6 +139,11 @@ def _merged(batches: Iterator[pa.RecordBatch], dtypes: list[str]) -> Iterator[tu
         yield close()
 
 
+#: What sent numbers are summed as. Shares go in single precision: their sums are whole numbers to within rounding
+#: up to 2**24, and from there on good to seven digits.
+_SUMS = {"uint32": np.int64, "float32": np.float64}
+
+
 def _classes(counts: np.ndarray) -> list[int]:
     """How many items are seen one to four times, and three times or more."""
     return [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts >= 3).sum())]
@@ -163,15 +169,15 @@ def fit(texts: DataFrame, name: str = "lm") -> dict:
     folder = shared_folder(spark, name)
     size = texts.select(F.octet_length(texts.columns[0]).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
     bits, few = shard_bits(size, SHARD_BYTES), shard_bits(size, WORD_BYTES)
-    short = lambda keys, b=bits: keys >> np.uint64(64 - BELOW - b)
+    short = lambda keys: keys >> np.uint64(64 - BELOW - bits)
 
-    def counted(label: str, bits: int, send, dtypes: list[str], finish) -> dict:
+    def counted(label: str, bits: int, below: int, send, dtypes: list[str], finish) -> dict:
         """Send runs, merge them by shard and save each shard; the shard's number is its task's."""
 
         def merge(batches):
             for shard, (keys, *sums) in _merged(batches, dtypes):
                 columns, classed = finish([np.rint(s).astype(np.int64) for s in sums])
-                save(folder, f"{label}-{shard:07d}", shard_file(keys, columns))
+                save(folder, f"{label}-{shard:07d}", shard_file(keys, columns, below))
                 seen = columns[0]
                 yield pa.RecordBatch.from_pylist([{"shard": shard, "n": int((seen > 0).sum()), "classes": _classes(classed), "total": int(seen.sum()), "types": int(classed.sum())}], schema=_SHARD)
 
@@ -179,18 +185,18 @@ def fit(texts: DataFrame, name: str = "lm") -> dict:
         rows = runs.mapInArrow(merge, _SAID).collect()  # one row a shard
         classes = [sum(r["classes"][k] for r in rows) for k in range(5)]
         add = lambda c: sum(r[c] for r in rows)
-        return {"label": label, "bits": bits, "shards": [r["shard"] for r in rows], "n": add("n"), "total": add("total"), "types": add("types"), "classes": classes}
+        return {"label": label, "bits": bits, "below": below, "shards": [r["shard"] for r in rows], "n": add("n"), "total": add("total"), "types": add("types"), "classes": classes}
 
     def send_trigrams(batches):
         for word, before, first in _runs(batches):
             keys = np.sort(short(trigram_key(contexts(bigram_key(before, word), first), word)))
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            yield _send(keys[starts], [np.diff(starts, append=len(keys)).astype(np.uint32)], bits)
+            yield _send(keys[starts], [np.diff(starts, append=len(keys)).astype(np.uint32)], BELOW)
 
-    trigrams = counted("trigram", bits, send_trigrams, ["uint32"], lambda sums: (sums, sums[0]))
+    trigrams = counted("trigram", bits, BELOW, send_trigrams, ["uint32"], lambda sums: (sums, sums[0]))
 
     def send_bigrams(batches):
-        known = HashTable(folder, "trigram", bits, trigrams["shards"], 1)
+        known = HashTable(folder, "trigram", bits, BELOW, trigrams["shards"], 1)
         for word, before, first in _runs(batches):
             pair = bigram_key(before, word)
             context = contexts(pair, first)
@@ -212,16 +218,16 @@ def fit(texts: DataFrame, name: str = "lm") -> dict:
                 np.concatenate((none, local[many], [0])),
             ]
             sent, occurs, *rest = sum_by_key(ends, *columns)
-            yield _send(sent, [occurs.astype(np.uint32), *rest], bits)
+            yield _send(sent, [occurs.astype(np.uint32), *[x.astype(np.float32) for x in rest]], BELOW)
 
     def finish_bigrams(sums):
         count, more, twice, often, repeated = sums
         return [count, count + more, np.maximum(count - repeated, 0), twice, often], count + more
 
-    bigrams = counted("bigram", bits, send_bigrams, ["uint32", *["float64"] * 4], finish_bigrams)
+    bigrams = counted("bigram", bits, BELOW, send_bigrams, ["uint32", *["float32"] * 4], finish_bigrams)
 
     def send_words(batches):
-        known = HashTable(folder, "bigram", bits, bigrams["shards"], len(BIGRAM))
+        known = HashTable(folder, "bigram", bits, BELOW, bigrams["shards"], len(BIGRAM))
         for word, before, _ in _runs(batches):
             keys, at, local = np.unique(short(bigram_key(before, word)), return_index=True, return_counts=True)
             count, types = known.find(keys, (0, 1))
@@ -230,10 +236,10 @@ def fit(texts: DataFrame, name: str = "lm") -> dict:
             both = np.concatenate((word[at], before[at]))
             columns = [np.concatenate((local, none)), np.concatenate((share, none)), np.concatenate((none, share * types))]
             columns += [np.concatenate((none, np.where(x, share, 0))) for x in (types == 1, types == 2, types >= 3)]
-            sent, *sums = sum_by_key(short(both, few), *columns)
-            yield _send(sent, sums, few)
+            sent, *sums = sum_by_key(both, *columns)
+            yield _send(sent, [sums[0].astype(np.uint32), *[x.astype(np.float32) for x in sums[1:]]], 64 - few)
 
-    vocabulary = counted("word", few, send_words, ["float64"] * len(WORD), lambda sums: (sums, sums[1]))
+    vocabulary = counted("word", few, 64 - few, send_words, ["uint32", *["float32"] * (len(WORD) - 1)], lambda sums: (sums, sums[1]))
     return {
         "folder": folder,
         "tables": [trigrams, bigrams, vocabulary],
@@ -248,7 +254,7 @@ class KneserNey:
 
     def __init__(self, model: dict) -> None:
         self.model = model
-        self.trigrams, self.bigrams, self.words = (HashTable(model["folder"], t["label"], t["bits"], t["shards"], n) for t, n in zip(model["tables"], (1, len(BIGRAM), len(WORD)), strict=True))
+        self.trigrams, self.bigrams, self.words = (HashTable(model["folder"], t["label"], t["bits"], t["below"], t["shards"], n) for t, n in zip(model["tables"], (1, len(BIGRAM), len(WORD)), strict=True))
         lowest = model["tables"][2]
         self.types = lowest["types"]
         # of the lowest order: the weight that its discounts leave to the equal share
@@ -263,7 +269,7 @@ class KneserNey:
     @staticmethod
     def _looked_up(found: HashTable, keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """The columns of distinct keys, and the place of each key among these."""
-        keys, place = np.unique(keys >> np.uint64(64 - BELOW - found.bits), return_inverse=True)
+        keys, place = np.unique(keys >> np.uint64(64 - found.below - found.bits), return_inverse=True)
         return found.find(keys), place
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -40,8 +40,8 @@ def sum_by_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[starts], *[np.add.reduceat(v[order], starts) for v in values]
 
 
-#: Bits of a key below its shard: eight choose a bucket, the others are stored.
-BELOW = 40
+#: Bits of a key below its shard, at most, that choose a bucket and that are stored in four bytes; others go into a column of their own.
+FOUND = 40
 
 
 def shard_bits(size: int, shard_size: int) -> int:
@@ -94,14 +94,23 @@ def _bytes(n: int) -> int:
     return -(-n // 8) * 8
 
 
-def shard_file(keys: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+def _split(keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of a key by which it is found, and the rest."""
+    inner = keys & np.uint64((1 << below) - 1)
+    rest = max(0, below - FOUND)
+    return inner >> np.uint64(rest), (inner & np.uint64((1 << rest) - 1)).astype(np.uint32)
+
+
+def shard_file(keys: np.ndarray, columns: list[np.ndarray], below: int) -> np.ndarray:
     """A shard as one array of bytes: sorted distinct keys by buckets, four bytes of each, and columns of one byte.
 
-    Larger values are kept apart by their place, so that no value is cut off.
+    Buckets are as many as make some 32 keys each, 256 at least. Larger values are kept apart by their place, so that
+    no value is cut off.
     """
-    low = keys & np.uint64((1 << BELOW) - 1)
-    offsets = np.searchsorted(low >> np.uint64(32), np.arange(257, dtype=np.uint64)).astype(np.uint32)
-    parts, head = [offsets, low.astype(np.uint32)], [len(keys)]
+    found, rest = _split(keys, below)
+    few = max(8, (len(keys) >> 5).bit_length())
+    offsets = np.searchsorted(found >> np.uint64(min(below, FOUND) - few), np.arange((1 << few) + 1, dtype=np.uint64)).astype(np.uint32)
+    parts, head = [offsets, found.astype(np.uint32), *([rest] if below > FOUND else [])], [few, len(keys)]
     for column in columns:
         large = np.flatnonzero(column >= 255)
         head.append(len(large))
@@ -118,10 +127,12 @@ def shard_file(keys: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
 class HashedShard:
     """A shard file that is mapped into memory."""
 
-    def __init__(self, data: np.ndarray, columns: int) -> None:
-        self.at, self.data = 0, data
-        n, *large = self._take(np.int64, 1 + columns).tolist() if len(data) else [0] * (1 + columns)
-        self.offsets, self.low = self._take(np.uint32, 257), self._take(np.uint32, n)
+    def __init__(self, data: np.ndarray, columns: int, below: int) -> None:
+        self.at, self.data, self.below = 0, data.view(np.ndarray), below
+        few, n, *large = self._take(np.int64, 2 + columns).tolist()
+        self.bucket = np.uint64(min(below, FOUND) - few)
+        self.offsets, self.low = self._take(np.uint32, (1 << few) + 1), self._take(np.uint32, n)
+        self.rest = self._take(np.uint32, n) if below > FOUND else None
         self.columns = [(self._take(np.uint8, n), self._take(np.uint32, m), self._take(np.int64, m)) for m in large]
 
     def _take(self, dtype, n: int) -> np.ndarray:
@@ -131,17 +142,26 @@ class HashedShard:
         return out
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of keys (without their shard), and whether they are there; all are searched for together."""
-        bucket, low = (keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32)
+        """Places of keys, and whether they are there; all are searched for together."""
+        found, rest = _split(keys, self.below)
+        bucket, low, last = (found >> self.bucket).astype(np.int64), found.astype(np.uint32), len(self.low) - 1
         lo, end = self.offsets[bucket].astype(np.int64), self.offsets[bucket + 1].astype(np.int64)
-        hi = end.copy()
+        if last < 0:
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        hi = end
         for _ in range(int((hi - lo).max(initial=0)).bit_length()):
             mid = (lo + hi) >> 1
-            less = (self.low[np.minimum(mid, len(self.low) - 1)] < low) & (lo < hi)
-            np.copyto(lo, mid + 1, where=less)
-            np.copyto(hi, mid, where=~less)
-        place = np.minimum(lo, max(len(self.low) - 1, 0))
-        return place, (lo < end) & (self.low[place] == low) if len(self.low) else np.zeros(len(keys), bool)
+            less = (self.low.take(mid, mode="clip") < low) & (lo < hi)
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+        place = np.minimum(lo, last)
+        hit = (lo < end) & (self.low[place] == low)
+        if self.rest is not None:
+            while len(other := np.flatnonzero(hit & (self.rest[place] < rest))):  # keys that are found in one place
+                place[other] += 1
+                hit[other] &= (place[other] < end[other]) & (self.low[np.minimum(place[other], last)] == low[other])
+                place = np.minimum(place, last)
+            hit &= self.rest[place] == rest
+        return place, hit
 
     def values(self, column: int, place: np.ndarray) -> np.ndarray:
         small, at, large = self.columns[column]
@@ -153,34 +173,34 @@ class HashedShard:
 
 
 class HashTable:
-    """Columns of whole numbers by hashed keys of ``bits`` + ``BELOW`` bits; the highest ones name the shard.
+    """Columns of whole numbers by hashed keys of ``bits`` + ``below`` bits; the highest ones name the shard.
 
-    The stored part of a key is set against the keys of one bucket alone, so that the chance of taking one key
-    for another (some 16,000 in 2**32) is the same at every size of the table.
+    A key is set against those of its shard alone, so that the chance of taking one key for another is the same at
+    every size of the table.
     """
 
-    def __init__(self, uri: str, name: str, bits: int, shards: list[int], columns: int) -> None:
-        self.uri, self.name, self.bits, self.shards, self.columns = uri, name, bits, set(shards), columns
+    def __init__(self, uri: str, name: str, bits: int, below: int, shards: list[int], columns: int) -> None:
+        self.uri, self.name, self.bits, self.below, self.shards, self.columns = uri, name, bits, below, set(shards), columns
         self._open: dict[int, HashedShard] = {}
 
     def _shard(self, k: int) -> HashedShard:
         if k not in self._open:
             if len(self._open) >= MOST_OPEN:
                 self._open.pop(next(iter(self._open)))
-            self._open[k] = HashedShard(mapped(self.uri, f"{self.name}-{k:07d}", np.uint8), self.columns)
+            self._open[k] = HashedShard(mapped(self.uri, f"{self.name}-{k:07d}", np.uint8), self.columns, self.below)
         return self._open[k]
 
     def find(self, keys: np.ndarray, which: tuple[int, ...] | None = None) -> list[np.ndarray]:
         """The columns (or some of them) of sorted keys; 0 where a key is not there."""
         which = tuple(range(self.columns)) if which is None else which
         out = [np.zeros(len(keys), np.int64) for _ in which]
-        shard = (keys >> np.uint64(BELOW)).astype(np.int64)
+        shard = (keys >> np.uint64(self.below)).astype(np.int64)
         cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(keys) else []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if (k := int(shard[a])) not in self.shards:
                 continue
             there = self._shard(k)
-            place, hit = there.find(keys[a:b] & np.uint64((1 << BELOW) - 1))
+            place, hit = there.find(keys[a:b])
             for values, column in zip(out, which, strict=True):
                 values[a:b] = np.where(hit, there.values(column, place), 0)
         return out

@@ -372,9 +372,10 @@ def test_kneser_ney(spark, odd, corpus):
         assert r["score"] == pytest.approx(sum(math.log10(p(t[:2], t[2])) for t in three(w)), rel=1e-9)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(count[v] > 0 for v in w), sum(count.values()))
     assert kneser_ney.score_documents(odd, model).count() == len(ODD)
-    for values in (np.arange(2000), np.arange(2000) * 997 + 3):  # columns of one byte keep what is larger
-        keys = np.unique(np.random.default_rng(1).integers(0, 2**40, 2000, dtype=np.uint64))
-        shard = shared_arrays.HashedShard(shared_arrays.shard_file(keys, [values[: len(keys)]]), 1)
+    for below, values in ((36, np.arange(2000)), (60, np.arange(2000) * 997 + 3)):  # columns of one byte keep what is larger
+        keys = np.unique(np.random.default_rng(1).integers(0, 2**below, 2000, dtype=np.uint64))
+        keys = np.unique(np.concatenate((keys[:1500], keys[:400] + np.uint64(1))))  # keys that are found in one place
+        shard = shared_arrays.HashedShard(shared_arrays.shard_file(keys, [values[: len(keys)]], below), 1, below)
         place, hit = shard.find(np.append(keys, np.uint64(77)))
         assert hit[:-1].all() and not hit[-1] and (shard.values(0, place[:-1]) == values[: len(keys)]).all()
     empty = kneser_ney.fit(docs.limit(0).select("text"))
