@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan
+from . import license_scan, vptree
 from .bpe import op1_bpe_round_trip
 from .html_text import op8_main_text
 from .jaccard_join import op6_jaccard_components
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_vantage_trees": op10_vantage_trees,
 }
 
-ORACLES: dict[str, str] = {"op7_license_digests": license_scan.oracle()}
+ORACLES: dict[str, str] = {"op7_license_digests": license_scan.oracle(), "op10_vantage_trees": vptree.ORACLE}

@@ -397,13 +397,30 @@ def test_vantage_trees(spark):
         c = unit @ unit[i]
         want = sorted((j for j in range(900) if j != i), key=lambda j: (-round(c[j], 12), j))[:5]
         assert [j for j, _ in got[i]] == want and np.allclose([s for _, s in got[i]], c[want])
+    few = vptree.nearest(data, data.filter("vec_id % 50 = 0"), shard=200, turn=4).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in few] == [(q, i, s) for q in sorted(got) for i, s in got[q]]
     assert vptree.nearest(data.limit(0), data.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (50, [0.0, 1.0])], "vec_id bigint, embedding array<double>").withColumn("score", F.lit(9)).withColumn("shard", F.lit("x"))
+    assert [(r["vec_id"], r["score"]) for r in vptree.nearest(twice, twice.filter("vec_id = 50")).orderBy("rank").collect()] == [(1, 1.0), (2, 1.0)]
     tree = vptree.VantageTree(unit, leaf=16)
     exact = tree.search(unit[:50], 5)[0]
     loose = tree.search(unit[:50], 5, 1.5)[0]
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(exact, loose)]) > 0.6
 
 
+@pytest.mark.parametrize("kind", ["signs", "one-hot", "scaled"])
+def test_vantage_trees_ties(spark, kind):
+    """Vectors with very many equal cosines: all rows are those of brute force."""
+    rng = np.random.default_rng(6)
+    x = {"signs": rng.choice([-1.0, 1.0], (400, 6)), "one-hot": np.eye(8)[rng.integers(0, 8, 400)], "scaled": np.eye(3)[rng.integers(0, 3, 400)] * rng.integers(1, 60, (400, 1))}[kind]
+    data = spark.createDataFrame([(i, x[i].tolist()) for i in range(400)], "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in vptree.nearest(data, data.filter("vec_id % 50 = 0"), shard=90).collect()}
+    for q in range(0, 400, 50):
+        c = vptree._cosine(np.repeat(x[q : q + 1], 400, 0), x)
+        want = sorted((i for i in range(400) if i != q), key=lambda i: (-c[i], i))[:5]
+        assert [got[q, k] for k in range(1, 6)] == want
+
+
 def test_vantage_trees_scaled_copies(spark):
     """Many vectors of one direction: the smallest ids are the nearest, wherever they lie in the tree."""
     rng = np.random.default_rng(4)
