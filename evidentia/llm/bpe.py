@@ -21,6 +21,7 @@ import hashlib
 import json
 import re
 from array import array
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -35,6 +36,9 @@ from .session import bounded_batches, table
 #: Entries a worker keeps of pre-tokens, and of compatible pairs, before it starts anew.
 WORD_CACHE, PAIR_CACHE = 400_000, 1_000_000
 
+#: Characters of a text, and tokens, that are worked through at once.
+LONG, PART = 1 << 20, 1 << 18
+
 END = "</w>"
 _FINAL = 0x4000  # added to a symbol's code point where it ends a word
 
@@ -52,6 +56,22 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in printable else chr(next(moved)) for b in range(256)]
 
 
+_CUT = re.compile("[ \n](?=[A-Za-z0-9])")
+
+
+def parts(text: str) -> Iterator[str]:
+    """A long text in parts that are encoded alone: cut before a plain letter or digit after a plain space, where
+    neither the normaliser nor a special token nor a pre-token reaches over."""
+    start = 0
+    while len(text) - start > LONG:
+        found = _CUT.search(text, start + LONG)
+        if found is None:
+            break
+        yield text[start : found.start()]
+        start = found.end()
+    yield text[start:]
+
+
 class OffsetTable:
     """Byte strings end to end with their offsets; ``gather`` joins the strings of many keys at once."""
 
@@ -272,6 +292,18 @@ class BacktrackingBPE:
         ids = flat[np.arange(done[-1], dtype=np.int64) + np.repeat(start - done[:-1], size)] if len(flat) else np.zeros(0, np.int32)
         return ids, done[cuts]
 
+    def digest_long(self, text: str) -> tuple[int, str, str]:
+        """Number of tokens and both digests of one text of any length, worked through in parts."""
+        n, hashes = 0, (hashlib.sha256(), hashlib.sha256())
+        for part in parts(text):
+            ids, _ = self.encode_many([part])
+            for lo in range(0, len(ids), PART):
+                for pieces, sha in zip((self._decimal, self._spoken), hashes, strict=True):
+                    data = pieces.gather(ids[lo : lo + PART].astype(np.int64))[0].tobytes()
+                    sha.update((b" " if n + lo else b"") + data[:-1])  # the space is between the tokens, not after them
+            n += len(ids)
+        return n, hashes[0].hexdigest(), hashes[1].hexdigest()
+
     def encode(self, text: str | None) -> list[int]:
         return self.encode_many([text or ""])[0].tolist()
 
@@ -322,7 +354,11 @@ def encode(df: DataFrame, text: str, vocabulary: str, ids: str = "ids") -> DataF
     def ids_of(column: pa.Array) -> pa.Array:
         encoder, flat, ends = _worker_encoder(shared), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
         for texts in _runs(column):
-            found, cuts = encoder.encode_many(texts)
+            if len(texts) == 1:
+                found = np.concatenate([encoder.encode_many([p])[0] for p in parts(texts[0])])
+                cuts = np.array([0, len(found)])
+            else:
+                found, cuts = encoder.encode_many(texts)
             flat.append(found)
             ends.append(cuts[1:] + ends[-1][-1])
         return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
@@ -349,6 +385,10 @@ def token_digests(column: Column, shared) -> Column:
     def digests_of(texts: pa.Array) -> pa.Array:
         encoder, n, a, b = _worker_encoder(shared), [], [], []
         for run in _runs(texts):
+            if len(run) == 1 and len(run[0]) > LONG:
+                for out, x in zip((n, a, b), encoder.digest_long(run[0]), strict=True):
+                    out.append(x)
+                continue
             ids, cuts = encoder.encode_many(run)
             one, two = encoder.digests(ids, cuts)
             n += np.diff(cuts).tolist()

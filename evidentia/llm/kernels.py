@@ -83,29 +83,60 @@ def text_slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20) -
         start = stop
 
 
+#: Bytes that words are looked for in at once.
+PIECE = 1 << 20
+
+
+def word_pieces(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The words of a run of texts in text order, those of some ``PIECE`` bytes at a time: 64-bit hash, row, first byte,
+    byte after the last. A word of any length has the hash of all its bytes; memory does not grow with the run."""
+    held: tuple[int, int, int] | None = None  # value, first byte and length of a word that the last piece did not end
+    for start in range(0, len(raw), PIECE):
+        stop = min(start + PIECE, len(raw))
+        data = _LOWER[raw[start:stop]] if lower else raw[start:stop]
+        size = stop - start
+        inside = ~_IS_SPACE[data]
+        edge = np.zeros(size + 1, dtype=bool)
+        near = offsets[np.searchsorted(offsets, start) : np.searchsorted(offsets, stop, side="right")]
+        edge[near - start] = True  # a text's end ends its last word
+        begins = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))
+        ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
+        up, down = _POWERS.get(size + 1)
+        total = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_CODE[data] * up[:size], out=total[1:])
+        value = (total[ends] - total[begins]) * down[begins]
+        begins, ends = begins + start, ends + start
+        lengths = (ends - begins).astype(np.uint64)
+        if held is not None:
+            if len(begins) and begins[0] == start and not edge[0]:  # the rest of the word that is held
+                value[0] = np.uint64((held[0] + int(value[0]) * pow(int(_ROOT), held[2], 1 << 64)) % (1 << 64))
+                begins[0] = held[1]
+                lengths[0] += np.uint64(held[2])
+            else:
+                begins, ends, value, lengths = np.append(held[1], begins), np.append(start, ends), np.append(np.uint64(held[0]), value), np.append(np.uint64(held[2]), lengths)
+            held = None
+        if stop < len(raw) and len(ends) and ends[-1] == stop and not edge[-1]:
+            held = (int(value[-1]), int(begins[-1]), int(lengths[-1]))
+            begins, ends, value, lengths = begins[:-1], ends[:-1], value[:-1], lengths[:-1]
+        value = value ^ (lengths * np.uint64(0xD6E8FEB86659FD93))
+        yield mix64(value), np.searchsorted(offsets, begins, side="right") - 1, begins, ends
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Every word of a run of texts in text order: 64-bit hash, row, first byte, byte after the last."""
-    if not len(raw):
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
-    data = _LOWER[raw] if lower else raw
-    inside = ~_IS_SPACE[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offsets] = True  # a text's end ends its last word
-    begins = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))
-    ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
-    up, down = _POWERS.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=total[1:])
-    value = (total[ends] - total[begins]) * down[begins]
-    value ^= (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    row = np.searchsorted(offsets, begins, side="right") - 1
-    return mix64(value), row, begins, ends
+    parts = list(word_pieces(raw, offsets, lower))
+    if len(parts) == 1:
+        return parts[0]
+    none = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+    return tuple(np.concatenate(x) for x in zip(none, *parts, strict=True))
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every word of a run of texts, in text order."""
-    return word_spans(raw, offsets, lower)[:2]
+    parts = [p[:2] for p in word_pieces(raw, offsets, lower)]
+    if len(parts) == 1:
+        return parts[0]
+    return tuple(np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.int64)), *parts, strict=True))
 
 
 def windows(word: np.ndarray, row: np.ndarray, width: int, rows: int, short: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +168,9 @@ def windows(word: np.ndarray, row: np.ndarray, width: int, rows: int, short: boo
 
 def distinct_by_row(hashed: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, hash) pairs, ordered by row, then hash."""
+    if len(row) and row[0] == row[-1] and (row == row[0]).all():  # one long text: no second key to sort by
+        hashed = np.unique(hashed)
+        return hashed, row[: len(hashed)]
     order = np.lexsort((hashed, row))
     hashed, row = hashed[order], row[order]
     if len(row):

@@ -26,6 +26,7 @@ the equal share; a row with a null id is scored and learned from. Columns beside
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import mix64, text_slices, words
+from .kernels import mix64, text_slices, word_pieces, words
 from .session import bounded_batches, shared_folder, table
 from .shared_arrays import HashTable, pack, save, shard_bits, shard_file, sum_by_key, unpack
 
@@ -51,22 +52,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
 
 
-def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Every token of a run of texts with the token before it, its row, and whether it is the first of its text."""
-    word, row = words(raw, offsets, True)
-    n = len(offsets) - 1
-    ends = np.cumsum(np.bincount(row, minlength=n) + 1) - 1
-    out = np.full(len(word) + n, END, np.uint64)
-    inner = np.ones(len(out), bool)
-    inner[ends] = False
-    out[inner] = word
-    first = np.zeros(len(out), bool)
-    first[np.concatenate(([0], ends[:-1] + 1))] = True
-    before = np.concatenate(([START], out[:-1]))
-    before[first] = START
-    return out, before, np.repeat(np.arange(n), np.diff(np.concatenate(([-1], ends)))), first
-
-
 def bigram_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(mix64(before) + word)
 
@@ -75,30 +60,53 @@ def bigram_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 BEGIN = bigram_key(np.array([START]), np.array([START]))[0]
 
 
-def contexts(pair: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The bigram before each token, from the bigrams that end with each token."""
-    out = np.concatenate(([BEGIN], pair[:-1]))
-    out[first] = BEGIN
-    return out
-
-
 def trigram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(mix64(context ^ np.uint64(0x3C3C3C3C3C3C3C3C)) + word)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Tokens, their predecessors and whether they are the first of a text, at least ``RUN`` at a time."""
+def tokens(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The tokens of a run of texts, some at a time: each with the token before it, the hash of the two before it, its row, and
+    whether it is the first of its text. A text ends with END and begins after START."""
+    n = len(offsets) - 1
+    if n == 1:  # a text of any length, piece by piece
+        last, pair, first = START, BEGIN, True
+        for word, *_ in itertools.chain(word_pieces(raw, offsets, True), [(np.array([END]),)]):
+            if len(word):
+                before = np.concatenate(([last], word[:-1]))
+                both = bigram_key(before, word)
+                flag = np.zeros(len(word), bool)
+                flag[0] = first
+                yield word, before, np.concatenate(([pair], both[:-1])), np.zeros(len(word), np.int64), flag
+                last, pair, first = word[-1], both[-1], False
+        return
+    word, row = words(raw, offsets, True)
+    ends = np.cumsum(np.bincount(row, minlength=n) + 1) - 1
+    out = np.full(len(word) + n, END, np.uint64)
+    inner = np.ones(len(out), bool)
+    inner[ends] = False
+    out[inner] = word
+    first = np.zeros(len(out), bool)
+    first[np.concatenate(([0], ends[:-1] + 1))] = True
+    before = np.concatenate(([START], out[:-1]))
+    before[first] = START
+    context = np.concatenate(([BEGIN], bigram_key(before, out)[:-1]))
+    context[first] = BEGIN
+    yield out, before, context, np.repeat(np.arange(n), np.diff(np.concatenate(([-1], ends)))), first
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens, their predecessors, contexts and whether they are the first of a text, some ``RUN`` at a time."""
     held: list[tuple[np.ndarray, ...]] = []
     n = 0
     join = lambda: tuple(np.concatenate(x) for x in zip(*held, strict=True))
     for batch in batches:
         for _, _, raw, offsets in text_slices(batch.column(0)):
-            word, before, _, first = tokens(raw, offsets)
-            held.append((word, before, first))
-            n += len(word)
-            if n >= RUN:
-                yield join()
-                held, n = [], 0
+            for word, before, context, _, first in tokens(raw, offsets):
+                held.append((word, before, context, first))
+                n += len(word)
+                if n >= RUN:
+                    yield join()
+                    held, n = [], 0
     if held:
         yield join()
 
@@ -188,8 +196,8 @@ def fit(texts: DataFrame, name: str = "lm") -> dict:
         return {"label": label, "bits": bits, "below": below, "shards": [r["shard"] for r in rows], "n": add("n"), "total": add("total"), "types": add("types"), "classes": classes}
 
     def send_trigrams(batches):
-        for word, before, first in _runs(batches):
-            keys = np.sort(short(trigram_key(contexts(bigram_key(before, word), first), word)))
+        for word, _, context, _ in _runs(batches):
+            keys = np.sort(short(trigram_key(context, word)))
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             yield _send(keys[starts], [np.diff(starts, append=len(keys)).astype(np.uint32)], BELOW)
 
@@ -197,9 +205,7 @@ def fit(texts: DataFrame, name: str = "lm") -> dict:
 
     def send_bigrams(batches):
         known = HashTable(folder, "trigram", bits, BELOW, trigrams["shards"], 1)
-        for word, before, first in _runs(batches):
-            pair = bigram_key(before, word)
-            context = contexts(pair, first)
+        for word, before, context, first in _runs(batches):
             keys, at, local = np.unique(short(trigram_key(context, word)), return_index=True, return_counts=True)
             count = known.find(keys)[0]
             share = local / np.maximum(count, 1)
@@ -209,7 +215,7 @@ def fit(texts: DataFrame, name: str = "lm") -> dict:
             many = np.flatnonzero(count >= 2)  # of these contexts: followers seen twice, more often, and all their occurrences
             none, few_ = np.zeros(len(keys)), np.zeros(len(many))
             begun = int(first.sum())
-            ends = np.concatenate((short(pair[at]), short(context[at[many]]), short(np.array([BEGIN]))))
+            ends = np.concatenate((short(bigram_key(before[at], word[at])), short(context[at[many]]), short(np.array([BEGIN]))))
             columns = [
                 np.concatenate((local, few_, [begun])),
                 np.concatenate((more, few_, [0])),
@@ -228,7 +234,7 @@ def fit(texts: DataFrame, name: str = "lm") -> dict:
 
     def send_words(batches):
         known = HashTable(folder, "bigram", bits, BELOW, bigrams["shards"], len(BIGRAM))
-        for word, before, _ in _runs(batches):
+        for word, before, _, _ in _runs(batches):
             keys, at, local = np.unique(short(bigram_key(before, word)), return_index=True, return_counts=True)
             count, types = known.find(keys, (0, 1))
             share = local / np.maximum(count, 1)
@@ -276,25 +282,27 @@ class KneserNey:
         """Of each text: tokens, known tokens, base score and model score."""
         m, n = self.model, len(offsets) - 1
         third, second, lowest = m["discounts"]
-        word, before, row, first = tokens(raw, offsets)
-        pair = bigram_key(before, word)
-        context = contexts(pair, first)
-        (count,), place = self._looked_up(self.trigrams, trigram_key(context, word))
-        triple = count[place]
-        found, place = self._looked_up(self.bigrams, np.append(pair, BEGIN))
-        of_context = np.concatenate(([place[-1]], place[:-2]))
-        of_context[first] = place[-1]
-        total, once, twice, often = (found[k][of_context] for k in (0, 2, 3, 4))
-        types = found[1][place[:-1]]
-        known, place = self._looked_up(self.words, np.concatenate((word, before)))
-        w, v = place[: len(word)], place[len(word) :]
-        seen = known[0][w]
-        base = np.log10((seen + 0.1) / (m["tokens"] + 0.1 * (m["distinct"] + 1)))
-        p = self._discounted(known[1][w], lowest) / max(self.types, 1) + self.left / (m["distinct"] + 1)
-        p = self._mixed(types, known[2][v], [known[k][v] for k in (3, 4, 5)], second, p)
-        p = self._mixed(triple, total, [once, twice, often], third, p)
-        sums = lambda x: np.bincount(row, weights=x, minlength=n)
-        return np.bincount(row, minlength=n), sums(seen > 0).astype(np.int64), sums(base), sums(np.log10(p))
+        out = np.zeros((4, n))
+        for word, before, context, row, first in tokens(raw, offsets):
+            (count,), place = self._looked_up(self.trigrams, trigram_key(context, word))
+            triple = count[place]
+            # the context of a token is the bigram that ends with the token before it
+            found, place = self._looked_up(self.bigrams, np.append(bigram_key(before, word), context[0]))
+            of_context = np.concatenate(([place[-1]], place[:-2]))
+            if first[0]:
+                of_context[first] = place[-1]
+            total, once, twice, often = (found[k][of_context] for k in (0, 2, 3, 4))
+            types = found[1][place[:-1]]
+            known, place = self._looked_up(self.words, np.concatenate((word, before)))
+            w, v = place[: len(word)], place[len(word) :]
+            seen = known[0][w]
+            base = np.log10((seen + 0.1) / (m["tokens"] + 0.1 * (m["distinct"] + 1)))
+            p = self._discounted(known[1][w], lowest) / max(self.types, 1) + self.left / (m["distinct"] + 1)
+            p = self._mixed(types, known[2][v], [known[k][v] for k in (3, 4, 5)], second, p)
+            p = self._mixed(triple, total, [once, twice, often], third, p)
+            for k, x in enumerate((None, seen > 0, base, np.log10(p))):
+                out[k] += np.bincount(row, weights=x, minlength=n)
+        return out[0].astype(np.int64), out[1].astype(np.int64), out[2], out[3]
 
     def _mixed(self, count: np.ndarray, total: np.ndarray, followers: list[np.ndarray], d: list[float], lower: np.ndarray) -> np.ndarray:
         """One order over the next lower one; a context that was not seen leaves all to that."""

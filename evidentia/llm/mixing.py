@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import text_slices, words
+from .kernels import text_slices, word_pieces, words
 from .session import bounded_batches, cut, table
 
 #: Labelled rows that the classifier is fitted on, those that each domain has at least where it has as many, and characters of each.
@@ -63,12 +63,12 @@ class DomainClassifier:
     def posteriors(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words of each text, and its posterior."""
         rows = len(offsets) - 1
-        word, row = words(raw, offsets, True)
-        n = np.bincount(row, minlength=rows)
-        feature = (word & np.uint64(FEATURES - 1)).astype(np.int64)
-        logit = np.zeros((rows, len(self.domains)))
-        for k in range(len(self.domains)):  # one domain at a time: memory does not grow with their number
-            logit[:, k] = np.bincount(row, self.weights[feature, k], rows)
+        n, logit = np.zeros(rows, np.int64), np.zeros((rows, len(self.domains)))
+        for word, row, _, _ in word_pieces(raw, offsets, True):
+            n += np.bincount(row, minlength=rows)
+            feature = (word & np.uint64(FEATURES - 1)).astype(np.int64)
+            for k in range(len(self.domains)):  # one domain at a time: memory does not grow with their number
+                logit[:, k] += np.bincount(row, self.weights[feature, k], rows)
         logit *= np.minimum(1, EVIDENCE / np.maximum(n, 1))[:, None]
         logit += self.prior
         p = np.exp(logit - logit.max(axis=1, keepdims=True))

@@ -3,11 +3,13 @@
 A text is its UTF-8 bytes. Each byte is one of 512 symbols: its value, and whether its word repeats the
 word before it. The symbols are embedded, learned filters run over them, and the whole document is cut
 into overlapping chunks: each filter's largest response in a chunk is kept, the chunks' responses are
-averaged, and a logistic unit makes one probability of them. No byte is left out, however long the text.
+averaged, and a logistic unit makes one probability of them. No byte is left out, however long the text; a long
+one is worked through some blocks at a time.
 
-It learns from a bounded sample of labelled rows, ``SAMPLE`` of each class in the order of a hash of their
-id, of texts of at most ``SAMPLE_BYTES`` bytes (scoring has no bound). The loss weighs the two classes by
-their counts among all labelled rows.
+It learns from a bounded sample of the labelled rows of the documents, ``SAMPLE`` of each class in the order of a
+hash of their id, whatever their length: of texts of more than ``SAMPLE_CHARS`` characters it reads ``PIECES`` pieces
+spread evenly over the text, of that length together (scoring reads all). The loss weighs the two classes by
+their counts among all labelled rows of the documents.
 
 Defined cases: a null or empty text scores as no response of any filter; with no labelled rows every
 score is 0.5; with one class, a constant by the rule of succession. Null labels are ignored; repeated rows
@@ -20,15 +22,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .kernels import text_slices, word_spans
+from .kernels import text_slices, word_pieces
 from .session import bounded_batches, table
 
-SAMPLE, SAMPLE_BYTES = 600, 16_384
+SAMPLE, SAMPLE_CHARS, PIECES = 600, 16_384, 4
 WIDTH, STRIDE, DEPTH, FILTERS = 8, 4, 8, 16
 #: Filter positions in a block, blocks in a chunk, and blocks from one chunk to the next: chunks overlap by a block.
 BLOCK, CHUNK, STEP = 64, 4, 3
 PAD = 512
+#: Bytes of a run of texts beyond which it is worked through by so many blocks of one text at a time.
+LONG, AT_ONCE = 4 << 20, 4096
 
 
 class ByteConvNet:
@@ -43,22 +48,51 @@ class ByteConvNet:
         self.constant: float | None = None
 
     @staticmethod
-    def layout(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def again(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether each byte is of a word that repeats the word before it."""
+        out = np.zeros(len(raw), bool)
+        last, last_row = np.zeros(1, np.uint64), np.full(1, -1)
+        for hashed, row, begins, ends in word_pieces(raw, offsets, False):
+            same = np.flatnonzero((hashed == np.concatenate((last, hashed[:-1]))) & (row == np.concatenate((last_row, row[:-1]))))
+            if len(same):
+                mark = np.zeros(ends[same[-1]] - begins[same[0]] + 1, np.int8)
+                mark[begins[same] - begins[same[0]]] = 1
+                mark[ends[same] - begins[same[0]]] -= 1
+                out[begins[same[0]] : ends[same[-1]]] = np.cumsum(mark[:-1], dtype=np.int8)
+            if len(hashed):
+                last, last_row = hashed[-1:], row[-1:]
+        return out
+
+    @classmethod
+    def layout(cls, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of a run of texts, each padded so that no filter sees two texts; first filter position of each text."""
-        hashed, row, begins, ends = word_spans(raw, offsets, False)
-        again = np.flatnonzero((hashed[1:] == hashed[:-1]) & (row[1:] == row[:-1])) + 1
-        mark = np.zeros(len(raw) + 1, np.int8)
-        mark[begins[again]] = 1
-        mark[ends[again]] -= 1
-        symbol = raw.astype(np.int16) + (np.cumsum(mark[:-1], dtype=np.int16) << 8)
+        symbol = raw.astype(np.int16) + (cls.again(raw, offsets).astype(np.int16) << 8)
         size = np.diff(offsets)
-        places = (size + STRIDE - 1) // STRIDE + WIDTH // STRIDE
-        first = np.zeros(len(places) + 1, np.int64)
-        np.cumsum(places, out=first[1:])
+        first = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(cls.places(size), out=first[1:])
         out = np.full(first[-1] * STRIDE + WIDTH, PAD, np.int16)
         out[np.arange(len(raw)) + np.repeat(first[:-1] * STRIDE + WIDTH - offsets[:-1], size)] = symbol
         return out, first
 
+    @staticmethod
+    def places(size):
+        """Filter positions of a text."""
+        return (size + STRIDE - 1) // STRIDE + WIDTH // STRIDE
+
+    def long_tops(self, raw: np.ndarray) -> np.ndarray:
+        """Each filter's largest response in each block of one text, which is laid out some blocks at a time."""
+        again, places = self.again(raw, np.array([0, len(raw)])), int(self.places(len(raw)))
+        out = []
+        for start in range(0, places, AT_ONCE * BLOCK):
+            stop = min(start + AT_ONCE * BLOCK, places)
+            symbols = np.full((stop - start) * STRIDE + WIDTH, PAD, np.int16)
+            low, high = max(0, start * STRIDE - WIDTH), min(len(raw), stop * STRIDE)
+            put = low + WIDTH - start * STRIDE
+            symbols[put : put + high - low] = raw[low:high].astype(np.int16) + (again[low:high].astype(np.int16) << 8)
+            _, response = self.responses(symbols, stop - start)
+            out.append(np.maximum.reduceat(response, np.arange(0, stop - start, BLOCK), axis=0))
+        return np.concatenate(out)
+
     def responses(self, symbols: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
         """Windows of embedded symbols, and every filter's response to each."""
         x = self.embed[symbols]
@@ -83,10 +117,15 @@ class ByteConvNet:
 
     def pooled(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Each text's average over its chunks of the filters' largest responses."""
-        symbols, first = self.layout(raw, offsets)
-        _, response = self.responses(symbols, int(first[-1]))
-        starts, member, owner = self.chunks(first)
-        top = np.maximum.reduceat(response, starts, axis=0)[member].max(axis=1)
+        if len(offsets) == 2 and len(raw) > LONG:
+            tops = self.long_tops(raw)
+            _, member, owner = self.chunks(np.array([0, self.places(len(raw))]))
+        else:
+            symbols, first = self.layout(raw, offsets)
+            _, response = self.responses(symbols, int(first[-1]))
+            starts, member, owner = self.chunks(first)
+            tops = np.maximum.reduceat(response, starts, axis=0)
+        top = tops[member].max(axis=1)
         top = np.maximum(top + self.shift, 0)
         total = np.zeros((len(offsets) - 1, FILTERS))
         np.add.at(total, owner, top)
@@ -156,25 +195,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit_network(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> ByteConvNet:
+def _spread(text: Column, chars: int) -> Column:
+    """A text, or of a longer one ``PIECES`` pieces spread evenly over it, ``chars`` characters together."""
+    size = chars // PIECES
+    step = (F.length(text) - size) / (PIECES - 1)
+    pieces = [F.substring(text, F.floor(step * k).cast("int") + 1, F.lit(size)) for k in range(PIECES)]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat(*pieces))
+
+
+def fit_network(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> ByteConvNet:
     """Fit on a bounded sample of the labelled rows of ``docs``."""
     spark = docs.sparkSession
-    usable = learned_rows(labels)
+    # ids alone are joined; the texts of the chosen ones are read in a second pass
+    usable = docs.select("doc_id").distinct().join(learned_rows(labels), "doc_id")
+    place = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ranked = usable.withColumn("place", place).filter(F.col("place") <= sample).select("doc_id", "quality")
     count = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     net = ByteConvNet()
     if len(count) < 2:
         n, ones = sum(count.values()), count.get(1, 0)
         net.constant = (ones + 1) / (n + 2)
         return net
-    chosen = [r for q in (0, 1) for r in usable.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    ids = spark.createDataFrame(chosen, usable.schema)  # at most 2 * sample rows of two numbers
-    known = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", known.alias("text")).filter(F.octet_length("text") <= sample_bytes).join(F.broadcast(ids), "doc_id")
+    ids = spark.createDataFrame(ranked.collect(), usable.schema)  # at most 2 * sample rows of two numbers
+    rows = docs.select("doc_id", _spread(F.coalesce(F.col("text"), F.lit("")), chars).alias("text")).join(F.broadcast(ids), "doc_id")
     rows = sorted(rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect(), key=lambda r: r["doc_id"])
     got = {q: sum(r["quality"] == q for r in rows) for q in (0, 1)}
-    if not all(got.values()):
-        net.constant = (count[1] + 1) / (count[0] + count[1] + 2)
-        return net
     weight = {q: count[q] / got[q] * len(rows) / (count[0] + count[1]) for q in (0, 1)}
     return net.fit([r["text"].encode() for r in rows], [r["quality"] for r in rows], [weight[r["quality"]] for r in rows])
 

@@ -1,7 +1,8 @@
 """Operator 5: token counts of a unigram vocabulary by a trie over pre-tokens.
 
 A pre-token is a word between white space with the mark of a word's start before it. All distinct
-pre-tokens go into one trie whose nodes hold the forward state of the text on their path: the best sum of
+pre-tokens (but for those of more than ``LONGEST`` characters, whose forward states are kept only as far as the longest
+piece reaches back) go into one trie whose nodes hold the forward state of the text on their path: the best sum of
 piece scores and, of equal sums, the fewest pieces. The state of a prefix is computed once, whatever the
 number of words that share it; a word's count is what its last node holds. Scores are whole numbers, so
 that sums and ties do not depend on their order. A character that no piece holds costs one piece for each
@@ -13,6 +14,8 @@ Defined cases: a null or empty text has no words and no tokens. Columns beside d
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +24,11 @@ from pyspark.sql import functions as F
 from .kernels import text_slices
 from .session import bounded_batches, table
 
-#: Nodes a worker's trie may hold before it starts anew.
-MOST_NODES = 1_500_000
+#: Nodes a worker's trie may hold before it starts anew; a longer word is counted without the trie, which it would fill.
+MOST_NODES, LONGEST = 1_500_000, 4096
+#: Characters of a text that are split into words at once.
+LONG = 1 << 20
+_SPACE = re.compile(r"\s")
 MARK = "▁"
 UNIT = 1_000_000
 
@@ -55,11 +61,29 @@ class UnigramTrie:
         """Pieces in the best segmentation of a word (without the mark, which is put before it)."""
         got = self.known.get(word)
         if got is None:
+            if len(word) > LONGEST:
+                return self._walk(MARK + word)
             if len(self.best) > MOST_NODES:
                 self._clear()
             got = self.known[word] = self._insert(MARK + word)
         return got
 
+    def _walk(self, text: str) -> int:
+        """What ``_insert`` gives, without nodes: the states of the last ``longest`` places in a ring."""
+        size, get = self.longest + 1, self.scores.get
+        best, pieces = [0] * size, [0] * size
+        for j, c in enumerate(text):
+            n = len(c.encode())
+            top, fewest = best[j % size] + n * self.byte, pieces[j % size] + n
+            for i in range(max(0, j + 1 - self.longest), j + 1):
+                s = get(text[i : j + 1])
+                if s is not None:
+                    total = best[i % size] + s
+                    if total > top or (total == top and pieces[i % size] + 1 < fewest):
+                        top, fewest = total, pieces[i % size] + 1
+            best[(j + 1) % size], pieces[(j + 1) % size] = top, fewest
+        return pieces[len(text) % size]
+
     def _insert(self, text: str) -> int:
         node, path = 0, [0]
         child, best, pieces, get = self.child, self.best, self.pieces, self.scores.get
@@ -83,6 +107,18 @@ class UnigramTrie:
         return pieces[node]
 
 
+def parts(text: str) -> Iterator[str]:
+    """A long text in parts that end before white space."""
+    start = 0
+    while len(text) - start > LONG:
+        found = _SPACE.search(text, start + LONG)
+        if found is None:
+            break
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:]
+
+
 _TRIES: dict[int, UnigramTrie] = {}
 
 
@@ -105,13 +141,15 @@ def count_tokens(docs: DataFrame, scores: dict[str, int]) -> DataFrame:
         trie, words, tokens = _trie(shared), [], []
         for start, stop, _, _ in text_slices(column):
             for text in column.slice(start, stop - start).to_pylist():
-                found = (text or "").split()
-                known = trie.known
-                try:
-                    total = sum([known[w] for w in found])
-                except KeyError:
-                    total = sum([trie.count(w) for w in found])
-                words.append(len(found))
+                n = total = 0
+                for part in parts(text or ""):
+                    found, known = part.split(), trie.known
+                    n += len(found)
+                    try:
+                        total += sum([known[w] for w in found])
+                    except KeyError:
+                        total += sum([trie.count(w) for w in found])
+                words.append(n)
                 tokens.append(total)
         return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["n_words", "n_tokens"])
 

@@ -10,6 +10,7 @@ import textwrap
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -432,3 +433,55 @@ def test_vantage_trees_scaled_copies(spark):
     for r in vptree.nearest(data, data.filter("vec_id in (20, 39)"), shard=1000).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append(r["vec_id"])
     assert got == {20: [0, 1, 2, 3, 4], 39: [0, 1, 2, 3, 4]}
+
+
+def test_long_texts(spark, odd, monkeypatch):
+    """Operators that work through a long text in parts give what they give for the whole of it."""
+    from evidentia.llm import kernels
+
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["a", "b bb", "Ünï", "ccc ccc", "x" * 40, "<|endoftext|>", "don't", "\n", "\u0301e"]) for _ in range(n)) for n in (300, 1, 50)] + ["", "y" * 90, " z" * 60]
+    raw, cuts = b"".join(t.encode() for t in texts), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    raw = np.frombuffer(raw, np.uint8)
+    net, classifier = quality_net.ByteConvNet(), mixing.DomainClassifier.fit(texts[:2], ["a", "b"], {"a": 1, "b": 1})
+    own = bpe.BacktrackingBPE(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    model = kneser_ney.fit(docs.select("text"))
+    alone = lambda f: [f(raw[a:b], np.array([0, b - a])) for a, b in zip(cuts[:-1], cuts[1:])]
+    jobs = {
+        "words": lambda: kernels.word_spans(raw, cuts, True),
+        "posterior": lambda: classifier.posteriors(raw, cuts),
+        "net": lambda: np.concatenate(alone(net.pooled)),
+        "kneser_ney": lambda: np.stack([np.stack(x) for x in alone(kneser_ney.KneserNey(model).score)]),
+        "kneser_ney_all": lambda: np.stack(kneser_ney.KneserNey(model).score(raw, cuts)),
+        "digests": lambda: [own.digest_long(t) for t in texts],
+        "runs": lambda: [np.sort(np.concatenate([r[k] for r in kneser_ney._runs(iter([pa.record_batch([pa.array(texts)], ["t"])]))])) for k in (0, 2)],
+    }
+    want = {k: f() for k, f in jobs.items()}
+    ids, at = own.encode_many(texts)
+    one, two = own.digests(ids, at)
+    assert want["digests"] == list(zip(np.diff(at).tolist(), one, two))
+    assert np.allclose(np.concatenate(want["kneser_ney"], axis=1), want["kneser_ney_all"])
+    for module, name, value in ((kernels, "PIECE", 7), (quality_net, "LONG", 100), (quality_net, "AT_ONCE", 2), (bpe, "LONG", 50), (bpe, "PART", 3), (kneser_ney, "RUN", 11)):
+        monkeypatch.setattr(module, name, value)
+    for k, f in jobs.items():
+        got = f()
+        if k == "digests":
+            assert got == want[k]
+        else:
+            assert all(np.allclose(x, y) for x, y in zip(got, want[k], strict=True)), k
+    trie = token_counts.UnigramTrie(token_counts.unigram_scores(public_tokenizers.path("piece_bpe_32k.model")))
+    words = ["".join(rng.choice("theandinger漢é") for _ in range(n)) for n in (1, 5, 40, 300)]
+    assert [trie._walk(token_counts.MARK + w) for w in words] == [trie.count(w) for w in words]
+
+
+def test_network_sample(spark):
+    """The sample is of the labelled rows of the documents, long ones too."""
+    text = " ".join(f"w{i}" for i in range(9000))
+    docs = spark.createDataFrame([(i, text if i % 2 else "### " * 9000, "en", "s", 0) for i in range(60)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(-5000, 60)], "doc_id bigint, quality int, toxic int")
+    net = quality_net.fit_network(docs, labels, sample=30)
+    assert net.constant is None
+    rows = quality_net.quality_scores(docs, net).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in rows)
+    assert quality_net.quality_scores(docs.limit(0), net).count() == 0
