@@ -255,6 +255,20 @@ def test_jaccard(spark, corpus, monkeypatch, small):
     assert got == want
 
 
+def test_jaccard_index():
+    """Intersections by ranges of positions, and those derived from a pivot's, are those of the sets."""
+    rng = np.random.default_rng(9)
+    pivot = np.unique(rng.integers(0, 400, 120).astype(np.uint64))
+    sets = [np.unique(np.append(pivot[rng.random(len(pivot)) < keep], rng.integers(0, 900, n).astype(np.uint64))) for keep in (0.0, 0.5, 0.95) for n in range(1, 30)]
+    sets = sorted([*sets, pivot], key=len)
+    index = jaccard_join._Index(sets)
+    of_pivot = index.overlaps(pivot, 0, len(sets))
+    for low, high in ((0, len(sets)), (10, 60), (5, 5), (87, 88)):
+        for s in sets:
+            want = [len(np.intersect1d(s, x)) for x in sets[low:high]]
+            assert index.overlaps(s, low, high).tolist() == want == index.derived(s, pivot, of_pivot[low:high], low, high).tolist()
+
+
 def test_jaccard_odd(spark, odd):
     rows = jaccard_join.jaccard_components(odd).collect()
     assert len(rows) == len(ODD)
