@@ -15,7 +15,8 @@ quotations and code beside the best container are kept too, unless they are most
 the page's body. The blocks of what is kept are joined in page order.
 
 Defined cases: a null or empty page gives an empty text; a page without any container gives the blocks of
-its body; nothing is shortened. Nesting may be of any depth. Columns beside page_id, url and html are ignored.
+its body; nothing is shortened. Nesting may be of any depth. A formula is text of its line. A tag with a quote that is
+never closed ends at its first ``>``. Repeated rows give repeated rows. Columns beside page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ from .kernels import text_slices
 from .session import bounded_batches, table
 
 #: Elements whose content is not markup, up to their own end tag.
-_RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "title", "xmp", "noembed", "noframes", "svg", "math"}
+_RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "title", "xmp", "noembed", "noframes", "svg"}
 #: Elements that are cut with all they hold.
-_CUT = _RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "input", "option", "label", "fieldset", "dialog", "menu", "object", "embed", "canvas", "audio", "video", "map"}
+_CUT = _RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "input", "option", "label", "fieldset", "dialog", "menu", "object", "embed", "canvas", "audio", "video", "map", "annotation", "annotation-xml"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
+#: Formulas are part of their line.
+_INLINE |= {"math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mtable", "mtr", "mtd", "mstyle", "mspace", "mpadded", "mphantom", "menclose", "mfenced", "merror"}
 _CONTAINER = {"article", "main", "section", "div", "body", "td", "center", "html", "blockquote", "#root"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", "li", "dt", "dd"}
 #: What belongs to the text beside it, if it is not mostly links.
@@ -49,7 +52,7 @@ _NOT_MAIN = re.compile(
     re.IGNORECASE,
 )
 _NOT_MAIN_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?P<open_end>/?)(?P<open_name>[a-zA-Z][^\s/>]*)(?P<open_attributes>[^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.IGNORECASE) for name in _RAW}
 _WHITE = re.compile(r"\s+")
@@ -82,49 +85,66 @@ def _hidden(name: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
+class _Open:
+    """The open elements, with the places of each name and of blocks, so that no lookup walks down a deep page."""
+
+    def __init__(self, root: Element) -> None:
+        self.stack, self.blocks = [root], [0]
+        self.named: dict[str, list[int]] = {}
+
+    def push(self, e: Element) -> None:
+        if e.name not in _INLINE:
+            self.blocks.append(len(self.stack))
+        self.named.setdefault(e.name, []).append(len(self.stack))
+        self.stack.append(e)
+
+    def last(self, names) -> int:
+        """The place of the innermost element of some names; 0 if none is open."""
+        return max((self.named[n][-1] for n in names if self.named.get(n)), default=0)
+
+    def close(self, place: int) -> None:
+        """Close the element at a place and all in it."""
+        for e in self.stack[place:]:
+            self.named[e.name].pop()
+        del self.stack[place:]
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+
+
 def parse(page: str) -> Element:
     root = Element("#root", None, False)
-    at, here, stack, articles = 0, root, [root], 0
+    at, opened = 0, _Open(root)
     for _ in iter(int, 1):
         token = _TOKEN.search(page, at)
+        here = opened.stack[-1]
         if token is None:
             break
         if token.start() > at:
             here.parts.append(unescape(page[at : token.start()]))
         at = token.end()
-        if token[2] is None:
+        name = token["name"] or token["open_name"]  # the second: a quote in the tag is never closed
+        if name is None:
             if token[0].startswith("<![CDATA["):
                 here.parts.append(token[0][9:-3])
             continue
-        name = token[2].lower()
-        if token[1]:
-            found = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
-            if name in _INLINE and found and any(e.name not in _INLINE for e in stack[found + 1 :]):
-                found = 0  # a stray end of an inline element does not close the blocks that opened after it
-            if found:
-                articles -= sum(e.name == "article" for e in stack[found:])
-                del stack[found:]
-                here = stack[-1]
+        name = name.lower()
+        if token["end"] or token["open_end"]:
+            found = opened.last((name,))
+            # a stray end of an inline element does not close the blocks that opened after it
+            if found and not (name in _INLINE and opened.blocks[-1] > found):
+                opened.close(found)
             continue
-        if name in _CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    del stack[k:]
-                    break
-                if stack[k].name not in _INLINE:
-                    break
+        if name in _CLOSES_P and opened.stack[opened.blocks[-1]].name == "p":
+            opened.close(opened.blocks[-1])
         if name in _SELF_CLOSING:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in _SELF_CLOSING[name]:
-                    del stack[k:]
-                    break
-                if stack[k].name in _SCOPE:
-                    break
-        here = stack[-1]
+            found = opened.last(_SELF_CLOSING[name])
+            if found > opened.last(_SCOPE - _SELF_CLOSING[name]):
+                opened.close(found)
+        here = opened.stack[-1]
         if name == "br":
             here.parts.append(" ")
             continue
-        element = Element(name, here, here.cut or _hidden(name, token[3], articles > 0))
+        element = Element(name, here, here.cut or _hidden(name, token["attributes"] or token["open_attributes"] or "", bool(opened.named.get("article"))))
         here.parts.append(element)
         if name in _VOID:
             continue
@@ -133,11 +153,9 @@ def parse(page: str) -> Element:
             at = page.find(">", end.end()) + 1 if end else len(page)
             at = at or len(page)
             continue
-        stack.append(element)
-        here = element
-        articles += name == "article"
+        opened.push(element)
     if at < len(page):
-        here.parts.append(unescape(page[at:]))
+        opened.stack[-1].parts.append(unescape(page[at:]))
     return root
 
 

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import textwrap
+import time
 
 import numpy as np
 import public_tokenizers
@@ -343,6 +344,21 @@ def test_html_nested_body(n, tag):
     assert html_text.extract(page).split("\n\n") == ["Title", *prose, "Short part", "one", "two", "code()", "cell", "said"]
 
 
+def test_html_odd(spark):
+    prose = "A paragraph, with commas, and words enough that it is taken for prose and not for a heading or a link."
+    assert html_text.extract(f"<article><p>{prose} <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation>TeX</annotation></math></p></article>") == prose + " E=mc2"
+    assert html_text.extract(f"<article><p>{prose}</p><p><a href=\"never closed>{prose}</a></p></article>") == f"{prose}\n\n{prose}"
+    assert html_text.extract(f"<article><p>{prose}</p></span></b></section><ul><li>a<p>b</p><li>c</ul></article>") == f"{prose}\n\na\n\nb\n\nc"
+    began = time.monotonic()
+    for stray in ("</span>", "</b>", "<p>x", "<li>"):
+        html_text.extract("<b>" + "<div>" * 16_000 + stray * 16_000 + f"<p>{prose}</p>")
+        html_text.extract("<p>" + "<b>" * 16_000 + (stray + "<i>") * 16_000 + f"<p>{prose}</p>")
+    assert time.monotonic() - began < 30
+    pages = spark.createDataFrame([(1, "u", prose, "clash", 1), (1, "u", prose, "clash", 1)], "page_id bigint, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_text.extract_pages(pages).collect()] == [(1, "u", prose, len(prose))] * 2
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
 def test_kneser_ney(spark, odd, corpus):
     rows = [(i, t) for i, t, *_ in corpus[1]]
     docs = corpus[0].select("doc_id", "text")
