@@ -12,7 +12,7 @@ The SQL knows the notices and one-line texts alone and drops every line that sta
 it gives the same rows where documents hold no whole text of the folder and no such line.
 
 Defined cases: a null or empty text has the digest of the empty form and no licence; several licences are
-given in order with commas; rows that share a doc_id share the licences found in any of them; columns
+given in order with commas; rows that share a doc_id are looked at by themselves; columns
 beside doc_id and text are ignored.
 """
 
@@ -122,18 +122,23 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
 
 
 def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id, text_sha256 of the whole form, license_id of the whole text, and the licences of its lines."""
+    """doc_id, text_sha256 of the whole form, license_id of the whole text, and the licences of its lines.
+
+    Each text is brought to its form once, where it is: the digest of the whole is joined to the known ones, and those
+    of its lines are met with them as sets in the row."""
     spark = docs.sparkSession
     constant = known_digests(spark, known).collect()
-    digests = spark.createDataFrame(constant, "digest string, license_id string, size int")
+    digests = spark.createDataFrame(constant, "text_sha256 string, license_id string, size int").drop("size")
     sizes = sorted({r["size"] for r in constant})
-    forms = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
-    units = forms.select("doc_id", digest(whole_form(F.col("lines"))).alias("text_sha256"))
-    whole = units.join(F.broadcast(digests.select(F.col("digest").alias("text_sha256"), "license_id")), "text_sha256", "left")
-    lines = forms.select("doc_id", F.explode(F.split("lines", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).filter(F.length("line").isin(sizes))
-    found = lines.join(F.broadcast(digests.select("digest", F.col("license_id").alias("notice"))), digest(F.col("line")) == F.col("digest"))
-    notices = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"))
-    return whole.join(notices, "doc_id", "left").select("doc_id", "text_sha256", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
+    rows = docs.select("doc_id", canonical_lines(F.col("text")).alias("_lines"))
+    lines = F.transform(F.split("_lines", "\n"), lambda x: F.trim(x))
+    likely = F.array_distinct(F.filter(lines, lambda x: F.length(x).isin(sizes)))
+    found = F.array_intersect(F.transform(likely, digest), F.lit([r["digest"] for r in constant]) if constant else F.array().cast("array<string>"))
+    units = rows.select("doc_id", digest(whole_form(F.col("_lines"))).alias("text_sha256"), F.when(F.size(likely) > 0, found).alias("found"))
+    names = F.create_map(*[F.lit(x) for r in constant for x in (r["digest"], r["license_id"])]) if constant else F.lit(None).cast("map<string,string>")
+    notices = F.when(F.size("found") > 0, F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: F.element_at(names, x)))), ","))
+    whole = units.join(F.broadcast(digests), "text_sha256", "left")
+    return whole.select("doc_id", "text_sha256", "license_id", F.coalesce(notices, F.lit("")).alias("notices"))
 
 
 def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
