@@ -36,10 +36,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
 from .kernels import distinct_by_row, mix64, text_slices, windows, word_pieces, words
-from .session import bounded_batches, cut, shared_folder, table
+from .session import SENT_ROWS, bounded_batches, cut, shared_folder, table, without
 from .shared_arrays import mapped, pack, save, unpack
 
 #: Buckets for each byte of text, as a share; the least and the most buckets (two bits each) as powers of two.
@@ -500,9 +501,17 @@ def jaccard_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component, with their own columns; rows with a null id stay."""
-    found = jaccard_components(docs, rule).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of ``docs`` for each component, with its own columns: of the smallest doc_id, and of rows that repeat it the
+    one whose text comes first by its hash. Rows with a null id are no documents of a component and stay. The ids that go
+    are joined by themselves, so that no text moves while they are few."""
+    found = cut(jaccard_components(docs, rule).filter("doc_id is not null").select("doc_id", "component_id"), "components")
+    left = without(docs, found.filter("doc_id <> component_id"), {"doc_id": F.col("doc_id")}, "not-first")
+    repeated = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    single = without(left, repeated, {"doc_id": F.col("doc_id")}, "repeated")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    several = left.join(F.broadcast(repeated) if repeated.count() <= SENT_ROWS else repeated, "doc_id", "left_semi")
+    first = several.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == 1).select(*docs.columns)
+    return single.unionByName(first)
 
 
 def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

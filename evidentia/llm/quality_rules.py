@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .session import cut, table
+from .session import cut, table, without
 
 WIDTH = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
@@ -93,13 +93,19 @@ def _repeated_words(hashes: Column) -> Column:
     return F.aggregate(places, start, step, lambda acc: acc["n"])
 
 
+def row_digest() -> Column:
+    """What tells the rows of one doc_id apart; rows that agree in it have the same verdict."""
+    return F.xxhash64("text", "lang", "source")
+
+
 def base_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the base statistics of every row of ``docs``."""
-    plain = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("t"))
+    """doc_id, lang, source, row (a digest) and the base statistics of every row of ``docs``."""
+    plain = docs.select("doc_id", "lang", "source", row_digest().alias("row"), F.coalesce("text", F.lit("")).alias("t"))
     split = plain.select(
         "doc_id",
         "lang",
         "source",
+        "row",
         F.length(F.translate("t", _SPACE, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.filter(F.split("t", "\n"), lambda x: F.length(F.btrim(x, F.lit(_SPACE))) > 0).alias("lines"),
@@ -109,6 +115,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
+        "row",
         F.size("w").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -242,16 +249,21 @@ def robust_verdicts(stats: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, the base statistics, base_failed, kept and the squared distance of every row of ``docs``."""
-    stats = cut(base_statistics(docs), "rules-stats")
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2"]
-    return robust_verdicts(stats).select("doc_id", *names)
+    return _verdicts(docs).select("doc_id", *_NAMES)
+
+
+_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2"]
+
+
+def _verdicts(docs: DataFrame) -> DataFrame:
+    return robust_verdicts(cut(base_statistics(docs), "rules-stats"))
 
 
 def keep_sound(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns. A row whose doc_id is null, or that shares its
-    doc_id with rejected rows, is judged with the rows of that id: it goes only if all of them are rejected."""
-    kept = quality_rules(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``docs`` that the rules keep, with their own columns. Each row is judged by itself, also where rows share
+    a doc_id or have none; the rejected ones are joined by doc_id and digest, so that no text moves while they are few."""
+    gone = _verdicts(docs).filter(~F.col("kept")).select("doc_id", "row")
+    return without(docs, gone, {"doc_id": F.col("doc_id"), "row": row_digest()}, "rules-rejected")
 
 
 def op3_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Most rows of two numbers that are sent to every executor (some 50 MB there); more are joined by a shuffle.
+SENT_ROWS = 1_000_000
 #: Bytes of one Arrow batch sent to a Python worker; bounds a worker's memory when texts are long.
 BATCH_BYTES = 16 << 20
 
@@ -21,18 +24,32 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the checkpoint folder that the cluster names; one of our own only where none is named."""
+    """A fresh folder below the checkpoint folder that the cluster names. Where none is named, one of our own in local mode,
+    whose workers share this machine; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             base = got.get()
-        else:
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
             base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column], name: str) -> DataFrame:
+    """The rows of ``docs`` whose keys (columns of ``gone`` by expressions over ``docs``) are not in ``gone``; nulls are equal.
+
+    ``gone`` is written and counted: up to ``SENT_ROWS`` rows go to every executor and no text moves; more are joined by
+    a shuffle, with the same rows as result."""
+    gone = cut(gone.select(*[F.col(k).alias(f"_gone_{k}") for k in keys]).distinct(), name)
+    gone = F.broadcast(gone) if gone.count() <= SENT_ROWS else gone
+    same = [expression.eqNullSafe(F.col(f"_gone_{k}")) for k, expression in keys.items()]
+    return docs.join(gone, same, "left_anti")
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder and read it back: its lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession

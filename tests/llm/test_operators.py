@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evidentia.llm import bpe, html_text, jaccard_join, kneser_ney, license_scan, mixing, quality_net, quality_rules, shared_arrays, token_counts, vptree
+from evidentia.llm import bpe, html_text, jaccard_join, kneser_ney, license_scan, mixing, quality_net, quality_rules, session, shared_arrays, token_counts, vptree
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -291,6 +291,20 @@ def test_pipeline_near_duplicates(spark):
     assert jaccard_join.keep_one(docs).count() == 6
 
 
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_stages_judge_rows(spark, monkeypatch, sent):
+    """Rows that share an id, or have none, are judged by themselves, whichever way the rejected ones are joined."""
+    monkeypatch.setattr(session, "SENT_ROWS", sent)
+    monkeypatch.setattr(jaccard_join, "SENT_ROWS", sent)
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, good), (1, "few words"), (None, good), (None, "few"), (2, good + " x"), (3, None), (4, good.upper()), (4, good.upper()), (5, "other " + good[::-1]), (5, "other " + good[::-1])]
+    docs = spark.createDataFrame([(i, t, "en", None, k) for k, (i, t) in enumerate(rows)], DOCS)
+    assert sorted(r["n_chars"] for r in quality_rules.keep_sound(docs).collect()) == [0, 2, 4, 6, 7, 8, 9]
+    left = jaccard_join.keep_one(docs).collect()
+    assert collections.Counter(r["doc_id"] for r in left) == {None: 2, 1: 1, 3: 1, 5: 1}
+    assert all(jaccard_join.keep_one(docs.limit(0)).columns == docs.columns for _ in (0,))
+
+
 def test_licenses(spark, odd):
     mit = license_scan._TEXTS["MIT"]
     rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ,")), (2, "text\nReleased under the MIT Licence.\nmore"), (3, mit + " extra"), (4, None)]
