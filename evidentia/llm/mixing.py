@@ -1,6 +1,8 @@
 """Operator 4: mixing sources to target weights with soft domain membership.
 
-The domains are the languages of all labelled documents, however many. A classifier that is fitted on a
+The domains are the values of a column of all labelled documents, however many: the languages, or those of the
+column that is named (a column that the text does not tell of, such as a random source, gives posteriors near
+the prior, and its targets cannot be met). A classifier that is fitted on a
 bounded sample of each domain's labelled documents gives every document a posterior over the domains (naive Bayes over hashed words; the
 evidence of a text counts as that of at most ``EVIDENCE`` words, so that membership stays soft). The rates r
 are the nonnegative least-squares fit of
@@ -17,7 +19,7 @@ copies are its rate rounded by the hash of its id, so that expected domain total
 Defined cases: a null or empty text has no tokens and the prior as posterior; without labelled rows there
 is one domain "all"; a target for a domain without tokens cannot be met, which is warned of; one for a domain
 without labelled documents is an error; a domain without a given target has the target zero;
-a null id is rounded like any other. Columns beside doc_id, text and lang are passed on by ``mix``.
+a null id is rounded like any other. Columns beside doc_id, text and the domain's are passed on by ``mix``.
 """
 
 from __future__ import annotations
@@ -75,10 +77,10 @@ class DomainClassifier:
         return n, p / p.sum(axis=1, keepdims=True)
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame) -> DomainClassifier:
+def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = "lang") -> DomainClassifier:
     """Fit on about ``SAMPLE`` labelled documents, chosen by a hash of their id, ``LEAST`` of a domain or all it has; of each
     the first ``SAMPLE_CHARS`` characters. The domains and their priors are those of all labelled documents."""
-    fits = docs.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null")
+    fits = docs.select("doc_id", "text", F.col(domain).cast("string").alias("lang")).filter("doc_id is not null and text is not null and lang is not null")
     ids = labels.select("doc_id").filter("doc_id is not null").distinct()
     langs = cut(fits.select("doc_id", "lang").join(ids, "doc_id").groupBy("doc_id").agg(F.min("lang").alias("lang")), "mix-labelled")
     counts = {r["lang"]: r["n"] for r in langs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -187,9 +189,9 @@ def copies(rate_of: Column, doc_id: Column) -> Column:
     return F.floor(rate_of + share).cast("int")
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = "lang") -> DataFrame:
     """doc_id, n_tokens, domain (the likeliest), rate and copies of every row of ``docs``."""
-    classifier = fit_classifier(docs, labels)
+    classifier = fit_classifier(docs, labels, domain)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
     member = cut(memberships(docs, shared), "mix-members")
     pull = fit_rates(member, classifier.domains, targets)
@@ -199,11 +201,11 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = "lang") -> DataFrame:
     """Every row of ``docs`` as many times as its copies say, with its own columns. A rate is a function of the posterior
     alone, so that the texts are classified once more where they are, and no text is shuffled."""
     names = docs.columns
-    classifier = fit_classifier(docs, labels)
+    classifier = fit_classifier(docs, labels, domain)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
     pull = fit_rates(memberships(docs, shared), classifier.domains, targets)
     placed = docs.withColumn("_mix", membership(F.col("text"), shared)).withColumn("_copies", copies(rate(F.col("_mix.p"), pull), F.col("doc_id")))

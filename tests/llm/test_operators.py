@@ -183,6 +183,15 @@ def test_mixing_small_domains(spark, targets):
         assert got == pytest.approx(want.get(d, 0), abs=0.005)
 
 
+def test_mixing_by_source(spark):
+    """Another column may name the domains; an empty table has no rows."""
+    docs = spark.createDataFrame(_languages({"a": 300, "b": 100}), DOCS).withColumn("source", F.col("lang")).withColumn("lang", F.lit("en"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    rows = mixing.mixing_rates(docs, labels, {"a": 0.5, "b": 0.5}, "source").collect()
+    assert sum(r["n_tokens"] * r["rate"] for r in rows if r["domain"] == "b") / sum(r["n_tokens"] for r in rows) == pytest.approx(0.5, abs=0.01)
+    assert mixing.mixing_rates(docs.limit(0), labels).count() == 0 and mixing.mix(docs.limit(0), labels).count() == 0
+
+
 def test_mixing_many_domains(spark):
     """Every labelled language is a domain, and soft mass counts in full."""
     shares = {f"l{i}x": 30 for i in range(20)} | {"rare": 1}
