@@ -135,7 +135,7 @@ def align_results(claimed: DataFrame, measured: DataFrame) -> DataFrame:
     actual = measured.select("audit_id", F.col("metric").alias("key"), side.alias("code"), "value")
     rows = paper.join(actual, ["audit_id", "key"])
     rows = rows.withColumn("risk", tolerance_band(F.col("num"), F.col("value"))).withColumn("status", F.when(F.col("risk") == "none", "consistent").otherwise("inconsistent"))
-    reason = F.when(F.col("risk") == "none", "").otherwise("实验结果指标与论文声明不符, 是复现失败最直接的信号")
+    reason = F.when(F.col("risk") == "none", "").otherwise("实测指标偏离论文所声明的数值, 结果未能重现")
     rows = rows.withColumn("key", F.concat(F.lit("result_"), "key")).withColumn("risk_reason", reason).withColumn("note", F.lit(""))
     return _finished(rows, "confirmed")
 

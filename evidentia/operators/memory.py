@@ -28,10 +28,10 @@ def entry_size() -> Column:
     return F.length(F.to_json(F.struct("fp", "title", "unresolved", "page_hints")))
 
 
-def split_capacity(store: DataFrame, keep: int = KEEP, most: int = MOST_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(kept in detail, to be folded): the newest, up to a number and a sum of sizes. One store is one bounded list,
-    and the window below holds its entries only."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("last_seen"), "fp")
+def split_capacity(store: DataFrame, keep: int = KEEP, most: int = MOST_CHARS, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept in detail, to be folded): the newest, up to a number and a sum of sizes, of each store; ``by`` names the columns
+    that tell whose store an entry is of. Without them the table is one store, whose window is one task."""
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("last_seen"), "fp")
     sized = store.withColumn("_n", F.row_number().over(order)).withColumn("_c", F.sum(entry_size()).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     fits = (F.col("_n") <= keep) & ((F.col("_c") <= most) | (F.col("_n") == 1))
     return sized.filter(fits).drop("_n", "_c"), sized.filter(~fits).drop("_n", "_c")

@@ -32,7 +32,7 @@ def rank_gap_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def internal_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose lines carry several discounts; suppliers stand for the files."""
-    return G.internal_conflict(table(spark, sf_dir, "lineitem").filter("l_quantity >= 45"), "l_partkey", "l_discount", "l_suppkey")
+    return G.internal_conflict(table(spark, sf_dir, "lineitem"), "l_partkey", "l_discount", "l_suppkey")
 
 
 def distinct_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mention_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First words of benchmark items that no document holds as a word: mentions without values."""
     said = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word <> ''").distinct()
-    found = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).distinct()
+    found = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).distinct()
     return said.join(found, "word", "left_anti")
 
 
@@ -225,7 +225,7 @@ WITH r AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orde
 t AS (SELECT l_orderkey, max(CASE WHEN rn = 1 THEN l_quantity END) AS top, max(CASE WHEN rn = 2 THEN l_quantity END) AS second, count(*) AS n_sites FROM r GROUP BY 1)
 SELECT *, CASE WHEN second IS NULL THEN 'high' WHEN top - second >= 3 THEN 'medium' ELSE 'none' END AS verdict FROM t""",
     "internal_conflict": """
-WITH c AS (SELECT l_partkey, count(DISTINCT l_discount) AS n_values, count(DISTINCT l_suppkey) AS n_carriers FROM lineitem WHERE l_quantity >= 45 AND l_discount IS NOT NULL GROUP BY 1)
+WITH c AS (SELECT l_partkey, count(DISTINCT l_discount) AS n_values, count(DISTINCT l_suppkey) AS n_carriers FROM lineitem WHERE l_discount IS NOT NULL GROUP BY 1)
 SELECT *, CASE WHEN n_carriers > 1 THEN 'low' ELSE 'medium' END AS risk FROM c WHERE n_values > 1""",
     "distinct_first": """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) rn, count(*) OVER (PARTITION BY user_id, event_type) n FROM events)
@@ -246,10 +246,10 @@ WITH u AS (SELECT 'paper' AS side, event_id AS id, value AS v FROM events UNION
 SELECT side, id, CASE WHEN v < 0 THEN 'negative' WHEN v > 1500 THEN 'out of range' ELSE 'too small' END AS reason FROM u WHERE v < 0 OR v > 1500 OR v < 5""",
     "mention_gap": """
 SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM benchmark) WHERE w <> ''
-EXCEPT SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) FROM documents WHERE lang = 'en'""",
+EXCEPT SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) FROM documents""",
     "grounding_semi_join": """
 WITH b AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark), d AS (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)
-SELECT item_id FROM b WHERE len(string_split(b.t, ' ')) > 7 AND EXISTS (SELECT 1 FROM d WHERE contains(d.t, b.t))""",
+SELECT item_id FROM b WHERE EXISTS (SELECT 1 FROM d WHERE contains(d.t, b.t))""",
     "two_run_intersect": "SELECT doc_id, quality FROM labels WHERE toxic = 0 INTERSECT SELECT doc_id, quality FROM labels WHERE quality = 1",
     "html_cells": """
 WITH t AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS l FROM pages)
