@@ -105,8 +105,12 @@ def gate(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     before = F.expr("substring(_e, 1, greatest(locate(value, _e) - 1, 0))")
     after = F.expr("substring(_e, locate(value, _e) + length(value), 60)")
     rows = rows.withColumn("_at", at).withColumn("_b", before).withColumn("_a", after)
+    # evidence may be cut out of a flattened table: its value is looked at once more where the page has it
+    place = F.expr("locate(_e, _t) + _at - 1")
+    rows = rows.withColumn("_pb", F.expr("substring(_t, greatest(locate(_e, _t) + _at - 41, 1), least(40, locate(_e, _t) + _at - 2))")).withColumn("_pa", F.substring("_t", place + F.length("value"), F.lit(40)))
     text_key = F.col("key").isin(*TEXT_VALUED)
-    run = (F.col("_at") > 0) & (F.col("_b").rlike(P.TABLE_NUM + r"\s+$") | F.col("_a").rlike(r"^\s+" + P.TABLE_NUM + r"(?![A-Za-z])"))
+    beside = lambda b, a: F.col(b).rlike(P.TABLE_NUM + r"\s+$") | F.col(a).rlike(r"^\s+" + P.TABLE_NUM + r"(?![A-Za-z])")
+    run = (F.col("_at") > 0) & (beside("_b", "_a") | F.coalesce(beside("_pb", "_pa"), F.lit(False)))
     trap, shape = F.lit(False), F.lit(False)
     for key, pattern in P.SEMANTIC_TRAP.items():
         trap = trap | ((F.col("key") == key) & F.col("_e").rlike(pattern))
@@ -126,7 +130,7 @@ def gate(candidates: DataFrame, pages: DataFrame) -> DataFrame:
         ("shape", shape),
     ])
     out = rows.withColumn("why", F.coalesce(why, F.lit("")))
-    return out.withColumn("ok", F.col("why") == "").drop("_id", "_e", "_t", "_at", "_b", "_a")
+    return out.withColumn("ok", F.col("why") == "").drop("_id", "_e", "_t", "_at", "_b", "_a", "_pb", "_pa")
 
 
 def ladder(gaps: DataFrame, rungs: list[DataFrame], pages: DataFrame) -> DataFrame:

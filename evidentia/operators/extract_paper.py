@@ -247,6 +247,13 @@ def table_claims(cells: DataFrame) -> DataFrame:
     return _claims(out, F.when(num.isNull(), F.lower(F.regexp_replace("raw", r"\s+", ""))), num, "table")
 
 
+def alias_pattern(key: str) -> str:
+    """A pattern of all names of a parameter, in any case."""
+    names = PARAMS[key][1]
+    plain, others = [a.lower() for a in names if not _CJK.search(a)], [re.escape(a) for a in names if _CJK.search(a)]
+    return "(?i)" + "|".join([r"(?<![A-Za-z0-9_])(?:" + "|".join(map(_alias_regex, plain)) + r")(?![A-Za-z0-9_])", *others])
+
+
 def mentioned_kinds(pages: DataFrame) -> DataFrame:
     """(paper_id, key) of parameters that a page names, with or without a value; homonyms do not count."""
     low = pages.select("paper_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))

@@ -39,12 +39,6 @@ def tolerance_band(claimed: Column, measured: Column) -> Column:
     return F.when(gap <= 0.01, "none").when((F.abs(claimed - measured) >= 2.0) | (gap >= 0.05), "high").otherwise("medium")
 
 
-def full_align(paper: DataFrame, code: DataFrame, key: str) -> DataFrame:
-    """All keys of both sides; the sides' columns must have different names."""
-    right = code.withColumnRenamed(key, "_k")
-    return paper.join(right, F.col(key) == F.col("_k"), "full_outer").withColumn(key, F.coalesce(key, "_k")).drop("_k")
-
-
 def distinct_first(df: DataFrame, keys: Sequence[str], value: str, ordinal: Sequence[str]) -> DataFrame:
     """Distinct values of a key with the place where each is first seen."""
     return df.groupBy(*keys, value).agg(F.min(F.struct(*ordinal)).alias("_f"), F.count("*").alias("n")).select(*keys, value, *[F.col(f"_f.{c}").alias(c) for c in ordinal], "n")

@@ -58,6 +58,12 @@ def hint_lines(entries: DataFrame) -> DataFrame:
     return entries.select("fp", line.alias("line"))
 
 
+def digest_lines(folded: DataFrame) -> DataFrame:
+    """What a digest says of each key, for a reader."""
+    line = F.concat("key", F.lit(": 在较早的审计中 "), "times", F.lit(" 次未取到"), F.when(F.size("pages") > 0, F.concat(F.lit(", 曾见于第 "), F.array_join("pages", ", "), F.lit(" 页"))).otherwise(""))
+    return folded.select("key", line.alias("line"))
+
+
 def unresolved_statistics(live: DataFrame, folded: DataFrame, k: int = 6) -> DataFrame:
     """The keys that most often stay unresolved, over detail and digest."""
     now = live.select(F.explode("unresolved").alias("key")).groupBy("key").agg(F.count("*").alias("times"))

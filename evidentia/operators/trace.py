@@ -17,6 +17,8 @@ from ..functions import values as V
 from .align import value_text
 
 MAX_ITEMS = 8
+#: Lines of context on each side of a change.
+AROUND = 3
 # Parts of file names that tell shared, entry and configuration files.
 BASE_HINTS, ENTRY_HINTS, CONFIG_HINTS = "base|common|default|util|abstract", "train|main|run|launch|finetune", "config|cfg|setting"
 
@@ -95,11 +97,11 @@ def still_parses(before: str, after: str) -> bool:
     return True
 
 
-def patches(findings: DataFrame, trace: DataFrame, lines: DataFrame, claims: DataFrame) -> DataFrame:
+def patches(findings: DataFrame, trace: DataFrame, lines: DataFrame, claims: DataFrame, by: str = "rule") -> DataFrame:
     """A draft or a refusal for each traced finding. ``lines`` are (audit_id, file, line, text). The gates are tried in order."""
     several = claims.filter(~F.col("excluded")).groupBy("audit_id", "key").agg(F.countDistinct(value_text()).alias("n_values"))
     source = lines.select(F.col("audit_id").alias("_a"), F.col("file").alias("_f"), F.col("line").alias("_l"), F.col("text").alias("before"))
-    rows = trace.join(findings.select("audit_id", "key", F.col("seq").alias("_s"), "status", "paper"), (trace["audit_id"] == findings["audit_id"]) & (trace["key"] == findings["key"]) & (F.col("seq") == F.col("_s"))).drop(findings["audit_id"]).drop(findings["key"])
+    rows = trace.join(findings.select("audit_id", "key", "seq", "status", "paper"), ["audit_id", "key", "seq"])
     rows = rows.join(several, ["audit_id", "key"], "left").join(source, (F.col("audit_id") == F.col("_a")) & (F.col("file") == F.col("_f")) & (F.col("line") == F.col("_l")), "left")
     raw = F.col("paper.raw_value")
     epochs, steps = "(?i)epoch", "(?i)iteration|step"
@@ -133,8 +135,18 @@ def patches(findings: DataFrame, trace: DataFrame, lines: DataFrame, claims: Dat
     ]
     out = drafted.withColumn("refuse_kind", V.first_reason(gates))
     ok = F.col("refuse_kind").isNull()
-    diff = F.concat(F.lit("--- a/"), "file", F.lit("\n+++ b/"), "file", F.lit("\n@@ -"), "line", F.lit(" +"), "line", F.lit(" @@\n-"), "before", F.lit("\n+"), "d.after")
-    return out.select("audit_id", "key", F.when(ok, "proposed").otherwise("refused").alias("status"), F.coalesce("refuse_kind", F.lit("")).alias("refuse_kind"), F.col("verdict_loc").alias("target"), "before", F.when(ok, F.col("d.after")).alias("after"), F.when(ok, diff).alias("diff"), F.lit("rule").alias("source"), F.lit(True).alias("needs_human"))
+    drafts = out.select("audit_id", "key", "seq", F.when(ok, "proposed").otherwise("refused").alias("status"), F.coalesce("refuse_kind", F.lit("")).alias("refuse_kind"), F.col("verdict_loc").alias("target"), "file", "line", "before", F.when(ok, F.col("d.after")).alias("after"))
+    return drafts.join(_hunks(drafts.filter("after is not null"), lines), ["audit_id", "key", "seq"], "left").select("audit_id", "key", "status", "refuse_kind", "target", "before", "after", "diff", F.lit(by).alias("source"), F.lit(True).alias("needs_human"))
+
+
+def _hunks(drafts: DataFrame, lines: DataFrame, around: int = AROUND) -> DataFrame:
+    """The change of each draft as a unified diff with up to three lines before and after it."""
+    near = lines.select(F.col("audit_id").alias("_a"), F.col("file").alias("_f"), F.explode(F.sequence(F.col("line") - around, F.col("line") + around)).alias("_l"), F.col("line").alias("_at"), "text")
+    met = drafts.join(near, (F.col("audit_id") == F.col("_a")) & (F.col("file") == F.col("_f")) & (F.col("line") == F.col("_l")))
+    shown = F.when(F.col("_at") == F.col("line"), F.concat(F.lit("-"), "before", F.lit("\n+"), "after")).otherwise(F.concat(F.lit(" "), "text"))
+    rows = met.groupBy("audit_id", "key", "seq", "file").agg(F.min("_at").alias("start"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", shown.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
+    span = F.concat("start", F.lit(","), "n")
+    return rows.select("audit_id", "key", "seq", F.concat(F.lit("--- a/"), "file", F.lit("\n+++ b/"), "file", F.lit("\n@@ -"), span, F.lit(" +"), span, F.lit(" @@\n"), "body").alias("diff"))
 
 
 def nominated(nominations: DataFrame, claims: DataFrame, code: DataFrame) -> DataFrame:
@@ -144,3 +156,11 @@ def nominated(nominations: DataFrame, claims: DataFrame, code: DataFrame) -> Dat
     places = sites(code).select("audit_id", "key", "file", "line", F.col("value").alias("verdict"))
     kept = nominations.join(values, ["audit_id", "key", "value"], "left_semi")
     return kept.join(places, ["audit_id", "key", "file", "line"])
+
+
+def nominated_patches(nominations: DataFrame, findings: DataFrame, claims: DataFrame, code: DataFrame, lines: DataFrame) -> DataFrame:
+    """Drafts for what an outside model nominates, through the same gates as those of the rules; a person has to agree."""
+    kept = nominated(nominations, claims, code)
+    first = findings.filter("status = 'inconsistent'").groupBy("audit_id", "key").agg(F.min("seq").alias("seq"))
+    shadow = kept.join(first, ["audit_id", "key"]).select("audit_id", "key", "seq", "verdict", F.concat("file", F.lit(":"), "line").alias("verdict_loc"), "file", "line", F.lit("medium").alias("confidence"))
+    return patches(findings, shadow, lines, claims, "model")

@@ -100,12 +100,21 @@ def refine(plan: Plan, proposals: list[dict], steps: tuple[Step, ...] = STEPS) -
     return Plan([out[s.name] for s in steps], notes)
 
 
-def run_steps(spark: SparkSession, plan: Plan, build: dict[str, Callable[[], object]]) -> tuple[dict[str, object], DataFrame]:
-    """Call the builders of the steps that run, in the order of the plan; a failure is logged and raised."""
+def totals(plan: Plan) -> dict[str, int]:
+    """How many steps of a plan run and how many are skipped."""
+    ran = sum(d.run for d in plan.decisions)
+    return {"ran": ran, "skipped": len(plan.decisions) - ran}
+
+
+def run_steps(spark: SparkSession, plan: Plan, build: dict[str, Callable[[], object]], blank: dict[str, str] | None = None) -> tuple[dict[str, object], DataFrame]:
+    """Call the builders of the steps that run, in the order of the plan; a failure is logged and raised. A skipped step leaves
+    an empty table of its schema in ``blank``, so that what comes after reads it as a step that found nothing."""
     products, log = {}, []
     for d in plan.decisions:
         if not d.run or d.step not in build:
             log.append((d.step, "skipped", 0.0, d.reason))
+            if d.step in (blank or {}):
+                products[d.step] = spark.createDataFrame([], blank[d.step])
             continue
         began = time.monotonic()
         try:
@@ -121,30 +130,34 @@ def log_totals(log: DataFrame) -> DataFrame:
     return log.agg(F.count_if(F.col("status") == "ran").alias("ran"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(F.col("status") == "failed").alias("failed"), F.count("*").alias("nodes"))
 
 
-def run_sharded(items: DataFrame, worker: Callable[[int, str], str], parts: int = 4) -> DataFrame:
-    """Call a Python function on each (i, item) in ``parts`` tasks: (i, result, error) for every item, a failure for its item
-    alone. The order of the result is i, however the items were dealt."""
+def run_sharded(items: DataFrame, worker: Callable[[int, str], str], parts: int = 4, tries: int = 1) -> DataFrame:
+    """Call a Python function on each (i, item) in ``parts`` tasks: (i, result, error) for every item, a failure, after so many
+    tries, for its item alone. The order of the result is i, however the items were dealt."""
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for i, item in zip(pdf["i"], pdf["item"], strict=True):
-                try:
-                    rows.append((i, worker(int(i), item), None))
-                except Exception as e:  # noqa: BLE001  isolation of items is the purpose
-                    rows.append((i, None, f"{type(e).__name__}: {e}"[:200]))
+                result, error = None, None
+                for _ in range(tries):
+                    try:
+                        result, error = worker(int(i), item), None
+                        break
+                    except Exception as e:  # noqa: BLE001  isolation of items is the purpose
+                        error = f"{type(e).__name__}: {e}"[:200]
+                rows.append((i, result, error))
             yield pd.DataFrame(rows, columns=["i", "result", "error"])
 
     return items.select("i", "item").repartition(parts, "i").mapInPandas(call, "i long, result string, error string").orderBy("i")
 
 
-def cached_calls(requests: DataFrame, cache: DataFrame, call: Callable[[int, str], str]) -> tuple[DataFrame, DataFrame]:
+def cached_calls(requests: DataFrame, cache: DataFrame, call: Callable[[int, str], str], tries: int = 1) -> tuple[DataFrame, DataFrame]:
     """Answers of an outside model by the hash of their prompt: (answers, rows to append to the cache). Only misses are called,
     each distinct prompt once. ``requests``: id, mode, prompt; ``cache``: key, answer."""
     key = F.substring(F.sha2(F.concat("mode", F.lit("\x00"), "prompt").cast("binary"), 256), 1, 24)
     keyed = requests.withColumn("key", key)
     newest = cache.groupBy("key").agg(F.max("answer").alias("answer"))
     misses = keyed.join(newest, "key", "left_anti").groupBy("key").agg(F.min("prompt").alias("item"))
-    fresh = run_sharded(misses.withColumn("i", F.xxhash64("key")), call).filter("error is null").join(misses.withColumn("i", F.xxhash64("key")).select("i", "key"), "i").select("key", F.col("result").alias("answer"))
+    fresh = run_sharded(misses.withColumn("i", F.xxhash64("key")), call, tries=tries).filter("error is null").join(misses.withColumn("i", F.xxhash64("key")).select("i", "key"), "i").select("key", F.col("result").alias("answer"))
     answers = keyed.join(newest.unionByName(fresh), "key", "left").select("id", "key", "answer")
     return answers, fresh

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import agent, align, inquiry, memory, score, trace, verify
+from ..operators import agent, align, explain, inquiry, memory, score, trace, verify
 from ..operators import extract_paper as paper
 from ..operators.extract_code import code_evidence
 from .align import table
@@ -362,10 +362,41 @@ def value_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def explained_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of explanation of each finding, and the ratio of its values where it is large."""
+    return explain.explanations(_findings(spark, sf_dir)).select("audit_id", "seq", "kind", "ratio", (F.length("explanation") > 0).alias("told"))
+
+
+def excerpts_to_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that name an open parameter, until there are enough, and the pages to read again for it."""
+    n = F.col("n")
+    said = F.concat(F.repeat(F.lit("The momentum is what we tune here. "), n % 4), F.lit("Nothing else is said on it."))
+    parts = _parts(spark, sf_dir)
+    pages = _pages(parts, said, F.lit("A page with other things on it."), said, said, said)
+    gaps = parts.select("paper_id", F.lit("momentum").alias("key"))
+    quoted = explain.excerpts(pages, gaps)
+    read = explain.pages_to_read(pages, gaps).groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list("page_no")), ",").alias("pages"))
+    lines = F.size(F.split("excerpts", "\n"))
+    return quoted.join(read, "paper_id").select("paper_id", lines.alias("n"), F.substring_index(F.substring_index("excerpts", "]", 1), " ", -1).cast("int").alias("first"), F.regexp_extract("excerpts", r"(?s).*\[Page (\d+)\]", 1).cast("int").alias("last"), "pages")
+
+
+def listed_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of each source's coverage with their numbers and lengths."""
+    docs = table(spark, sf_dir, "documents")
+    audits = docs.select(F.col("source").alias("audit_id"), F.col("source").alias("paper_id")).distinct()
+    pages = docs.select(F.col("source").alias("paper_id"), F.col("doc_id").alias("page_no"), "text")
+    of = lambda n: F.explode(F.sequence(F.lit(1), F.lit(n)))
+    name = lambda df: df.withColumn("file", F.format_string("f%03d", "i"))
+    kinds = audits.select("paper_id", of(17).alias("i")).select("paper_id", F.format_string("k%02d", "i").alias("key"))
+    listed = explain.coverage_lists(audits, pages, kinds, name(audits.select("audit_id", of(25).alias("i"))), name(audits.select("audit_id", of(3).alias("i"))))
+    return listed.select("audit_id", "list", "n", F.array_join("items", ",").alias("items"))
+
+
 _NAMES = [
     numeric_claims, rejected_claims, text_claims, claimed_results, table_rows, mentioned_parameters, code_values, failed_code, aligned_parameters, conflicting_values,
     image_findings, gated_candidates, ladder_fills, checked_findings, snippets_show, audit_readiness, audit_coverage, carriers, effective_sites, patch_gates,
     asked_and_answered, repeat_pack, manual_list, main_issues, remembered, folded_memory, value_functions,
+    explained_findings, excerpts_to_quote, listed_coverage,
 ]
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -485,4 +516,17 @@ WITH {_P} SELECT id AS paper_id, CASE k % 4 WHEN 0 THEN 'src/train_' || n || '.p
   CASE k % 3 WHEN 0 THEN 'batch_size' WHEN 1 THEN 'learning_rate' END AS key, CASE WHEN n % 2 = 0 THEN cast(n // 2 AS varchar) ELSE cast(n / 2 AS varchar) END AS shown, 2 * n AS times, k % 2 = 0 AS same,
   starts_with(cast(n AS varchar), '1') AS alike, CASE WHEN k % 2 = 0 THEN 'Julia' END AS language, k % 2 = 0 AS cjk, substr(sha1('i' || n || 'mp'), 1, 16) AS region, n <= 40 AS plausible,
   CASE k % 4 WHEN 0 THEN 'entry' WHEN 2 THEN 'config' ELSE 'other' END AS site FROM p""",
+    "explained_findings": f"""
+WITH {_SIDES}, e AS (SELECT a, seq, CASE status WHEN 'internal_inconsistent' THEN 'internal' WHEN 'inconsistent' THEN 'other' ELSE status END AS kind, claimed::double AS p, coded::double AS c FROM findings WHERE status <> 'consistent')
+SELECT a AS audit_id, seq, kind, CASE WHEN kind = 'other' AND greatest(p, c) / least(p, c) >= 5 THEN greatest(p, c) / least(p, c) END AS ratio, true AS told FROM e""",
+    "excerpts_to_quote": f"""
+WITH {_P}, u AS (SELECT id, n % 4 AS m FROM p WHERE n % 4 > 0)
+SELECT id AS paper_id, CASE m WHEN 1 THEN 4 WHEN 2 THEN 6 ELSE 6 END AS n, 1 AS first, CASE m WHEN 1 THEN 5 WHEN 2 THEN 4 ELSE 3 END AS last, '1,3' AS pages FROM u""",
+    "listed_coverage": """
+WITH s AS (SELECT DISTINCT source FROM documents), t AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents WHERE length(trim(text)) < 120),
+n AS (SELECT unnest(range(1, 26)) AS i)
+SELECT source AS audit_id, 'thin' AS list, count(*) AS n, string_agg(cast(doc_id AS varchar), ',' ORDER BY doc_id) FILTER (rn <= 20) AS items FROM t GROUP BY 1
+UNION ALL SELECT source, 'open', 17, (SELECT string_agg('k' || lpad(cast(i AS varchar), 2, '0'), ',' ORDER BY i) FROM n WHERE i <= 15) FROM s
+UNION ALL SELECT source, 'failed', 25, (SELECT string_agg('f' || lpad(cast(i AS varchar), 3, '0'), ',' ORDER BY i) FROM n WHERE i <= 20) FROM s
+UNION ALL SELECT source, 'unsupported', 3, 'f001,f002,f003' FROM s""",
 }

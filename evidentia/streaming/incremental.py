@@ -1,4 +1,4 @@
-"""Pages that keep arriving: evidence of each micro-batch is appended, and a paper's counts are kept up to date."""
+"""Pages that keep arriving: the evidence of a paper is decided anew over all its pages whenever some of them arrive."""
 
 from __future__ import annotations
 
@@ -17,19 +17,31 @@ def page_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(PAPER_PAGES).parquet(folder)
 
 
-def watch(pages: DataFrame, evidence_path: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Append the evidence of every batch. The batch id is part of the path, so that a batch that is repeated after a failure
-    overwrites what it had written."""
+def watch(pages: DataFrame, store: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Keep the pages of every batch below ``store``, and write the evidence of the papers that the batch touches, over all their
+    pages so far: which page is the first, which value fills a gap and which data set is meant depend on all of them. The batch
+    id is part of both paths, so that a batch that is repeated after a failure overwrites what it had written."""
 
     def one(batch: DataFrame, number: int) -> None:
-        found = paper_evidence(batch)["evidence"]
-        found.write.mode("overwrite").parquet(f"{evidence_path}/batch={number}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{store}/pages/batch={number}")
+        kept = spark.read.schema(f"{PAPER_PAGES}, batch bigint").parquet(f"{store}/pages").filter(F.col("batch") <= number)
+        touched = kept.filter(F.col("batch") == number).select("paper_id").distinct()
+        newest = kept.join(touched, "paper_id", "left_semi").groupBy("paper_id", "page_no").agg(F.max_by(F.struct("text", "n_images"), "batch").alias("p"))
+        found = paper_evidence(newest.select("paper_id", "page_no", "p.text", "p.n_images"))["evidence"]
+        found.write.mode("overwrite").parquet(f"{store}/evidence/batch={number}")
         if then is not None:
             then(found, number)
 
     return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_evidence(spark: SparkSession, store: str) -> DataFrame:
+    """The evidence of each paper as of the last batch that brought pages of it."""
+    last = spark.read.schema(f"{PAPER_PAGES}, batch bigint").parquet(f"{store}/pages").groupBy(F.col("paper_id").alias("owner_id")).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{store}/evidence").withColumn("batch", F.col("batch").cast("bigint")).join(last, ["owner_id", "batch"], "left_semi").drop("batch")
+
+
 def running_coverage(pages: DataFrame) -> DataFrame:
     """Pages and thin pages of each paper so far; the state is two counts a paper."""
     return pages.groupBy("paper_id").agg(F.count("*").alias("pages"), F.count_if(V.is_thin(F.coalesce("text", F.lit("")))).alias("thin"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import agent, inquiry, memory, trace
+from evidentia import cli
+from evidentia.operators import agent, explain, inquiry, memory, trace
 from evidentia.plans.audit import audit
-from evidentia.plans.planner import refine, rule_plan, run_sharded
+from evidentia.plans.planner import refine, rule_plan, run_sharded, run_steps, totals
 from evidentia.sinks.report import markdown
 from evidentia.sources.code import code_lines, files_from_text, sanitize
 from evidentia.sources.paper import pages_from_text
@@ -129,3 +132,62 @@ def test_nothing(spark):
     out = audit(spark, audits, pages_from_text(spark, {"P": [""]}))
     assert out["findings"].count() == 0 and out["coverage"].first()["pages_parsed"] == 0
     assert out["readiness"].filter("category = 'total'").first()["score"] is None
+
+
+def test_explanations(spark, tables):
+    findings = tables["findings"].filter("audit_id = 'a'")
+    plain, none = explain.explain(findings)
+    by = {r["key"]: r for r in plain.collect()}
+    assert none is None and by["learning_rate"]["ratio"] == pytest.approx(10) and "10.0 倍" in by["learning_rate"]["explanation"] and by["seed"]["kind"] == "missing_in_code" or by["seed"]["kind"] == "seed"
+    asked = explain.prompts(findings)
+    key = F.substring(F.sha2(F.concat("mode", F.lit("\x00"), "prompt").cast("binary"), 256), 1, 24)
+    cache = asked.filter("key = 'dataset'").select(key.alias("key"), F.lit("known").alias("answer"))
+
+    def call(_, prompt):
+        if "Learning Rate" in prompt:
+            raise RuntimeError("no answer")
+        return "said"
+
+    rows, fresh = explain.explain(findings, cache, call)
+    got = {r["key"]: (r["source"], r["explanation"]) for r in rows.collect()}
+    assert got["dataset"] == ("model", "known") and got["learning_rate"][0] == "template" and got["model"] == ("model", "said")
+    assert fresh.filter("answer = 'said'").count() == len(got) - 2
+
+
+def test_outcomes_and_blank_products(spark, tables):
+    traces = trace.traces(tables["findings"], tables["code_evidence"])
+    drafts = spark.createDataFrame([("a", "proposed"), ("a", "refused")], "audit_id string, status string")
+    fills = spark.createDataFrame([("a", True), ("a", False)], "audit_id string, ok boolean")
+    said = {(r["audit_id"], r["step"]): r["outcome"] for r in explain.outcomes(tables["coverage"], tables["findings"], traces, drafts, fills).collect()}
+    assert said["a", "patch"] == "2 个参数, 1 份草案" and said["a", "parse_paper"].startswith("3/3 页") and ("b", "patch") not in said
+    plan = refine(rule_plan(has_code=False, pages=3, can_read_images=False), [])
+    done, log = run_steps(spark, plan, {}, {"trace": "audit_id string", "patch": "audit_id string"})
+    assert done["trace"].count() == 0 and done["patch"].columns == ["audit_id"]
+    assert totals(plan)["ran"] + totals(plan)["skipped"] == log.count()
+
+
+def test_nominated_patches(spark, tables):
+    lines = code_lines(tables["files"]).join(tables["audits"].select("audit_id", "code_id"), "code_id")
+    named = spark.createDataFrame([("b", "learning_rate", "1e-4", "train.py", 1), ("b", "learning_rate", "0.5", "train.py", 1), ("b", "learning_rate", "1e-4", "train.py", 99)], "audit_id string, key string, value string, file string, line int")
+    got = trace.nominated_patches(named, tables["findings"], tables["paper_evidence"], tables["code_evidence"], lines).collect()
+    assert [(r["status"], r["after"], r["source"], r["needs_human"]) for r in got] == [("proposed", "LEARNING_RATE = 0.0001", "model", True)]
+    assert got[0]["diff"].split("\n")[:5] == ["--- a/train.py", "+++ b/train.py", "@@ -1,4 +1,4 @@", "-LEARNING_RATE = 0.001", "+LEARNING_RATE = 0.0001"] and got[0]["diff"].split("\n")[5] == " BATCH_SIZE = 32"
+
+
+def test_flattened_table_in_the_page(spark):
+    """Evidence that is cut out of a row of numbers is refused by its page."""
+    pages = pages_from_text(spark, {"P": ["Methods A B\nEpochs\n300 300 Batch size 4096 1024 2048 more."]})
+    c = [("P", 1, "batch_size", "300", "300 Batch size"), ("P", 1, "batch_size", "4096", "Batch size 4096")]
+    got = {r["value"]: r["why"] for r in agent.gate(spark.createDataFrame(c, "paper_id string, page_no int, key string, value string, evidence string"), pages).collect()}
+    assert got == {"300": "flattened_table", "4096": "flattened_table"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "pages.json").write_text(json.dumps(PAGES), encoding="utf-8")
+    (tmp_path / "code").mkdir()
+    for _, name, text in DEMO:
+        (tmp_path / "code" / name).write_text(text, encoding="utf-8")
+    (tmp_path / "results.json").write_text('{"accuracy": 91.7}')
+    cli.main([str(tmp_path / "pages.json"), str(tmp_path / "code"), str(tmp_path / "results.json"), "--out", str(tmp_path / "out")])
+    said = capsys.readouterr().out
+    assert "Learning Rate: inconsistent (high)" in said and (tmp_path / "out" / "report.md").read_text(encoding="utf-8").startswith("# Audit")
