@@ -3,11 +3,11 @@
 Every text gives a vector of statistics, each transformed so that it has a like spread at every length:
 the logarithm of its mean word length (drawn to 5 characters by 50 words), the root of its symbols per
 word, its share of repeated lines, and its share of words in repeated windows. For each language and
-source a minimum-covariance-determinant estimate is made of these by concentration steps: from medians
-and fixed spreads, the half of the rows with the smallest distance give a mean and a covariance
-(made consistent for the normal law and raised by a small fixed spread, so that it is never singular),
-which give new distances, until the determinant of every group's covariance settles (a warning tells if it
-does not). The estimate is then made once more from all rows within ``NEAR`` of it, as is usual, which is
+source a minimum-covariance-determinant estimate is made of these by concentration steps: the half of the rows
+with the smallest distance give a mean and a covariance (made consistent for the normal law and raised by a small
+fixed spread, so that it is never singular), which give new distances. ``STARTS`` starts (medians with fixed spreads,
+medians with quartile ranges, lower quartiles) make ``TRIALS`` steps each; that of the least determinant is kept in each
+group, and goes on until the determinant settles (a warning tells if it does not). The estimate is then made once more from all rows within ``NEAR`` of it, as is usual, which is
 more efficient and keeps the breakdown point of the half: near 50 %. A document is rejected when its squared Mahalanobis distance is beyond
 ``CUTOFF``, and also when it fails the base rules.
 
@@ -40,6 +40,8 @@ CUTOFF = 28.47
 SUBSET, LEAST = 0.5, 40
 #: Squared distance within which a normal vector of four lies with the share ``NEAR_SHARE``.
 NEAR, NEAR_SHARE = 11.143, 0.975
+#: Starts of each group, steps before the best is kept.
+STARTS, TRIALS = 3, 2
 #: Most concentration steps; change in the logarithm of a determinant that counts as none.
 STEPS, SETTLED = 40, 1e-3
 #: Parts that the rows of a group are joined in.
@@ -196,9 +198,25 @@ def _subset(rows: DataFrame, keys: list[str]) -> DataFrame:
     return joined.withColumn("weight", F.when(F.col("bin") == F.col("limit"), F.col("part")).otherwise(F.lit(1.0)))
 
 
+def _determinant() -> Column:
+    """The logarithm of an estimate's determinant."""
+    return sum((2 * F.log(f"l{i}{i}") for i in range(_P)), F.lit(0.0))
+
+
+def _starts(sound: DataFrame) -> DataFrame:
+    """First estimates of the groups that have enough rows: mean and a diagonal factor for each start."""
+    quarters = sound.groupBy("g").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 10_000).alias(f"p{i}") for i in range(_P)], F.count("*").alias("n_g")).filter(F.col("n_g") >= LEAST)
+    at = lambda i, k: F.get(f"p{i}", F.lit(k))
+    fixed = [F.lit(FLOORS[i] * 2) for i in range(_P)]
+    ranges = [F.sqrt(((at(i, 2) - at(i, 0)) / 1.349) ** 2 + FLOORS[i] ** 2) for i in range(_P)]
+    forms = [([at(i, 1) for i in range(_P)], fixed), ([at(i, 1) for i in range(_P)], ranges), ([at(i, 0) for i in range(_P)], fixed)]
+    rows = [F.struct(F.lit(k).alias("start"), *[m[i].alias(f"m{i}") for i in range(_P)], *[(d[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(_P) for j in range(i + 1)]) for k, (m, d) in enumerate(forms[:STARTS])]
+    return quarters.select("g", F.explode(F.array(*rows)).alias("e")).select("g", "e.*")
+
+
 def _settled(before: DataFrame, after: DataFrame, keys: list[str]) -> bool:
     """Whether no group's determinant has changed."""
-    size = lambda d: d.select(*keys, sum((2 * F.log(f"l{i}{i}") for i in range(_P)), F.lit(0.0)).alias("det"))
+    size = lambda d: d.select(*keys, _determinant().alias("det"))
     both = size(before).withColumnRenamed("det", "was").join(size(after), keys)
     return (both.agg(F.max(F.abs(F.col("det") - F.col("was"))).alias("x")).first()["x"] or 0.0) <= SETTLED
 
@@ -229,10 +247,15 @@ def robust_verdicts(stats: DataFrame) -> DataFrame:
     rows = rows.select("*", *[x.alias(f"x{i}") for i, x in enumerate(statistic_vector())])
     grouped = cut(_pooled_groups(rows), "rules-groups")
     sound = grouped.filter(~F.col("base_failed"))
+    keys = ["g", "start"]
+    tried = sound.withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
+    estimates = cut(_starts(sound), "rules-start")
+    for trial in range(TRIALS):
+        measured = _distance(tried, estimates, keys).filter(F.col("d2").isNotNull())
+        estimates = cut(_with_factor(_moments(_subset(measured, keys), keys), keys, SUBSET), f"rules-trial{trial}")
     keys = ["g"]
-    medians = sound.groupBy("g").agg(*[F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(_P)], F.count("*").alias("n_g"))
-    start = medians.filter(F.col("n_g") >= LEAST).select("g", *[f"m{i}" for i in range(_P)], *[F.lit(float(FLOORS[i] * 2 if i == j else 0)).alias(f"l{i}{j}") for i in range(_P) for j in range(i + 1)])
-    estimates = cut(start, "rules-start")
+    best = Window.partitionBy("g").orderBy(_determinant(), "start")
+    estimates = cut(estimates.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place", "start"), "rules-best")
     for step in range(STEPS):
         measured = _distance(sound, estimates, keys).filter(F.col("d2").isNotNull())
         before, estimates = estimates, cut(_with_factor(_moments(_subset(measured, keys), keys), keys, SUBSET), f"rules-step{step}")

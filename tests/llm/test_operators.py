@@ -143,6 +143,44 @@ def test_quality_rules_third_of_junk(spark, copies):
     assert all(r["kept"] for r in got if r["doc_id"] < 9000)
 
 
+def test_quality_rules_against_brute_force(spark):
+    """Distances and verdicts are those of a plain estimate with exact halves from many random starts."""
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("abcdeiou") for _ in range(rng.randint(1, 9))) for _ in range(900)]
+    texts = []
+    for i in range(700):
+        words = [rng.choice(vocab) + ("#" if rng.random() < 0.01 else "") for _ in range(rng.randint(40, 300))]
+        lines = [" ".join(words[k : k + 12]) for k in range(0, len(words), 12)]
+        texts.append("\n".join(lines + lines[:1] * (i % 3 == 0)) if i % 5 else " ".join(w + "$$$" for w in words))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    rows = quality_rules.robust_verdicts(quality_rules.base_statistics(docs)).orderBy("doc_id").collect()
+    x = np.array([[math.log((r["word_chars"] + 250) / (r["n_words"] + 50)), math.sqrt(r["n_symbols"] / (r["n_words"] + 50)), r["n_dup_lines"] / (r["n_lines"] + 5), r["n_repeat_words"] / (r["n_words"] + 50)] for r in rows])
+    sound = np.array([not r["base_failed"] for r in rows])
+    floor = np.diag(np.square(quality_rules.FLOORS))
+
+    def estimate(part, share):
+        mean = part.mean(axis=0)
+        return mean, quality_rules._consistency(share) * ((part - mean).T @ (part - mean) / len(part)) + floor
+
+    distance = lambda m, c: np.einsum("ij,ij->i", x - m, np.linalg.solve(c, (x - m).T).T)
+    half, best = sound.sum() // 2, None
+    for seed in range(40):
+        m, c = estimate(x[np.random.default_rng(seed).choice(np.flatnonzero(sound), 12, replace=False)], 0.5)
+        for _ in range(60):
+            near = np.argsort(np.where(sound, distance(m, c), np.inf))[:half]
+            m, c = estimate(x[near], 0.5)
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = (np.linalg.slogdet(c)[1], m, c)
+    d = distance(*best[1:])
+    d = distance(*estimate(x[sound & (d <= quality_rules.NEAR)], quality_rules.NEAR_SHARE))
+    got = np.array([r["d2"] for r in rows])
+    clear = np.abs(d - quality_rules.CUTOFF) > 3  # the halves are cut within a bin of distances, so that distances differ a little
+    assert clear.mean() > 0.9
+    assert ([r["kept"] for r in rows] == ((d <= quality_rules.CUTOFF) & sound))[clear].all()
+    assert np.median(np.abs(got - d) / (d + 1)) < 0.1
+    assert sum(not r["kept"] for r in rows) >= 130
+
+
 def test_consistency_factor():
     x = np.random.default_rng(0).normal(size=(400_000, 4))
     d = (x**2).sum(axis=1)
