@@ -34,7 +34,7 @@ from .kernels import text_slices
 from .session import bounded_batches, table
 
 #: Entries a worker keeps of pre-tokens, and of compatible pairs, before it starts anew.
-WORD_CACHE, PAIR_CACHE = 400_000, 1_000_000
+WORD_CACHE, PAIR_CACHE = 120_000, 300_000
 
 #: Characters of a text, and tokens, that are worked through at once.
 LONG, PART = 1 << 20, 1 << 18

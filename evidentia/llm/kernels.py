@@ -81,6 +81,8 @@ def text_slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20) -
         stop = min(n, max(start + 1, stop))
         yield start, stop, raw[off[start] : off[stop]], off[start : stop + 1] - off[start]
         start = stop
+    del column, data, raw
+    pa.default_memory_pool().release_unused()  # what is freed goes back before the next batch comes
 
 
 #: Bytes that words are looked for in at once.

@@ -34,6 +34,8 @@ BLOCK, CHUNK, STEP = 64, 4, 3
 PAD = 512
 #: Bytes of a run of texts beyond which it is worked through by so many blocks of one text at a time.
 LONG, AT_ONCE = 4 << 20, 4096
+#: Bytes of texts that are scored together.
+SCORED = 1 << 19
 
 
 class ByteConvNet:
@@ -230,7 +232,7 @@ def score_texts(text: Column, shared) -> Column:
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
         net = shared.value
-        found = [net.scores(raw, offsets) for _, _, raw, offsets in text_slices(column)]
+        found = [net.scores(raw, offsets) for _, _, raw, offsets in text_slices(column, SCORED)]
         return pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
     return score(text)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Most rows of two numbers that are sent to every executor (some 50 MB there); more are joined by a shuffle.
 SENT_ROWS = 1_000_000
 #: Bytes of one Arrow batch sent to a Python worker; bounds a worker's memory when texts are long.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
