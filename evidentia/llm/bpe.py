@@ -17,6 +17,7 @@ an output column is replaced.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -30,11 +31,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .kernels import text_slices
+from .kernels import held, text_slices
 from .session import bounded_batches, table
 
 #: Entries a worker keeps of pre-tokens, and of compatible pairs, before it starts anew.
-WORD_CACHE, PAIR_CACHE = 120_000, 300_000
+WORD_CACHE, PAIR_CACHE = 60_000, 150_000
 
 #: Characters of a text, and tokens, that are worked through at once.
 LONG, PART = 1 << 20, 1 << 18
@@ -98,9 +99,7 @@ class BacktrackingBPE:
         model = spec["model"]
         if model["end_of_word_suffix"] != END:
             raise ValueError("the vocabulary needs the suffix </w> at the end of words")
-        self._library = Tokenizer.from_str(source)
-        self._library.no_truncation()
-        self._library.no_padding()
+        self._source = source
         self._alphabet = dict(enumerate(byte_alphabet()))
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")") if self._special else None
@@ -132,6 +131,11 @@ class BacktrackingBPE:
         self._spoken = OffsetTable([n.encode() + b" " for n in names])
         self._forget()
 
+    @functools.cached_property
+    def _library(self) -> Tokenizer:
+        """The library's normaliser and splitter, made when a text first needs them."""
+        return Tokenizer.from_str(self._source)
+
     @staticmethod
     def _inner(piece: str) -> str:
         """A piece with its end-of-word mark folded into the last symbol."""
@@ -322,15 +326,9 @@ class BacktrackingBPE:
         return out[0], out[1]
 
 
-_READY: dict[str, BacktrackingBPE] = {}
-
-
 def _worker_encoder(vocabulary) -> BacktrackingBPE:
     source = vocabulary.value
-    name = hashlib.sha256(source.encode()).hexdigest()
-    if name not in _READY:
-        _READY[name] = BacktrackingBPE(source)
-    return _READY[name]
+    return held(("bpe", hashlib.sha256(source.encode()).hexdigest()), lambda: BacktrackingBPE(source))
 
 
 def broadcast_vocabulary(spark: SparkSession, path: str):
@@ -340,8 +338,8 @@ def broadcast_vocabulary(spark: SparkSession, path: str):
 
 
 def _runs(column: pa.Array):
-    """Lists of texts of about a megabyte each; a null is an empty text."""
-    for start, stop, _, _ in text_slices(column):
+    """Lists of texts of about half a megabyte each; a null is an empty text."""
+    for start, stop, _, _ in text_slices(column, 1 << 19):
         yield [t or "" for t in column.slice(start, stop - start).to_pylist()]
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .kernels import distinct_by_row, mix64, text_slices, windows, word_pieces, words
+from .kernels import distinct_by_row, held, mix64, text_slices, windows, word_pieces, words
 from .session import SENT_ROWS, bounded_batches, cut, shared_folder, table, without
 from .shared_arrays import mapped, pack, save, unpack
 
@@ -73,6 +73,7 @@ class Rule:
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows with their distinct n-gram hashes and the row (in the run) of each, ordered by row and hash."""
+    held("sets", lambda: None)
     for start, stop, raw, offsets in text_slices(column):
         if stop - start == 1:
             hashed = _long_set(raw, offsets, width)

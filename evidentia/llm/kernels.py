@@ -6,7 +6,7 @@ one array, so the cost per byte is a few numpy passes and no Python object is ma
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,18 @@ _LOWER[65:91] += 32
 _ROOT = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps between batches, made when it is first asked for. A worker is reused by the stages of all
+    operators and keeps one thing only: the next operator's model takes the place of the last one's."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def _random_words(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, size=n, dtype=np.uint64)
 

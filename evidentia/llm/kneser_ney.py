@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import mix64, text_slices, word_pieces, words
+from .kernels import held, mix64, text_slices, word_pieces, words
 from .session import bounded_batches, shared_folder, table
 from .shared_arrays import HashTable, pack, save, shard_bits, shard_file, sum_by_key, unpack
 
@@ -327,14 +327,8 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "s.n_tokens", "s.n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "s.base_score", "s.score")
 
 
-_MODELS: dict[str, KneserNey] = {}
-
-
 def _opened(model: dict) -> KneserNey:
-    if model["folder"] not in _MODELS:
-        _MODELS.clear()
-        _MODELS[model["folder"]] = KneserNey(model)
-    return _MODELS[model["folder"]]
+    return held(("lm", model["folder"]), lambda: KneserNey(model))
 
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import text_slices, word_pieces, words
+from .kernels import held, text_slices, word_pieces, words
 from .session import bounded_batches, cut, table
 
 #: Labelled rows that the classifier is fitted on, those that each domain has at least where it has as many, and characters of each.
@@ -102,6 +102,7 @@ def membership(text: Column, shared) -> Column:
 
     @F.arrow_udf("struct<n:bigint,p:array<double>>")
     def of(column: pa.Array) -> pa.Array:
+        held("domains", lambda: None)  # other operators' models go
         model = shared.value
         parts = [model.posteriors(raw, offsets) for _, _, raw, offsets in text_slices(column)]
         n = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int64)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kernels import text_slices, word_pieces
+from .kernels import held, text_slices, word_pieces
 from .session import bounded_batches, table
 
 SAMPLE, SAMPLE_CHARS, PIECES = 600, 16_384, 4
@@ -231,6 +231,7 @@ def score_texts(text: Column, shared) -> Column:
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
+        held("net", lambda: None)  # other operators' models go
         net = shared.value
         found = [net.scores(raw, offsets) for _, _, raw, offsets in text_slices(column, SCORED)]
         return pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import text_slices
+from .kernels import held, text_slices
 from .session import bounded_batches, table
 
 #: Nodes a worker's trie may hold before it starts anew; a longer word is counted without the trie, which it would fill.
@@ -119,16 +119,9 @@ def parts(text: str) -> Iterator[str]:
     yield text[start:]
 
 
-_TRIES: dict[int, UnigramTrie] = {}
-
-
 def _trie(shared) -> UnigramTrie:
     scores = shared.value
-    key = hash((len(scores), sum(scores.values())))
-    if key not in _TRIES:
-        _TRIES.clear()
-        _TRIES[key] = UnigramTrie(scores)
-    return _TRIES[key]
+    return held(("trie", len(scores), sum(scores.values())), lambda: UnigramTrie(scores))
 
 
 def count_tokens(docs: DataFrame, scores: dict[str, int]) -> DataFrame:
