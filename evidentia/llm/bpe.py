@@ -35,7 +35,7 @@ from .kernels import held, text_slices
 from .session import bounded_batches, table
 
 #: Entries a worker keeps of pre-tokens, and of compatible pairs, before it starts anew.
-WORD_CACHE, PAIR_CACHE = 120_000, 300_000
+WORD_CACHE, PAIR_CACHE = 250_000, 600_000
 
 #: Characters of a text, and tokens, that are worked through at once.
 LONG, PART = 1 << 20, 1 << 18
