@@ -22,7 +22,7 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -34,8 +34,8 @@ from tokenizers import Tokenizer
 from .kernels import held, text_slices
 from .session import bounded_batches, table
 
-#: Entries a worker keeps of pre-tokens, and of compatible pairs, before it starts anew.
-WORD_CACHE, PAIR_CACHE = 250_000, 600_000
+#: Runs whose ids a worker keeps, before all but the half that was used most often make room; pairs it keeps before it starts anew.
+WORD_CACHE, PAIR_CACHE = 250_000, 400_000
 
 #: Characters of a text, and tokens, that are worked through at once.
 LONG, PART = 1 << 20, 1 << 18
@@ -73,6 +73,17 @@ def parts(text: str) -> Iterator[str]:
     yield text[start:]
 
 
+class _Known(dict):
+    """Table keys of runs; ``learn`` gives the key of a run that is not there yet."""
+
+    def __init__(self, learn: Callable[[str], int]) -> None:
+        super().__init__()
+        self._learn = learn
+
+    def __missing__(self, run: str) -> int:
+        return self._learn(run)
+
+
 class OffsetTable:
     """Byte strings end to end with their offsets; ``gather`` joins the strings of many keys at once."""
 
@@ -129,7 +140,9 @@ class BacktrackingBPE:
             names[i] = piece
         self._decimal = OffsetTable([b"%d " % i for i in range(len(names))])
         self._spoken = OffsetTable([n.encode() + b" " for n in names])
-        self._forget()
+        self._key = _Known(self._learn)
+        self._flat, self._ends = array("i"), array("q", [0])
+        self._uses = np.zeros(0, np.int64)
 
     @functools.cached_property
     def _library(self) -> Tokenizer:
@@ -141,11 +154,20 @@ class BacktrackingBPE:
         """A piece with its end-of-word mark folded into the last symbol."""
         return piece[: -len(END) - 1] + chr(ord(piece[-len(END) - 1]) + _FINAL) if piece.endswith(END) and len(piece) > len(END) else piece
 
-    def _forget(self) -> None:
-        self._key: dict[str, int] = {}
-        self._words: dict[str, list[int]] = {}
-        self._flat = array("i")
-        self._ends = array("q", [0])
+    def _make_room(self) -> None:
+        """Keep the runs that were used more than once, half the cache at most and those used most; older uses count half."""
+        self._uses.resize(len(self._key), refcheck=False)
+        order = np.argsort(-self._uses, kind="stable")[: WORD_CACHE // 2]
+        kept = np.sort(order[self._uses[order] > 1])
+        ends, flat = np.frombuffer(self._ends, dtype=np.int64), np.frombuffer(self._flat, dtype=np.int32)
+        start, size = ends[kept], ends[kept + 1] - ends[kept]
+        stop = np.concatenate(([0], np.cumsum(size)))
+        ids = flat[np.arange(stop[-1]) + np.repeat(start - stop[:-1], size)]
+        names = list(self._key)  # in the order of their keys
+        self._key.clear()
+        self._key.update((names[k], n) for n, k in enumerate(kept.tolist()))
+        self._flat, self._ends = array("i", ids.astype(np.int32).tobytes()), array("q", stop.astype(np.int64).tobytes())
+        self._uses = self._uses[kept] // 2
 
     def _merged(self, symbols: list[str]) -> list[str]:
         """What the merges leave of a few symbols; only tables are filled from it."""
@@ -204,11 +226,25 @@ class BacktrackingBPE:
             self._shorter[token] = known
         return known
 
+    def _greedy(self, word: str) -> list[int] | None:
+        """The longest match at each place after the last one, where these spell the word and all neighbours are
+        compatible: no other row of tokens is, so it is the answer. None otherwise."""
+        out, at, last, known = [], 0, None, self._compatible
+        for end, (size, token) in self._automaton.iter_long(word):
+            if end - size + 1 != at or not (known.get((last, token)) or self._fits(last, token)):
+                return None
+            out.append(token)
+            last, at = token, end + 1
+        return out if at == len(word) else None
+
     def encode_pretoken(self, symbols: str) -> list[int]:
         """Ids of one pre-token that is given in the byte alphabet."""
         word = symbols[:-1] + chr(ord(symbols[-1]) + _FINAL)
         if word in self._form and self._fits(None, self._form[word]):
             return [self._form[word]]
+        greedy = self._greedy(word)
+        if greedy is not None:
+            return greedy
         n = len(word)
         longest: list[tuple[int, int]] = [(0, -1)] * n
         for end, found in self._automaton.iter(word):
@@ -236,17 +272,18 @@ class BacktrackingBPE:
                 raise ValueError(f"the vocabulary cannot spell {symbols!r}")
         return out
 
-    def _learn(self, chunk: str, mapped: bool) -> int:
-        """Encode a run without white space (or, mapped, a pre-token in the byte alphabet) and keep its ids."""
-        key = self._key[chunk] = len(self._ends) - 1
-        if mapped:
+    def _learn(self, chunk: str) -> int:
+        """Encode a run without white space (or, after a "\\0", a pre-token in the byte alphabet) and keep its ids."""
+        if chunk[0] == "\0":
             self._flat.extend(self.encode_pretoken(chunk[1:]))
         else:
-            for pretoken in _PRETOKEN.findall(chunk):
-                ids = self._words.get(pretoken)
-                if ids is None:
-                    ids = self._words[pretoken] = self.encode_pretoken("".join(map(self._alphabet.__getitem__, pretoken.encode())))
-                self._flat.extend(ids)
+            found = _PRETOKEN.findall(chunk)
+            if len(found) == 1:
+                self._flat.extend(self.encode_pretoken(chunk if chunk.isascii() else "".join(map(self._alphabet.__getitem__, chunk.encode()))))
+            else:
+                for key in [self._key[pretoken] for pretoken in found]:
+                    self._flat.extend(self._flat[self._ends[key] : self._ends[key + 1]])
+        key = self._key[chunk] = len(self._ends) - 1
         self._ends.append(len(self._flat))
         return key
 
@@ -269,26 +306,25 @@ class BacktrackingBPE:
 
     def _plain_keys(self, text: str) -> list[int]:
         if _PLAIN.search(text) is None:
-            found, mapped = text.lower().split(), False  # no pre-token holds white space
+            found = text.lower().split()  # no pre-token holds white space
         else:  # the library's own normaliser and splitter; "\0" keeps its byte alphabet apart in the table
             plain = self._library.normalizer.normalize_str(text)
-            found, mapped = ["\0" + w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(plain)], True
+            found = ["\0" + w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(plain)]
         known = self._key
-        try:
-            return [known[w] for w in found]
-        except KeyError:
-            return [known[w] if w in known else self._learn(w, mapped) for w in found]
+        return [known[w] for w in found]
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the offsets of the texts in them."""
         if len(self._key) > WORD_CACHE:
-            self._forget()
+            self._make_room()
         keys: list[int] = []
         cuts = np.zeros(len(texts) + 1, dtype=np.int64)
         for k, text in enumerate(texts):
             keys += self._keys(text)
             cuts[k + 1] = len(keys)
         where, ends, flat = np.array(keys, dtype=np.int64), np.frombuffer(self._ends, dtype=np.int64), np.frombuffer(self._flat, dtype=np.int32)
+        self._uses.resize(len(self._key), refcheck=False)
+        self._uses += np.bincount(where, minlength=len(self._uses))
         start = ends[where]
         size = ends[where + 1] - start
         done = np.zeros(len(where) + 1, dtype=np.int64)

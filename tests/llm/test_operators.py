@@ -526,6 +526,16 @@ def test_vantage_trees_scaled_copies(spark):
     assert got == {20: [0, 1, 2, 3, 4], 39: [0, 1, 2, 3, 4]}
 
 
+def test_bpe_makes_room_without_changing_ids(monkeypatch):
+    monkeypatch.setattr(bpe, "WORD_CACHE", 6)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.BacktrackingBPE(open(path, encoding="utf-8").read())
+    texts = ["the cat, the hat", "xqzzv***the un-think<|endoftext|>able 42", "été ß the\u3000cat", "", "the cat's overoverover the"] * 4
+    for text in texts:
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert "the" in own._key and len(own._key) <= 6 + 12
+
+
 def test_long_texts(spark, odd, monkeypatch):
     """Operators that work through a long text in parts give what they give for the whole of it."""
     from evidentia.llm import kernels
