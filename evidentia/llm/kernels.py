@@ -101,15 +101,17 @@ def text_slices(column: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20) -
 PIECE = 1 << 20
 
 
-def word_pieces(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def word_pieces(raw: np.ndarray, offsets: np.ndarray, lower: bool, spaces: np.ndarray = _IS_SPACE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The words of a run of texts in text order, those of some ``PIECE`` bytes at a time: 64-bit hash, row, first byte,
-    byte after the last. A word of any length has the hash of all its bytes; memory does not grow with the run."""
+    byte after the last. A word of any length has the hash of all its bytes; memory does not grow with the run.
+
+    spaces: for each byte whether it separates words."""
     held: tuple[int, int, int] | None = None  # value, first byte and length of a word that the last piece did not end
     for start in range(0, len(raw), PIECE):
         stop = min(start + PIECE, len(raw))
         data = _LOWER[raw[start:stop]] if lower else raw[start:stop]
         size = stop - start
-        inside = ~_IS_SPACE[data]
+        inside = ~spaces[data]
         edge = np.zeros(size + 1, dtype=bool)
         near = offsets[np.searchsorted(offsets, start) : np.searchsorted(offsets, stop, side="right")]
         edge[near - start] = True  # a text's end ends its last word

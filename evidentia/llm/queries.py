@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import license_scan, vptree
+from . import license_scan, phrases, vptree
 from .bpe import op1_bpe_round_trip
 from .html_text import op8_main_text
 from .jaccard_join import op6_jaccard_components
 from .kneser_ney import op9_kneser_ney
 from .license_scan import op7_license_digests
 from .mixing import op4_soft_mixing
+from .phrases import op11_phrases
 from .quality_net import op2_quality_net
 from .quality_rules import op3_robust_rules
 from .token_counts import op5_trie_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_vantage_trees": op10_vantage_trees,
+    "op11_phrases": op11_phrases,
 }
 
-ORACLES: dict[str, str] = {"op7_license_digests": license_scan.oracle(), "op10_vantage_trees": vptree.ORACLE}
+ORACLES: dict[str, str] = {"op7_license_digests": license_scan.oracle(), "op10_vantage_trees": vptree.ORACLE, "op11_phrases": phrases.ORACLE}
