@@ -96,7 +96,7 @@ def bit_table(level: DataFrame) -> Callable[[], BitTable]:
     return lambda: BitTable(bits, [np.frombuffer(sent.value, np.uint8)])
 
 
-def _joined(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
+def joined(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Phrases from the words of each row of ``begins`` and ``ends``, with one space between."""
     n, k = begins.shape
     sizes = ends - begins
@@ -127,7 +127,7 @@ def _counts(k: int, frequent: Callable[[], BitTable] | None) -> Callable[[Iterat
                 raw = _lowered(raw)
                 own = codes[start:stop]
                 for lang, h, words, n in _run(raw, offsets, own, salts, k, seen):
-                    phrases = _joined(raw, *words)
+                    phrases = joined(raw, *words)
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(lang)), pa.array(h.view(np.int64)), phrases, pa.array(n)], schema=_COUNTED)
                     if k == 1:
                         total = np.bincount(lang, weights=n, minlength=len(names)).astype(np.int64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, phrases, vptree
+from . import license_scan, phrases, variants, vptree
 from .bpe import op1_bpe_round_trip
 from .html_text import op8_main_text
 from .jaccard_join import op6_jaccard_components
@@ -13,6 +13,7 @@ from .phrases import op11_phrases
 from .quality_net import op2_quality_net
 from .quality_rules import op3_robust_rules
 from .token_counts import op5_trie_counts
+from .variants import op13_spelling_variants
 from .vptree import op10_vantage_trees
 
 QUERIES = {
@@ -27,6 +28,12 @@ QUERIES = {
     "op9_kneser_ney": op9_kneser_ney,
     "op10_vantage_trees": op10_vantage_trees,
     "op11_phrases": op11_phrases,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLES: dict[str, str] = {"op7_license_digests": license_scan.oracle(), "op10_vantage_trees": vptree.ORACLE, "op11_phrases": phrases.ORACLE}
+ORACLES: dict[str, str] = {
+    "op7_license_digests": license_scan.oracle(),
+    "op10_vantage_trees": vptree.ORACLE,
+    "op11_phrases": phrases.ORACLE,
+    "op13_spelling_variants": variants.ORACLE,
+}
