@@ -13,6 +13,7 @@ from .phrases import op11_phrases
 from .quality_net import op2_quality_net
 from .quality_rules import op3_robust_rules
 from .token_counts import op5_trie_counts
+from .url_models import op12_url_ratio
 from .variants import op13_spelling_variants
 from .vptree import op10_vantage_trees
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_kneser_ney": op9_kneser_ney,
     "op10_vantage_trees": op10_vantage_trees,
     "op11_phrases": op11_phrases,
+    "op12_url_ratio": op12_url_ratio,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
