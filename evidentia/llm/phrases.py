@@ -40,7 +40,7 @@ _BREAKS[[*b".,;:!?", 10, 11, 12, 13]] = True
 _SPACES = _BREAKS.copy()
 _SPACES[[9, 32]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_COUNTED = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("phrase", pa.string()), ("n", pa.int64())])
+_COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
 class BitTable:
@@ -66,13 +66,32 @@ class BitTable:
         return (part[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def bit_table(level: DataFrame) -> Callable[[], BitTable]:
-    """The table of the hashes ``h`` of a level, built by tasks that own a range of hashes each; gives what opens it."""
+def _hashes(langs: pa.Array, phrases: pa.Array, k: int) -> np.ndarray:
+    """Hashes of phrases of ``k`` words each."""
+    langs = langs.dictionary_encode()
+    salts = np.array([hash_of(name) for name in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
+    out = []
+    for start, stop, raw, offsets in text_slices(phrases):
+        word = np.concatenate([w for w, *_ in word_pieces(raw, offsets, lower=False, spaces=_SPACES)]).reshape(-1, k)
+        h = mix64(word[:, 0] ^ salts[start:stop])
+        for j in range(1, k):
+            h = mix64(h * _ODD + word[:, j])
+        out.append(h)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def bit_table(level: DataFrame, k: int) -> Callable[[], BitTable]:
+    """The table of the phrases of a level, of ``k`` words each, built by tasks that own a range of hashes each; gives what opens it."""
     spark = level.sparkSession
     bits = min(max((max(level.count(), 1) * BITS_EACH - 1).bit_length(), 12), MOST_BITS)
     high = max(4, bits - FILE_BITS)
     folder = None if bits <= SENT_BITS else shared_folder(spark, "phrase-bits")
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = _hashes(batch.column(0), batch.column(1), k)
+            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - high)).astype(np.int32)), pa.array(h.view(np.int64))], ["part", "h"])
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = None, None
         for batch in batches:
@@ -87,7 +106,7 @@ def bit_table(level: DataFrame) -> Callable[[], BitTable]:
                 save(folder, f"{number:07d}", part)
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([b"" if folder else part.tobytes()], pa.binary())], ["part", "data"])
 
-    keyed = level.select(F.shiftrightunsigned("h", 64 - high).cast("int").alias("part"), "h")
+    keyed = level.select("lang", "phrase").mapInArrow(hashed, "part int, h bigint")
     found = {r["part"]: r["data"] for r in keyed.repartitionById(1 << high, "part").mapInArrow(build, "part int, data binary").collect()}  # 8 MB at most
     none = np.zeros(1 << (bits - high - 3), np.uint8)
     if folder:
@@ -126,13 +145,13 @@ def _counts(k: int, frequent: Callable[[], BitTable] | None) -> Callable[[Iterat
             for start, stop, raw, offsets in text_slices(batch.column(1)):
                 raw = _lowered(raw)
                 own = codes[start:stop]
-                for lang, h, words, n in _run(raw, offsets, own, salts, k, seen):
+                for lang, _, words, n in _run(raw, offsets, own, salts, k, seen):
                     phrases = joined(raw, *words)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(lang)), pa.array(h.view(np.int64)), phrases, pa.array(n)], schema=_COUNTED)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(lang)), phrases, pa.array(n)], schema=_COUNTED)
                     if k == 1:
                         total = np.bincount(lang, weights=n, minlength=len(names)).astype(np.int64)
                         some = np.flatnonzero(total)
-                        yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(np.zeros(len(some), np.int64)), pa.nulls(len(some), pa.string()), pa.array(total[some])], schema=_COUNTED)
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.nulls(len(some), pa.string()), pa.array(total[some])], schema=_COUNTED)
 
     return count
 
@@ -177,11 +196,11 @@ def _run(raw: np.ndarray, offsets: np.ndarray, langs: np.ndarray, salts: np.ndar
 
 
 def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, list[DataFrame]]:
-    """(lang, n), and the table (lang, h, phrase, f) of the frequent phrases of each length that has any."""
+    """(lang, n), and the table (lang, phrase, f) of the frequent phrases of each length that has any."""
     bounded_batches(docs.sparkSession)
     texts, tables, frequent, totals = docs.select("lang", "text"), [], None, None
     for k in range(1, longest + 1):
-        counted = texts.mapInArrow(_counts(k, frequent), "lang string, h bigint, phrase string, n bigint").groupBy("lang", "h", "phrase").agg(F.sum("n").alias("f"))
+        counted = texts.mapInArrow(_counts(k, frequent), "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         found = cut(counted.filter((F.col("f") >= least) | F.col("phrase").isNull()), f"phrases-{k}")
         if k == 1:
             totals = found.filter("phrase is null").select("lang", F.col("f").alias("n"))
@@ -190,7 +209,7 @@ def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple
             break
         tables.append(found)
         if k < longest:
-            frequent = bit_table(found)
+            frequent = bit_table(found, k)
     return totals, tables
 
 
