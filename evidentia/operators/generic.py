@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sinks.folders import at_rest, scratch
+
 
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
     """The row of each key that is least by ``order``, then by the kept columns. A minimum of structs combines
@@ -92,3 +94,19 @@ def both_ways(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows that disappeared and rows that are new, as multisets."""
     gone = old.exceptAll(new).withColumn("change", F.lit("gone"))
     return gone.unionByName(new.exceptAll(old).withColumn("change", F.lit("new")))
+
+
+def prefix_sums(df: DataFrame, order: Sequence[Column], value: Column, parts: int = 200) -> DataFrame:
+    """Add ``_n`` and ``_sum``: the number of rows and the sum of ``value`` up to each row of a table in one total order.
+
+    Ranges of the order are dealt to ``parts`` tasks and written once, as a second sampling may cut them elsewhere; sums of ranges, one row each,
+    give what lies before a range, and each range is scanned by itself. No task sees more than its range. Rows that are equal in
+    ``order`` are in one range and in no certain order."""
+    dealt = df.withColumn("_value", value.cast("bigint")).repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    dealt = at_rest(dealt, scratch(df.sparkSession, "ranges"))
+    sums = dealt.groupBy("_range").agg(F.count("*").alias("_rows"), F.sum("_value").alias("_total"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over ``parts`` rows at most
+    sums = sums.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_total"))
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    scanned = dealt.join(F.broadcast(sums), "_range").withColumn("_n", F.col("_rows") + F.count("*").over(within)).withColumn("_sum", F.col("_total") + F.coalesce(F.sum("_value").over(within), F.lit(0)))
+    return scanned.drop("_range", "_rows", "_total", "_value")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..schemas import MEMORY
+from ..sinks.buckets import BUCKETS, BucketStore
+from .generic import prefix_sums
+
 SCHEME = 1
 KEEP, MOST_CHARS, PAGES_PER_KEY = 40, 24_000, 12
 
@@ -28,25 +32,47 @@ def entry_size() -> Column:
     return F.length(F.to_json(F.struct("fp", "title", "unresolved", "page_hints")))
 
 
+def save(fresh: DataFrame, path: str, buckets: int = BUCKETS) -> list[int]:
+    """Put the clues of finished audits into the store at ``path``; gives the buckets that were rewritten. An audit is known by its
+    fingerprint and time: one that is not newer than what is stored was counted before, so that a repeated run changes nothing."""
+    return BucketStore(path, MEMORY, ("fp",), buckets).upsert(current(fresh), F.col("last_seen"), remember)
+
+
+def load(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
+    return current(BucketStore(path, MEMORY, ("fp",), buckets).read(spark))
+
+
 def split_capacity(store: DataFrame, keep: int = KEEP, most: int = MOST_CHARS, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept in detail, to be folded): the newest, up to a number and a sum of sizes, of each store; ``by`` names the columns
-    that tell whose store an entry is of. Without them the table is one store, whose window is one task."""
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("last_seen"), "fp")
-    sized = store.withColumn("_n", F.row_number().over(order)).withColumn("_c", F.sum(entry_size()).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    fits = (F.col("_n") <= keep) & ((F.col("_c") <= most) | (F.col("_n") == 1))
-    return sized.filter(fits).drop("_n", "_c"), sized.filter(~fits).drop("_n", "_c")
+    that tell whose store an entry is of. Without them the table is one store of any size, in ranges of time."""
+    newest = [F.desc("last_seen"), F.asc("fp")]
+    if by:
+        order = Window.partitionBy(*by).orderBy(*newest)
+        sized = store.withColumn("_n", F.row_number().over(order)).withColumn("_sum", F.sum(entry_size()).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        sized = prefix_sums(store, newest, entry_size())
+    fits = (F.col("_n") <= keep) & ((F.col("_sum") <= most) | (F.col("_n") == 1))
+    return sized.filter(fits).drop("_n", "_sum"), sized.filter(~fits).drop("_n", "_sum")
+
+
+def _first_pages(pages: DataFrame) -> DataFrame:
+    """(key, pages): of (key, page) the first twelve of each key; no more of a key are ever held together."""
+    order = Window.partitionBy("key").orderBy("page")
+    few = pages.distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= PAGES_PER_KEY)
+    return few.groupBy("key").agg(F.array_sort(F.collect_list("page")).alias("pages"))
 
 
 def digest(folded: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """(key, papers, times, pages): how often a key stayed unresolved, and at most twelve pages where it was found."""
-    one = folded.select(F.explode("unresolved").alias("key")).groupBy("key").agg(F.count("*").alias("times"))
-    hints = folded.select(F.explode("page_hints").alias("key", "p")).groupBy("key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("p")))).alias("pages"))
-    out = one.join(hints, "key", "full_outer").select("key", F.coalesce("times", F.lit(0)).cast("long").alias("times"), F.slice(F.coalesce("pages", F.array().cast("array<int>")), 1, PAGES_PER_KEY).alias("pages"))
-    if before is None:
-        return out
-    both = out.unionByName(before)
-    pages = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("pages")))), 1, PAGES_PER_KEY)
-    return both.groupBy("key").agg(F.sum("times").alias("times"), pages.alias("pages"))
+    none = F.array().cast("array<int>")
+    times = folded.select(F.explode("unresolved").alias("key"), F.lit(1).cast("long").alias("times"))
+    pages = folded.select(F.explode("page_hints").alias("key", "p")).select("key", F.explode_outer("p").alias("page"))
+    if before is not None:
+        times = times.unionByName(before.select("key", "times"))
+        pages = pages.unionByName(before.select("key", F.explode("pages").alias("page")))
+    # a key that has hints without a page, or none, is told as well
+    keys = times.groupBy("key").agg(F.sum("times").alias("times")).join(pages.groupBy("key").agg(F.count("*").alias("_")), "key", "full_outer")
+    return keys.join(_first_pages(pages.filter("page is not null")), "key", "left").select("key", F.coalesce("times", F.lit(0)).cast("long").alias("times"), F.coalesce("pages", none).alias("pages"))
 
 
 def recall(store: DataFrame, prints: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..sinks.buckets import BUCKETS, BucketStore
 
 
 def pages_from_text(spark: SparkSession, papers: dict[str, list[str]]) -> DataFrame:
@@ -73,17 +74,15 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("audit_id", F.explode("m").alias("metric", "value")).filter("value is not null")
 
 
-def cached(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A keyed Parquet cache; one that is not there yet is empty."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+def cached(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...] = ("key",), buckets: int = BUCKETS) -> DataFrame:
+    """A keyed cache; one that is not there yet is empty."""
+    return BucketStore(path, schema, keys, buckets).read(spark)
 
 
-def append_cache(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def put_cache(rows: DataFrame, path: str, schema: str, keys: tuple[str, ...] = ("key",), newest: Column | None = None, buckets: int = BUCKETS) -> list[int]:
+    """Put rows into a keyed cache, which holds one a key: the newest, or without ``newest`` the first that came. Only buckets of new keys are
+    rewritten, each without what it had before, so that the cache does not grow by what is repeated."""
+    return BucketStore(path, schema, keys, buckets).upsert(rows, F.lit(0) if newest is None else newest)
 
 
 def purge(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:

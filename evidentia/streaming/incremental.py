@@ -1,4 +1,8 @@
-"""Pages that keep arriving: the evidence of a paper is decided anew over all its pages whenever some of them arrive."""
+"""Pages and clues that keep arriving.
+
+What a batch costs depends on the papers it touches, not on what came before: the pages of a paper lie in keyed state, and
+evidence and memories lie in buckets, of which a batch rewrites those that it changes.
+"""
 
 from __future__ import annotations
 
@@ -8,40 +12,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import values as V
 from ..operators.extract_paper import paper_evidence
-from ..schemas import PAPER_PAGES
+from ..operators.memory import KEEP, MOST_CHARS
+from ..schemas import EVIDENCE, MEMORY, PAPER_PAGES
+from ..sinks.buckets import BUCKETS, BucketStore
+from ..sinks.folders import at_rest
+from .state import CHANGES, PAGES, memory_changes, whole_papers
+
+
+def page_stream(spark: SparkSession, folder: str, versions: bool = False) -> DataFrame:
+    return spark.readStream.schema(PAGES if versions else PAPER_PAGES).parquet(folder)
+
+
+def evidence_store(path: str, buckets: int = BUCKETS) -> BucketStore:
+    return BucketStore(f"{path}/evidence", EVIDENCE, ("owner_id",), buckets)
 
 
-def page_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(PAPER_PAGES).parquet(folder)
+def memory_store(path: str, buckets: int = BUCKETS) -> BucketStore:
+    return BucketStore(f"{path}/memory", CHANGES, ("owner", "kind", "name"), buckets)
 
 
-def watch(pages: DataFrame, store: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Keep the pages of every batch below ``store``, and write the evidence of the papers that the batch touches, over all their
-    pages so far: which page is the first, which value fills a gap and which data set is meant depend on all of them. The batch
-    id is part of both paths, so that a batch that is repeated after a failure overwrites what it had written."""
+def watch(pages: DataFrame, store: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the evidence of all papers below ``store`` while pages arrive: it is decided anew over all pages of a paper, as which page
+    is the first, which value fills a gap and which data set is meant depend on all of them. Evidence that a paper has no more goes.
+    A batch that is repeated after a failure writes what it wrote before. ``then`` gets the new evidence and the batch's number."""
 
+    # a batch is written where it is read by several jobs; the next one takes its place
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/pages/batch={number}")
-        kept = spark.read.schema(f"{PAPER_PAGES}, batch bigint").parquet(f"{store}/pages").filter(F.col("batch") <= number)
-        touched = kept.filter(F.col("batch") == number).select("paper_id").distinct()
-        newest = kept.join(touched, "paper_id", "left_semi").groupBy("paper_id", "page_no").agg(F.max_by(F.struct("text", "n_images"), "batch").alias("p"))
-        found = paper_evidence(newest.select("paper_id", "page_no", "p.text", "p.n_images"))["evidence"]
-        found.write.mode("overwrite").parquet(f"{store}/evidence/batch={number}")
+        arrived = at_rest(batch, f"{store}/arrived")
+        found = at_rest(paper_evidence(arrived.select(*[c.split()[0] for c in PAPER_PAGES.split(", ")]))["evidence"], f"{store}/found")
+        evidence_store(store, buckets).replace(found, arrived.select(F.col("paper_id").alias("owner_id")))
         if then is not None:
             then(found, number)
 
-    return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return whole_papers(pages).writeStream.foreachBatch(one).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_evidence(spark: SparkSession, store: str) -> DataFrame:
-    """The evidence of each paper as of the last batch that brought pages of it."""
-    last = spark.read.schema(f"{PAPER_PAGES}, batch bigint").parquet(f"{store}/pages").groupBy(F.col("paper_id").alias("owner_id")).agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{store}/evidence").withColumn("batch", F.col("batch").cast("bigint")).join(last, ["owner_id", "batch"], "left_semi").drop("batch")
+def current_evidence(spark: SparkSession, store: str, buckets: int = BUCKETS) -> DataFrame:
+    """The evidence of every paper so far."""
+    return evidence_store(store, buckets).read(spark)
+
+
+def keep_memory(clues: DataFrame, store: str, checkpoint: str, keep: int = KEEP, most: int = MOST_CHARS, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the memories of all owners below ``store`` while clues (owner and the columns of MEMORY) arrive. Runs are counted once, in the
+    state; the store takes the rows of the highest version, so that a repeated batch changes nothing in it."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        memory_store(store, buckets).upsert(at_rest(batch, f"{store}/changes"), F.col("version"))
+
+    return memory_changes(clues, keep, most).writeStream.foreachBatch(one).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running_coverage(pages: DataFrame) -> DataFrame:
-    """Pages and thin pages of each paper so far; the state is two counts a paper."""
-    return pages.groupBy("paper_id").agg(F.count("*").alias("pages"), F.count_if(V.is_thin(F.coalesce("text", F.lit("")))).alias("thin"))
+def current_memory(spark: SparkSession, store: str, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """(entries in detail with the columns of MEMORY and owner, digests with owner, key, times and pages)."""
+    rows = memory_store(store, buckets).read(spark).filter("not gone")
+    return rows.filter("kind = 'entry'").withColumnRenamed("name", "fp").select("owner", *[c.split()[0] for c in MEMORY.split(", ")]), rows.filter("kind = 'digest'").select("owner", F.col("name").alias("key"), "times", "pages")
