@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, audits, kernels
+from . import align, audits, kernels, stores
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**align.QUERIES, **kernels.QUERIES, **audits.QUERIES}
-ORACLES: dict[str, str] = {**align.ORACLES, **kernels.ORACLES, **audits.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**align.QUERIES, **kernels.QUERIES, **audits.QUERIES, **stores.QUERIES}
+ORACLES: dict[str, str] = {**align.ORACLES, **kernels.ORACLES, **audits.ORACLES, **stores.ORACLES}
 ENTRY = QUERIES["align_orders_lineitem"]
