@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,8 +13,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import patterns as P
-from ..dims import PARAMS, RANGES, TEXT_VALUED
+from ..dims import RANGES, TEXT_VALUED
 from ..functions import values as V
+from ..functions.names import NameIndex, bounded
 from .verify import snippet_contains
 
 NEAR, NEGATED, NEGATED_IN_SCAN = 45, 18, 25
@@ -25,8 +28,6 @@ def missing(mentioned: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def in_distribution_call(before: str) -> bool:
     """Whether a text ends inside the arguments of a sampling function; its last 48 characters are looked at."""
-    import re
-
     part, depth = before[-48:], 0
     for i in range(len(part) - 1, -1, -1):
         depth += (part[i] == ")") - (part[i] == "(")
@@ -40,21 +41,37 @@ def inside_distribution(before: pd.Series) -> pd.Series:
     return before.map(lambda b: in_distribution_call(b or ""))
 
 
+_INDEX: list[NameIndex] = []
+
+
+def _names() -> NameIndex:
+    if not _INDEX:
+        _INDEX.append(NameIndex())
+    return _INDEX[0]
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each sentence that names a parameter the numbers near the name: (level, value, before, after, sentence)."""
-    import re
-
     sentence, number = re.compile(P.SENTENCE), re.compile(P.NUM_B)
-    bounded = lambda a: rf"(?<![A-Za-z0-9_]){re.escape(a)}(?![A-Za-z0-9_])" if a.isascii() else re.escape(a)
-    names = {k: re.compile("(?i)" + "|".join(bounded(a) for a in sorted(v[1], key=len, reverse=True))) for k, v in PARAMS.items() if k not in TEXT_VALUED}
+    index = _names()
+    literal = lambda alias: "(?i)" + bounded(alias)
     separators = re.compile(r"^[\s×xX*\-–—/·=:]*$")
     connector = re.compile(P.GAP_CONNECTOR)
     for pdf in batches:
         rows = []
         for paper, page, text, keys in zip(pdf["paper_id"], pdf["page_no"], pdf["text"], pdf["keys"], strict=True):
-            for s in sentence.finditer(text or ""):
+            text, wanted = text or "", {k for k in keys if k not in TEXT_VALUED}
+            # of names that begin at one place the longest is meant
+            named = sorted((start, -len(index.entries[i][1]), i) for start, _, i in index.hits(text) if index.entries[i][0] in wanted)
+            begins = [start for start, _, _ in named]
+            for s in sentence.finditer(text):
+                first: dict[str, re.Match[str]] = {}
+                for start, _, i in named[bisect_left(begins, s.start()) : bisect_left(begins, s.end())]:
+                    key = index.entries[i][0]
+                    if key not in first and (m := index.pattern(i, "literal", literal).match(s[0], start - s.start())):
+                        first[key] = m
                 for key in keys:
-                    hit = names[key].search(s[0]) if key in names else None
+                    hit = first.get(key)
                     if hit is None:
                         continue
                     head, tail = s[0][: hit.start()], s[0][hit.end() :]
@@ -81,15 +98,30 @@ def scan_candidates(pages: DataFrame, gaps: DataFrame) -> DataFrame:
     return found.filter(~refused & ~F.substring(F.col("before"), -20, 20).rlike(P.FREQUENCY))
 
 
+def _negated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages (with collapsed white space) and keys whose names a negation stands before."""
+    index = _names()
+    said = re.compile(r"(?ai)\b(?:no|not|without|never|omit\w*|disable\w*)\b|不使用|未使用|没有使用|未采用|不采用|无需|不含")
+    written = lambda alias: "(?ai)" + alias.replace("_", "[_ ]")
+    for pdf in batches:
+        rows = []
+        for paper, page, text, keys in zip(pdf["paper_id"], pdf["page_no"], pdf["t"], pdf["keys"], strict=True):
+            found, wanted, ends = set(), set(keys), [m.end() for m in said.finditer(text)]
+            for start, _, i in index.hits(text):
+                key = index.entries[i][0]
+                if key in wanted and key not in found and index.pattern(i, "written", written).match(text, start):
+                    before = bisect_right(ends, start)
+                    if before and start - ends[before - 1] <= NEGATED and not set(".。") & set(text[ends[before - 1] : start]):
+                        found.add(key)
+            rows += [(paper, key, page) for key in sorted(found)]
+        yield pd.DataFrame(rows, columns=["paper_id", "key", "page_no"]).astype({"page_no": "int32"})
+
+
 def negation_hints(pages: DataFrame, gaps: DataFrame) -> DataFrame:
     """Places where a missing parameter is said not to be used: hints, never values."""
+    keys = gaps.groupBy("paper_id").agg(F.collect_set("key").alias("keys"))
     text = pages.select("paper_id", "page_no", V.collapse_space(F.coalesce("text", F.lit(""))).alias("t"))
-    rows = text.join(gaps, "paper_id")
-    said = F.lit(False)
-    for key, (_, names) in PARAMS.items():
-        alias = "|".join(a.replace("_", "[_ ]") for a in names)
-        said = said | ((F.col("key") == key) & F.col("t").rlike(f"(?i)(?:\\b(?:no|not|without|never|omit\\w*|disable\\w*)\\b|不使用|未使用|没有使用|未采用|不采用|无需|不含)[^.。]{{0,{NEGATED}}}(?:{alias})"))
-    return rows.filter(said).select("paper_id", "key", "page_no")
+    return text.join(keys, "paper_id").mapInPandas(_negated, "paper_id string, key string, page_no int")
 
 
 def gate(candidates: DataFrame, pages: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 from .. import patterns as P
 from ..dims import PARAMS, RANGES, TEXT_VALUED
 from ..functions import values as V
+from ..functions.names import NameIndex, bounded, is_word, spaced
 
 HIT = "paper_id string, page_no int, gen int, seq int, key string, raw string, line_no int, start int, before string, after string, tail string, context string, line string, section string, snippet string"
 _HIT_NAMES = [c.split()[0] for c in HIT.split(", ")]
@@ -21,57 +23,93 @@ FORWARD, REVERSE, GAP, TEXT, DATASET, RESULT = range(1, 7)
 _CJK = re.compile("[一-鿿]")
 
 
-def _alias_regex(alias: str) -> str:
-    return re.escape(alias).replace(r"\ ", r"[\s_\-]")
-
-
 def _forward(alias: str) -> str:
     if _CJK.search(alias):
-        return rf"{_alias_regex(alias)}\s*(?:[A-Za-zσ]{{1,3}}[₀-₉]?\s*)?{P.CONNECTORS}?\s*{P.NUM_B}"
-    return rf"(?i)\b{_alias_regex(alias)}\b\s*{P.CONNECTORS}?\s*{P.NUM_B}"
+        return rf"{spaced(alias)}\s*(?:[A-Za-zσ]{{1,3}}[₀-₉]?\s*)?{P.CONNECTORS}?\s*{P.NUM_B}"
+    return rf"(?i)\b{spaced(alias)}\b\s*{P.CONNECTORS}?\s*{P.NUM_B}"
+
+
+def _ignoring_case(make):
+    return lambda alias: "(?i)" + make(alias)
 
 
 class _Finder:
-    """Compiled patterns of one worker."""
-
-    def __init__(self) -> None:
-        numeric = [(FORWARD, k, _forward(a)) for k, (_, names) in PARAMS.items() if k not in ("optimizer", "scheduler", "model") for a in names]
-        numeric += [(REVERSE, k, p) for k, ps in P.REVERSE.items() for p in ps]
-        numeric += [(TEXT, k, p) for k, ps in P.TEXT_PATTERNS.items() for p in ps]
-        numeric += [(RESULT, k, p) for k, p in P.RESULTS]
-        self.direct = [(g, k, re.compile(p)) for g, k, p in numeric]
+    """The names and patterns of one worker. Names are found by one automaton; a number's context is looked at around its hits only."""
+
+    def __init__(self, params: Mapping[str, tuple[str, Sequence[str]]] = PARAMS) -> None:
+        self.index = NameIndex(params)
+        keys = [k for k, _ in self.index.entries]
+        self.numeric = {i for i, k in enumerate(keys) if k not in ("optimizer", "scheduler", "model")}
+        self.valued = {i for i, k in enumerate(keys) if k not in TEXT_VALUED}
+        self.special = {i for i, (_, a) in enumerate(self.index.entries) if len(a) >= 6 or " " in a or "_" in a}
+        fixed = [(REVERSE, k, p) for k, ps in P.REVERSE.items() for p in ps]
+        fixed += [(TEXT, k, p) for k, ps in P.TEXT_PATTERNS.items() for p in ps]
+        fixed += [(RESULT, k, p) for k, p in P.RESULTS]
+        self.direct = [(g, k, re.compile(p)) for g, k, p in fixed]
         self.dataset = re.compile(P.DATASET)
         self.sentence = re.compile(P.SENTENCE)
-        bounded = lambda a: rf"(?<![A-Za-z0-9_]){re.escape(a)}(?![A-Za-z0-9_])" if a.isascii() else re.escape(a)
-        self.names = [(k, re.compile(bounded(a), re.IGNORECASE)) for k, (_, names) in PARAMS.items() if k not in TEXT_VALUED for a in names]
-        special = sorted({a for _, names in PARAMS.values() for a in names if len(a) >= 6 or " " in a or "_" in a}, key=len, reverse=True)
-        self.other = re.compile(r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(map(_alias_regex, special)) + r")(?![A-Za-z0-9_])")
         self.number, self.word = re.compile(P.NUM_B), re.compile(r"(?i)\b(zero|none)\b")
         self.connector, self.bad_gap = re.compile(P.GAP_CONNECTOR), re.compile(P.GAP_VETO)
 
-    def gaps(self, text: str) -> Iterator[tuple[str, str, int, int]]:
+    def forward(self, text: str, places: dict[int, list[int]]) -> Iterator[tuple[int, str, str, int, int]]:
+        """Numbers right behind a name."""
+        for i, starts in places.items():
+            if i not in self.numeric:
+                continue
+            pattern, done = self.index.pattern(i, "forward", _forward), 0
+            for start in starts:
+                if start >= done and (m := pattern.match(text, start)):
+                    yield FORWARD, self.index.entries[i][0], m[m.lastindex].strip(), m.start(), m.end()
+                    done = m.end()
+
+    def names_other(self, text: str, places: dict[int, list[int]], start: int, end: int) -> bool:
+        """Whether a name stands, as a word of its own, between two places of a text."""
+        for i, starts in places.items():
+            if i in self.special:
+                for at in starts[bisect_left(starts, start) :]:
+                    if at >= end:
+                        break
+                    m = self.index.pattern(i, "spaced", _ignoring_case(spaced)).match(text, at, end)
+                    if m and (at == start or not is_word(text[at - 1])) and (m.end() == end or not is_word(text[m.end()])):
+                        return True
+        return False
+
+    def gaps(self, text: str, places: dict[int, list[int]]) -> Iterator[tuple[str, str, int, int]]:
         """For each parameter the first value that a connector ties to its name from further off in a sentence."""
         done: set[str] = set()
+        named = sorted((start, i) for i, starts in places.items() if i in self.valued for start in starts)
+        begins = [start for start, _ in named]
         for sentence in self.sentence.finditer(text):
-            body = sentence[0]
-            for key, name in self.names:
-                if key in done or not (hit := name.search(body)):
+            body, offset = sentence[0], sentence.start()
+            inside: dict[int, list[int]] = {}
+            for start, i in named[bisect_left(begins, offset) : bisect_left(begins, sentence.end())]:
+                inside.setdefault(i, []).append(start - offset)
+            for i in sorted(inside):
+                key = self.index.entries[i][0]
+                if key in done:
+                    continue
+                pattern = self.index.pattern(i, "bounded", _ignoring_case(bounded))
+                hit = next((m for at in inside[i] if (m := pattern.match(body, at))), None)
+                if hit is None:
                     continue
                 tail = body[hit.end() : hit.end() + P.GAP_LIMIT]
                 for found, value in ((self.number.search(tail), None), (self.word.search(tail), "0")):
                     if found is None:
                         continue
                     gap = tail[: found.start()]
-                    if self.connector.search(gap) and not self.bad_gap.search(gap) and not self.other.search(gap):
+                    first = offset + hit.end()
+                    if self.connector.search(gap) and not self.bad_gap.search(gap) and not self.names_other(text, places, first, first + found.start()):
                         done.add(key)
-                        yield key, value or found[1], sentence.start(), sentence.start() + hit.end() + found.end()
+                        yield key, value or found[1], offset, first + found.end()
                         break
 
     def hits(self, text: str) -> Iterator[tuple[int, str, str, int, int]]:
+        places = self.index.places(text)
+        yield from self.forward(text, places)
         for gen, key, pattern in self.direct:
             for m in pattern.finditer(text):
                 yield gen, key, (m[m.lastindex] if m.lastindex else m[0]).strip(), m.start(), m.end()
-        for key, raw, start, end in self.gaps(text):
+        for key, raw, start, end in self.gaps(text, places):
             yield GAP, key, raw, start, end
         for m in self.dataset.finditer(text):
             yield DATASET, "dataset", m[1] + (f" v{m[2]}" if m[2] else ""), m.start(), m.end()
@@ -251,23 +289,53 @@ def alias_pattern(key: str) -> str:
     """A pattern of all names of a parameter, in any case."""
     names = PARAMS[key][1]
     plain, others = [a.lower() for a in names if not _CJK.search(a)], [re.escape(a) for a in names if _CJK.search(a)]
-    return "(?i)" + "|".join([r"(?<![A-Za-z0-9_])(?:" + "|".join(map(_alias_regex, plain)) + r")(?![A-Za-z0-9_])", *others])
+    return "(?i)" + "|".join([r"(?<![A-Za-z0-9_])(?:" + "|".join(map(spaced, plain)) + r")(?![A-Za-z0-9_])", *others])
+
+
+def _plain(alias: str) -> str:
+    """A pattern of a lower-case name in lower-case text, whose separators are ASCII ones."""
+    return re.escape(alias.lower()) if _CJK.search(alias) else r"(?<![a-z0-9_])" + re.escape(alias.lower()).replace(r"\ ", r"[ \t\n\x0b\f\r_\-]") + r"(?![a-z0-9_])"
+
+
+def kinds_named(index: NameIndex, low: str) -> set[str]:
+    """The parameters that a lower-case text names; homonyms do not count."""
+    found: set[str] = set()
+
+    def look(text: str, wanted) -> None:
+        for start, _, i in index.hits(text):
+            key = index.entries[i][0]
+            if key not in found and wanted(key) and index.pattern(i, "plain", _plain).match(text, start):
+                found.add(key)
+
+    vetoed = {k: p for k, p in _vetoes().items() if p.search(low)}
+    look(low, lambda key: key not in vetoed)
+    for key, veto in vetoed.items():
+        look(veto.sub(" ", low), key.__eq__)
+    return found
+
+
+_VETOES: dict[str, re.Pattern[str]] = {}
+
+
+def _vetoes() -> dict[str, re.Pattern[str]]:
+    if not _VETOES:
+        _VETOES.update({k: re.compile(p) for k, p in P.ALIAS_VETO.items()})
+    return _VETOES
+
+
+def _mention(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    if not _FINDERS:
+        _FINDERS.append(_Finder())
+    index = _FINDERS[0].index
+    for pdf in batches:
+        rows = [(paper, key) for paper, low in zip(pdf["paper_id"], pdf["t"], strict=True) for key in sorted(kinds_named(index, low))]
+        yield pd.DataFrame(rows, columns=["paper_id", "key"])
 
 
 def mentioned_kinds(pages: DataFrame) -> DataFrame:
     """(paper_id, key) of parameters that a page names, with or without a value; homonyms do not count."""
     low = pages.select("paper_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
-    flags = []
-    for key, (_, names) in PARAMS.items():
-        plain = [a.lower() for a in names if not _CJK.search(a)]
-        pattern = r"(?<![a-z0-9_])(?:" + "|".join(map(_alias_regex, plain)) + r")(?![a-z0-9_])"
-        text = F.regexp_replace("t", P.ALIAS_VETO[key], " ") if key in P.ALIAS_VETO else F.col("t")
-        said = text.rlike(pattern)
-        for a in names:
-            if _CJK.search(a):
-                said = said | F.contains(F.col("t"), F.lit(a.lower()))
-        flags.append(F.when(said, key))
-    return low.select("paper_id", F.explode(F.array_compact(F.array(*flags))).alias("key")).distinct()
+    return low.mapInPandas(_mention, "paper_id string, key string").distinct()
 
 
 def declarations(pages: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ..dims import RISK_ORDER, display_name, lookup
 
-CAP = 5
+#: Conflicts and files that a person is asked about, an audit.
+MOST_CONFLICTS, MOST_FILES = 5, 5
 
 ADVICE = {
     "consistent": "论文与代码一致, 直接采用",
@@ -21,17 +22,24 @@ ADVICE = {
 }
 
 
-def build_questions(findings: DataFrame, missing: DataFrame, traces: DataFrame, cap: int = CAP) -> DataFrame:
-    """Questions of four kinds in the order of priority; at most ``cap`` of missing values and of images an audit,
-    which is the length of the list that a person gets. ``missing`` has audit_id and key."""
-    ask = lambda df, kind, priority, text: df.select("audit_id", F.lit(kind).alias("kind"), F.lit(priority).alias("priority"), F.concat(F.lit(f"{kind}:"), "key").alias("qid"), "key", text.alias("question"))
+def build_questions(findings: DataFrame, missing: DataFrame, images: DataFrame, failed: DataFrame, most_conflicts: int = MOST_CONFLICTS, most_files: int = MOST_FILES) -> DataFrame:
+    """What only a person can answer, in the order of priority: conflicts of high risk (the first few of the report), named parameters that no channel
+    gave a value of, values read from images, and files that do not parse (the first few). ``missing`` and ``images`` have audit_id and
+    key, ``failed`` has audit_id, file and reason."""
+    first = lambda df, order, most: df.withColumn("_r", F.row_number().over(Window.partitionBy("audit_id").orderBy(*order))).filter(F.col("_r") <= most)
+    ask = lambda df, kind, priority, mark, on, text: df.select("audit_id", F.lit(kind).alias("kind"), F.lit(priority).alias("priority"), F.concat(F.lit(f"{mark}::"), on).alias("qid"), F.col(on).alias("key"), text.alias("question"))
     name = display_name(F.col("key"))
-    conflict = ask(findings.filter("status = 'inconsistent' and confidence = 'confirmed' and risk in ('high', 'medium')"), "conflict", 0, F.concat(name, F.lit(": 论文 "), F.coalesce("paper.raw_value", F.lit("-")), F.lit(" 与代码 "), F.coalesce("code.raw_value", F.lit("-")), F.lit(" 以哪个为准?")))
-    cause = ask(traces.filter("confidence = 'none'"), "rootcause", 1, F.concat(name, F.lit(": 最终生效的赋值在哪里?")))
-    blank = ask(missing, "missing", 2, F.concat(name, F.lit(": 论文提到但未给出取值, 实际取值是多少?")))
-    image = ask(findings.filter("confidence = 'inferred'"), "image", 3, F.concat(name, F.lit(": 读图所得取值是否正确?")))
-    capped = blank.unionByName(image).withColumn("_r", F.row_number().over(Window.partitionBy("audit_id", "kind").orderBy("qid"))).filter(F.col("_r") <= cap).drop("_r")
-    return conflict.unionByName(cause).unionByName(capped).distinct().orderBy("audit_id", "priority", "qid")
+    worst = first(findings.filter("status = 'inconsistent' and risk = 'high'"), ["seq", "key"], most_conflicts)
+    parts = [
+        ask(worst, "conflict", 0, "conflict", "key", F.concat(name, F.lit(": 论文 "), F.coalesce("paper.raw_value", F.lit("-")), F.lit(" 与代码 "), F.coalesce("code.raw_value", F.lit("-")), F.lit(" 以哪个为准?"))),
+        ask(missing.select("audit_id", "key").distinct(), "missing_value", 1, "missing", "key", F.concat(name, F.lit(": 论文提到但各通道均未取到取值, 实际取值是多少?"))),
+        ask(images.select("audit_id", "key").distinct(), "image_inferred", 2, "vision", "key", F.concat(name, F.lit(": 读图所得取值与原图是否一致?"))),
+        ask(first(failed, ["file"], most_files), "parse_failure", 3, "parse", "file", F.concat(F.lit("文件 "), "file", F.lit(" 未能解析, 是否影响结论?"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy("audit_id", "priority", "qid")
 
 
 def summarize(questions: DataFrame) -> DataFrame:

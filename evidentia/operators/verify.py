@@ -79,24 +79,34 @@ def param_matrix(spark: SparkSession, paper: DataFrame, images: DataFrame, code:
     return out.fillna(False, ["in_paper", "in_image", "in_code", "mentioned"])
 
 
-def manual_checks(findings: DataFrame, failed: DataFrame, unsupported: DataFrame, thin: DataFrame, gaps: DataFrame, rejected: DataFrame) -> DataFrame:
-    """What a person should look at, in the order of urgency. All inputs have audit_id."""
+def manual_checks(findings: DataFrame, failed: DataFrame, unsupported: DataFrame, thin: DataFrame, gaps: DataFrame, rejected: DataFrame, regions: DataFrame) -> DataFrame:
+    """What a person should look at: level 0 may change a conclusion, 1 wants a second look, 2 is good to know. All inputs have audit_id;
+    ``thin`` has page_no and read, ``regions`` the numbers of image regions and of those that were read, and whether reading was enabled."""
     item = lambda df, kind, level, what: df.select("audit_id", F.lit(kind).alias("kind"), F.lit(level).alias("level"), what.alias("what"))
+    side = lambda s: F.coalesce(F.col(f"{s}.raw_value"), F.lit("—"))
+    pages = thin.groupBy("audit_id").agg(F.array_join(F.array_sort(F.collect_set("page_no")), ", ").alias("all"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("read"), F.col("page_no")))), ", ").alias("unread"))
+    of = lambda status: findings.filter(F.col("status") == status)
+    images = findings.filter("paper.channel = 'vision' or code.channel = 'vision'")
     parts = [
-        item(findings.filter("risk = 'high'"), "high_risk", 0, F.concat("display", F.lit(": "), "risk_reason")),
-        item(findings.filter("status = 'unverifiable'"), "unverifiable", 1, F.col("display")),
-        item(findings.filter("confidence = 'inferred'"), "image_only", 1, F.col("display")),
         item(findings.filter("not verified"), "selfcheck", 0, F.concat("display", F.lit(": "), "verify_note")),
+        item(images, "image_only", 1, F.concat("display", F.lit(" @ "), F.coalesce("paper.location", "code.location"))),
+        item(of("unverifiable"), "unverifiable", 1, F.concat("display", F.lit(": "), side("code"))),
+        item(of("internal_inconsistent"), "contradiction", 1, F.concat("display", F.lit(": "), F.coalesce("note", F.lit("")))),
+        item(regions.filter("regions > 0 and not enabled"), "images_off", 1, F.col("regions").cast("string")),
+        item(regions.filter("enabled and regions_read < regions"), "images_over_budget", 2, F.concat("regions_read", F.lit("/"), "regions")),
         item(failed, "failed_file", 1, F.concat("file", F.lit(": "), "reason")),
         item(unsupported, "unsupported_file", 2, F.col("file")),
-        item(thin, "thin_page", 2, F.concat(F.lit("Page "), "page_no")),
-        item(gaps, "no_value", 2, F.col("key")),
+        item(pages.filter("unread <> ''"), "thin_pages", 1, F.concat(F.lit("Page "), "all", F.lit("; unread "), "unread")),
+        item(pages.filter("unread = ''"), "thin_pages_read", 2, F.concat(F.lit("Page "), "all")),
+        item(gaps.groupBy("audit_id").agg(F.array_join(F.array_sort(F.collect_set("key")), ", ").alias("keys")), "no_value", 1, F.col("keys")),
         item(rejected, "rejected", 2, F.concat("key", F.lit(" = "), "value", F.lit(" @ "), "location")),
+        item(of("missing_in_paper"), "missing_in_paper", 2, F.concat("display", F.lit(" @ "), F.coalesce("code.location", F.lit("—")))),
+        item(of("missing_in_code"), "missing_in_code", 1, F.concat("display", F.lit(": "), side("paper"))),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct().orderBy("audit_id", "level", "kind", "what")
+    return out.orderBy("audit_id", "level", "kind", "what")
 
 
 def worst_first(findings: DataFrame) -> list[Column]:

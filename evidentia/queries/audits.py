@@ -98,6 +98,20 @@ def mentioned_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("paper_id", "key", F.coalesce("open", F.lit(False)).alias("open"), F.col("n").alias("declared"), "title")
 
 
+def cjk_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims and mentions by Chinese names, with and without a connector, a symbol or another name between, beside English ones."""
+    n, low = F.col("n"), F.lpad(F.col("n"), 2, "0")
+    text = (
+        F.when(F.col("k") % 4 == 0, _text("本文的批大小为 ", n, "。学习率 r=0.", low, "。动量未作说明。"))
+        .when(F.col("k") % 4 == 1, _text("训练轮数设置为", n, "，权重衰减取 0.", low, "。随机种子尚未给出。"))
+        .when(F.col("k") % 4 == 2, _text("聚类簇数为", n, "。杀伤半径 ", n, " 米。阈值未定。"))
+        .otherwise(_text("批量大小 ", n, "; the momentum is 0.", low, "。"))
+    )
+    pages = _pages(_parts(spark, sf_dir), text)
+    found = paper.paper_evidence(pages)["evidence"].select(F.col("owner_id").alias("paper_id"), "key", "raw_value")
+    return paper.mentioned_kinds(pages).join(found, ["paper_id", "key"], "left")
+
+
 def code_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assignments, call arguments and defaults in Python files; a file that does not parse gives nothing."""
     n = F.col("n")
@@ -289,12 +303,30 @@ def patch_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.patches(findings, found, lines, claims).select("audit_id", "key", "status", "refuse_kind", "after")
 
 
+def _line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ten orders each as findings of one audit: status and risk by flags and quantity, the values on both sides, and some read from images."""
+    lines = table(spark, sf_dir, "lineitem")
+    n = F.col("l_partkey") % 7
+    status = F.element_at(F.array(*map(F.lit, ["inconsistent", "inconsistent", "inconsistent", "unverifiable", "internal_inconsistent", "missing_in_paper", "missing_in_code"])), (n + 1).cast("int"))
+    channel = F.when(F.col("l_suppkey") % 9 == 0, "vision").otherwise("text")
+    side = lambda prefix: F.struct(_text(prefix, F.col("l_linenumber")).alias("raw_value"), _text(prefix, " place").alias("location"), channel.alias("channel"))
+    return lines.select(
+        F.floor(F.col("l_orderkey") / 10).cast("string").alias("audit_id"), _line_key().alias("key"), _line_key().alias("display"), F.col("l_partkey").alias("seq"), status.alias("status"),
+        F.when(F.col("l_quantity") < 40, "high").otherwise("medium").alias("risk"), side("p").alias("paper"), side("c").alias("code"), F.lit("n").alias("note"), (F.col("l_suppkey") % 10 > 0).alias("verified"), F.lit("v").alias("verify_note"),
+    )
+
+
+def _line_key() -> Column:
+    return _text("k", F.col("l_orderkey"), "-", F.col("l_linenumber"), "-", F.col("l_partkey"), "-", F.col("l_suppkey"))
+
+
 def asked_and_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions to a person with their answers; blank answers are none, and lists of missing values have their length."""
-    found = _findings(spark, sf_dir)
-    traced = trace.traces(found, _order_sides(spark, sf_dir)[1])
-    missing = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'N'").select(F.col("l_orderkey").cast("string").alias("audit_id"), _text("x", F.col("l_linenumber")).alias("key")).distinct()
-    asked = inquiry.build_questions(found, missing, traced, 3)
+    """Questions to a person with their answers: at most five conflicts of high risk and five files an audit, all missing values and images; blank answers are none."""
+    found = _line_findings(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").withColumn("audit_id", F.floor(F.col("o_orderkey") / 10).cast("string"))
+    key = lambda where: orders.filter(where).select("audit_id", _text("x", F.col("o_orderkey")).alias("key"))
+    failed = orders.select("audit_id", _text("f", F.col("o_orderkey"), ".py").alias("file"), F.lit("r").alias("reason"))
+    asked = inquiry.build_questions(found, key("o_orderstatus = 'O'"), key("o_orderstatus = 'F'"), failed)
     answers = asked.select("audit_id", "qid", F.when(F.col("priority") == 1, "  ").otherwise(_text(" yes ", F.col("qid"))).alias("answer"))
     return asked.join(inquiry.apply_answers(asked, answers).select("audit_id", "qid", "answer"), ["audit_id", "qid"], "left").join(inquiry.summarize(asked), ["audit_id", "kind"]).select("audit_id", "kind", "priority", "qid", "answer", "n")
 
@@ -307,12 +339,16 @@ def repeat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manual_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a person should look at, by kind and urgency."""
-    found = _findings(spark, sf_dir).withColumn("risk", F.when(F.col("status") == "inconsistent", "high").otherwise(F.col("risk")))
-    part = lambda where, *columns: table(spark, sf_dir, "orders").filter(where).select(F.col("o_orderkey").cast("string").alias("audit_id"), *columns)
-    one = F.lit("a")
-    listed = verify.manual_checks(found, part("o_orderkey % 11 = 0", one.alias("file"), one.alias("reason")), part("o_orderkey % 13 = 0", one.alias("file")), part("o_orderkey % 17 = 0", F.lit(2).alias("page_no")), part("o_orderkey % 19 = 0", one.alias("key")), part("o_orderkey % 23 = 0", one.alias("key"), one.alias("value"), one.alias("location")))
-    return listed.groupBy("audit_id", "kind", "level").agg(F.count("*").alias("n"))
+    """What a person should look at, by urgency: one item for each finding, file and refusal, one an audit for thin pages, missing values and images."""
+    orders = table(spark, sf_dir, "orders").withColumn("audit_id", F.floor(F.col("o_orderkey") / 10).cast("string"))
+    part = lambda where, *columns: orders.filter(where).select("audit_id", *columns)
+    k, name = F.col("o_orderkey"), _text("x", F.col("o_orderkey"))
+    thin = part("o_orderkey % 5 = 0", (k % 1000).cast("int").alias("page_no"), (F.col("o_custkey") % 3 > 0).alias("read"))
+    regions = orders.groupBy("audit_id").agg((F.count_if(F.col("o_orderstatus") == "O")).alias("regions"), F.count_if((F.col("o_orderstatus") == "O") & (F.col("o_custkey") % 2 == 0)).alias("regions_read"), (F.min("o_custkey") % 2 == 0).alias("enabled"))
+    return verify.manual_checks(
+        _line_findings(spark, sf_dir), part("o_orderkey % 11 = 0", name.alias("file"), F.lit("r").alias("reason")), part("o_orderkey % 13 = 0", name.alias("file")), thin, part("o_orderkey % 3 = 0", name.alias("key")),
+        part("o_orderkey % 23 = 0", name.alias("key"), F.lit("1").alias("value"), F.lit("Page 1").alias("location")), regions,
+    ).select("audit_id", "kind", "level", "what")
 
 
 def main_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,7 +431,7 @@ def listed_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = [
     numeric_claims, rejected_claims, text_claims, claimed_results, table_rows, mentioned_parameters, code_values, failed_code, aligned_parameters, conflicting_values,
     image_findings, gated_candidates, ladder_fills, checked_findings, snippets_show, audit_readiness, audit_coverage, carriers, effective_sites, patch_gates,
-    asked_and_answered, repeat_pack, manual_list, main_issues, remembered, folded_memory, value_functions,
+    cjk_claims, asked_and_answered, repeat_pack, manual_list, main_issues, remembered, folded_memory, value_functions,
     explained_findings, excerpts_to_quote, listed_coverage,
 ]
 QUERIES = {f.__name__: f for f in _NAMES}
@@ -486,20 +522,40 @@ WITH {_P} SELECT id AS audit_id, (['batch_size', 'batch_size', 'model', 'batch_s
   CASE WHEN k % 13 = 0 THEN 'proposed' ELSE 'refused' END AS status,
   (['', 'not_inconsistent', 'not_config', 'multi_value', 'no_rootcause', 'no_paper_value', 'malformed', 'literal', 'bad_target', 'unit', 'type_int', 'token', 'token'])[k % 13 + 1] AS refuse_kind,
   CASE WHEN k % 13 = 0 THEN 'batch_size = ' || n || '  # not ' || n END AS after FROM p""",
-    "asked_and_answered": f"""
-WITH {_SIDES}, q AS (SELECT a, 'conflict' AS kind, 0 AS priority, 'conflict:batch_size' AS qid FROM findings WHERE status = 'inconsistent' AND risk IN ('high', 'medium')
-  UNION SELECT a, 'rootcause', 1, 'rootcause:batch_size' FROM traced WHERE confidence = 'none'
-  UNION SELECT a, 'missing', 2, qid FROM (SELECT DISTINCT cast(l_orderkey AS varchar) AS a, 'missing:x' || l_linenumber AS qid FROM lineitem WHERE l_returnflag = 'N') QUALIFY row_number() OVER (PARTITION BY a ORDER BY qid) <= 3)
+    "cjk_claims": f"""
+WITH {_P} SELECT id AS paper_id, unnest(['batch_size', 'learning_rate', 'momentum']) AS key, unnest([cast(n AS varchar), '0.' || nn, NULL]) AS raw_value FROM p WHERE k % 4 = 0
+UNION ALL SELECT id, unnest(['epochs', 'weight_decay', 'seed']), unnest([cast(n AS varchar), '0.' || nn, NULL]) FROM p WHERE k % 4 = 1
+UNION ALL SELECT id, unnest(['num_clusters', 'kill_radius', 'threshold']), unnest([CASE WHEN n > 1 THEN cast(n AS varchar) END, cast(n AS varchar), NULL]) FROM p WHERE k % 4 = 2  -- one cluster is out of range
+UNION ALL SELECT id, unnest(['batch_size', 'momentum']), unnest([cast(n AS varchar), '0.' || nn]) FROM p WHERE k % 4 = 3""",
+    "asked_and_answered": """
+WITH l AS (SELECT cast(l_orderkey // 10 AS varchar) AS a, 'k' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key, l_partkey AS seq FROM lineitem WHERE l_partkey % 7 < 3 AND l_quantity < 40),
+o AS (SELECT cast(o_orderkey // 10 AS varchar) AS a, o_orderkey AS k, o_orderstatus AS s FROM orders),
+q AS (SELECT a, 'conflict' AS kind, 0 AS priority, 'conflict::' || key AS qid FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY a ORDER BY seq, key) <= 5)
+  UNION ALL SELECT a, 'missing_value', 1, 'missing::x' || k FROM o WHERE s = 'O' UNION ALL SELECT a, 'image_inferred', 2, 'vision::x' || k FROM o WHERE s = 'F'
+  UNION ALL SELECT a, 'parse_failure', 3, 'parse::f' || k || '.py' FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY a ORDER BY 'f' || k || '.py') <= 5))
 SELECT a AS audit_id, kind, priority, qid, CASE WHEN priority <> 1 THEN 'yes ' || qid END AS answer, count(*) OVER (PARTITION BY a, kind) AS n FROM q""",
     "repeat_pack": f"""
 WITH {_SIDES}, r AS (SELECT a, arg_min(claimed, seq) FILTER (claimed IS NOT NULL) AS p, arg_min(coded, seq) FILTER (coded IS NOT NULL) AS c, string_agg(status, '; ' ORDER BY seq) AS status, arg_min(risk, seq) AS risk FROM findings GROUP BY 1)
 SELECT a AS audit_id, 'batch_size' AS key, cast(p AS varchar) AS paper_value, cast(c AS varchar) AS code_value, status, risk, CASE WHEN risk <> 'none' THEN 1 END AS rank FROM r""",
-    "manual_list": f"""
-WITH {_SIDES}, u AS (SELECT a, 'high_risk' AS kind, 0 AS level FROM findings WHERE status = 'inconsistent' UNION ALL SELECT a, 'selfcheck', 0 FROM findings WHERE coalesce(ln, 0) > 6
-  UNION ALL SELECT a, 'failed_file', 1 FROM (SELECT cast(o_orderkey AS varchar) a FROM orders WHERE o_orderkey % 11 = 0) UNION ALL SELECT a, 'unsupported_file', 2 FROM (SELECT cast(o_orderkey AS varchar) a FROM orders WHERE o_orderkey % 13 = 0)
-  UNION ALL SELECT a, 'thin_page', 2 FROM (SELECT cast(o_orderkey AS varchar) a FROM orders WHERE o_orderkey % 17 = 0) UNION ALL SELECT a, 'no_value', 2 FROM (SELECT cast(o_orderkey AS varchar) a FROM orders WHERE o_orderkey % 19 = 0)
-  UNION ALL SELECT a, 'rejected', 2 FROM (SELECT cast(o_orderkey AS varchar) a FROM orders WHERE o_orderkey % 23 = 0))
-SELECT a AS audit_id, kind, level, count(*) AS n FROM (SELECT DISTINCT * FROM u) GROUP BY 1, 2, 3""",
+    "manual_list": """
+WITH l AS (SELECT cast(l_orderkey // 10 AS varchar) AS a, 'k' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS d, l_partkey % 7 AS n, l_suppkey AS s, l_linenumber AS v FROM lineitem),
+o AS (SELECT cast(o_orderkey // 10 AS varchar) AS a, o_orderkey AS k, 'x' || o_orderkey AS x, o_custkey AS c, o_orderstatus = 'O' AS open FROM orders),
+thin AS (SELECT a, array_to_string(list_sort(list_distinct(list(k % 1000))), ', ') AS pages, array_to_string(list_sort(list_distinct(list(k % 1000) FILTER (c % 3 = 0))), ', ') AS unread FROM o WHERE k % 5 = 0 GROUP BY 1),
+r AS (SELECT a, count(*) FILTER (open) AS n, count(*) FILTER (open AND c % 2 = 0) AS seen, min(c) % 2 = 0 AS enabled FROM o GROUP BY 1)
+SELECT a AS audit_id, 'selfcheck' AS kind, 0 AS level, d || ': v' AS what FROM l WHERE s % 10 = 0
+UNION ALL SELECT a, 'image_only', 1, d || ' @ p place' FROM l WHERE s % 9 = 0
+UNION ALL SELECT a, 'unverifiable', 1, d || ': c' || v FROM l WHERE n = 3
+UNION ALL SELECT a, 'contradiction', 1, d || ': n' FROM l WHERE n = 4
+UNION ALL SELECT a, 'missing_in_paper', 2, d || ' @ c place' FROM l WHERE n = 5
+UNION ALL SELECT a, 'missing_in_code', 1, d || ': p' || v FROM l WHERE n = 6
+UNION ALL SELECT a, 'images_off', 1, cast(n AS varchar) FROM r WHERE n > 0 AND NOT enabled
+UNION ALL SELECT a, 'images_over_budget', 2, seen || '/' || n FROM r WHERE enabled AND seen < n
+UNION ALL SELECT a, 'failed_file', 1, x || ': r' FROM o WHERE k % 11 = 0
+UNION ALL SELECT a, 'unsupported_file', 2, x FROM o WHERE k % 13 = 0
+UNION ALL SELECT a, 'thin_pages', 1, 'Page ' || pages || '; unread ' || unread FROM thin WHERE coalesce(unread, '') <> ''
+UNION ALL SELECT a, 'thin_pages_read', 2, 'Page ' || pages FROM thin WHERE coalesce(unread, '') = ''
+UNION ALL SELECT a, 'no_value', 1, string_agg(DISTINCT x, ', ' ORDER BY x) FROM o WHERE k % 3 = 0 GROUP BY 1
+UNION ALL SELECT a, 'rejected', 2, x || ' = 1 @ Page 1' FROM o WHERE k % 23 = 0""",
     "main_issues": """
 WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 2 = 1)
 SELECT cast(o_custkey AS varchar) AS audit_id, string_agg(cast(o_orderkey AS varchar), ',' ORDER BY o_orderkey) AS dominant FROM o WHERE rn <= 3 GROUP BY 1""",

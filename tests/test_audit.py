@@ -65,8 +65,9 @@ def test_traces_patches_questions_report(tables):
     assert patches["a", "learning_rate"]["refuse_kind"] == "no_rootcause"
     assert patches["b", "learning_rate"]["after"] == "LEARNING_RATE = 0.0001"
     none = tables["mentioned"].limit(0).select(F.lit("a").alias("audit_id"), "key")
-    questions = inquiry.build_questions(tables["findings"], none, traces)
-    assert questions.filter("audit_id = 'a' and kind = 'conflict'").count() == 4
+    questions = inquiry.build_questions(tables["findings"], none, none, tables["failed_files"])
+    high = tables["findings"].filter("status = 'inconsistent' and risk = 'high'")
+    assert [r["key"] for r in questions.filter("kind = 'conflict'").orderBy("audit_id", "key").collect()] == [r["key"] for r in high.orderBy("audit_id", "key").collect()] and high.count()
     rows = inquiry.repro_rows(tables["findings"])
     assert rows.filter("audit_id = 'b' and key = 'learning_rate'").first()["status"] == "inconsistent; internal_inconsistent"
     report = {r["audit_id"]: r["report"] for r in markdown(tables | {"traces": traces, "questions": questions}).collect()}
