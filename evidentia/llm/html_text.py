@@ -2,9 +2,13 @@
 
 A page is read into a tree of elements by one pass over its tags; tags that are left open are closed where
 HTML closes them (a paragraph by the next block, a list item by the next item, everything by the end).
-Subtrees that are never main text (scripts, styles, navigation, headers and footers of the page, forms,
-and elements whose class, id or role names an advert, a notice, a sidebar, a menu or reader comments) are
-cut. Every remaining paragraph gives points, one for itself, one for each comma and one for each hundred
+Subtrees that are never main text (scripts, styles, navigation, headers and footers of the page, what is hidden or marked by
+its role, adverts by their plain class) are cut. Forms, and elements one of whose class or id tokens names a sidebar, a menu, a notice, sharing or reader
+comments, are under suspicion. A token names something if it is that word, or if that is the first or the last of its words, which
+hyphens, underscores and capitals part; a token of several words that begins with ``has``, ``no``, ``with`` and the like names nothing, and a
+token that begins with ``comment`` names comments. What is under suspicion is cut, but for the case that a mark is on the article itself: an
+element that holds nearly all the prose of the page (``MOST`` times what is outside of all suspicion; for forms, notices and comments: all of it) is
+cleared, the outermost first, and the scores decide. Every remaining paragraph gives points, one for itself, one for each comma and one for each hundred
 characters up to three, to its container and half of them to the container's container, and less for each
 further one. Containers lose points by their share of text inside links. The best container is the main
 one; its siblings are kept too when they score near it or are plain prose. An element marked as the
@@ -34,23 +38,29 @@ from .session import bounded_batches, table
 #: Elements whose content is not markup, up to their own end tag.
 _RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "title", "xmp", "noembed", "noframes", "svg"}
 #: Elements that are cut with all they hold.
-_CUT = _RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "input", "option", "label", "fieldset", "dialog", "menu", "object", "embed", "canvas", "audio", "video", "map", "annotation", "annotation-xml"}
+_CUT = _RAW | {"head", "nav", "footer", "aside", "button", "select", "input", "option", "fieldset", "dialog", "menu", "object", "embed", "canvas", "audio", "video", "map", "annotation", "annotation-xml"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "label"}
 #: Formulas are part of their line.
 _INLINE |= {"math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mtable", "mtr", "mtd", "mstyle", "mspace", "mpadded", "mphantom", "menclose", "mfenced", "merror"}
 _CONTAINER = {"article", "main", "section", "div", "body", "td", "center", "html", "blockquote", "#root"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", "li", "dt", "dd"}
 #: What belongs to the text beside it, if it is not mostly links.
 _BESIDE = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "ul", "ol", "dl", "pre", "table", "figure", "blockquote"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 _SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "dl", "table", "article", "section", "main", "body", "html", "#root", "blockquote", "div", "td", "th", "nav", "footer", "header", "aside", "form"}
 
-_NOT_MAIN = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed|s)?|promo(?:tion)?s?|comments?|disqus|respond|repl(?:y|ies)|menu|nav|navbar|navigation|breadcrumbs?"
-    r"|sidebar|side|widgets?|footer|header|masthead|cookies?|consent|notices?|gdpr|newsletter|subscribe|signup|login|popup|modal|overlay|related|recommend(?:ed|ations)?|share|sharing|social|toolbar|pagination|pager|tags|hidden|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+#: Words of classes and ids: of adverts, which are always cut; of notices; of comments; of the layout around an article.
+_ADVERT = {"ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "sponsor", "sponsors", "sponsored"}
+_NOTICE = {"promo", "promos", "promotion", "promotions", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "newsletter", "subscribe", "signup", "login", "popup", "modal", "overlay"}
+_REPLIES = {"comment", "comments", "disqus", "respond", "reply", "replies"}
+_LAYOUT = {"banner", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "side", "widget", "widgets", "footer", "header", "masthead", "related", "recommend", "recommended", "recommendation", "recommendations"}
+_LAYOUT |= {"share", "sharing", "social", "toolbar", "pagination", "pager", "tags", "hidden", "skip"}
+_NO_NAME = {"has", "have", "is", "no", "not", "non", "with", "without", "hide", "show", "js", "single", "open"}
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: Times the prose outside of suspicion that clears an element of layout; characters from which a block is prose.
+MOST, PROSE = 4, 25
 _NOT_MAIN_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?P<open_end>/?)(?P<open_name>[a-zA-Z][^\s/>]*)(?P<open_attributes>[^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -59,30 +69,53 @@ _WHITE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("name", "parent", "parts", "cut", "points", "own", "linked", "length")
+    __slots__ = ("name", "parent", "parts", "cut", "doubt", "points", "own", "linked", "length")
 
-    def __init__(self, name: str, parent: Element | None, cut: bool) -> None:
-        self.name, self.parent, self.cut = name, parent, cut
+    def __init__(self, name: str, parent: Element | None, cut: bool, doubt: int = 0) -> None:
+        self.name, self.parent, self.cut, self.doubt = name, parent, cut, doubt
         self.parts: list[Element | str] = []
         self.points = 0.0
         self.own = self.linked = self.length = 0
 
 
-def _hidden(name: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element with these attributes is never main text."""
+#: Doubts of an element: it is cleared if it holds nearly all prose, or only if it holds all.
+_SOME, _MUCH = 1, 2
+
+
+def _named(token: str) -> set[str]:
+    """What a token of a class or id names."""
+    if token.lower() in _ADVERT | _NOTICE | _REPLIES | _LAYOUT:
+        return {token.lower()}
+    words = [w.lower() for w in _WORDS.findall(token)]
+    if not words or words[0] in _NO_NAME:
+        return set()
+    if words[0].startswith("comment"):
+        return {"comments"}
+    return {words[0], words[-1]} if len(words) > 1 else set()
+
+
+def _judged(name: str, attributes: str, inside_article: bool) -> tuple[bool, int]:
+    """Whether an element with these attributes is never main text, and the doubt it is under."""
     if name in _CUT or (name == "header" and not inside_article):
-        return True
+        return True, 0
+    doubt = _MUCH if name == "form" else 0
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return False, doubt
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id") and _NOT_MAIN.search(value):
-            return True
+        if key in ("class", "id"):
+            tokens = value.split()
+            if any(t.lower() in _ADVERT for t in tokens):
+                return True, 0
+            named = set().union(*map(_named, tokens))
+            doubt = max(doubt, _MUCH if named & (_NOTICE | _REPLIES | _ADVERT) else _SOME if named & _LAYOUT else 0)
         if key == "role" and value.strip().lower() in _NOT_MAIN_ROLE:
-            return True
+            return True, 0
+        if name == "label" and key == "for":
+            return True, 0
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE)):
-            return True
-    return False
+            return True, 0
+    return False, doubt
 
 
 class _Open:
@@ -144,7 +177,8 @@ def parse(page: str) -> Element:
         if name == "br":
             here.parts.append(" ")
             continue
-        element = Element(name, here, here.cut or _hidden(name, token["attributes"] or token["open_attributes"] or "", bool(opened.named.get("article"))))
+        cut, doubt = _judged(name, token["attributes"] or token["open_attributes"] or "", bool(opened.named.get("article")))
+        element = Element(name, here, here.cut or cut, doubt)
         here.parts.append(element)
         if name in _VOID:
             continue
@@ -170,6 +204,50 @@ def _in_order(root: Element) -> list[Element]:
     return out
 
 
+def _settle(root: Element) -> None:
+    """Clear or cut what is under doubt."""
+    order = _in_order(root)
+    under: dict[int, Element | None] = {}  # the innermost element under doubt that holds each element
+    held: dict[int, list[float]] = {}  # of these: prose in them that no inner one holds; all prose in them, of blocks and of any length
+    clean = [0.0, 0.0]
+    doubted = []
+    for e in order:
+        above = under.get(id(e.parent)) if e.parent is not None else None
+        under[id(e)] = e if e.doubt else above
+        if e.doubt:
+            doubted.append(e)
+            held[id(e)] = [0.0, 0.0]
+    if not doubted:
+        return
+    for e in order:
+        if e.name in _INLINE or e.name in _HEADINGS:
+            continue
+        size = len(_WHITE.sub(" ", _text(e, links=False)).strip())
+        into = clean if under[id(e)] is None else held[id(under[id(e)])]
+        into[0] += size if size >= PROSE else 0
+        into[1] += size
+    inner: dict[int, list[Element]] = {}
+    outer = []
+    for e in doubted:
+        above = under.get(id(e.parent)) if e.parent is not None else None
+        inner.setdefault(id(above), []).append(e) if above is not None else outer.append(e)
+    total = {}
+    for e in reversed(doubted):
+        total[id(e)] = held[id(e)][0] + sum(total[id(x)] for x in inner.get(id(e), []))
+    todo = outer
+    while todo:
+        best = max(todo, key=lambda x: total[id(x)])
+        some = total[id(best)]
+        if not some or (clean[0] * MOST > some if best.doubt == _SOME else clean[1] > 0):
+            break
+        # the mark is on what holds the article: what is in it is judged by itself
+        best.doubt = 0
+        clean = [c + h for c, h in zip(clean, held[id(best)], strict=True)]
+        todo = [x for x in todo if x is not best] + inner.get(id(best), [])
+    for e in order:
+        e.cut = e.doubt > 0 or (e.parent is not None and e.parent.cut)
+
+
 def _measure(order: list[Element]) -> None:
     for e in order:
         e.own = sum(len(_WHITE.sub(" ", x).strip()) for x in e.parts if isinstance(x, str))
@@ -182,14 +260,14 @@ def _measure(order: list[Element]) -> None:
             e.parent.linked += e.linked
 
 
-def _text(e: Element) -> str:
-    """Inline text directly in a block: its strings and those of inline elements in it."""
+def _text(e: Element, links: bool = True) -> str:
+    """Inline text directly in a block: its strings and those of inline elements in it, those of links or without."""
     out, todo = [], list(reversed(e.parts))
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             out.append(x)
-        elif not x.cut and x.name in _INLINE:
+        elif not x.cut and x.name in _INLINE and (links or x.name != "a"):
             todo += reversed(x.parts)
     return "".join(out)
 
@@ -201,7 +279,7 @@ def _score(order: list[Element]) -> None:
         if e.name in _INLINE or e.name == "html":
             continue
         prose = _WHITE.sub(" ", _text(e)).strip()
-        if len(prose) < 25:
+        if len(prose) < PROSE:
             continue
         points = 1 + prose.count(",") + min(len(prose) // 100, 3)
         holder = e if e.name in _CONTAINER and e.name != "blockquote" else e.parent
@@ -260,7 +338,9 @@ def extract(page: str | None) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    order = _in_order(parse(page))
+    root = parse(page)
+    _settle(root)
+    order = _in_order(root)
     _measure(order)
     _score(order)
     worth = lambda e: e.points * (1 - e.linked / e.length if e.length else 0.0)
