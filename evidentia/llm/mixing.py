@@ -3,17 +3,17 @@
 The domains are the values of a column of all labelled documents, however many: the languages, or those of the
 column that is named (a column that the text does not tell of, such as a random source, gives posteriors near
 the prior, and its targets cannot be met). A classifier that is fitted on a
-bounded sample of each domain's labelled documents gives every document a posterior over the domains (naive Bayes over hashed words; the
+bounded sample of each domain's labelled documents, whole texts, counted in Spark, gives every document a posterior over the domains (naive Bayes over hashed words; the
 evidence of a text counts as that of at most ``EVIDENCE`` words, so that membership stays soft). The rates r
 are the nonnegative least-squares fit of
 
-    sum_k ((sum_d r_d n_d p_dk - T_k) / N)^2 / 2 + DAMPING * sum_d n_d (r_d - 1)^2 / (2 N)
+    sum_k (sum_d r_d n_d p_dk - T_k)^2 / (2 S_k),        S_k = sum_d n_d p_dk
 
-At its optimum r = max(0, 1 + p . pull) with one number for each domain, pull = -gap / DAMPING. These few
-numbers are found by Newton steps with a line search on the dual problem, which is convex and smooth; a step
-is one pass of sums over all posteriors in Spark. The steps end when the optimum is met to ``EXACT``; the
-gaps that are left to the targets are ``DAMPING`` * pull, and a warning names them when they are above
-``TOLERANCE`` of all tokens (targets that no rates can meet) or when ``STEPS`` do not suffice. A document's
+by projected gradient steps on the rates of all documents, from rates of one: r <- max(0, y - p . (gap / S)), y = r + b (r - r before).
+Dividing by the natural totals S makes one the greatest step that always descends (the rows of S^-1 sum_d n_d p_d p_d' are shares), however small a domain
+is; b is Nesterov's, begun anew when a step goes uphill. A step needs the gap at y: one sum over all posteriors in Spark. A rate follows from its own posterior and the
+gaps so far, a few numbers a step, so that no rates are stored. The steps end when no gap is above ``EXACT`` of all tokens; a warning names the gaps that
+are above ``TOLERANCE`` when ``STEPS`` do not suffice (targets that no rates can meet). A document's
 copies are its rate rounded by the hash of its id, so that expected domain totals meet the targets.
 
 Defined cases: a null or empty text has no tokens and the prior as posterior; without labelled rows there
@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import held, text_slices, word_pieces, words
+from .kernels import held, text_slices, word_pieces
 from .session import bounded_batches, cut, table
 
-#: Labelled rows that the classifier is fitted on, those that each domain has at least where it has as many, and characters of each.
-SAMPLE, LEAST, SAMPLE_CHARS = 3000, 40, 16_384
+#: Labelled rows that the classifier is fitted on, and those that each domain has at least where it has as many.
+SAMPLE, LEAST = 3000, 40
 FEATURES, EVIDENCE = 1 << 14, 40
-#: Weight of rates of one; share of all tokens that a gap may have, and that the optimum is met to; most Newton steps.
-DAMPING, TOLERANCE, EXACT, STEPS = 1e-6, 1e-3, 1e-7, 200
+#: Share of all tokens that a gap may have, and below which the steps end; most steps.
+TOLERANCE, EXACT, STEPS = 1e-3, 1e-5, 200
 
 
 class DomainClassifier:
@@ -47,17 +47,12 @@ class DomainClassifier:
         self.domains, self.prior, self.weights = domains, prior, weights
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], counts: dict[str, int]) -> DomainClassifier:
-        """Fit on texts with their domains; ``counts`` are the labelled rows of every domain."""
+    def of(cls, totals: dict[str, np.ndarray], counts: dict[str, int]) -> DomainClassifier:
+        """From counts of hashed words by domain; ``counts`` are the labelled rows of every domain."""
         names = sorted(counts, key=lambda x: (-counts[x], x))
         if not names:
             return cls(["all"], np.zeros(1), np.zeros((FEATURES, 1)))
-        place = {name: k for k, name in enumerate(names)}
-        total = np.zeros((FEATURES, len(names)))
-        for name, text in zip(labels, texts, strict=True):
-            raw = np.frombuffer(text.encode(), np.uint8)
-            word, _ = words(raw, np.array([0, len(raw)]), True)
-            total[:, place[name]] += np.bincount((word & np.uint64(FEATURES - 1)).astype(np.int64), minlength=FEATURES)
+        total = np.stack([totals.get(n, np.zeros(FEATURES)) for n in names], axis=1)
         prior = np.array([counts[n] for n in names], dtype=float)
         share = (total + 0.5) / (total + 0.5).sum(axis=0)
         return cls(names, np.log(prior / prior.sum()), np.log(share))
@@ -77,24 +72,39 @@ class DomainClassifier:
         return n, p / p.sum(axis=1, keepdims=True)
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of hashed words by domain, of batches (domain, text)."""
+    for batch in batches:
+        names = batch.column(0).dictionary_encode()
+        where = names.indices.to_numpy()
+        for start, stop, raw, offsets in text_slices(batch.column(1)):
+            for word, row, _, _ in word_pieces(raw, offsets, True):
+                key = where[start:stop][row] * FEATURES + (word & np.uint64(FEATURES - 1)).astype(np.int64)
+                keys, n = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(keys // FEATURES)).cast(pa.string()), pa.array((keys % FEATURES).astype(np.int32)), pa.array(n)], ["lang", "feature", "n"])
+
+
 def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = "lang") -> DomainClassifier:
-    """Fit on about ``SAMPLE`` labelled documents, chosen by a hash of their id, ``LEAST`` of a domain or all it has; of each
-    the first ``SAMPLE_CHARS`` characters. The domains and their priors are those of all labelled documents."""
+    """Fit on about ``SAMPLE`` labelled documents, chosen by a hash of their id, ``LEAST`` of a domain or all it has; their texts are
+    read whole. The domains and their priors are those of all labelled documents."""
+    bounded_batches(docs.sparkSession)
     fits = docs.select("doc_id", "text", F.col(domain).cast("string").alias("lang")).filter("doc_id is not null and text is not null and lang is not null")
     ids = labels.select("doc_id").filter("doc_id is not null").distinct()
     langs = cut(fits.select("doc_id", "lang").join(ids, "doc_id").groupBy("doc_id").agg(F.min("lang").alias("lang")), "mix-labelled")
     counts = {r["lang"]: r["n"] for r in langs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return DomainClassifier.fit([], [], {})
+        return DomainClassifier.of({}, {})
     every = sum(counts.values())
     share = docs.sparkSession.createDataFrame([(d, min(1.0, max(SAMPLE / every, LEAST / n))) for d, n in counts.items()], "lang string, share double")
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     chosen = langs.join(F.broadcast(share), "lang").filter(hashed < F.col("share")).select("doc_id", "lang")
     known = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id bigint, lang string")  # about SAMPLE ids
-    texts = fits.withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(known), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
-    rows = sorted(rows, key=lambda r: r["doc_id"])
-    return DomainClassifier.fit([r["text"] for r in rows], [r["lang"] for r in rows], counts)
+    rows = fits.join(F.broadcast(known), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    found = rows.select("lang", "text").mapInArrow(_count_words, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()  # as many as the model has weights
+    totals = {}
+    for lang, feature, n in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True):
+        totals.setdefault(lang, np.zeros(FEATURES))[feature] = n
+    return DomainClassifier.of(totals, counts)
 
 
 def membership(text: Column, shared) -> Column:
@@ -119,69 +129,82 @@ def memberships(docs: DataFrame, shared) -> DataFrame:
     return docs.select("doc_id", membership(F.col("text"), shared).alias("m")).select("doc_id", F.col("m.n").alias("n_tokens"), "m.p")
 
 
-def rate(p: Column, pull: list[float]) -> Column:
+#: Steps of the fit: the weight of the last move, and for each domain what its gap takes from the rates.
+Steps = list[tuple[float, np.ndarray]]
+
+
+def rates(p: np.ndarray, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
+    """The rates of posteriors after some steps, and those before the last step."""
+    now = before = np.ones(len(p))
+    for weight, pull in steps:
+        now, before = np.maximum(0, now + weight * (now - before) - p @ pull), now
+    return now, before
+
+
+def rate(p: Column, steps: Steps) -> Column:
     """The rate of a posterior."""
-    return F.greatest(F.lit(0.0), sum((F.get(p, k) * x for k, x in enumerate(pull)), F.lit(1.0)))
+
+    @F.arrow_udf("double")
+    def of(column: pa.Array) -> pa.Array:
+        size = len(steps[0][1]) if steps else 1
+        return pa.array(rates(np.asarray(column.flatten()).reshape(-1, size), steps)[0] if steps else np.ones(len(column)))
+
+    return of(p)
 
 
-def _sums(member: DataFrame, pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Sums over all rows, for rates r: n r^2 / 2, n r p for each domain, and n p p' of the rows with a rate above zero."""
-    size = len(pull)
+def _sums(member: DataFrame, steps: Steps, weight: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all rows: tokens of each domain at the rates, and at the rates moved on by ``weight``."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(1 + size + size * size)
+        out = np.zeros(2 * size)
         for batch in batches:
             n = np.asarray(batch.column(0).fill_null(0), np.float64)
             p = np.asarray(batch.column(1).flatten()).reshape(-1, size)
-            r = np.maximum(0, 1 + p @ pull)
-            live = p * (n * (r > 0))[:, None]
-            out += np.concatenate(([(n * r * r).sum() / 2], p.T @ (n * r), (live.T @ p).ravel()))
+            r, before = rates(p, steps)
+            out += np.concatenate((p.T @ (n * r), p.T @ (n * (r + weight * (r - before)))))
         yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(len(out)), pa.int32()), "v": pa.array(out, pa.float64())})
 
-    rows = member.select("n_tokens", "p").mapInArrow(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # 1 + K + K^2 numbers
-    out = np.zeros(1 + size + size * size)
+    rows = member.select("n_tokens", "p").mapInArrow(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # 2 K numbers
+    out = np.zeros(2 * size)
     for r in rows:
         out[r["k"]] = r["v"]
-    return out[0], out[1 : 1 + size], out[1 + size :].reshape(size, size)
+    return out[:size], out[size:]
 
 
-def fit_rates(member: DataFrame, domains: list[str], targets: dict[str, float] | None) -> list[float]:
-    """The pull of every domain, ``domains`` being those of all labelled rows. ``targets`` are the domains' shares of all tokens (default: equal parts of their square roots)."""
+def fit_rates(member: DataFrame, domains: list[str], targets: dict[str, float] | None) -> Steps:
+    """The steps that lead to the rates, ``domains`` being those of all labelled rows. ``targets`` are the domains' shares of all tokens (default: equal parts of their square roots)."""
     unknown = sorted(set(targets or ()) - set(domains))
     if unknown:
         raise ValueError(f"targets for domains without labelled documents: {unknown}")
     cells = cut(member.select("n_tokens", "p"), "mix-cells")
-    pull = np.zeros(len(domains))
-    square, now, curve = _sums(cells, pull)
-    every = now.sum()
+    natural, _ = _sums(cells, [], 0.0, len(domains))
+    every = natural.sum()
     if not every:
-        return pull.tolist()
-    shares = np.array([targets.get(d, 0.0) if targets else np.sqrt(s) for d, s in zip(domains, now, strict=True)])
+        return []
+    shares = np.array([targets.get(d, 0.0) if targets else np.sqrt(s) for d, s in zip(domains, natural, strict=True)])
     if not shares.sum():
-        return pull.tolist()
-    wanted = shares / shares.sum()
-    loss = lambda x, square: square / every - wanted @ x + DAMPING * (x @ x) / 2
-    best = loss(pull, square)
-    for _ in range(STEPS):
-        slope = now / every - wanted + DAMPING * pull
-        if np.abs(slope).max() <= EXACT:
+        return []
+    wanted = shares / shares.sum() * every
+    scale = np.where(natural > 0, 1 / np.where(natural > 0, natural, 1), 0)
+    loss = lambda total: float(((total - wanted) ** 2 * scale).sum())
+    steps, age, last = [], 0, loss(natural)
+    now = natural
+    while np.abs(now - wanted).max() > EXACT * every and len(steps) < STEPS:
+        weight = age / (age + 3)
+        now, ahead = (now, now) if not steps else _sums(cells, steps, weight, len(domains))
+        if loss(now) > last:  # uphill: the next move begins without the last one's weight
+            age, weight, ahead = 0, 0.0, now
+        last = loss(now)
+        if np.abs(now - wanted).max() <= EXACT * every:
             break
-        move = -np.linalg.solve(curve / every + DAMPING * np.eye(len(domains)), slope)
-        size = 1.0
-        while True:
-            tried = pull + size * move
-            got = _sums(cells, tried)
-            if loss(tried, got[0]) <= best + 1e-4 * size * (slope @ move) + 1e-15 * abs(best) or size < 1e-6:
-                break
-            size /= 2
-        pull, (square, now, curve) = tried, got
-        best = loss(pull, square)
-    else:
-        warnings.warn(f"mixing: the optimum is not met after {STEPS} steps", stacklevel=2)
-    gaps = {d: float(x) for d, x in zip(domains, now / every - wanted, strict=True) if abs(x) > TOLERANCE}
+        steps.append((weight, (ahead - wanted) * scale))
+        age += 1
+        if len(steps) == STEPS:
+            now, _ = _sums(cells, steps, 0.0, len(domains))
+    gaps = {d: float(x) for d, x in zip(domains, (now - wanted) / every, strict=True) if abs(x) > TOLERANCE}
     if gaps:
-        warnings.warn(f"mixing: shares of all tokens above or below their targets: {gaps}", stacklevel=2)
-    return pull.tolist()
+        warnings.warn(f"mixing: after {len(steps)} steps shares of all tokens are above or below their targets: {gaps}", stacklevel=2)
+    return steps
 
 
 def copies(rate_of: Column, doc_id: Column) -> Column:
@@ -195,10 +218,10 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     classifier = fit_classifier(docs, labels, domain)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
     member = cut(memberships(docs, shared), "mix-members")
-    pull = fit_rates(member, classifier.domains, targets)
+    steps = fit_rates(member, classifier.domains, targets)
     names = F.array(*map(F.lit, classifier.domains))
     likely = F.get(names, F.array_position("p", F.array_max("p")).cast("int") - 1)
-    out = member.select("doc_id", "n_tokens", likely.alias("domain"), rate(F.col("p"), pull).alias("rate"))
+    out = member.select("doc_id", "n_tokens", likely.alias("domain"), rate(F.col("p"), steps).alias("rate"))
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
@@ -208,8 +231,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     names = docs.columns
     classifier = fit_classifier(docs, labels, domain)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
-    pull = fit_rates(memberships(docs, shared), classifier.domains, targets)
-    placed = docs.withColumn("_mix", membership(F.col("text"), shared)).withColumn("_copies", copies(rate(F.col("_mix.p"), pull), F.col("doc_id")))
+    steps = fit_rates(memberships(docs, shared), classifier.domains, targets)
+    placed = docs.withColumn("_mix", membership(F.col("text"), shared)).withColumn("_copies", copies(rate(F.col("_mix.p"), steps), F.col("doc_id")))
     # no filter on the copies: it would be pushed below and classify the texts twice
     times = F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies")))
     return placed.withColumn("_copy", F.explode(times)).select(*names)
