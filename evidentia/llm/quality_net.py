@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from .kernels import held, text_slices, word_pieces
 from .session import bounded_batches, table
 
-SAMPLE, SAMPLE_CHARS, PIECES = 600, 16_384, 4
+SAMPLE, SAMPLE_CHARS, PIECES = 600, 131_072, 4
 WIDTH, STRIDE, DEPTH, FILTERS = 8, 4, 8, 16
 #: Filter positions in a block, blocks in a chunk, and blocks from one chunk to the next: chunks overlap by a block.
 BLOCK, CHUNK, STEP = 64, 4, 3
