@@ -141,17 +141,32 @@ def rates(p: np.ndarray, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
     return now, before
 
 
+def _rated(p: np.ndarray, steps: Steps) -> pa.Array:
+    return pa.array(rates(p, steps)[0], pa.float64())
+
+
 def rate(p: Column, steps: Steps) -> Column:
     """The rate of a posterior."""
 
     @F.arrow_udf("double")
     def of(column: pa.Array) -> pa.Array:
-        size = len(steps[0][1]) if steps else 1
-        return pa.array(rates(np.asarray(column.flatten()).reshape(-1, size), steps)[0] if steps else np.ones(len(column)))
+        return _rated(np.asarray(column.flatten()).reshape(len(column), -1), steps)
 
     return of(p)
 
 
+def text_rate(text: Column, shared, steps: Steps) -> Column:
+    """The rate of a text, classified and rated by one worker."""
+
+    @F.arrow_udf("double")
+    def of(column: pa.Array) -> pa.Array:
+        held("domains", lambda: None)
+        found = [_rated(shared.value.posteriors(raw, offsets)[1], steps) for _, _, raw, offsets in text_slices(column)]
+        return pa.concat_arrays(found) if found else pa.array([], pa.float64())
+
+    return of(text)
+
+
 def _sums(member: DataFrame, steps: Steps, weight: float, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums over all rows: tokens of each domain at the rates, and at the rates moved on by ``weight``."""
 
@@ -232,7 +247,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     classifier = fit_classifier(docs, labels, domain)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
     steps = fit_rates(memberships(docs, shared), classifier.domains, targets)
-    placed = docs.withColumn("_mix", membership(F.col("text"), shared)).withColumn("_copies", copies(rate(F.col("_mix.p"), steps), F.col("doc_id")))
+    placed = docs.withColumn("_copies", copies(text_rate(F.col("text"), shared, steps), F.col("doc_id")))
     # no filter on the copies: it would be pushed below and classify the texts twice
     times = F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies")))
     return placed.withColumn("_copy", F.explode(times)).select(*names)
