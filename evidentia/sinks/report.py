@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..operators.lines import changes
 
 STATUS = {"consistent": "一致", "inconsistent": "不一致", "missing_in_code": "代码缺失", "missing_in_paper": "论文未声明", "not_fixed": "未固定", "unverifiable": "无法验证", "internal_inconsistent": "内部不一致"}
 SECTIONS = ("readiness", "coverage", "overview", "findings", "manual", "questions", "rejected", "selfcheck", "traces", "patches")
@@ -78,7 +81,7 @@ def masked(lines: DataFrame, column: str = "line") -> DataFrame:
     return lines.withColumn(column, V.collapse_space(F.regexp_replace(F.regexp_replace(column, r"[0-9]+(\.[0-9]+)?\s*(s|秒|ms)\b", "<t>"), r"\d{4}-\d\d-\d\d[ T]\d\d:\d\d(:\d\d)?", "<when>")))
 
 
-def line_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Lines (line_no, line) that differ between two masked runs."""
-    a, b = masked(old).withColumnRenamed("line", "old"), masked(new).withColumnRenamed("line", "new")
-    return a.join(b, "line_no", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+def line_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Lines (keys, line_no, line) that went or came between two masked runs: (keys, seq, kind, a, b, line), with their numbers on both sides. An inserted
+    line changes none of those that follow."""
+    return changes(masked(old), masked(new), keys).filter("kind <> ' '")
