@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..dims import OPTIMIZER_CLASSES, RANGES, SCHEDULER_CLASSES, SEED_CALLS, TEXT_VALUED
 from ..functions import values as V
 from ..sources.code import notebook_cells
+from .lexical import code_of_lines
 
 #: What the table function gives for each place; key rules and types are applied to it as expressions.
 SITE = "code_id string, file string, cell int, seq int, name string, form string, raw string, kind string, line int, snippet string"
@@ -151,13 +152,12 @@ def python_evidence(python: DataFrame) -> DataFrame:
 
 _ASSIGN = r"^\s*(?:[-*]\s+)?([A-Za-z_][A-Za-z0-9_.]{1,40})\s*(?:=|<-|:=|:\s)\s*('[^']*'|\"[^\"]*\"|[-+]?[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+|true|false|True|False)\s*(?:[,;\)\]]|$)"
 _FLAG = r"--([A-Za-z_][A-Za-z0-9_\-]{1,30})(?:\s*=\s*|\s+)('[^']*'|\"[^\"]*\"|[-+]?[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+|[A-Za-z_][A-Za-z0-9_\-.]{0,30})"
-_COMMENT = r"((?<![:\"'#/])//|(?<![:\"'#/])#|(?<!%)%(?![0-9a-zA-Z])|(?<!\w)--(?!\w)).*$"
 
 
 def multilang_evidence(files: DataFrame) -> DataFrame:
-    """Assignments and command-line flags in files of other languages, line by line; all as expressions."""
-    lines = files.filter("kind = 'lang'").select("code_id", F.col("path").alias("file"), F.posexplode(F.split("text", r"\r?\n")).alias("_p", "raw_line"))
-    code = lines.withColumn("code", F.regexp_replace("raw_line", _COMMENT, "")).filter(F.col("code").rlike("=|<-|:|--"))
+    """Assignments and command-line flags in files of other languages, line by line, comments aside."""
+    lines = files.filter("kind = 'lang'").select("code_id", F.col("path").alias("file"), F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
+    code = code_of_lines(lines, ["code_id", "file"]).withColumnsRenamed({"line_no": "_p", "line": "raw_line"}).filter(F.col("code").rlike("=|<-|:|--"))
     assign = F.when(F.col("code").rlike(_ASSIGN), F.array(F.struct(F.regexp_extract("code", _ASSIGN, 1).alias("name"), F.regexp_extract("code", _ASSIGN, 2).alias("rhs"))))
     pair = lambda n, r: F.struct(n.alias("name"), r.alias("rhs"))
     flags = F.zip_with(F.regexp_extract_all("code", F.lit(_FLAG), F.lit(1)), F.regexp_extract_all("code", F.lit(_FLAG), F.lit(2)), pair)

@@ -1,4 +1,4 @@
-"""Tables from word boxes and alignment of line lists, over the driver's tables."""
+"""Tables from word boxes, alignment of line lists and code of other languages, over the driver's tables."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import layout, lines
+from ..operators.extract_code import multilang_evidence
 from .align import table
-from .audits import _text
+from .audits import _parts, _text
 
 
 def _boxes(rows: DataFrame, place: Column, y: Column, text: Column) -> DataFrame:
@@ -50,7 +51,23 @@ def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("kind <> ' '").select("k", "kind", "a", "b", "line")
 
 
-QUERIES = {f.__name__: f for f in (boxed_tables, changed_lines)}
+def commented_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of six languages whose comments, in lines and in blocks, hold other values, and whose texts hold the marks of comments."""
+    n, case = F.col("n"), (F.col("k") % 6 + 1).cast("int")
+    texts = [
+        _text("/* lr = 0.5;\n batch_size = 3; */ momentum = 0.", F.lpad(n, 2, "0"), ";\nurl = 'http://a#b'; // epochs = 9\nepochs = ", n, ";"),
+        _text("%{\nmomentum = 0.5\n%}\nbatch_size = ", n, "; % seed = 3"),
+        _text("#= seed = 1\n=# seed = ", n),
+        _text("batch_size <- ", n, " # epochs <- 3\nmodel <- 'resnet#", n, "'"),
+        _text("<# epochs = 3\n#>\nepochs = ", n),
+        _text("batch_size: ", n, " # was 3\nnote: 'a # b'\n"),
+    ]
+    file = F.concat(F.lit("train."), F.element_at(F.array(*map(F.lit, ("cpp", "m", "jl", "r", "ps1", "yaml"))), case))
+    files = _parts(spark, sf_dir).select(F.col("paper_id").alias("code_id"), file.alias("path"), F.lit("lang").alias("kind"), F.element_at(F.array(*texts), case).alias("text"))
+    return multilang_evidence(files).select("owner_id", "file", "key", "raw_value", "line")
+
+
+QUERIES = {f.__name__: f for f in (boxed_tables, changed_lines, commented_code)}
 
 ORACLES = {
     "boxed_tables": """
@@ -60,6 +77,11 @@ c AS (SELECT id, 0 AS r, unnest([0, 1]) AS k, unnest(['Order', 'Sizes of the lin
 UNION ALL SELECT id, 1, unnest([0, 1, 2]), unnest(['Name', 'Quantity', 'Flag']), 1 FROM h
 UNION ALL SELECT id, i + 1, 0, 'line ' || i, 1 FROM l UNION ALL SELECT id, i + 1, 1, q, 1 FROM l UNION ALL SELECT id, i + 1, 2, f || ' flag', 1 FROM l WHERE f <> 'N')
 SELECT id AS paper_id, 1 AS page_no, 0 AS table_no, cast(r AS int) AS row_no, k AS col_no, cell, span FROM c""",
+    "commented_code": """
+WITH p AS (SELECT 'p' || p_partkey AS id, p_partkey % 6 AS m, cast(p_size AS varchar) AS n, '0.' || lpad(cast(p_size AS varchar), 2, '0') AS nn FROM part)
+SELECT id AS owner_id, 'train.cpp' AS file, unnest(['momentum', 'epochs']) AS key, unnest([nn, n]) AS raw_value, unnest([2, 4]) AS line FROM p WHERE m = 0
+UNION ALL SELECT id, 'train.m', 'batch_size', n, 4 FROM p WHERE m = 1 UNION ALL SELECT id, 'train.jl', 'seed', n, 2 FROM p WHERE m = 2 UNION ALL SELECT id, 'train.r', 'batch_size', n, 1 FROM p WHERE m = 3
+UNION ALL SELECT id, 'train.ps1', 'epochs', n, 3 FROM p WHERE m = 4 UNION ALL SELECT id, 'train.yaml', 'batch_size', n, 1 FROM p WHERE m = 5""",
     "changed_lines": """
 WITH e AS (SELECT o_custkey AS k, o_orderkey AS o, 'order ' || o_orderkey || ' of ' || o_totalprice AS line, 0 AS s FROM orders),
 n AS (SELECT k, o, CASE WHEN o % 7 = 0 THEN line || ' (paid)' ELSE line END AS line, s FROM e WHERE o % 11 <> 0 UNION ALL SELECT o_custkey, o_orderkey, 'note on ' || o_orderkey, 1 FROM orders WHERE o_orderkey % 5 = 0),
