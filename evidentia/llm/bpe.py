@@ -35,7 +35,7 @@ from .kernels import held, text_slices
 from .session import bounded_batches, table
 
 #: Runs whose ids a worker keeps, before all but the half that was used most often make room; pairs it keeps before it starts anew.
-WORD_CACHE, PAIR_CACHE = 250_000, 400_000
+WORD_CACHE, PAIR_CACHE = 120_000, 200_000
 
 #: Characters of a text, and tokens, that are worked through at once.
 LONG, PART = 1 << 20, 1 << 18

@@ -6,6 +6,7 @@ one array, so the cost per byte is a few numpy passes and no Python object is ma
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,11 +26,21 @@ _ROOT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _HELD: dict[object, object] = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool, and the allocator's pages where it can be asked (glibc)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def held(key: object, make: Callable[[], object]) -> object:
     """What a worker keeps between batches, made when it is first asked for. A worker is reused by the stages of all
     operators and keeps one thing only: the next operator's model takes the place of the last one's."""
     if key not in _HELD:
         _HELD.clear()
+        give_back()
         _HELD[key] = make()
     return _HELD[key]
 
