@@ -546,7 +546,8 @@ def test_long_texts(spark, odd, monkeypatch):
     texts = [" ".join(rng.choice(["a", "b bb", "Ünï", "ccc ccc", "x" * 40, "<|endoftext|>", "don't", "\n", "\u0301e"]) for _ in range(n)) for n in (300, 1, 50)] + ["", "y" * 90, " z" * 60]
     raw, cuts = b"".join(t.encode() for t in texts), np.cumsum([0, *(len(t.encode()) for t in texts)])
     raw = np.frombuffer(raw, np.uint8)
-    net, classifier = quality_net.ByteConvNet(), mixing.DomainClassifier.fit(texts[:2], ["a", "b"], {"a": 1, "b": 1})
+    two = spark.createDataFrame([(0, texts[0], "a"), (1, texts[1], "b")], "doc_id bigint, text string, lang string")
+    net, classifier = quality_net.ByteConvNet(), mixing.fit_classifier(two, two.select("doc_id"))
     own = bpe.BacktrackingBPE(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     model = kneser_ney.fit(docs.select("text"))
