@@ -7,6 +7,8 @@ one array, so the cost per byte is a few numpy passes and no Python object is ma
 from __future__ import annotations
 
 import ctypes
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,14 +37,35 @@ def give_back() -> None:
         pass
 
 
+#: Seconds after which a worker that nothing was asked of gives back what it keeps.
+IDLE = 5.0
+_LOCK = threading.RLock()
+_USED = [0.0]
+
+
+def _when_idle() -> None:
+    while True:
+        time.sleep(IDLE)
+        with _LOCK:
+            if _HELD and time.monotonic() - _USED[0] > IDLE:
+                _HELD.clear()
+                give_back()
+
+
 def held(key: object, make: Callable[[], object]) -> object:
     """What a worker keeps between batches, made when it is first asked for. A worker is reused by the stages of all
-    operators and keeps one thing only: the next operator's model takes the place of the last one's."""
-    if key not in _HELD:
-        _HELD.clear()
-        give_back()
-        _HELD[key] = make()
-    return _HELD[key]
+    operators and keeps one thing only: the next operator's model takes the place of the last one's. It keeps it no longer than it is asked for:
+    an executor has idle workers beside the busy ones."""
+    with _LOCK:
+        _USED[0] = time.monotonic()
+        if key not in _HELD:
+            if not _HELD and _USED[0] and not any(t.name == "held" for t in threading.enumerate()):
+                threading.Thread(target=_when_idle, name="held", daemon=True).start()
+            _HELD.clear()
+            give_back()
+            _HELD[key] = make()
+            _USED[0] = time.monotonic()
+        return _HELD[key]
 
 
 def _random_words(seed: int, n: int) -> np.ndarray:

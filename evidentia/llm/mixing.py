@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import held, text_slices, word_pieces
-from .session import bounded_batches, cut, table
+from .session import bounded_batches, cut, small_table, table
 
 #: Labelled rows that the classifier is fitted on, and those that each domain has at least where it has as many.
 SAMPLE, LEAST = 3000, 40
@@ -95,10 +95,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = "lang") ->
     if not counts:
         return DomainClassifier.of({}, {})
     every = sum(counts.values())
-    share = docs.sparkSession.createDataFrame([(d, min(1.0, max(SAMPLE / every, LEAST / n))) for d, n in counts.items()], "lang string, share double")
+    share = small_table(docs.sparkSession, [(d, min(1.0, max(SAMPLE / every, LEAST / n))) for d, n in counts.items()], "lang string, share double")
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     chosen = langs.join(F.broadcast(share), "lang").filter(hashed < F.col("share")).select("doc_id", "lang")
-    known = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id bigint, lang string")  # about SAMPLE ids
+    known = small_table(docs.sparkSession, chosen.collect(), "doc_id bigint, lang string")  # about SAMPLE ids
     rows = fits.join(F.broadcast(known), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     found = rows.select("lang", "text").mapInArrow(_count_words, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()  # as many as the model has weights
     totals = {}

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .kernels import held, text_slices, word_pieces
-from .session import bounded_batches, table
+from .session import bounded_batches, small_table, table
 
 SAMPLE, SAMPLE_CHARS, PIECES = 600, 131_072, 4
 WIDTH, STRIDE, DEPTH, FILTERS = 8, 4, 8, 16
@@ -218,7 +218,7 @@ def fit_network(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars:
         n, ones = sum(count.values()), count.get(1, 0)
         net.constant = (ones + 1) / (n + 2)
         return net
-    ids = spark.createDataFrame(ranked.collect(), usable.schema)  # at most 2 * sample rows of two numbers
+    ids = small_table(spark, ranked.collect(), "doc_id bigint, quality int")  # at most 2 * sample rows of two numbers
     rows = docs.select("doc_id", _spread(F.coalesce(F.col("text"), F.lit("")), chars).alias("text")).join(F.broadcast(ids), "doc_id")
     rows = sorted(rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect(), key=lambda r: r["doc_id"])
     got = {q: sum(r["quality"] == q for r in rows) for q in (0, 1)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,14 @@ def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column], name: str
     return docs.join(gone, same, "left_anti")
 
 
+def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A table of a few rows through Arrow, which needs no Python worker on the executors."""
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    names = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.table({n: pa.array(list(c), kinds[k]) for (n, k), c in zip(names, columns, strict=True)}))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder and read it back: its lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
