@@ -159,14 +159,14 @@ def in_bibliography() -> Column:
     return F.col("context").rlike(P.BIBLIOGRAPHY) | F.col("line").rlike(P.BIB_ENTRY)
 
 
-def numeric_reason() -> Column:
-    """The first guard that a numeric match fails; its order is part of the result."""
+def numeric_guards() -> list[tuple[str, Column]]:
+    """What refuses a numeric match, in the order that is part of the result."""
     around = F.concat("before", "after")
     value_end = F.col("tail")
     bracketed = F.col("before").rlike(r"[\[(（【]$") & value_end.rlike(r"^[\])）】]")
     factor = (F.col("key") != "input_size") & (F.substring(F.col("before"), -8, 8).rlike(r"[×xX*]\s*$") | F.substring(value_end, 1, 8).rlike(r"^\s*[×xX*]"))
     run = F.substring(F.col("before"), -40, 40).rlike(P.TABLE_NUM + r"\s*$") | value_end.rlike(r"^\s*" + P.TABLE_NUM)
-    return V.first_reason([
+    return [
         ("命中处位于参考文献条目, 疑似引用内容而非论文设置", in_bibliography()),
         *_any(P.CONTEXT_VETO, around),
         ("取值是纯数字, 不是数据集名, 已丢弃", (F.col("key") == "dataset") & F.col("raw").rlike(r"^[\d.,%]+$")),
@@ -174,23 +174,33 @@ def numeric_reason() -> Column:
         ("取值处在乘法公式里(两侧有 ×), 不是独立设置值, 已丢弃", factor),
         ("位于表格的多列取值中（表头后跟一串裸数字），无法确定哪一列对应本实验配置，已丢弃", run),
         ("超出领域先验范围, 疑似错位抽取", V.within_range(F.col("key"), V.normalize_number(F.col("raw")), RANGES) == False),  # noqa: E712
-    ])
+    ]
 
 
-def text_reason() -> Column:
+def numeric_reason() -> Column:
+    """The first guard that a numeric match fails."""
+    return V.first_reason(numeric_guards())
+
+
+def text_guards() -> list[tuple[str, Column]]:
+    """What refuses a name that a text pattern found, in order."""
     around, low = F.concat("before", "after"), F.lower("raw")
     homonym = F.lit(False)
     for key, pattern in P.TEXT_VETO.items():
         homonym = homonym | ((F.col("key") == key) & around.rlike(pattern))
     model = F.col("key") == "model"
     inflected = (F.col("raw") == low) & low.rlike("(?:ing|ed|ly)$") & ~low.isin(*P.MODEL_NAMES)
-    return V.first_reason([
+    return [
         ("命中处位于参考文献条目, 疑似引用内容", in_bibliography()),
         ("语境里出现无关的表述(同形词), 已丢弃", homonym),
         ("取值以连字符结尾, 是 PDF 断行残片, 已丢弃", F.col("raw").rlike("[-–—]$")),
         ("取值是普通虚词/动词, 不是架构名, 已丢弃", model & low.isin(*P.MODEL_STOPWORDS)),
         ("取值是动词/副词形态, 不是架构名, 已丢弃", model & inflected),
-    ])
+    ]
+
+
+def text_reason() -> Column:
+    return V.first_reason(text_guards())
 
 
 def _location() -> Column:

@@ -1,4 +1,4 @@
-"""The ladder under budgets, over the driver's tables."""
+"""Whole audits, and the ladder under budgets, over the driver's tables."""
 
 from __future__ import annotations
 
@@ -6,9 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.budget import fill_within
+from ..plans.audit import audit
 from .audits import _pages, _parts, _text
 
 
+def whole_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One audit for each part from pages and code to its tables: findings of three parameters, values that were refused, files that failed, and coverage."""
+    parts, n, k = _parts(spark, sf_dir), F.col("n"), F.col("k")
+    pages = _pages(parts, _text("We use a batch size of ", n, " here. All models are trained for ", n + 1, " epochs. The dropout of ", n + 1, " is used. ", F.repeat(F.lit("Plain words follow. "), F.lit(9))), F.when(k % 5 == 0, "").otherwise(F.repeat(F.lit("Plain words without any value. "), 9)))
+    size = n + (k % 3 == 0).cast("int")
+    text = F.concat(_text("import torch\nbatch_size = ", size, "\n"), F.when(k % 2 == 0, _text("epochs = ", n + 1, "\n")).otherwise(""), F.when(k % 7 == 0, "momentum = 0.9\n").otherwise(""))
+    files = parts.select(F.col("paper_id").alias("code_id"), F.explode(F.array(F.struct(F.lit("train.py").alias("path"), text.alias("text")), F.struct(F.lit("bad.py").alias("path"), F.when(k % 11 == 0, "def broken(:").otherwise("x = 1").alias("text")))).alias("f"))
+    files = files.select("code_id", "f.path", F.lit("py").alias("kind"), "f.text")
+    audits = parts.select(F.concat(F.lit("a-"), "paper_id").alias("audit_id"), "paper_id", F.col("paper_id").alias("code_id"))
+    out = audit(spark, audits, pages, files)
+    found = out["findings"].filter("key in ('batch_size', 'epochs', 'momentum')")
+    told = lambda df, table, key, a, b: df.select("audit_id", F.lit(table).alias("table"), key.alias("key"), a.cast("string").alias("a"), b.cast("string").alias("b"))
+    rows = told(found, "finding", F.col("key"), F.col("status"), F.concat_ws("/", F.coalesce("paper.raw_value", F.lit("-")), F.coalesce("code.raw_value", F.lit("-")), F.col("verified").cast("string")))
+    rows = rows.unionByName(told(out["rejected"].filter("key = 'dropout'").distinct(), "rejected", F.col("key"), F.col("value"), F.col("location")))
+    rows = rows.unionByName(told(out["failed_files"].select("audit_id", "file").distinct(), "failed", F.col("file"), F.lit(None), F.lit(None)))
+    return rows.unionByName(told(out["coverage"], "coverage", F.lit("pages"), F.concat_ws("/", "pages_parsed", "pages_total", "pages_thin"), F.concat_ws("/", "code_ok", "code_files")))
+
+
 def budgeted_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five missing parameters of each part's paper, of which a model may be asked for three and images for two: what became of each at every rung."""
     parts = _parts(spark, sf_dir)
@@ -34,9 +53,17 @@ def budgeted_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.join(out["ledger"].select("paper_id", F.col("kind").alias("tool"), "calls", "left_out"), ["paper_id", "tool"], "left").select("paper_id", "key", "attempt", "tool", "status", "value", "calls", "left_out")
 
 
-QUERIES = {"budgeted_fills": budgeted_fills}
+QUERIES = {"whole_audits": whole_audits, "budgeted_fills": budgeted_fills}
 
 ORACLES = {
+    "whole_audits": """
+WITH p AS (SELECT 'a-p' || p_partkey AS id, p_partkey AS k, p_size AS n FROM part)
+SELECT id AS audit_id, 'finding' AS "table", 'batch_size' AS key, CASE WHEN k % 3 = 0 THEN 'inconsistent' ELSE 'consistent' END AS a, n || '/' || (n + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) || '/true' AS b FROM p
+UNION ALL SELECT id, 'finding', 'epochs', CASE WHEN k % 2 = 0 THEN 'consistent' ELSE 'missing_in_code' END, (n + 1) || '/' || CASE WHEN k % 2 = 0 THEN cast(n + 1 AS varchar) ELSE '-' END || '/true' FROM p
+UNION ALL SELECT id, 'finding', 'momentum', 'missing_in_paper', '-/0.9/true' FROM p WHERE k % 7 = 0
+UNION ALL SELECT id, 'rejected', 'dropout', cast(n + 1 AS varchar), 'Page 1' FROM p
+UNION ALL SELECT id, 'failed', 'bad.py', NULL, NULL FROM p WHERE k % 11 = 0
+UNION ALL SELECT id, 'coverage', 'pages', CASE WHEN k % 5 = 0 THEN '1/2/1' ELSE '2/2/0' END, CASE WHEN k % 11 = 0 THEN '1/2' ELSE '2/2' END FROM p""",
     "budgeted_fills": """
 WITH p AS (SELECT 'p' || p_partkey AS id, p_partkey % 2 AS odd, cast(p_size + 1 AS varchar) AS v, '0.' || lpad(cast(p_size AS varchar), 2, '0') AS nn FROM part),
 k AS (SELECT id, odd, v, nn, unnest(['dropout', 'epochs', 'momentum', 'seed', 'weight_decay']) AS key FROM p)
