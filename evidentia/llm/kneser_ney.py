@@ -12,8 +12,8 @@ into a sorted hash array in the shared folder:
 
 Scoring is a fourth scan that maps the arrays into memory. Nothing is cut off: every trigram, bigram and word is
 in the model. Shards are as many as the text asks for, each of at most ``SHARD_BYTES`` of text, and a task merges
-one of them. Words are known by 64-bit hashes. N-grams are known by so many bits that a lookup takes one for
-another with a chance of about 6 in 100,000, at every size of the corpus.
+one of them. Words are known by 64-bit hashes, also where they are counted. N-grams are known by so many bits that a lookup takes
+one for another with a chance of about 6 in 100,000, at every size of the corpus.
 
     p(w | u v) = (max(c(uvw) - D(c(uvw)), 0) + (D1 N1(uv) + D2 N2(uv) + D3 N3(uv)) p(w | v)) / c(uv)
 
@@ -206,8 +206,9 @@ def fit(texts: DataFrame, name: str = "lm") -> dict:
     def send_bigrams(batches):
         known = HashTable(folder, "trigram", bits, BELOW, trigrams["shards"], 1)
         for word, before, context, first in _runs(batches):
-            keys, at, local = np.unique(short(trigram_key(context, word)), return_index=True, return_counts=True)
-            count = known.find(keys)[0]
+            # whole keys tell apart what shares a short one, so that each n-gram's occurrences go to its own parts
+            keys, at, local = np.unique(trigram_key(context, word), return_index=True, return_counts=True)
+            count = known.find(short(keys))[0]
             share = local / np.maximum(count, 1)
             # what a bigram that is the end of trigrams gets: occurrences, and predecessors less occurrences; both are equal
             # in trigrams that occur once, so that the second is mostly zero and packs to nothing
@@ -228,15 +229,16 @@ def fit(texts: DataFrame, name: str = "lm") -> dict:
 
     def finish_bigrams(sums):
         count, more, twice, often, repeated = sums
-        return [count, count + more, np.maximum(count - repeated, 0), twice, often], count + more
+        before = np.maximum(count + more, count > 0)  # one at least, also where shares of very many occurrences are rounded
+        return [count, before, np.maximum(count - repeated, 0), twice, often], before
 
     bigrams = counted("bigram", bits, BELOW, send_bigrams, ["uint32", *["float32"] * 4], finish_bigrams)
 
     def send_words(batches):
         known = HashTable(folder, "bigram", bits, BELOW, bigrams["shards"], len(BIGRAM))
         for word, before, _, _ in _runs(batches):
-            keys, at, local = np.unique(short(bigram_key(before, word)), return_index=True, return_counts=True)
-            count, types = known.find(keys, (0, 1))
+            keys, at, local = np.unique(bigram_key(before, word), return_index=True, return_counts=True)
+            count, types = known.find(short(keys), (0, 1))
             share = local / np.maximum(count, 1)
             none = np.zeros(len(keys))
             both = np.concatenate((word[at], before[at]))
@@ -306,7 +308,8 @@ class KneserNey:
 
     def _mixed(self, count: np.ndarray, total: np.ndarray, followers: list[np.ndarray], d: list[float], lower: np.ndarray) -> np.ndarray:
         """One order over the next lower one; a context that was not seen leaves all to that."""
-        back = d[0] * followers[0] + d[1] * followers[1] + d[2] * followers[2]
+        # a context that was seen has a follower, also where n-grams that share a short key have shared its count among them
+        back = np.maximum(d[0] * followers[0] + d[1] * followers[1] + d[2] * followers[2], min(d))
         return np.where(total > 0, (self._discounted(count, d) + back * lower) / np.maximum(total, 1), lower)
 
 
