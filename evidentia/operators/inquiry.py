@@ -22,14 +22,14 @@ ADVICE = {
 }
 
 
-def build_questions(findings: DataFrame, missing: DataFrame, images: DataFrame, failed: DataFrame, most_conflicts: int = MOST_CONFLICTS, most_files: int = MOST_FILES) -> DataFrame:
-    """What only a person can answer, in the order of priority: conflicts of high risk (the first few of the report), named parameters that no channel
-    gave a value of, values read from images, and files that do not parse (the first few). ``missing`` and ``images`` have audit_id and
-    key, ``failed`` has audit_id, file and reason."""
-    first = lambda df, order, most: df.withColumn("_r", F.row_number().over(Window.partitionBy("audit_id").orderBy(*order))).filter(F.col("_r") <= most)
+def build_questions(findings: DataFrame, missing: DataFrame, images: DataFrame, failed: DataFrame, most_conflicts: int | None = MOST_CONFLICTS, most_files: int | None = MOST_FILES, risks: tuple[str, ...] = ("high",)) -> DataFrame:
+    """What only a person can answer, in the order of priority: conflicts of high risk (or of other ``risks`` too; the first few of the report), named
+    parameters that no channel gave a value of, values read from images, and files that do not parse (the first few). None asks about all.
+    ``missing`` and ``images`` have audit_id and key, ``failed`` has audit_id, file and reason."""
+    first = lambda df, order, most: df if most is None else df.withColumn("_r", F.row_number().over(Window.partitionBy("audit_id").orderBy(*order))).filter(F.col("_r") <= most)
     ask = lambda df, kind, priority, mark, on, text: df.select("audit_id", F.lit(kind).alias("kind"), F.lit(priority).alias("priority"), F.concat(F.lit(f"{mark}::"), on).alias("qid"), F.col(on).alias("key"), text.alias("question"))
     name = display_name(F.col("key"))
-    worst = first(findings.filter("status = 'inconsistent' and risk = 'high'"), ["seq", "key"], most_conflicts)
+    worst = first(findings.filter((F.col("status") == "inconsistent") & F.col("risk").isin(*risks)), ["seq", "key"], most_conflicts)
     parts = [
         ask(worst, "conflict", 0, "conflict", "key", F.concat(name, F.lit(": 论文 "), F.coalesce("paper.raw_value", F.lit("-")), F.lit(" 与代码 "), F.coalesce("code.raw_value", F.lit("-")), F.lit(" 以哪个为准?"))),
         ask(missing.select("audit_id", "key").distinct(), "missing_value", 1, "missing", "key", F.concat(name, F.lit(": 论文提到但各通道均未取到取值, 实际取值是多少?"))),

@@ -321,12 +321,12 @@ def _line_key() -> Column:
 
 
 def asked_and_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions to a person with their answers: at most five conflicts of high risk and five files an audit, all missing values and images; blank answers are none."""
+    """Questions to a person with their answers: all conflicts of high and medium risk, files, missing values and images; blank answers are none."""
     found = _line_findings(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").withColumn("audit_id", F.floor(F.col("o_orderkey") / 10).cast("string"))
     key = lambda where: orders.filter(where).select("audit_id", _text("x", F.col("o_orderkey")).alias("key"))
     failed = orders.select("audit_id", _text("f", F.col("o_orderkey"), ".py").alias("file"), F.lit("r").alias("reason"))
-    asked = inquiry.build_questions(found, key("o_orderstatus = 'O'"), key("o_orderstatus = 'F'"), failed)
+    asked = inquiry.build_questions(found, key("o_orderstatus = 'O'"), key("o_orderstatus = 'F'"), failed, None, None, ("high", "medium"))
     answers = asked.select("audit_id", "qid", F.when(F.col("priority") == 1, "  ").otherwise(_text(" yes ", F.col("qid"))).alias("answer"))
     return asked.join(inquiry.apply_answers(asked, answers).select("audit_id", "qid", "answer"), ["audit_id", "qid"], "left").join(inquiry.summarize(asked), ["audit_id", "kind"]).select("audit_id", "kind", "priority", "qid", "answer", "n")
 
@@ -528,11 +528,11 @@ UNION ALL SELECT id, unnest(['epochs', 'weight_decay', 'seed']), unnest([cast(n
 UNION ALL SELECT id, unnest(['num_clusters', 'kill_radius', 'threshold']), unnest([CASE WHEN n > 1 THEN cast(n AS varchar) END, cast(n AS varchar), NULL]) FROM p WHERE k % 4 = 2  -- one cluster is out of range
 UNION ALL SELECT id, unnest(['batch_size', 'momentum']), unnest([cast(n AS varchar), '0.' || nn]) FROM p WHERE k % 4 = 3""",
     "asked_and_answered": """
-WITH l AS (SELECT cast(l_orderkey // 10 AS varchar) AS a, 'k' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key, l_partkey AS seq FROM lineitem WHERE l_partkey % 7 < 3 AND l_quantity < 40),
+WITH l AS (SELECT cast(l_orderkey // 10 AS varchar) AS a, 'k' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key FROM lineitem WHERE l_partkey % 7 < 3),
 o AS (SELECT cast(o_orderkey // 10 AS varchar) AS a, o_orderkey AS k, o_orderstatus AS s FROM orders),
-q AS (SELECT a, 'conflict' AS kind, 0 AS priority, 'conflict::' || key AS qid FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY a ORDER BY seq, key) <= 5)
+q AS (SELECT a, 'conflict' AS kind, 0 AS priority, 'conflict::' || key AS qid FROM l
   UNION ALL SELECT a, 'missing_value', 1, 'missing::x' || k FROM o WHERE s = 'O' UNION ALL SELECT a, 'image_inferred', 2, 'vision::x' || k FROM o WHERE s = 'F'
-  UNION ALL SELECT a, 'parse_failure', 3, 'parse::f' || k || '.py' FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY a ORDER BY 'f' || k || '.py') <= 5))
+  UNION ALL SELECT a, 'parse_failure', 3, 'parse::f' || k || '.py' FROM o)
 SELECT a AS audit_id, kind, priority, qid, CASE WHEN priority <> 1 THEN 'yes ' || qid END AS answer, count(*) OVER (PARTITION BY a, kind) AS n FROM q""",
     "repeat_pack": f"""
 WITH {_SIDES}, r AS (SELECT a, arg_min(claimed, seq) FILTER (claimed IS NOT NULL) AS p, arg_min(coded, seq) FILTER (coded IS NOT NULL) AS c, string_agg(status, '; ' ORDER BY seq) AS status, arg_min(risk, seq) AS risk FROM findings GROUP BY 1)
