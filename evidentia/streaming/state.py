@@ -1,4 +1,7 @@
-"""Keyed state of streams: the pages of each paper, and the memory of each owner."""
+"""Keyed state of streams: the pages of each paper, and the memory of each owner.
+
+The state of a key is one row that comes and goes with the key's rows, in the same Arrow batches: a key costs no call of its own to the state store.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.memory import KEEP, MOST_CHARS, PAGES_PER_KEY, SCHEME, entry_size
 from ..schemas import MEMORY, PAPER_PAGES
@@ -27,42 +30,27 @@ def keep_state_on_disk(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-class PageState(StatefulProcessor):
+def merge_pages(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The pages of a paper so far. A paper that gets a new or changed page gives all its pages; one that gets what it has gives none.
 
     Of a page that comes more than once that with the greatest (version, text, images) stays: what is held does not depend on
     the order of arrival nor on how it is cut into batches."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pages = handle.getMapState("pages", "page_no int", "version bigint, text string, n_images int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        best: dict[int, tuple[int, str, int]] = {}
-        for pdf in rows:
-            for page, version, text, images in zip(pdf["page_no"], pdf["version"], pdf["text"], pdf["n_images"], strict=True):
-                got = (int(version), text if isinstance(text, str) else "", 0 if pd.isna(images) else int(images))
-                best[int(page)] = max(best.get(int(page), got), got)
-        changed = False
-        for page, got in best.items():
-            have = self.pages.getValue((page,))
-            if have is None or got > tuple(have):
-                self.pages.updateValue((page,), got)
+    have: dict[int, tuple[int, str, int]] = {}
+    if state.exists:
+        have = {page: (version, text, images) for page, version, text, images in zip(*state.get, strict=True)}
+    changed = False
+    for pdf in rows:
+        for page, version, text, images in zip(pdf["page_no"], pdf["version"], pdf["text"], pdf["n_images"], strict=True):
+            got = (int(version), text if isinstance(text, str) else "", 0 if pd.isna(images) else int(images))
+            if have.get(int(page), got) < got or int(page) not in have:
+                have[int(page)] = got
                 changed = True
-        out = []
-        for page, (version, text, images) in self.pages.iterator() if changed else ():
-            out.append((key[0], page[0], text, images, version))
-            if len(out) == CHUNK:
-                yield self._frame(out)
-                out = []
-        if out:
-            yield self._frame(out)
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["paper_id", "page_no", "text", "n_images", "version"]).astype({"page_no": "int32", "n_images": "int32", "version": "int64"})
-
-    def close(self) -> None:
-        pass
+    if changed:
+        pages = sorted(have)
+        state.update((pages, *([have[p][k] for p in pages] for k in range(3))))
+        for k in range(0, len(pages), CHUNK):
+            out = [(key[0], p, have[p][1], have[p][2], have[p][0]) for p in pages[k : k + CHUNK]]
+            yield pd.DataFrame(out, columns=["paper_id", "page_no", "text", "n_images", "version"]).astype({"page_no": "int32", "n_images": "int32", "version": "int64"})
 
 
 def whole_papers(pages: DataFrame) -> DataFrame:
@@ -70,10 +58,10 @@ def whole_papers(pages: DataFrame) -> DataFrame:
     keep_state_on_disk(pages.sparkSession)
     version = F.coalesce("version", F.lit(0)) if "version" in pages.columns else F.lit(0)
     rows = pages.filter("paper_id is not null and page_no is not null").select("paper_id", "page_no", "text", "n_images", version.cast("bigint").alias("version"))
-    return rows.groupBy("paper_id").transformWithStateInPandas(PageState(), PAGES, "update", "none")
+    return rows.groupBy("paper_id").applyInPandasWithState(merge_pages, PAGES, "pages array<int>, versions array<bigint>, texts array<string>, images array<int>", "update", GroupStateTimeout.NoTimeout)
 
 
-class MemoryState(StatefulProcessor):
+class MemoryState:
     """The memory of an owner: at most ``keep`` entries and ``most`` characters in detail, a digest of what was folded.
 
     An entry of a fingerprint that is there takes its place and adds to its runs, unless it is older: then it only adds to them. When
@@ -82,14 +70,9 @@ class MemoryState(StatefulProcessor):
     def __init__(self, keep: int = KEEP, most: int = MOST_CHARS) -> None:
         self.keep, self.most = keep, most
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entries = handle.getMapState("entries", "fp string", "title string, runs int, seen bigint, open array<string>, hints string, size int")
-        self.digest = handle.getMapState("digest", "key string", "times bigint, pages array<int>")
-        self.counts = handle.getValueState("counts", "folded bigint, version bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        have = {k[0]: list(v) for k, v in self.entries.iterator()}  # at most ``keep``
-        folded, version = self.counts.get() or (0, 0)
+    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        entries, digest, folded, version = state.get if state.exists else ("{}", "{}", 0, 0)
+        have, known = json.loads(entries), json.loads(digest)
         version += 1
         changed, gone, dirty = set(), {}, {}
         for pdf in rows:
@@ -107,15 +90,8 @@ class MemoryState(StatefulProcessor):
                 del have[fp]
                 gone[fp] = entry
                 folded += 1
-                self._fold(entry, dirty)
-        for fp in gone:
-            if fp not in have:
-                self.entries.removeKey((fp,))
-        for fp in changed & have.keys():
-            self.entries.updateValue((fp,), tuple(have[fp]))
-        for k, (times, pages) in dirty.items():
-            self.digest.updateValue((k,), (times, pages))
-        self.counts.update((folded, version))
+                self._fold(entry, known, dirty)
+        state.update((json.dumps(have), json.dumps(known | dirty), folded, version))
         out = [(key[0], "entry", fp, *have[fp][:3], have[fp][3], have[fp][4], 0, [], folded, False, version) for fp in sorted(changed & have.keys())]
         out += [(key[0], "entry", fp, *e[:3], e[3], e[4], 0, [], folded, True, version) for fp, e in sorted(gone.items()) if fp not in have]
         out += [(key[0], "digest", k, None, 0, 0, [], "{}", times, pages, folded, False, version) for k, (times, pages) in sorted(dirty.items())]
@@ -130,19 +106,17 @@ class MemoryState(StatefulProcessor):
                 return order[n:]
         return []
 
-    def _fold(self, entry: list, dirty: dict[str, tuple[int, list[int]]]) -> None:
+    @staticmethod
+    def _fold(entry: list, known: dict[str, list], dirty: dict[str, tuple[int, list[int]]]) -> None:
         hints = json.loads(entry[4] or "{}")
         for k in [*entry[3], *hints]:
             if k not in dirty:
-                dirty[k] = tuple(self.digest.getValue((k,)) or (0, []))
+                dirty[k] = tuple(known.get(k, (0, [])))
         for k in entry[3]:
             dirty[k] = (dirty[k][0] + 1, dirty[k][1])
         for k, pages in hints.items():
             dirty[k] = (dirty[k][0], sorted({*dirty[k][1], *pages})[:PAGES_PER_KEY])
 
-    def close(self) -> None:
-        pass
-
 
 def memory_changes(clues: DataFrame, keep: int = KEEP, most: int = MOST_CHARS) -> DataFrame:
     """What the clues (owner and the columns of MEMORY) of a stream change in the memories of their owners; those of another scheme
@@ -151,5 +125,5 @@ def memory_changes(clues: DataFrame, keep: int = KEEP, most: int = MOST_CHARS) -
     rows = clues.filter(f"scheme = {SCHEME} and owner is not null and fp is not null")
     rows = rows.select("owner", "fp", "title", "runs", F.unix_micros(F.coalesce("last_seen", F.timestamp_seconds(F.lit(0)))).alias("seen"), F.coalesce("unresolved", F.array().cast("array<string>")).alias("open"), F.to_json("page_hints").alias("hints"), entry_size().alias("size"))
     told = "owner string, kind string, name string, title string, runs int, seen bigint, unresolved array<string>, hints string, times bigint, pages array<int>, folded bigint, gone boolean, version bigint"
-    out = rows.groupBy("owner").transformWithStateInPandas(MemoryState(keep, most), told, "update", "none")
+    out = rows.groupBy("owner").applyInPandasWithState(MemoryState(keep, most), told, "entries string, digest string, folded bigint, version bigint", "update", GroupStateTimeout.NoTimeout)
     return out.select("owner", "kind", "name", "title", "runs", F.timestamp_micros("seen").alias("last_seen"), "unresolved", F.from_json("hints", "map<string,array<int>>").alias("page_hints"), F.lit(SCHEME).alias("scheme"), "times", "pages", "folded", "gone", "version")
