@@ -43,35 +43,41 @@ def cells_of_words(words: DataFrame) -> DataFrame:
 
 
 def _in_tables(cells: DataFrame) -> DataFrame:
-    """Cells with table_no and row_no, those outside of tables left out."""
-    rows = cells.groupBy(*ROW).agg(F.count("*").alias("n"), F.min("y0").alias("top"), F.max("y1").alias("bottom"))
-    down = Window.partitionBy(*PAGE).orderBy("y_row")
-    far = (F.col("top") - F.lag("bottom").over(down)) > ROW_GAP * (F.col("bottom") - F.col("top"))
-    rows = rows.withColumn("near_before", ~F.coalesce(far, F.lit(True))).withColumn("near_after", F.coalesce(F.lead("near_before").over(down), F.lit(False)))
-    many = lambda n: F.coalesce(n, F.lit(0)) > 1
-    between = F.col("near_before") & F.col("near_after") & many(F.lag("n").over(down)) & many(F.lead("n").over(down))
-    rows = rows.withColumn("inside", many(F.col("n")) | between)
-    begins = F.col("inside") & ~(F.col("near_before") & F.coalesce(F.lag("inside").over(down), F.lit(False)))
-    rows = rows.withColumn("table_no", (F.sum(begins.cast("int")).over(down.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).filter("inside")
-    rows = rows.withColumn("row_no", (F.row_number().over(Window.partitionBy(*TABLE).orderBy("y_row")) - 1).cast("int"))
+    """Cells with table_no and row_no, those outside of tables left out. Rows of a page are numbered without gaps, so that the row before and the one after are ranges."""
+    down, row = Window.partitionBy(*PAGE).orderBy("y_row"), Window.partitionBy(*ROW)
+    above, below = down.rangeBetween(-1, -1), down.rangeBetween(1, 1)
+    rows = cells.withColumns({"_n": F.count("*").over(row), "_top": F.min("y0").over(row), "_bottom": F.max("y1").over(row)})
+    far = (F.col("_top") - F.max("_bottom").over(above)) > ROW_GAP * (F.col("_bottom") - F.col("_top"))
+    rows = rows.withColumn("_near", ~F.coalesce(far, F.lit(True)))
+    rows = rows.withColumns({"_near_after": F.coalesce(F.max("_near").over(below), F.lit(False)), "_n_before": F.coalesce(F.max("_n").over(above), F.lit(0)), "_n_after": F.coalesce(F.max("_n").over(below), F.lit(0))})
+    between = F.col("_near") & F.col("_near_after") & (F.col("_n_before") > 1) & (F.col("_n_after") > 1)
+    rows = rows.withColumn("_inside", (F.col("_n") > 1) | between)
+    begins = F.col("_inside") & ~(F.col("_near") & F.coalesce(F.max("_inside").over(above), F.lit(False)))
+    rows = rows.withColumn("_begins", (begins & (F.col("cell_no") == 0)).cast("int"))
+    rows = rows.withColumn("table_no", F.sum("_begins").over(down.rangeBetween(Window.unboundedPreceding, 0)).cast("int")).filter("_inside")
+    rows = rows.withColumn("row_no", (F.dense_rank().over(Window.partitionBy(*TABLE).orderBy("y_row")) - 1).cast("int"))
     # one row is a line of text, not a table
-    rows = rows.withColumn("_rows", F.count("*").over(Window.partitionBy(*TABLE))).filter("_rows > 1").withColumn("table_no", (F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("table_no")) - 1).cast("int"))
-    return cells.join(rows.select(*ROW, "table_no", "row_no"), list(ROW))
+    rows = rows.withColumn("_last", F.max("row_no").over(Window.partitionBy(*TABLE))).filter("_last > 0")
+    return rows.withColumn("table_no", (F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("table_no")) - 1).cast("int")).select(*TABLE, "row_no", "cell_no", "x0", "x1", "cell")
 
 
 def table_cells(words: DataFrame) -> DataFrame:
-    """Cells of tables (the columns of TABLE_CELLS) and ``span``, the number of columns that a cell reaches over."""
+    """Cells of tables (the columns of TABLE_CELLS) and ``span``, the number of columns that a cell reaches over. All windows lie within a page, so
+    that words are shuffled once."""
     cells = _in_tables(cells_of_words(words))
-    beside = cells.select(*[F.col(c).alias(f"_{c}") for c in TABLE], F.explode(F.array(F.col("row_no") - 1, F.col("row_no") + 1)).alias("_row"), F.col("row_no").alias("_of"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"))
-    met = cells.join(beside, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in TABLE] + [F.col("row_no") == F.col("_row"), F.col("_x0") < F.col("x1"), F.col("_x1") > F.col("x0")])
-    merged = met.groupBy(*TABLE, "row_no", "cell_no", "_of").agg(F.count("*").alias("n")).filter("n > 1").select(*TABLE, "row_no", "cell_no").distinct().withColumn("merged", F.lit(True))
-    key = [*TABLE, "row_no", "cell_no"]
-    marked = cells.alias("a").join(merged.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key], "left").select("a.*", F.coalesce("b.merged", F.lit(False)).alias("merged"))
+    down = Window.partitionBy(*TABLE).orderBy("row_no")
+    beside = lambda k: F.collect_list(F.struct("x0", "x1")).over(down.rangeBetween(k, k))
+    met = lambda c: F.size(F.filter(c, lambda o: (o["x0"] < F.col("x1")) & (o["x1"] > F.col("x0")))) > 1
+    marked = cells.withColumns({"_above": beside(-1), "_below": beside(1)}).withColumn("plain", ~(met(F.col("_above")) | met(F.col("_below")))).drop("_above", "_below")
     across = Window.partitionBy(*TABLE).orderBy("x0", "x1", "row_no")
-    plain = marked.filter("not merged").withColumn("col_no", island(F.col("x0") >= _before(F.col("x1"), across), across))
-    columns = plain.groupBy(*TABLE, "col_no").agg(F.min("x0").alias("c0"), F.max("x1").alias("c1"))
-    reach = marked.alias("a").join(columns.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in TABLE] + [F.col("c0") < F.col("x1")], "left")
-    over = F.col("c1") > F.col("x0")
-    placed = reach.groupBy(*[F.col(f"a.{c}").alias(c) for c in TABLE], "row_no", "cell_no", "x0", "cell").agg(F.coalesce(F.min(F.when(over, F.col("col_no"))), F.count_if(F.col("c1") <= F.col("x0")).cast("int")).alias("col_no"), F.greatest(F.count_if(over), F.lit(1)).cast("int").alias("span"))
+    breaks = F.coalesce(F.col("x0") >= _before(F.when(F.col("plain"), F.col("x1")), across), F.lit(True)) & F.col("plain")
+    plain = marked.withColumn("_breaks", breaks).withColumn("_col", island(F.col("_breaks"), across))
+    column = Window.partitionBy(*TABLE, "_col")
+    bounds = plain.withColumns({"_c0": F.min(F.when(F.col("plain"), F.col("x0"))).over(column), "_c1": F.max(F.when(F.col("plain"), F.col("x1"))).over(column)})
+    # one element a column, of the cell that begins it
+    columns = F.collect_list(F.when(F.col("_breaks"), F.struct(F.col("_col").alias("k"), F.col("_c0").alias("c0"), F.col("_c1").alias("c1")))).over(Window.partitionBy(*TABLE))
+    reach = bounds.withColumn("_columns", columns).withColumn("_met", F.filter("_columns", lambda c: (c["c0"] < F.col("x1")) & (c["c1"] > F.col("x0"))))
+    left = F.size(F.filter("_columns", lambda c: (c["c0"] < F.col("x1")) & (c["c1"] <= F.col("x0"))))
+    placed = reach.select(*TABLE, "row_no", "cell_no", "x0", "cell", F.coalesce(F.array_min(F.transform("_met", lambda c: c["k"])), left).alias("col_no"), F.greatest(F.size("_met"), F.lit(1)).alias("span"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "cell_no", "cell"))), lambda c: c["cell"]), " ")
     return placed.groupBy(*TABLE, "row_no", "col_no").agg(text.alias("cell"), F.max("span").alias("span"))

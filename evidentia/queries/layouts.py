@@ -12,31 +12,33 @@ from .align import table
 from .audits import _parts, _text
 
 
-def _boxes(rows: DataFrame, place: Column, y: Column, text: Column) -> DataFrame:
+def _boxes(place: Column, y: Column, text: Column) -> Column:
     """Words of a text as boxes from (place, y) on, of six units a letter and four between words."""
     words = F.split(text, " ")
     before = lambda i: F.aggregate(F.slice(words, F.lit(1), i), F.lit(0), lambda a, w: a + F.length(w) * 6 + 4)
-    word = F.explode(F.transform(words, lambda w, i: F.struct((place + before(i)).cast("double").alias("x0"), w.alias("word"))))
-    return rows.select("paper_id", F.lit(1).alias("page_no"), y.cast("double").alias("y0"), word.alias("w")).select("paper_id", "page_no", "w.x0", "y0", (F.col("w.x0") + F.length("w.word") * 6).alias("x1"), (F.col("y0") + 10).alias("y1"), "w.word")
+
+    def box(w: Column, i: Column) -> Column:
+        x0, y0 = (place + before(i)).cast("double"), y.cast("double")
+        return F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + F.length(w) * 6).alias("x1"), (y0 + 10).alias("y1"), w.alias("word"))
+
+    return F.transform(words, box)
 
 
 def boxed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders laid out as tables, jittered, with a merged head over two columns and a column that only some rows fill, between lines of prose."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     rows = table(spark, sf_dir, "lineitem").withColumn("i", F.row_number().over(order)).withColumn("paper_id", _text("o", F.col("l_orderkey")))
-    papers = rows.filter("i = 1")
     x = lambda k: F.lit(10 + 150 * k) + F.col("l_partkey") % 5
     y = lambda i: (i + 5) * 20 + F.col("l_suppkey") % 3
-    parts = [
-        _boxes(papers, F.lit(10), F.lit(5), F.lit("Some prose that stands above the table")),
-        _boxes(papers, F.lit(10), y(F.lit(0)), F.lit("Order")), _boxes(papers, F.lit(165), y(F.lit(0)), F.lit("Sizes of the lines and their flags")),
-        *[_boxes(papers, x(k), y(F.lit(1)), F.lit(t)) for k, t in enumerate(("Name", "Quantity", "Flag"))],
-        _boxes(rows, x(0), y(F.col("i") + 1), _text("line ", F.col("i"))), _boxes(rows, x(1), y(F.col("i") + 1), F.col("l_quantity").cast("int").cast("string")),
-        _boxes(rows.filter("l_returnflag <> 'N'"), x(2), y(F.col("i") + 1), F.concat("l_returnflag", F.lit(" flag"))),
+    head = [
+        _boxes(F.lit(10), F.lit(5), F.lit("Some prose that stands above the table")),
+        _boxes(F.lit(10), y(F.lit(0)), F.lit("Order")), _boxes(F.lit(165), y(F.lit(0)), F.lit("Sizes of the lines and their flags")),
+        *[_boxes(x(k), y(F.lit(1)), F.lit(t)) for k, t in enumerate(("Name", "Quantity", "Flag"))],
     ]
-    words = parts[0]
-    for p in parts[1:]:
-        words = words.unionByName(p)
+    line = [_boxes(x(0), y(F.col("i") + 1), _text("line ", F.col("i"))), _boxes(x(1), y(F.col("i") + 1), F.col("l_quantity").cast("int").cast("string"))]
+    flag = _boxes(x(2), y(F.col("i") + 1), F.concat("l_returnflag", F.lit(" flag")))
+    boxes = F.concat(*line, F.when(F.col("l_returnflag") != "N", flag).otherwise(F.array()), F.when(F.col("i") == 1, F.concat(*head)).otherwise(F.array()))
+    words = rows.select("paper_id", F.lit(1).alias("page_no"), F.inline(boxes))
     return layout.table_cells(words).select("paper_id", "page_no", "table_no", "row_no", "col_no", "cell", "span")
 
 
