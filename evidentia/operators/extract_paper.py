@@ -7,6 +7,7 @@ from bisect import bisect_left
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -223,8 +224,10 @@ def _first_pages(df: DataFrame) -> DataFrame:
 
 
 def paper_evidence(pages: DataFrame, cells: DataFrame | None = None) -> dict[str, DataFrame]:
-    """evidence (all accepted claims in order), rejected, and results of papers."""
-    hits = find_matches(pages).withColumn("location", _location()).withColumn("ordinal", _ordinal()).withColumn("excluded", F.col("snippet").rlike(P.EXCLUDED_CONTEXT))
+    """evidence (all accepted claims in order), rejected, and results of papers; ``hits``, the matches behind them, is persisted for their use."""
+    # every branch below reads the matches: a page is searched once, and what is found stays on disk until ``hits`` is unpersisted
+    found = find_matches(pages).persist(StorageLevel.DISK_ONLY)
+    hits = found.withColumn("location", _location()).withColumn("ordinal", _ordinal()).withColumn("excluded", F.col("snippet").rlike(P.EXCLUDED_CONTEXT))
     none = F.lit(None)
     numeric = hits.filter(F.col("gen").isin(FORWARD, REVERSE, GAP)).withColumn("reason", numeric_reason())
     good = numeric.filter("reason is null")
@@ -264,6 +267,7 @@ def paper_evidence(pages: DataFrame, cells: DataFrame | None = None) -> dict[str
     results = hits.filter((F.col("gen") == RESULT)).withColumn("_r", F.row_number().over(metric)).filter((F.col("_r") == 1) & ~in_bibliography())
     rejected = numeric.filter("reason is not null").unionByName(texts.filter("reason is not null"))
     return {
+        "hits": found,
         "evidence": evidence,
         "rejected": rejected.select(F.col("paper_id").alias("owner_id"), F.lit("paper").alias("side"), "key", F.col("raw").alias("value"), "location", "reason"),
         "results": _claims(results, none.cast("string"), V.normalize_number(F.col("raw"))),

@@ -40,7 +40,9 @@ def watch(pages: DataFrame, store: str, checkpoint: str, then: Callable[[DataFra
     # a batch is written where it is read by several jobs; the next one takes its place
     def one(batch: DataFrame, number: int) -> None:
         arrived = at_rest(batch, f"{store}/arrived")
-        found = at_rest(paper_evidence(arrived.select(*[c.split()[0] for c in PAPER_PAGES.split(", ")]))["evidence"], f"{store}/found")
+        out = paper_evidence(arrived.select(*[c.split()[0] for c in PAPER_PAGES.split(", ")]))
+        found = at_rest(out["evidence"], f"{store}/found")
+        out["hits"].unpersist()
         evidence_store(store, buckets).replace(found, arrived.select(F.col("paper_id").alias("owner_id")))
         if then is not None:
             then(found, number)
