@@ -1,5 +1,7 @@
 """Alignment of two lists of lines, many pairs of lists at once: equal lines in equal order, what lies between them, and unified hunks.
 
+Pairs of lists with at most ``SHORT`` lines together are sorted by one shuffle and told one after another; longer ones are cut by joins, by the same steps.
+
 Anchors are lines that occur once on both sides of a block (a hash join); of these the longest run that rises on both sides is kept, which
 cuts the block into smaller ones, where other lines may occur once. Equal lines at a block's start and end are matched as well, and in blocks whose
 sides have at most ``SMALL`` pairs the longest common sequence. This repeats until nothing is added; what is left has changed. (In larger blocks where no line
@@ -9,25 +11,28 @@ occurs once on both sides, equal lines may so be told as gone and come.)
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sinks.folders import at_rest, scratch
 
-AROUND, SMALL = 3, 250_000
+AROUND, SMALL, SHORT = 3, 250_000, 1_000
 
 
-def rising(pairs: pd.DataFrame) -> pd.DataFrame:
+def rising(pairs: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs (a, b), each side without repeats, that rises in both."""
-    pairs = pairs.sort_values("a")
+    pairs = sorted(pairs)
     tops: list[int] = []  # the least b that ends a run of each length, and its place
     places: list[int] = []
     before = [-1] * len(pairs)
-    for i, b in enumerate(pairs["b"].tolist()):
+    for i, (_, b) in enumerate(pairs):
         k = bisect_left(tops, b)
         before[i] = places[k - 1] if k else -1
         tops[k : k + 1], places[k : k + 1] = [b], [i]
@@ -35,7 +40,7 @@ def rising(pairs: pd.DataFrame) -> pd.DataFrame:
     while i >= 0:
         kept.append(i)
         i = before[i]
-    return pairs.iloc[kept[::-1]]
+    return [pairs[i] for i in kept[::-1]]
 
 
 def _blocks(lines: DataFrame, pairs: DataFrame, keys: list[str], side: str) -> DataFrame:
@@ -60,7 +65,12 @@ def _anchors(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     group = [*keys, "block"]
     once = lambda df, name: df.groupBy(*group, "line").agg(F.count("*").alias("_n"), F.min("n").alias(name)).filter("_n = 1").drop("_n")
     met = once(a, "a").join(once(b, "b"), [*group, "line"]).select(*group, "a", "b")
-    kept = met.groupBy(*group).applyInPandas(rising, met.schema)  # anchors of one block: two numbers a line
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs = rising(list(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True)))
+        return pdf.set_index(["a", "b"], drop=False).loc[pairs] if pairs else pdf.iloc[:0]
+
+    kept = met.groupBy(*group).applyInPandas(run, met.schema)  # anchors of one block: two numbers a line
     return kept.select(*keys, "a", "b")
 
 
@@ -101,13 +111,11 @@ def _small(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.mapInPandas(solve, f"{kinds}, a bigint, b bigint")
 
 
-def align(old: DataFrame, new: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, a, b): the line numbers of equal lines, rising on both sides, of lists (keys, line_no, line). ``keys`` tell which lists belong together;
-    a null line counts as an empty one."""
-    spark, keys = old.sparkSession, [*keys]
-    folder, inner = scratch(spark, "lines"), keys or ["_one"]
-    named = lambda df: df.withColumn("_one", F.lit(0)).select(*inner, F.col("line_no").cast("long").alias("n"), F.coalesce("line", F.lit("")).alias("line"))
-    a, b = at_rest(named(old), f"{folder}/old"), at_rest(named(new), f"{folder}/new")
+def _align(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(_k, a, b): the line numbers of equal lines, rising on both sides, of long lists (_k, n, line)."""
+    spark, inner = old.sparkSession, ["_k"]
+    folder = scratch(spark, "lines")
+    a, b = at_rest(old, f"{folder}/old"), at_rest(new, f"{folder}/new")
     pairs = a.select(*inner, F.col("n").alias("a"), F.col("n").alias("b")).limit(0)
     finders = (lambda x, y: _ends(x, y, inner, False), lambda x, y: _ends(x, y, inner, True), lambda x, y: _anchors(x, y, inner), lambda x, y: _small(x, y, inner))
     idle, turn = 0, 0
@@ -116,25 +124,119 @@ def align(old: DataFrame, new: DataFrame, keys: Sequence[str] = ()) -> DataFrame
         idle, turn = (idle + 1 if found.isEmpty() else 0), turn + 1
         if not idle:
             pairs = pairs.unionByName(found)
-    return pairs.select(*keys, "a", "b")
+    return pairs
+
+
+def short_pairs(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
+    """The places of equal lines of two short lists: equal starts, equal ends, anchors, and longest common sequences between them. (No block has an equal line left then.)"""
+    start, la, lb = 0, len(a), len(b)
+    while start < la and start < lb and a[start] == b[start]:
+        start += 1
+    while start < la and start < lb and a[la - 1] == b[lb - 1]:
+        la, lb = la - 1, lb - 1
+    once = lambda x, end: {line: i for i, line in enumerate(x[start:end], start) if counts[line] == 1}
+    counts = Counter(a[start:la])
+    in_a = once(a, la)
+    counts = Counter(b[start:lb])
+    in_b = once(b, lb)
+    anchors = rising([(i, in_b[line]) for line, i in in_a.items() if line in in_b])
+    out, i, j = [(k, k) for k in range(start)], start, start
+    for x, y in [*anchors, (la, lb)]:
+        if i < x and j < y and not set(a[i:x]).isdisjoint(b[j:y]):
+            out += [(i + m, j + n) for m, n in common(a[i:x], b[j:y])]
+        if x < la:
+            out.append((x, y))
+        i, j = x + 1, y + 1
+    return out + [(la + k, lb + k) for k in range(len(a) - la)]
+
+
+def _told(keys: tuple, a: list[tuple[int, str]], b: list[tuple[int, str]]) -> Iterator[tuple]:
+    """Rows of ``changes`` of two short lists of (number, line)."""
+    i = j = seq = 0
+    for x, y in [*short_pairs([t for _, t in a], [t for _, t in b]), (len(a), len(b))]:
+        rows = [("-", n, None, t) for n, t in a[i:x]] + [("+", None, n, t) for n, t in b[j:y]]
+        if x < len(a):
+            rows.append((" ", a[x][0], b[y][0], a[x][1]))
+        for row in rows:
+            seq += 1
+            yield (*keys, seq, *row)
+        i, j = x + 1, y + 1
+
+
+def _short(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``changes`` of sorted (keys, _s, n, line); lines of lists that are longer than ``SHORT`` together come back as they are, with their side as kind."""
+    types = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes if k in keys)
+    width = len(keys)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = [("seq", pa.int32()), ("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("line", pa.string())]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), schema, strict=True)], names=[name for name, _ in schema])
+        raw = lambda k, s, n, t: (*k, None, "old" if s == 0 else "new", n, None, t)
+        now, held, long, out = None, ([], []), False, []
+        for rows in batches:
+            schema = [(f.name, f.type) for f in rows.schema][:width] + form
+            for row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                k, (s, n, t) = row[:width], row[width:]
+                if k != now:
+                    if now is not None and not long:
+                        out += _told(now, *held)
+                    now, held, long = k, ([], []), False
+                if not long and len(held[0]) + len(held[1]) == SHORT:
+                    out += [raw(k, side, *x) for side in (0, 1) for x in held[side]]
+                    held, long = ([], []), True
+                if long:
+                    out.append(raw(k, s, n, t))
+                else:
+                    held[s].append((n, t))
+                if len(out) >= 4096:
+                    yield batch(out)
+                    out = []
+        if now is not None and not long:
+            out += _told(now, *held)
+        if out:
+            yield batch(out)
+
+    # by a hash, not by the keys: where both sides of a union are parted by them already, that shuffle would be left out, and adaptive execution merges partitions of each side by itself
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, "_s", "n").mapInArrow(tell, f"{types}, seq int, kind string, a bigint, b bigint, line string")
+
+
+def align(old: DataFrame, new: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, a, b): the line numbers of equal lines, rising on both sides, of lists (keys, line_no, line). ``keys`` tell which lists belong together;
+    a null line counts as an empty one."""
+    return changes(old, new, keys).filter("kind = ' '").select(*keys, "a", "b")
 
 
 def changes(old: DataFrame, new: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Both lists as one: (keys, seq, kind, a, b, line) in order, with ``-`` for lines that went, ``+`` for those that came, and a space for equal ones."""
+    """Both lists as one: (keys, seq, kind, a, b, line) in order, with ``-`` for lines that went, ``+`` for those that came, and a space for equal ones.
+    A null key is a key."""
     keys = [*keys]
     inner = keys or ["_one"]
-    pairs = align(old, new, keys)
-    named = lambda df: df.withColumn("_one", F.lit(0)).select(*inner, F.col("line_no").cast("long").alias("n"), F.coalesce("line", F.lit("")).alias("line"))
-    pairs = pairs.withColumn("_one", F.lit(0)).select(*inner, "a", "b")
+    named = lambda df, side: df.withColumn("_one", F.lit(0)).select(*inner, F.lit(side).alias("_s"), F.col("line_no").cast("long").alias("n"), F.coalesce("line", F.lit("")).alias("line"))
+    folder = scratch(old.sparkSession, "changes")
+    every = at_rest(_short(named(old, 0).unionByName(named(new, 1)), inner), f"{folder}/short")
+    told = every.filter("kind in ('-', '+', ' ')").select(*keys, "seq", "kind", "a", "b", "line")
+    rest = every.filter("kind in ('old', 'new')")
+    if rest.isEmpty():
+        return told
+    lists = at_rest(rest.select(*inner).distinct().withColumn("_k", F.monotonically_increasing_id()), f"{folder}/lists").select("_k", *[F.col(k).alias(f"_k_{i}") for i, k in enumerate(inner)])
+    of = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(inner)])
+    rest = at_rest(rest.join(lists, of).select("_k", "kind", F.col("a").alias("n"), "line"), f"{folder}/long")
+    long = _long(rest.filter("kind = 'old'").drop("kind"), rest.filter("kind = 'new'").drop("kind")).join(lists, "_k")
+    return told.unionByName(long.select(*[F.col(f"_k_{i}").alias(k) for i, k in enumerate(keys)], "seq", "kind", "a", "b", "line"))
+
+
+def _long(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``changes`` of long lists (_k, n, line)."""
+    pairs, inner = _align(old, new), ["_k"]
     none = F.lit(None).cast("long")
     place = Window.partitionBy(*inner).orderBy("a")
-    equal = named(old).withColumnRenamed("n", "a").join(pairs, [*inner, "a"])
+    equal = old.withColumnRenamed("n", "a").join(pairs, [*inner, "a"])
     equal = equal.withColumn("block", F.row_number().over(place) - 1).select(*inner, F.col("block").cast("long").alias("block"), F.lit(2).alias("o"), F.lit(" ").alias("kind"), "a", "b", "line")
-    gone = _blocks(named(old), pairs, inner, "a").select(*inner, F.col("block").cast("long").alias("block"), F.lit(0).alias("o"), F.lit("-").alias("kind"), F.col("n").alias("a"), none.alias("b"), "line")
-    came = _blocks(named(new), pairs, inner, "b").select(*inner, F.col("block").cast("long").alias("block"), F.lit(1).alias("o"), F.lit("+").alias("kind"), none.alias("a"), F.col("n").alias("b"), "line")
+    gone = _blocks(old, pairs, inner, "a").select(*inner, F.col("block").cast("long").alias("block"), F.lit(0).alias("o"), F.lit("-").alias("kind"), F.col("n").alias("a"), none.alias("b"), "line")
+    came = _blocks(new, pairs, inner, "b").select(*inner, F.col("block").cast("long").alias("block"), F.lit(1).alias("o"), F.lit("+").alias("kind"), none.alias("a"), F.col("n").alias("b"), "line")
     every = equal.unionByName(gone).unionByName(came)
     order = Window.partitionBy(*inner).orderBy("block", "o", F.coalesce("a", "b"))
-    return every.withColumn("seq", F.row_number().over(order)).select(*keys, "seq", "kind", "a", "b", "line")
+    return every.withColumn("seq", F.row_number().over(order))
 
 
 def _span(first: Column, count: Column) -> Column:
