@@ -22,24 +22,39 @@ def value_text(prefix: str = "") -> Column:
     return F.coalesce(F.col(f"{prefix}num").cast("string"), F.col(f"{prefix}txt"))
 
 
-def best_paper(evidence: DataFrame) -> DataFrame:
-    """The first claim of each key."""
-    return evidence.groupBy("audit_id", "key").agg(F.min_by(_side(), F.struct("ordinal", "location", "raw_value")).alias("paper"))
-
-
-def best_code(evidence: DataFrame) -> DataFrame:
-    """The strongest evidence of each key, the first of equals; what only tests or examples say is no evidence.
+def _scored(evidence: DataFrame) -> DataFrame:
+    """Evidence in code with ``rank``, the greater the stronger and the first of equals; null for what only tests or examples say, which is no evidence.
     Of the calls that fix a seed the one in an entry or solver file counts before that in plots or data."""
     known = F.col("num").isNotNull() | F.col("txt").isNotNull()
-    score = V.evidence_score(F.col("location"), known)
     name = F.lower(F.col("location"))
     call = F.when(F.col("form") == "seed", F.when(name.rlike("solve|train"), 3).when(name.rlike("plot|data"), -3).otherwise(0)).otherwise(0)
-    scored = evidence.withColumn("score", score).withColumn("call", call)
-    order = F.struct("score", "call", (-F.col("ordinal")).alias("o"), "location", "raw_value")
-    ok = scored.filter("score >= 0")
-    best = ok.groupBy("audit_id", "key").agg(F.max_by(_side(), order).alias("code"), F.max("score").alias("code_score"))
-    usual = evidence.filter(~F.col("excluded") & (F.col("form") != "seed")).groupBy("audit_id", "key").agg(F.countDistinct(value_text()).alias("code_values"))
-    return best.join(usual, ["audit_id", "key"], "left")
+    scored = evidence.withColumn("_score", V.evidence_score(F.col("location"), known)).withColumn("_call", call)
+    order = F.struct(F.col("_score").alias("score"), F.col("_call").alias("call"), (-F.col("ordinal")).alias("o"), "location", "raw_value", _side().alias("ev"))
+    return scored.withColumn("rank", F.when(F.col("_score") >= 0, order)).drop("_score", "_call")
+
+
+def best_code(evidence: DataFrame) -> DataFrame:
+    """The strongest evidence of each key."""
+    return _scored(evidence).filter("rank is not null").groupBy("audit_id", "key").agg(F.max("rank").alias("r")).select("audit_id", "key", F.col("r.ev").alias("code"))
+
+
+def both_sides(paper: DataFrame, code: DataFrame) -> DataFrame:
+    """One row for each key: the first claim, the strongest evidence in code with its score, the number of values that are usual in code, and the places of
+    each side where its distinct values are first seen. Evidence is read once: it is combined by value, then by key, map-side both times."""
+    first = F.struct("ordinal", "location", _side().alias("ev"))
+    none = lambda of: F.when(F.lit(False), of)
+    columns = ["audit_id", "key", "_code", "_v", "_claim", "_rank", "_first", "_usual"]
+    usual = ~F.col("excluded") & (F.col("form") != "seed")
+    in_code = usual & ~V.is_aux(F.col("location")) & ~F.contains(F.col("location"), F.lit("[cell"))
+    scored = _scored(code).withColumn("_code", F.lit(True)).withColumn("_v", value_text()).withColumn("_rank", F.col("rank")).withColumn("_usual", F.coalesce(usual, F.lit(False)) & F.col("_v").isNotNull())
+    claim = F.struct("ordinal", "location", "raw_value", _side().alias("ev"))
+    scored = scored.withColumn("_first", F.when(in_code & F.col("_v").isNotNull(), first)).withColumn("_claim", none(claim)).select(*columns)
+    claims = paper.withColumn("_code", F.lit(False)).withColumn("_v", value_text()).withColumn("_first", F.when(~F.col("excluded") & F.col("_v").isNotNull(), first))
+    claims = claims.withColumn("_rank", F.lit(None).cast(scored.schema["_rank"].dataType)).withColumn("_claim", claim).withColumn("_usual", F.lit(False)).select(*columns)
+    values = claims.unionByName(scored).groupBy("audit_id", "key", "_code", "_v").agg(F.min("_claim").alias("_claim"), F.max("_rank").alias("_rank"), F.min("_first").alias("_first"), F.max("_usual").alias("_usual"))
+    of = lambda code: F.array_sort(F.collect_list(F.when(F.col("_code") == code, F.col("_first"))))
+    grouped = values.groupBy("audit_id", "key").agg(F.min("_claim").alias("_claim"), F.max("_rank").alias("_rank"), F.count_if("_usual").alias("code_values"), of(False).alias("paper_all"), of(True).alias("code_all"))
+    return grouped.select("audit_id", "key", F.col("_claim.ev").alias("paper"), F.col("_rank.ev").alias("code"), F.col("_rank.score").alias("code_score"), "code_values", "paper_all", "code_all")
 
 
 def same_value(a: str, b: str) -> Column:
@@ -91,38 +106,57 @@ def _finished(df: DataFrame, confidence: str) -> DataFrame:
     return out.withColumn("confidence", F.lit(confidence)).withColumn("risk_ord", lookup(F.col("risk"), RISK_ORDER)).select(*FINDING)
 
 
+def _compared() -> Column:
+    """What a row of ``both_sides`` with its status ``_status`` says where a side holds usable evidence."""
+    status = F.col("_status")
+    vague = (F.col("code_values") > 1) & (F.col("key").isin(*TEXT_VALUED) | (F.col("code_score") < 6)) & (F.col("key") != "seed")
+    risk = risk_of(status, F.col("key"), downgraded=vague, one_carrier=F.lit(False), code_side=F.lit(False))
+    note = F.when((status == "inconsistent") & vague, F.concat(F.lit("代码中存在 "), "code_values", F.lit(" 个不同取值，本次取首选实现比对；请以实际运行配置为准"))).otherwise("")
+    return V.bound(risk, lambda r: F.when(status.isNotNull(), F.struct(status.alias("status"), r["risk"].alias("risk"), r["reason"].alias("risk_reason"), F.col("paper").alias("paper"), F.col("code").alias("code"), F.array().cast(_SIDES).alias("extra"), note.alias("note"))))
+
+
+def _clashing() -> Column:
+    """What a row of ``both_sides`` says where one side holds several values."""
+
+    def told(every: str, code: bool) -> Column:
+        files = F.size(F.array_distinct(F.array_compact(F.transform(every, lambda x: F.coalesce(x["ev"]["file"], x["location"])))))  # of distinct values; a paper is one carrier
+        risk = risk_of(F.lit("internal_inconsistent"), F.col("key"), downgraded=F.lit(False), one_carrier=files == 1, code_side=F.lit(code))
+        described = F.array_join(F.transform(F.slice(every, 1, 4), lambda x: F.concat(F.coalesce(x["ev"]["num"].cast("string"), x["ev"]["txt"]), F.lit(" @ "), x["location"])), "; ")
+        said = F.concat(F.lit(("代码" if code else "论文") + "内部多处声明互不一致: "), described)
+        first, more = F.get(every, F.lit(0))["ev"], F.transform(F.slice(every, 2, 3), lambda x: x["ev"])
+        return V.bound(risk, lambda r: F.when(F.size(every) > 1, F.struct(lookup(r["risk"], RISK_ORDER).alias("o"), F.lit(int(code)).alias("s"), r["risk"].alias("risk"), r["reason"].alias("reason"), said.alias("said"), first.alias("first"), more.alias("more"))))
+
+    def merged(sides: Column) -> Column:
+        worst, of = F.array_min(sides), lambda s: F.get(F.filter(sides, lambda x: x["s"] == s), F.lit(0))["first"]
+        notes = F.array_join(F.array_sort(F.transform(sides, lambda x: x["said"])), "；")
+        extra = F.flatten(F.transform(sides, lambda x: x["more"]))
+        return F.when(F.size(sides) > 0, F.struct(F.lit("internal_inconsistent").alias("status"), worst["risk"].alias("risk"), worst["reason"].alias("risk_reason"), of(0).alias("paper"), of(1).alias("code"), extra.alias("extra"), notes.alias("note")))
+
+    return V.bound(F.array_compact(F.array(told("paper_all", False), told("code_all", True))), merged)
+
+
+_SIDES = "array<struct<raw_value:string,num:double,txt:string,location:string,file:string,page:int,line:int,snippet:string,channel:string>>"
+
+
+def _told(both: DataFrame, *kinds: Column) -> DataFrame:
+    said = both.withColumn("_status", param_status()).withColumn("_f", F.array(*kinds))
+    # the outer form, as Spark would else filter by the array before it is made, and so make it three times
+    return _finished(said.select("audit_id", "key", F.inline_outer("_f")).filter("status is not null"), "confirmed")
+
+
 def align_params(paper: DataFrame, code: DataFrame) -> DataFrame:
     """One row for each parameter that a side holds usable evidence of."""
-    both = best_paper(paper).join(best_code(code), ["audit_id", "key"], "full_outer").withColumn("status", param_status()).filter("status is not null")
-    vague = (F.coalesce("code_values", F.lit(0)) > 1) & (F.col("key").isin(*TEXT_VALUED) | (F.col("code_score") < 6)) & (F.col("key") != "seed")
-    risk = risk_of(F.col("status"), F.col("key"), downgraded=vague, one_carrier=F.lit(False), code_side=F.lit(False))
-    note = F.when((F.col("status") == "inconsistent") & vague, F.concat(F.lit("代码中存在 "), "code_values", F.lit(" 个不同取值，本次取首选实现比对；请以实际运行配置为准"))).otherwise("")
-    rows = both.withColumn("r", risk).withColumn("note", note).withColumn("risk", F.col("r.risk")).withColumn("risk_reason", F.col("r.reason"))
-    return _finished(rows, "confirmed")
+    return _told(both_sides(paper, code), _compared())
 
 
 def conflicts(paper: DataFrame, code: DataFrame) -> DataFrame:
     """A row beside the comparison for each key of which one side holds several values."""
-    columns = ["audit_id", "side", "key", "ordinal", *SIDE]
-    in_paper = paper.filter(~F.col("excluded")).select(*columns)
-    in_code = code.filter(~F.col("excluded") & (F.col("form") != "seed") & ~V.is_aux(F.col("location")) & ~F.contains(F.col("location"), F.lit("[cell"))).select(*columns)
-    valued = in_paper.unionByName(in_code).withColumn("v", value_text()).filter("v is not null")
-    first = valued.groupBy("audit_id", "side", "key", "v").agg(F.min(F.struct("ordinal", "location", _side().alias("ev"))).alias("f"))
-    # files of distinct values; a paper is one carrier
-    grouped = first.groupBy("audit_id", "side", "key").agg(
-        F.count("*").alias("n"), F.countDistinct(F.coalesce("f.ev.file", "f.location")).alias("files"), F.array_sort(F.collect_list("f")).alias("all")
-    ).filter("n > 1")
-    risk = risk_of(F.lit("internal_inconsistent"), F.col("key"), downgraded=F.lit(False), one_carrier=F.col("files") == 1, code_side=F.col("side") == "code")
-    described = F.array_join(F.transform(F.slice("all", 1, 4), lambda x: F.concat(F.coalesce(x["ev"]["num"].cast("string"), x["ev"]["txt"]), F.lit(" @ "), x["location"])), "; ")
-    rows = grouped.withColumn("r", risk).withColumn("said", F.concat(F.when(F.col("side") == "paper", "论文").otherwise("代码"), F.lit("内部多处声明互不一致: "), described))
-    worst = F.min_by("r", F.struct(lookup(F.col("r.risk"), RISK_ORDER).alias("o"), F.when(F.col("side") == "paper", 0).otherwise(1).alias("s")))
-    of = lambda side: F.max(F.when(F.col("side") == side, F.get("all", F.lit(0))["ev"]))
-    merged = rows.groupBy("audit_id", "key").agg(
-        worst.alias("r"), of("paper").alias("paper"), of("code").alias("code"), F.array_join(F.array_sort(F.collect_list("said")), "；").alias("note"),
-        F.flatten(F.collect_list(F.transform(F.slice("all", 2, 3), lambda x: x["ev"]))).alias("extra"),
-    )
-    rows = merged.withColumn("status", F.lit("internal_inconsistent")).withColumn("risk", F.col("r.risk")).withColumn("risk_reason", F.col("r.reason"))
-    return _finished(rows, "confirmed")
+    return _told(both_sides(paper, code), _clashing())
+
+
+def compare(paper: DataFrame, code: DataFrame) -> DataFrame:
+    """The rows of ``align_params`` and of ``conflicts``, from one pass."""
+    return _told(both_sides(paper, code), _compared(), _clashing())
 
 
 def align_results(claimed: DataFrame, measured: DataFrame) -> DataFrame:
@@ -159,7 +193,7 @@ def align_images(readings: DataFrame, paper: DataFrame, code: DataFrame) -> Data
     seen = stable_readings(readings).groupBy("audit_id", "key").agg(F.min_by(place, F.struct("page_no", "v", "name")).alias("paper")) if "audit_id" in readings.columns else None
     if seen is None:
         raise ValueError("readings need an audit_id")
-    alone = seen.join(paper.select("audit_id", "key").distinct(), ["audit_id", "key"], "left_anti").join(best_code(code).drop("code_score", "code_values"), ["audit_id", "key"], "left")
+    alone = seen.join(paper.select("audit_id", "key").distinct(), ["audit_id", "key"], "left_anti").join(best_code(code), ["audit_id", "key"], "left")
     known = F.col("code.num").isNotNull() | F.col("code.txt").isNotNull()
     status = F.when(F.coalesce(known, F.lit(False)), F.when(same_value("paper", "code"), "consistent").otherwise("inconsistent")).otherwise("missing_in_code")
     rows = alone.withColumn("status", status).withColumn("risk", F.when(F.col("status") == "consistent", "none").otherwise("low")).withColumn("risk_reason", F.lit("")).withColumn("note", F.lit("该论文值由 AI 读图获得(图像/扫描页), 未经文本层验证, 请人工核对原图"))

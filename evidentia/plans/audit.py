@@ -38,7 +38,7 @@ def audit(
     code_all = _of_audit(code_all, audits, "code_id").persist()
     code = code_all.filter("reason is null")
     images = readings.join(audits.select("audit_id", "paper_id"), "paper_id")
-    found = A.align_params(claims, code).unionByName(A.conflicts(claims, code)).unionByName(A.align_results(_of_audit(paper["results"], audits, "paper_id"), results)).unionByName(A.align_images(images, claims, code))
+    found = A.compare(claims, code).unionByName(A.align_results(_of_audit(paper["results"], audits, "paper_id"), results)).unionByName(A.align_images(images, claims, code))
     lengths = files.select(F.col("code_id"), F.col("path").alias("file"), F.size(F.split("text", r"\r?\n")).alias("n_lines")).join(audits.select("audit_id", "code_id"), "code_id").select("audit_id", "file", "n_lines")
     findings = A.ordered(selfcheck(found, lengths)).persist()
     rejected = _of_audit(paper["rejected"], audits, "paper_id").unionByName(code_all.filter("reason is not null").select("owner_id", "side", "key", F.col("raw_value").alias("value"), "location", "reason", "audit_id"))

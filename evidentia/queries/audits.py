@@ -210,7 +210,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every order over its own batch size and that of its lines, in the order of a report."""
     claims, code = _order_sides(spark, sf_dir)
     lengths = code.select("audit_id", "file", F.lit(6).alias("n_lines")).distinct()
-    return align.ordered(verify.selfcheck(align.align_params(claims, code).unionByName(align.conflicts(claims, code)), lengths))
+    return align.ordered(verify.selfcheck(align.compare(claims, code), lengths))
 
 
 def checked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
