@@ -28,13 +28,17 @@ def site_class(file):
     return F.when(stem.rlike(BASE_HINTS), "base").when(stem.rlike(ENTRY_HINTS), "entry").when(F.lower(file).rlike(CONFIG_HINTS), "config").otherwise("other")
 
 
-def sites(code: DataFrame) -> DataFrame:
-    """Distinct assignment sites of each key, ranked; evidence without a line is no site."""
+def _placed(code: DataFrame) -> DataFrame:
+    """Distinct assignment sites; evidence without a line is no site."""
     kind = site_class(F.col("file"))
     base = F.when(kind == "base", -1).when(kind == "entry", 4).when(kind == "config", 0).otherwise(1)
-    placed = code.filter(F.col("line").isNotNull() & (F.col("form") != "seed")).select("audit_id", "key", "file", "line", F.col("raw_value").alias("value"), kind.alias("kind"), (base + (F.col("line") > 200).cast("int")).alias("score")).distinct()
+    return code.filter(F.col("line").isNotNull() & (F.col("form") != "seed")).select("audit_id", "key", "file", "line", F.col("raw_value").alias("value"), kind.alias("kind"), (base + (F.col("line") > 200).cast("int")).alias("score")).distinct()
+
+
+def sites(code: DataFrame) -> DataFrame:
+    """Distinct assignment sites of each key, ranked."""
     w = Window.partitionBy("audit_id", "key").orderBy(F.desc("score"), "file", "line", "value")
-    return placed.withColumn("rank", F.row_number().over(w)).withColumn("next_score", F.lead("score").over(w))
+    return _placed(code).withColumn("rank", F.row_number().over(w)).withColumn("next_score", F.lead("score").over(w))
 
 
 def traces(findings: DataFrame, code: DataFrame, most: int = MAX_ITEMS) -> DataFrame:
@@ -42,10 +46,11 @@ def traces(findings: DataFrame, code: DataFrame, most: int = MAX_ITEMS) -> DataF
     wanted = findings.filter(F.col("status").isin("inconsistent", "internal_inconsistent") & ~F.col("key").startswith("result_"))
     keys = wanted.groupBy("audit_id", "key").agg(F.min("seq").alias("seq"))
     keys = keys.withColumn("_r", F.row_number().over(Window.partitionBy("audit_id").orderBy("seq"))).filter(F.col("_r") <= most).drop("_r")
-    every = sites(code)
-    top = every.filter("rank = 1").select("audit_id", "key", "file", "line", "value", "score", "next_score")
-    listed = every.groupBy("audit_id", "key").agg(F.array_sort(F.collect_list(F.struct("rank", "file", "line", "value", "kind", "score"))).alias("candidates"))
-    out = keys.join(top, ["audit_id", "key"], "left").join(listed, ["audit_id", "key"], "left")
+    listed = _placed(code).groupBy("audit_id", "key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "file", "line", "value", "kind", "score"))).alias("s"))
+    ranked = F.transform("s", lambda x, i: F.struct((i + 1).alias("rank"), x["file"].alias("file"), x["line"].alias("line"), x["value"].alias("value"), x["kind"].alias("kind"), x["score"].alias("score")))
+    first = lambda c: F.get("s", F.lit(0))[c].alias(c)
+    listed = listed.select("audit_id", "key", ranked.alias("candidates"), first("file"), first("line"), first("value"), first("score"), F.get("s", F.lit(1))["score"].alias("next_score"))
+    out = keys.join(listed, ["audit_id", "key"], "left")
     confidence = F.when(F.col("file").isNull(), "none").when(F.col("next_score").isNull(), "high").when(F.col("score") - F.col("next_score") >= 3, "medium").otherwise("none")
     told = F.col("confidence") != "none"
     out = out.withColumn("confidence", confidence)
