@@ -62,7 +62,13 @@ def repro_rows(findings: DataFrame) -> DataFrame:
     return rows.select("audit_id", "key", first("display").alias("display"), first("p").alias("paper_value"), first("c").alias("code_value"), F.array_join(F.array_distinct(of("status")), "; ").alias("status"), F.array_join(F.array_distinct(of("advice")), "; ").alias("advice"), first("risk").alias("risk"))
 
 
+def with_ranks(rows: DataFrame, k: int = 15) -> DataFrame:
+    """Rows of the pack with the place of the ``k`` gravest open risks of each audit; null for the others."""
+    open_ = F.coalesce(F.col("risk") != "none", F.lit(False))
+    w = Window.partitionBy("audit_id", open_).orderBy(lookup(F.col("risk"), RISK_ORDER), "display", "key")
+    return rows.withColumn("rank", F.row_number().over(w)).withColumn("rank", F.when(open_ & (F.col("rank") <= k), F.col("rank")))
+
+
 def repro_risks(rows: DataFrame, k: int = 15) -> DataFrame:
     """The open risks of each audit, gravest first."""
-    w = Window.partitionBy("audit_id").orderBy(lookup(F.col("risk"), RISK_ORDER), "display", "key")
-    return rows.filter("risk <> 'none'").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return with_ranks(rows, k).filter("rank is not null")

@@ -334,8 +334,7 @@ def asked_and_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each parameter with both values, statuses and the gravest risk, ranked."""
     rows = inquiry.repro_rows(_findings(spark, sf_dir))
-    ranked = inquiry.repro_risks(rows)
-    return rows.join(ranked.select("audit_id", "key", "rank"), ["audit_id", "key"], "left").select("audit_id", "key", "paper_value", "code_value", "status", "risk", "rank")
+    return inquiry.with_ranks(rows).select("audit_id", "key", "paper_value", "code_value", "status", "risk", "rank")
 
 
 def manual_list(spark: SparkSession, sf_dir: str) -> DataFrame:
