@@ -16,9 +16,16 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows by their key over all cores. A small file, or one row group, is read by one task, which would also do all the work on the texts made from it."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One paper for each part: paper_id, n (its size), k (its key)."""
-    return table(spark, sf_dir, "part").select(_text("p", F.col("p_partkey")).alias("paper_id"), F.col("p_partkey").alias("k"), F.col("p_size").alias("n"))
+    parts = _spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    return parts.select(_text("p", F.col("p_partkey")).alias("paper_id"), F.col("p_partkey").alias("k"), F.col("p_size").alias("n"))
 
 
 def _pages(df: DataFrame, *texts: Column) -> DataFrame:
