@@ -80,7 +80,8 @@ def excerpts(pages: DataFrame, gaps: DataFrame, stop: int = EXCERPTS, chars: int
     """(paper_id, key, excerpts): the sentences that name an open parameter, page by page until ``stop`` are found, as one text
     of at most ``chars`` characters, which is what a prompt holds."""
     sentence = F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({P.SENTENCE})"), F.lit(1)))
-    found = pages.select("paper_id", "page_no", sentence.alias("s")).join(gaps.select("paper_id", "key"), "paper_id").filter(_names(F.col("key"), F.col("s")))
+    asked = pages.select("paper_id", "page_no", "text").join(gaps.select("paper_id", "key").hint("merge"), "paper_id")  # both grow with the papers
+    found = asked.select("paper_id", "key", "page_no", sentence.alias("s")).filter(_names(F.col("key"), F.col("s")))
     page = found.groupBy("paper_id", "key", "page_no").agg(F.collect_list("s").alias("ss"))
     before = Window.partitionBy("paper_id", "key").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
     kept = page.withColumn("known", F.coalesce(F.sum(F.size("ss")).over(before), F.lit(0))).filter(F.col("known") < stop)
@@ -91,7 +92,7 @@ def excerpts(pages: DataFrame, gaps: DataFrame, stop: int = EXCERPTS, chars: int
 
 def pages_to_read(pages: DataFrame, gaps: DataFrame, most: int = READ_AGAIN) -> DataFrame:
     """The first pages that name an open parameter, ``most`` for each: these are read again as images."""
-    named = pages.select("paper_id", "page_no", F.coalesce("text", F.lit("")).alias("t")).join(gaps.select("paper_id", "key"), "paper_id").filter(_names(F.col("key"), F.col("t")))
+    named = pages.select("paper_id", "page_no", F.coalesce("text", F.lit("")).alias("t")).join(gaps.select("paper_id", "key").hint("merge"), "paper_id").filter(_names(F.col("key"), F.col("t")))
     order = Window.partitionBy("paper_id", "key").orderBy("page_no")
     return named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("paper_id", "key", "page_no", "rank")
 

@@ -419,7 +419,7 @@ def excerpts_to_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     quoted = explain.excerpts(pages, gaps)
     read = explain.pages_to_read(pages, gaps).groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list("page_no")), ",").alias("pages"))
     lines = F.size(F.split("excerpts", "\n"))
-    return quoted.join(read, "paper_id").select("paper_id", lines.alias("n"), F.substring_index(F.substring_index("excerpts", "]", 1), " ", -1).cast("int").alias("first"), F.regexp_extract("excerpts", r"(?s).*\[Page (\d+)\]", 1).cast("int").alias("last"), "pages")
+    return quoted.join(read.hint("merge"), "paper_id").select("paper_id", lines.alias("n"), F.substring_index(F.substring_index("excerpts", "]", 1), " ", -1).cast("int").alias("first"), F.regexp_extract("excerpts", r"(?s).*\[Page (\d+)\]", 1).cast("int").alias("last"), "pages")
 
 
 def listed_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

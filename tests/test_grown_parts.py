@@ -4,11 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidentia.operators import explain
 from evidentia.queries import audits
 
 
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_parts_over_all_cores(spark):
     parts = audits._parts(spark, "/root/testdata/sf0.001")
     used = parts.select(F.spark_partition_id().alias("p")).distinct().count()
     assert used == max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     assert parts.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+
+
+def test_excerpts_send_nothing_whole(spark):
+    pages = spark.createDataFrame([("a", i, "The momentum is what we tune here. Nothing else is said on it.") for i in (1, 2)], "paper_id string, page_no int, text string")
+    gaps = spark.createDataFrame([("a", "momentum")], "paper_id string, key string")
+    quoted, read = explain.excerpts(pages, gaps), explain.pages_to_read(pages, gaps)
+    assert "Broadcast" not in physical(quoted) and "Broadcast" not in physical(read)
+    assert quoted.first()["excerpts"].count("momentum") == 2 and [r["page_no"] for r in read.orderBy("page_no").collect()] == [1, 2]
