@@ -8,7 +8,7 @@ import re
 import tokenize
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,9 +105,10 @@ def still_parses(before: str, after: str) -> bool:
 def patches(findings: DataFrame, trace: DataFrame, lines: DataFrame, claims: DataFrame, by: str = "rule") -> DataFrame:
     """A draft or a refusal for each traced finding. ``lines`` are (audit_id, file, line, text). The gates are tried in order."""
     several = claims.filter(~F.col("excluded")).groupBy("audit_id", "key").agg(F.countDistinct(value_text()).alias("n_values"))
-    source = lines.select(F.col("audit_id").alias("_a"), F.col("file").alias("_f"), F.col("line").alias("_l"), F.col("text").alias("before"))
-    rows = trace.join(findings.select("audit_id", "key", "seq", "status", "paper"), ["audit_id", "key", "seq"])
-    rows = rows.join(several, ["audit_id", "key"], "left").join(source, (F.col("audit_id") == F.col("_a")) & (F.col("file") == F.col("_f")) & (F.col("line") == F.col("_l")), "left")
+    # all sides grow with the audits: none is sent whole to every task, however small its file
+    rows = trace.join(findings.select("audit_id", "key", "seq", "status", "paper").hint("merge"), ["audit_id", "key", "seq"])
+    rows = rows.join(several.hint("merge"), ["audit_id", "key"], "left").join(_around(trace, lines).hint("merge"), ["audit_id", "file", "line"], "left")
+    rows = rows.withColumn("before", F.get(F.filter("near", lambda x: x["at"] == F.col("line")), F.lit(0))["text"])
     raw = F.col("paper.raw_value")
     epochs, steps = "(?i)epoch", "(?i)iteration|step"
     unit = (F.col("before").rlike(epochs) & F.concat_ws(" ", "paper.snippet", raw).rlike(r"(?i)\biterations?\b|\bsteps?\b") & F.col("key").isin("warmup", "epochs")) | (F.col("before").rlike(steps) & F.col("paper.snippet").rlike(r"(?i)\bepochs?\b") & F.col("key").isin("warmup", "iterations"))
@@ -140,18 +141,24 @@ def patches(findings: DataFrame, trace: DataFrame, lines: DataFrame, claims: Dat
     ]
     out = drafted.withColumn("refuse_kind", V.first_reason(gates))
     ok = F.col("refuse_kind").isNull()
-    drafts = out.select("audit_id", "key", "seq", F.when(ok, "proposed").otherwise("refused").alias("status"), F.coalesce("refuse_kind", F.lit("")).alias("refuse_kind"), F.col("verdict_loc").alias("target"), "file", "line", "before", F.when(ok, F.col("d.after")).alias("after"))
-    return drafts.join(_hunks(drafts.filter("after is not null"), lines), ["audit_id", "key", "seq"], "left").select("audit_id", "key", "status", "refuse_kind", "target", "before", "after", "diff", F.lit(by).alias("source"), F.lit(True).alias("needs_human"))
-
-
-def _hunks(drafts: DataFrame, lines: DataFrame, around: int = AROUND) -> DataFrame:
-    """The change of each draft as a unified diff with up to three lines before and after it."""
-    near = lines.select(F.col("audit_id").alias("_a"), F.col("file").alias("_f"), F.explode(F.sequence(F.col("line") - around, F.col("line") + around)).alias("_l"), F.col("line").alias("_at"), "text")
-    met = drafts.join(near, (F.col("audit_id") == F.col("_a")) & (F.col("file") == F.col("_f")) & (F.col("line") == F.col("_l")))
-    shown = F.when(F.col("_at") == F.col("line"), F.concat(F.lit("-"), "before", F.lit("\n+"), "after")).otherwise(F.concat(F.lit(" "), "text"))
-    rows = met.groupBy("audit_id", "key", "seq", "file").agg(F.min("_at").alias("start"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", shown.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
-    span = F.concat("start", F.lit(","), "n")
-    return rows.select("audit_id", "key", "seq", F.concat(F.lit("--- a/"), "file", F.lit("\n+++ b/"), "file", F.lit("\n@@ -"), span, F.lit(" +"), span, F.lit(" @@\n"), "body").alias("diff"))
+    after = F.when(ok, F.col("d.after"))
+    told = [F.when(ok, "proposed").otherwise("refused").alias("status"), F.coalesce("refuse_kind", F.lit("")).alias("refuse_kind"), F.col("verdict_loc").alias("target")]
+    return out.select("audit_id", "key", *told, "before", after.alias("after"), F.when(after.isNotNull(), _hunk(after)).alias("diff"), F.lit(by).alias("source"), F.lit(True).alias("needs_human"))
+
+
+def _around(trace: DataFrame, lines: DataFrame, around: int = AROUND) -> DataFrame:
+    """(audit_id, file, line, near): the lines up to ``around`` before and after each place of a trace, in their order. The places are repeated, not the code."""
+    places = trace.filter("line is not null").select("audit_id", "file", "line", F.explode(F.sequence(F.col("line") - around, F.col("line") + around)).alias("at"))
+    met = places.join(lines.select("audit_id", "file", F.col("line").alias("at"), "text").hint("merge"), ["audit_id", "file", "at"])
+    return met.groupBy("audit_id", "file", "line").agg(F.array_sort(F.collect_set(F.struct("at", "text"))).alias("near"))
+
+
+def _hunk(after: Column) -> Column:
+    """The change of a line as a unified diff with the lines near it."""
+    same = lambda holds: F.transform(F.filter("near", holds), lambda x: F.concat(F.lit(" "), x["text"]))
+    body = F.concat_ws("\n", same(lambda x: x["at"] < F.col("line")), F.concat(F.lit("-"), "before"), F.concat(F.lit("+"), after), same(lambda x: x["at"] > F.col("line")))
+    span = F.concat(F.get("near", F.lit(0))["at"], F.lit(","), F.size("near"))
+    return F.concat(F.lit("--- a/"), "file", F.lit("\n+++ b/"), "file", F.lit("\n@@ -"), span, F.lit(" +"), span, F.lit(" @@\n"), body)
 
 
 def nominated(nominations: DataFrame, claims: DataFrame, code: DataFrame) -> DataFrame:
