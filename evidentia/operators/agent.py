@@ -57,6 +57,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     literal = lambda alias: "(?i)" + bounded(alias)
     separators = re.compile(r"^[\s×xX*\-–—/·=:]*$")
     connector = re.compile(P.GAP_CONNECTOR)
+    digit = re.compile(r"\d")  # every number has one
     for pdf in batches:
         rows = []
         for paper, page, text, keys in zip(pdf["paper_id"], pdf["page_no"], pdf["text"], pdf["keys"], strict=True):
@@ -75,9 +76,9 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if hit is None:
                         continue
                     head, tail = s[0][: hit.start()], s[0][hit.end() :]
-                    after = number.search(tail)
+                    after = number.search(tail) if digit.search(tail) else None
                     last = None
-                    for last in number.finditer(head):
+                    for last in number.finditer(head) if digit.search(head) else ():
                         pass
                     for m, gap, offset in ((after, tail[: after.start()] if after else "", hit.end()), (last, head[last.end() :] if last else "", 0)):
                         if m is None:
@@ -92,7 +93,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scan_candidates(pages: DataFrame, gaps: DataFrame) -> DataFrame:
     """Numbers near the names of missing parameters, those that a guard refuses aside."""
     keys = gaps.groupBy("paper_id").agg(F.collect_set("key").alias("keys"))
-    found = pages.select("paper_id", "page_no", "text").join(keys, "paper_id").mapInPandas(_scan, "paper_id string, page_no int, key string, level int, value string, before string, after string, head string, evidence string")
+    found = pages.select("paper_id", "page_no", "text").join(keys.hint("merge"), "paper_id").mapInPandas(_scan, "paper_id string, page_no int, key string, level int, value string, before string, after string, head string, evidence string")
     number = F.col("before").rlike(r"[图表式第条]\s*$") | F.col("after").rlike(r"^[_,]\d")
     refused = F.col("head").rlike(f"(?:{P.NEGATION})[^.。]{{0,{NEGATED}}}$") | F.col("after").rlike(r"^\s*[-–—~]\s*\d") | F.col("before").rlike(r"[-–—~]\s*$") | number
     return found.filter(~refused & ~F.substring(F.col("before"), -20, 20).rlike(P.FREQUENCY))
@@ -107,6 +108,8 @@ def _negated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for paper, page, text, keys in zip(pdf["paper_id"], pdf["page_no"], pdf["t"], pdf["keys"], strict=True):
             found, wanted, ends = set(), set(keys), [m.end() for m in said.finditer(text)]
+            if not ends:
+                continue
             for start, _, i in index.hits(text):
                 key = index.entries[i][0]
                 if key in wanted and key not in found and index.pattern(i, "written", written).match(text, start):
@@ -121,7 +124,7 @@ def negation_hints(pages: DataFrame, gaps: DataFrame) -> DataFrame:
     """Places where a missing parameter is said not to be used: hints, never values."""
     keys = gaps.groupBy("paper_id").agg(F.collect_set("key").alias("keys"))
     text = pages.select("paper_id", "page_no", V.collapse_space(F.coalesce("text", F.lit(""))).alias("t"))
-    return text.join(keys, "paper_id").mapInPandas(_negated, "paper_id string, key string, page_no int")
+    return text.join(keys.hint("merge"), "paper_id").mapInPandas(_negated, "paper_id string, key string, page_no int")
 
 
 def gate(candidates: DataFrame, pages: DataFrame) -> DataFrame:
@@ -130,9 +133,9 @@ def gate(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     norm = lambda c: V.collapse_space(F.coalesce(c, F.lit("")))
     rows = candidates.withColumn("_id", F.xxhash64("paper_id", "key", "value", "evidence")).withColumn("_e", norm(F.col("evidence")))
     text = pages.select("paper_id", norm(F.col("text")).alias("_t"))
-    grounded = rows.select("paper_id", "_id", "_e").distinct().join(text, "paper_id").filter((F.col("_e") != "") & F.contains("_t", "_e"))
+    grounded = rows.select("paper_id", "_id", "_e").distinct().join(text.hint("merge"), "paper_id").filter((F.col("_e") != "") & F.contains("_t", "_e"))
     grounded = grounded.groupBy("paper_id", "_id").agg(F.min("_t").alias("_t"))
-    rows = rows.join(grounded, ["paper_id", "_id"], "left")
+    rows = rows.join(grounded.hint("merge"), ["paper_id", "_id"], "left")
     at = F.expr("locate(value, _e)")
     before = F.expr("substring(_e, 1, greatest(locate(value, _e) - 1, 0))")
     after = F.expr("substring(_e, locate(value, _e) + length(value), 60)")

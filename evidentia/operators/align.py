@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..dims import RISK_ORDER, TEXT_VALUED, category, display_name, importance, lookup
+from ..dims import RANGES, RISK_ORDER, TEXT_VALUED, category, display_name, importance, lookup
 from ..functions import values as V
 from .generic import tolerance_band
 
@@ -179,9 +179,11 @@ def stable_readings(readings: DataFrame) -> DataFrame:
     named = readings.withColumn("key", V.canonical_key(F.col("name"))).filter("key is not null")
     num = V.normalize_number(F.col("value"))
     valued = named.withColumn("num", num).withColumn("txt", F.when(num.isNull(), V.compare_form(F.col("value")))).withColumn("v", F.coalesce(F.col("num").cast("string"), "txt"))
-    sound = valued.filter(F.coalesce(V.is_plausible(F.col("key"), F.col("value")), F.lit(True)))
-    agreed = sound.filter("run = 1").select("paper_id", "page_no", "key", "v").intersect(sound.filter("run = 2").select("paper_id", "page_no", "key", "v"))
-    return sound.filter("run = 1").join(agreed, ["paper_id", "page_no", "key", "v"], "left_semi")
+    # both runs come together by parameter and value; a number is read once, so that its range is asked for beside it and not as a filter before
+    sound = F.coalesce(V.within_range(F.col("key"), F.col("num"), RANGES), F.lit(True))
+    rows = valued.dropna(subset=["paper_id", "page_no", "value"]).withColumn("_sound", sound)
+    second = F.max((F.col("run") == 2) & F.col("_sound")).over(Window.partitionBy("paper_id", "page_no", "key", "v"))
+    return rows.withColumn("_second", second).filter("run = 1 and _sound and _second").drop("_sound", "_second")
 
 
 def align_images(readings: DataFrame, paper: DataFrame, code: DataFrame) -> DataFrame:

@@ -40,15 +40,17 @@ def spend(requests: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return ranked.filter(F.col("_r") <= most).drop("_r"), ranked.filter(F.col("_r") > most).drop("_r")
 
 
-def _first(candidates: DataFrame) -> DataFrame:
-    """Of each parameter the first accepted candidate."""
-    order = Window.partitionBy("paper_id", "key").orderBy("page_no", "evidence", "value")
-    return candidates.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select(*CANDIDATE)
+def _outcomes(asked: DataFrame, gated: DataFrame) -> DataFrame:
+    """What became of each parameter that was asked for, with the first accepted candidate of it: no_hit without any, rejected if none was accepted."""
+    first = F.min(F.when(F.col("ok"), F.struct("page_no", "evidence", "value"))).alias("c")
+    told = gated.groupBy("paper_id", "key").agg(first, F.lit(True).alias("hit"))
+    status = F.when(F.col("c").isNotNull(), "accepted").when(F.col("hit"), "rejected").otherwise("no_hit")
+    return asked.join(told.hint("merge"), ["paper_id", "key"], "left").select("paper_id", "key", "c.page_no", "c.value", "c.evidence", status.alias("status"))
 
 
 def image_candidates(readings: DataFrame, requests: DataFrame) -> DataFrame:
     """Values that both runs of a reading agree on, for the parameters that were asked for."""
-    stable = stable_readings(readings).join(requests, ["paper_id", "key"], "left_semi")
+    stable = stable_readings(readings).join(requests.hint("merge"), ["paper_id", "key"], "left_semi")
     return stable.select("paper_id", "page_no", "key", "value", F.col("evidence_text").alias("evidence"))
 
 
@@ -62,29 +64,32 @@ def fill_within(pages: DataFrame, mentioned: DataFrame, evidence: DataFrame, pro
     scanned = at_rest(scan_candidates(pages, open_), f"{at}/scanned")
     hints = at_rest(negation_hints(pages, open_), f"{at}/hints")
     fills, traces, ledgers = [], [], []
-    is_in = lambda df, other: df.join(other.select("paper_id", "key").distinct(), ["paper_id", "key"], "left_semi")
-    not_in = lambda df, other: df.join(other.select("paper_id", "key").distinct(), ["paper_id", "key"], "left_anti")
     rungs = [
-        ("text-l1", lambda asked: scanned.filter("level = 1").select(*CANDIDATE), None, True), ("text-l2", lambda asked: scanned.filter("level = 2").select(*CANDIDATE), None, True),
-        ("negation", None, None, False), ("model", propose, budget.model, True), ("images", read and (lambda asked: image_candidates(read(asked), asked)), budget.images, False),
+        ("text-l1", lambda asked: scanned.filter("level = 1"), None, True), ("text-l2", lambda asked: scanned.filter("level = 2"), None, True),
+        ("negation", None, None, False), ("model", propose, budget.model, True), ("images", read and (lambda asked: image_candidates(at_rest(read(asked), f"{at}/readings"), asked)), budget.images, False),
     ]
     for number, (tool, give, most, grounded) in enumerate(rungs, 1):
-        told = lambda df, status: df.select("paper_id", "key", F.lit(number).alias("attempt"), F.lit(tool).alias("tool"), F.lit(status).alias("status"))  # noqa: E731, B023
+        told = lambda df: df.select("paper_id", "key", F.lit(number).alias("attempt"), F.lit(tool).alias("tool"), "status")  # noqa: E731, B023
         if tool == "negation":
-            traces += [told(is_in(open_, hints), "hinted"), told(not_in(open_, hints), "no_hit")]
+            hinted = hints.select("paper_id", "key", F.lit(True).alias("hinted")).distinct()
+            traces.append(told(open_.join(hinted.hint("merge"), ["paper_id", "key"], "left").withColumn("status", F.when(F.col("hinted"), "hinted").otherwise("no_hit"))))
             continue
         if give is None:
             continue
         asked, late = (open_, None) if most is None else spend(open_, most)
+        asked = asked if most is None else at_rest(asked, f"{at}/{tool}-asked")
+        found = give(asked).select(*CANDIDATE)
+        found = found if most is None else at_rest(found, f"{at}/{tool}-found")
+        rows = _outcomes(asked, gate(found, pages) if grounded else found.withColumn("ok", F.lit(True)))
         if late is not None:
-            asked = at_rest(asked, f"{at}/{tool}-asked")
-            ledgers.append(asked.withColumn("made", F.lit(1)).unionByName(late.withColumn("made", F.lit(0))).groupBy("paper_id").agg(F.lit(tool).alias("kind"), F.sum("made").alias("calls"), F.lit(most).cast("long").alias("most"), F.count_if(F.col("made") == 0).alias("left_out")))
-            traces.append(told(late, "skipped"))
-        found = at_rest(is_in(give(asked).select(*CANDIDATE), asked), f"{at}/{tool}-found")
-        ok = at_rest(_first(gate(found, pages).filter("ok") if grounded else found), f"{at}/{tool}-ok")
-        fills.append(ok.withColumn("tool", F.lit(tool)))
-        traces += [told(is_in(asked, ok), "accepted"), told(not_in(is_in(asked, found), ok), "rejected"), told(not_in(asked, found), "no_hit")]
-        open_ = at_rest(not_in(open_, ok), f"{at}/{tool}-open")
+            rows = rows.unionByName(late.withColumn("status", F.lit("skipped")), allowMissingColumns=True)
+        rows = at_rest(rows, f"{at}/{tool}")
+        fills.append(rows.filter("status = 'accepted'").select(*CANDIDATE, F.lit(tool).alias("tool")))
+        traces.append(told(rows))
+        if most is not None:
+            skipped = F.count_if(F.col("status") == "skipped")
+            ledgers.append(rows.groupBy("paper_id").agg(F.lit(tool).alias("kind"), (F.count("*") - skipped).alias("calls"), F.lit(most).cast("long").alias("most"), skipped.alias("left_out")))
+        open_ = rows.filter("status <> 'accepted'").select("paper_id", "key")
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     none = pages.sparkSession.createDataFrame([], "paper_id string, kind string, calls bigint, most bigint, left_out bigint")
     return {"fills": union(fills), "trace": union(traces), "ledger": union([none, *ledgers]), "hints": hints, "unfilled": open_}

@@ -38,19 +38,19 @@ def budgeted_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def propose(requests: DataFrame) -> DataFrame:
         value = (F.col("n") + 1).cast("string")
-        return requests.join(sizes, "paper_id").select("paper_id", F.lit(1).alias("page_no"), "key", value.alias("value"), _text("Values of run ", value, " are").alias("evidence"))
+        return requests.join(sizes.hint("merge"), "paper_id").select("paper_id", F.lit(1).alias("page_no"), "key", value.alias("value"), _text("Values of run ", value, " are").alias("evidence"))
 
     def read(requests: DataFrame) -> DataFrame:
         run = F.explode(F.array(F.lit(1), F.lit(2)))
         low = _text("0.", F.lpad(F.col("n"), 2, "0"))
         value = F.when(F.col("key") == "momentum", "0.9").when((F.col("k") % 2 == 1) & (F.col("run") == 2), "0.77").otherwise(low)
-        rows = requests.join(sizes, "paper_id").select("*", run.alias("run"))
+        rows = requests.join(sizes.hint("merge"), "paper_id").select("*", run.alias("run"))
         return rows.select("paper_id", F.lit(1).alias("page_no"), F.lit("table").alias("region_kind"), "run", F.col("key").alias("name"), value.alias("value"), F.lit("seen").alias("evidence_text"))
 
     out = fill_within(pages, mentioned, spark.createDataFrame([], "owner_id string, key string"), propose, read)
     fills = out["fills"].select("paper_id", "key", "tool", "value")
-    told = out["trace"].join(fills, ["paper_id", "key", "tool"], "left")
-    return told.join(out["ledger"].select("paper_id", F.col("kind").alias("tool"), "calls", "left_out"), ["paper_id", "tool"], "left").select("paper_id", "key", "attempt", "tool", "status", "value", "calls", "left_out")
+    told = out["trace"].join(fills.hint("merge"), ["paper_id", "key", "tool"], "left")
+    return told.join(out["ledger"].select("paper_id", F.col("kind").alias("tool"), "calls", "left_out").hint("merge"), ["paper_id", "tool"], "left").select("paper_id", "key", "attempt", "tool", "status", "value", "calls", "left_out")
 
 
 QUERIES = {"whole_audits": whole_audits, "budgeted_fills": budgeted_fills}

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.operators import explain, trace
+from evidentia.operators.align import stable_readings
+from evidentia.operators.budget import fill_within
 from evidentia.queries import audits
+from evidentia.schemas import READINGS
 
 
 def physical(df):
@@ -38,3 +41,28 @@ def test_drafts_once(spark):
     (row,) = drafts.collect()
     assert row["after"] == "batch_size = 32" and row["before"] == "batch_size = 64"
     assert row["diff"] == "--- a/t.py\n+++ b/t.py\n@@ -2,6 +2,6 @@\n x2 = 1\n x3 = 1\n x4 = 1\n-batch_size = 64\n+batch_size = 32\n x6 = 1\n x7 = 1"
+
+
+def test_readings_once(spark):
+    rows = [("a", 1, "table", 1, "momentum", "0.9", "seen"), ("a", 1, "table", 2, "momentum", "0.90", "seen"), ("a", 1, "table", 1, "seed", "1", "seen"), ("a", 1, "table", 2, "seed", "2", "seen"), ("a", None, "table", 1, "epochs", "3", "seen"), ("a", None, "table", 2, "epochs", "3", "seen")]
+    both = stable_readings(spark.createDataFrame(rows, READINGS))
+    assert [(r["key"], r["value"], r["run"]) for r in both.collect()] == [("momentum", "0.9", 1)] and "Join" not in physical(both)
+
+
+def test_ports_answer_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def reading(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    def read(requests):
+        runs = requests.select("paper_id", F.lit(1).alias("page_no"), F.lit("table").alias("region_kind"), F.explode(F.array(F.lit(1), F.lit(2))).alias("run"), F.col("key").alias("name"), F.lit("0.5").alias("value"), F.lit("seen").alias("evidence_text"))
+        return runs.mapInPandas(reading, runs.schema)
+
+    pages = spark.createDataFrame([("a", 1, "seed and momentum", 0)], "paper_id string, page_no int, text string, n_images int")
+    mentioned = spark.createDataFrame([("a", "momentum")], "paper_id string, key string")
+    out = fill_within(pages, mentioned, spark.createDataFrame([], "owner_id string, key string"), None, read)
+    assert [(r["key"], r["tool"], r["value"]) for r in out["fills"].collect()] == [("momentum", "images", "0.5")]
+    assert made.value == 2 and out["trace"].filter("tool = 'images' and status = 'accepted'").count() == 1
