@@ -28,8 +28,8 @@ def remember(store: DataFrame, fresh: DataFrame) -> DataFrame:
     return last.join(runs, "fp").select("fp", "m.title", "runs", "m.last_seen", "m.unresolved", "m.page_hints", F.lit(SCHEME).alias("scheme"))
 
 
-def entry_size() -> Column:
-    return F.length(F.to_json(F.struct("fp", "title", "unresolved", "page_hints")))
+def entry_size(fp: Column | str = "fp") -> Column:
+    return F.length(F.to_json(F.struct(fp, "title", "unresolved", "page_hints")))
 
 
 def save(fresh: DataFrame, path: str, buckets: int = BUCKETS) -> list[int]:

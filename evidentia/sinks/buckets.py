@@ -59,6 +59,14 @@ class BucketStore:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The buckets that hold the keys of these rows."""
+        return self._buckets(rows)
+
+    def rewrite(self, rows: DataFrame, buckets: list[int]) -> None:
+        """Put ``rows`` in the place of all that these buckets hold."""
+        self._write(rows, buckets)
+
     def _buckets(self, rows: DataFrame) -> list[int]:
         return sorted(r[0] for r in rows.select(self.bucket()).distinct().collect())  # at most as many as there are buckets
 
@@ -105,9 +113,13 @@ class BucketStore:
         root, fs = self._fs(spark)
         here = self._children(fs, root)
         at = f"{root}/gen={max((int(n[4:]) for n in here), default=0) + 1:012d}"
-        marks = spark.createDataFrame([(b,) for b in written], "bucket int").withColumn("_live", F.lit(False))
+        marks = spark.range(1, numPartitions=1).select(F.explode(F.array(*[F.lit(b).cast("int") for b in written])).alias("bucket"), F.lit(False).alias("_live"))
         live = rows.withColumn("bucket", self.bucket()).withColumn("_live", F.lit(True))
-        live.unionByName(marks, allowMissingColumns=True).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        every = live.unionByName(marks, allowMissingColumns=True)
+        # without adaptive execution, as in streams with state, Spark ignores the hint, and every task would write a file of every bucket
+        adaptive = str(spark.conf.get("spark.sql.adaptive.enabled")).lower() == "true"
+        every = every.hint("rebalance", "bucket") if adaptive else every.repartition(len(written), "bucket")
+        every.write.mode("overwrite").partitionBy("bucket").parquet(at)
         self._clean(spark)
 
     def _clean(self, spark: SparkSession) -> None:

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.extract_paper import paper_evidence
-from ..operators.memory import KEEP, MOST_CHARS
+from ..operators.memory import KEEP, MOST_CHARS, SCHEME
 from ..schemas import EVIDENCE, MEMORY, PAPER_PAGES
 from ..sinks.buckets import BUCKETS, BucketStore
 from ..sinks.folders import at_rest
-from .state import CHANGES, PAGES, memory_changes, whole_papers
+from .state import MEMORIES, PAGES, batch_mark, clue_rows, merge_memory, whole_papers
 
 
 def page_stream(spark: SparkSession, folder: str, versions: bool = False) -> DataFrame:
@@ -29,7 +29,7 @@ def evidence_store(path: str, buckets: int = BUCKETS) -> BucketStore:
 
 
 def memory_store(path: str, buckets: int = BUCKETS) -> BucketStore:
-    return BucketStore(f"{path}/memory", CHANGES, ("owner", "kind", "name"), buckets)
+    return BucketStore(f"{path}/memories", MEMORIES, ("owner",), buckets)
 
 
 def watch(pages: DataFrame, store: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, buckets: int = BUCKETS) -> StreamingQuery:
@@ -56,16 +56,19 @@ def current_evidence(spark: SparkSession, store: str, buckets: int = BUCKETS) ->
 
 
 def keep_memory(clues: DataFrame, store: str, checkpoint: str, keep: int = KEEP, most: int = MOST_CHARS, buckets: int = BUCKETS) -> StreamingQuery:
-    """Keep the memories of all owners below ``store`` while clues (owner and the columns of MEMORY) arrive. Runs are counted once, in the
-    state; the store takes the rows of the highest version, so that a repeated batch changes nothing in it."""
+    """Keep the memories of all owners below ``store`` while clues (owner and the columns of MEMORY) arrive. A memory says which batch
+    changed it last, so that a repeated batch changes nothing in it and runs are counted once."""
 
     def one(batch: DataFrame, number: int) -> None:
-        memory_store(store, buckets).upsert(at_rest(batch, f"{store}/changes"), F.col("version"))
+        fresh, at = at_rest(batch, f"{store}/arrived"), memory_store(store, buckets)
+        touched = at.touched(fresh)
+        if touched:
+            at.rewrite(merge_memory(at.read(fresh.sparkSession, touched), fresh, batch_mark(batch, number, checkpoint), keep, most), touched)
 
-    return memory_changes(clues, keep, most).writeStream.foreachBatch(one).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return clue_rows(clues).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_memory(spark: SparkSession, store: str, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
     """(entries in detail with the columns of MEMORY and owner, digests with owner, key, times and pages)."""
-    rows = memory_store(store, buckets).read(spark).filter("not gone")
+    rows = memory_store(store, buckets).read(spark).withColumn("scheme", F.lit(SCHEME))
     return rows.filter("kind = 'entry'").withColumnRenamed("name", "fp").select("owner", *[c.split()[0] for c in MEMORY.split(", ")]), rows.filter("kind = 'digest'").select("owner", F.col("name").alias("key"), "times", "pages")

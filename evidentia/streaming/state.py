@@ -5,22 +5,22 @@ The state of a key is one row that comes and goes with the key's rows, in the sa
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from ..operators.memory import KEEP, MOST_CHARS, PAGES_PER_KEY, SCHEME, entry_size
-from ..schemas import MEMORY, PAPER_PAGES
+from ..schemas import PAPER_PAGES
 
 PAGES = f"{PAPER_PAGES}, version bigint"
 #: Rows of pages that go out together.
 CHUNK = 256
-#: What changes in a memory: entries, digest keys, entries that were folded (gone); ``version`` rises with every change of an owner.
-CHANGES = f"owner string, kind string, {MEMORY.replace('fp string', 'name string')}, times bigint, pages array<int>, folded bigint, gone boolean, version bigint"
+#: Rows of memories: entries in detail, keys of digests. ``folded`` counts the entries of the owner that were folded, ``batch`` is the mark of what changed it last.
+MEMORIES = "owner string, kind string, name string, title string, runs int, last_seen timestamp, unresolved array<string>, page_hints map<string,array<int>>, size int, times bigint, pages array<int>, folded bigint, batch string"
 
 
 def keep_state_on_disk(spark: SparkSession) -> None:
@@ -61,69 +61,57 @@ def whole_papers(pages: DataFrame) -> DataFrame:
     return rows.groupBy("paper_id").applyInPandasWithState(merge_pages, PAGES, "pages array<int>, versions array<bigint>, texts array<string>, images array<int>", "update", GroupStateTimeout.NoTimeout)
 
 
-class MemoryState:
-    """The memory of an owner: at most ``keep`` entries and ``most`` characters in detail, a digest of what was folded.
+def batch_mark(batch: DataFrame, number: int, otherwise: str) -> str:
+    """What tells a batch of a stream from all others; the same when the batch is repeated."""
+    return f"{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId') or otherwise}/{number}"
 
-    An entry of a fingerprint that is there takes its place and adds to its runs, unless it is older: then it only adds to them. When
-    the memory is full the oldest entries are folded: their open keys are counted, and at most twelve pages of each key stay."""
-
-    def __init__(self, keep: int = KEEP, most: int = MOST_CHARS) -> None:
-        self.keep, self.most = keep, most
-
-    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        entries, digest, folded, version = state.get if state.exists else ("{}", "{}", 0, 0)
-        have, known = json.loads(entries), json.loads(digest)
-        version += 1
-        changed, gone, dirty = set(), {}, {}
-        for pdf in rows:
-            for fp, title, runs, seen, open_, hints, size in zip(*(pdf[c] for c in ("fp", "title", "runs", "seen", "open", "hints", "size")), strict=True):
-                fresh = [title, int(runs), int(seen), list(open_), hints, int(size)]
-                old = have.get(fp)
-                if old is not None:
-                    late = (fresh[2], fresh[0] or "", sorted(fresh[3])) < (old[2], old[0] or "", sorted(old[3]))
-                    fresh, runs = (old if late else fresh), old[1] + int(runs)
-                    fresh = [fresh[0], runs, *fresh[2:]]
-                have[fp] = fresh
-                changed.add(fp)
-            # between chunks the memory holds no more than it may, so that an owner's batch of any size fits
-            for fp, entry in self._overflow(have):
-                del have[fp]
-                gone[fp] = entry
-                folded += 1
-                self._fold(entry, known, dirty)
-        state.update((json.dumps(have), json.dumps(known | dirty), folded, version))
-        out = [(key[0], "entry", fp, *have[fp][:3], have[fp][3], have[fp][4], 0, [], folded, False, version) for fp in sorted(changed & have.keys())]
-        out += [(key[0], "entry", fp, *e[:3], e[3], e[4], 0, [], folded, True, version) for fp, e in sorted(gone.items()) if fp not in have]
-        out += [(key[0], "digest", k, None, 0, 0, [], "{}", times, pages, folded, False, version) for k, (times, pages) in sorted(dirty.items())]
-        yield pd.DataFrame(out, columns=["owner", "kind", "name", "title", "runs", "seen", "unresolved", "hints", "times", "pages", "folded", "gone", "version"]).astype({"runs": "int32"})
-
-    def _overflow(self, have: dict[str, list]) -> list[tuple[str, list]]:
-        order = sorted(have.items(), key=lambda e: (-e[1][2], e[0]))
-        total = 0
-        for n, (_, entry) in enumerate(order):
-            total += entry[5]
-            if n and (n >= self.keep or total > self.most):
-                return order[n:]
-        return []
-
-    @staticmethod
-    def _fold(entry: list, known: dict[str, list], dirty: dict[str, tuple[int, list[int]]]) -> None:
-        hints = json.loads(entry[4] or "{}")
-        for k in [*entry[3], *hints]:
-            if k not in dirty:
-                dirty[k] = tuple(known.get(k, (0, [])))
-        for k in entry[3]:
-            dirty[k] = (dirty[k][0] + 1, dirty[k][1])
-        for k, pages in hints.items():
-            dirty[k] = (dirty[k][0], sorted({*dirty[k][1], *pages})[:PAGES_PER_KEY])
-
-
-def memory_changes(clues: DataFrame, keep: int = KEEP, most: int = MOST_CHARS) -> DataFrame:
-    """What the clues (owner and the columns of MEMORY) of a stream change in the memories of their owners; those of another scheme
-    and those without an owner or a fingerprint are left out."""
-    keep_state_on_disk(clues.sparkSession)
+
+def clue_rows(clues: DataFrame) -> DataFrame:
+    """Clues (owner and the columns of MEMORY) as entries of memories; those of another scheme and those without an owner or a fingerprint
+    are left out."""
     rows = clues.filter(f"scheme = {SCHEME} and owner is not null and fp is not null")
-    rows = rows.select("owner", "fp", "title", "runs", F.unix_micros(F.coalesce("last_seen", F.timestamp_seconds(F.lit(0)))).alias("seen"), F.coalesce("unresolved", F.array().cast("array<string>")).alias("open"), F.to_json("page_hints").alias("hints"), entry_size().alias("size"))
-    told = "owner string, kind string, name string, title string, runs int, seen bigint, unresolved array<string>, hints string, times bigint, pages array<int>, folded bigint, gone boolean, version bigint"
-    out = rows.groupBy("owner").applyInPandasWithState(MemoryState(keep, most), told, "entries string, digest string, folded bigint, version bigint", "update", GroupStateTimeout.NoTimeout)
-    return out.select("owner", "kind", "name", "title", "runs", F.timestamp_micros("seen").alias("last_seen"), "unresolved", F.from_json("hints", "map<string,array<int>>").alias("page_hints"), F.lit(SCHEME).alias("scheme"), "times", "pages", "folded", "gone", "version")
+    return rows.select("owner", F.col("fp").alias("name"), "title", "runs", F.coalesce("last_seen", F.timestamp_seconds(F.lit(0))).alias("last_seen"), "unresolved", "page_hints")
+
+
+def merge_memory(now: DataFrame, fresh: DataFrame, mark: str, keep: int = KEEP, most: int = MOST_CHARS) -> DataFrame:
+    """Memories (the columns of MEMORIES) with fresh entries (of ``clue_rows``) in them: at most ``keep`` entries and ``most`` characters of an
+    owner in detail, a digest of what was folded. Memories that ``mark`` has changed before stay as they are.
+
+    An entry of a fingerprint that is there takes its place and adds to its runs, unless it is older: then it only adds to them. When
+    the memory is full the oldest entries are folded: their open keys are counted, and at most twelve pages of each key stay.
+    Rows are shuffled once, by owner; no more than twelve pages of a key are held together."""
+    payload = ("title", "last_seen", "unresolved", "page_hints", "size")
+    arrived = fresh.withColumns({"kind": F.lit("entry"), "_old": F.lit(False)})
+    rows = now.withColumn("_old", F.lit(True)).unionByName(arrived, allowMissingColumns=True).repartition("owner")
+    mine = Window.partitionBy("owner")
+    done = F.max(F.coalesce(F.col("batch") == mark, F.lit(False))).over(mine)
+    rows = rows.withColumns({"_done": done, "_folded": F.coalesce(F.max("folded").over(mine), F.lit(0)), "_touched": F.max(~F.col("_old")).over(mine), "_batch": F.max("batch").over(mine)})
+    rows = rows.filter("_old or not _done").withColumn("_batch", F.when(F.col("_touched"), mark).otherwise(F.col("_batch")))
+    # a batch may lie in one file, that one task reads: what is made of its rows is made behind the shuffle
+    rows = rows.withColumn("size", F.coalesce("size", entry_size(F.col("name").alias("fp")))).withColumn("unresolved", F.coalesce("unresolved", F.array().cast("array<string>")))
+    newest = F.struct("last_seen", F.coalesce("title", F.lit("")).alias("t"), F.array_sort("unresolved").alias("u"), (~F.col("_old")).alias("new"), F.to_json("page_hints").alias("h"))
+    merged = rows.groupBy("owner", "kind", "name", "_batch", "_folded").agg(
+        F.sum("runs").cast("int").alias("runs"), F.max_by(F.struct(*payload), newest).alias("e"), F.max("times").alias("times"), F.max("pages").alias("pages")
+    ).select("owner", "kind", "name", "_batch", "_folded", "runs", "times", "pages", "e.*")
+    order = Window.partitionBy("owner", "kind").orderBy(F.desc("last_seen"), F.asc("name"))
+    n, total = F.row_number().over(order), F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    entry = F.col("kind") == "entry"
+    sized = merged.withColumns({"_n": n, "_sum": total}).withColumn("_fits", entry & (F.col("_n") <= keep) & ((F.col("_sum") <= most) | (F.col("_n") == 1)))
+    sized = sized.withColumn("_folded", F.col("_folded") + F.count(F.when(entry & ~F.col("_fits"), 1)).over(mine))
+    told = f"kind string, name string, times bigint, page int, e struct<runs:int,{','.join(f'{c}:{t}' for c, t in (x.split() for x in MEMORIES.split(', ')) if c in payload)}>"
+    row = lambda kind, name, times, page, e: F.struct(kind.alias("kind"), name.alias("name"), times.cast("bigint").alias("times"), page.cast("int").alias("page"), e.alias("e"))
+    null, digest, once, none = F.lit(None), F.lit("digest"), F.lit(1), F.lit(0)
+    no_entry = null.cast(told.split(", e ")[1])
+    with_pages = lambda k, pages: F.transform(F.coalesce(pages, F.array()), lambda p: row(digest, k, none, p, no_entry))
+    # what a row gives: itself if it stays, its open keys and the pages of its hints if it is folded, its count and its pages if it is of a digest
+    kept = F.array(row(F.col("kind"), F.col("name"), none, null, F.struct("runs", *payload)))
+    open_ = F.transform("unresolved", lambda k: row(digest, k, once, null, no_entry))
+    hints = F.flatten(F.transform(F.coalesce(F.map_entries("page_hints"), F.array()), lambda h: F.concat(F.array(row(digest, h["key"], none, null, no_entry)), with_pages(h["key"], h["value"]))))
+    before = F.concat(F.array(row(digest, F.col("name"), F.col("times"), null, no_entry)), with_pages(F.col("name"), F.col("pages")))
+    gives = F.when(F.col("_fits"), kept).when(entry, F.concat(open_, hints)).otherwise(before)
+    given = sized.select("owner", F.col("_batch").alias("batch"), F.col("_folded").alias("folded"), F.inline(gives))
+    key = ("owner", "kind", "name", "batch", "folded")
+    pages = given.groupBy(*key, "page").agg(F.sum("times").alias("times"), F.first("e", ignorenulls=True).alias("e"))
+    first = F.count("page").over(Window.partitionBy(*key).orderBy(F.asc_nulls_first("page")).rowsBetween(Window.unboundedPreceding, 0)) <= PAGES_PER_KEY
+    few = pages.withColumn("_first", first).groupBy(*key).agg(F.sum("times").alias("times"), F.array_sort(F.collect_list(F.when(F.col("_first"), F.col("page")))).alias("pages"), F.first("e", ignorenulls=True).alias("e"))
+    return few.select(*[F.col(f"e.{c}").alias(c) if c in (*payload, "runs") else F.col(c) for c in (x.split()[0] for x in MEMORIES.split(", "))])
