@@ -1,7 +1,7 @@
 """Pages and clues that keep arriving.
 
-What a batch costs depends on the papers it touches, not on what came before: the pages of a paper lie in keyed state, and
-evidence and memories lie in buckets, of which a batch rewrites those that it changes.
+What a batch costs depends on the papers it touches, not on what came before in others' buckets: pages, evidence and memories lie in
+buckets, of which a batch reads and rewrites those that hold its keys.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from ..operators.memory import KEEP, MOST_CHARS, SCHEME
 from ..schemas import EVIDENCE, MEMORY, PAPER_PAGES
 from ..sinks.buckets import BUCKETS, BucketStore
 from ..sinks.folders import at_rest
-from .state import MEMORIES, PAGES, batch_mark, clue_rows, merge_memory, whole_papers
+from .state import HELD, MEMORIES, PAGES, batch_mark, clue_rows, merge_memory, merge_pages, page_rows
 
 
 def page_stream(spark: SparkSession, folder: str, versions: bool = False) -> DataFrame:
@@ -28,6 +28,10 @@ def evidence_store(path: str, buckets: int = BUCKETS) -> BucketStore:
     return BucketStore(f"{path}/evidence", EVIDENCE, ("owner_id",), buckets)
 
 
+def pages_store(path: str, buckets: int = BUCKETS) -> BucketStore:
+    return BucketStore(f"{path}/pages", HELD, ("paper_id",), buckets)
+
+
 def memory_store(path: str, buckets: int = BUCKETS) -> BucketStore:
     return BucketStore(f"{path}/memories", MEMORIES, ("owner",), buckets)
 
@@ -39,7 +43,11 @@ def watch(pages: DataFrame, store: str, checkpoint: str, then: Callable[[DataFra
 
     # a batch is written where it is read by several jobs; the next one takes its place
     def one(batch: DataFrame, number: int) -> None:
-        arrived = at_rest(batch, f"{store}/arrived")
+        fresh, at, mark = at_rest(batch, f"{store}/batch"), pages_store(store, buckets), batch_mark(batch, number, checkpoint)
+        touched = at.touched(fresh)
+        if touched:
+            at.rewrite(merge_pages(at.read(fresh.sparkSession, touched), fresh, mark), touched)
+        arrived = at_rest(at.read(fresh.sparkSession, touched).filter(F.col("batch") == mark).drop("batch"), f"{store}/arrived")
         out = paper_evidence(arrived.select(*[c.split()[0] for c in PAPER_PAGES.split(", ")]))
         found = at_rest(out["evidence"], f"{store}/found")
         out["hits"].unpersist()
@@ -47,7 +55,7 @@ def watch(pages: DataFrame, store: str, checkpoint: str, then: Callable[[DataFra
         if then is not None:
             then(found, number)
 
-    return whole_papers(pages).writeStream.foreachBatch(one).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return page_rows(pages).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_evidence(spark: SparkSession, store: str, buckets: int = BUCKETS) -> DataFrame:
@@ -60,7 +68,7 @@ def keep_memory(clues: DataFrame, store: str, checkpoint: str, keep: int = KEEP,
     changed it last, so that a repeated batch changes nothing in it and runs are counted once."""
 
     def one(batch: DataFrame, number: int) -> None:
-        fresh, at = at_rest(batch, f"{store}/arrived"), memory_store(store, buckets)
+        fresh, at = at_rest(batch, f"{store}/clues"), memory_store(store, buckets)
         touched = at.touched(fresh)
         if touched:
             at.rewrite(merge_memory(at.read(fresh.sparkSession, touched), fresh, batch_mark(batch, number, checkpoint), keep, most), touched)

@@ -1,69 +1,51 @@
-"""Keyed state of streams: the pages of each paper, and the memory of each owner.
+"""Keyed state of streams as tables in buckets: the pages of each paper, and the memory of each owner.
 
-The state of a key is one row that comes and goes with the key's rows, in the same Arrow batches: a key costs no call of its own to the state store.
+A batch and what the buckets that it touches hold go by key through one shuffle and are merged by expressions: a key costs rows, no call of its own.
+Rows bear the mark of the batch that changed their key last, which tells a batch that is repeated.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..operators.memory import KEEP, MOST_CHARS, PAGES_PER_KEY, SCHEME, entry_size
 from ..schemas import PAPER_PAGES
 
 PAGES = f"{PAPER_PAGES}, version bigint"
-#: Rows of pages that go out together.
-CHUNK = 256
+#: Pages that are held, with the mark of the batch that changed their paper last.
+HELD = f"{PAGES}, batch string"
 #: Rows of memories: entries in detail, keys of digests. ``folded`` counts the entries of the owner that were folded, ``batch`` is the mark of what changed it last.
 MEMORIES = "owner string, kind string, name string, title string, runs int, last_seen timestamp, unresolved array<string>, page_hints map<string,array<int>>, size int, times bigint, pages array<int>, folded bigint, batch string"
 
 
-def keep_state_on_disk(spark: SparkSession) -> None:
-    """State of any size: RocksDB, of which a checkpoint writes what has changed."""
-    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-
+def batch_mark(batch: DataFrame, number: int, otherwise: str) -> str:
+    """What tells a batch of a stream from all others; the same when the batch is repeated."""
+    return f"{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId') or otherwise}/{number}"
 
-def merge_pages(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The pages of a paper so far. A paper that gets a new or changed page gives all its pages; one that gets what it has gives none.
 
-    Of a page that comes more than once that with the greatest (version, text, images) stays: what is held does not depend on
-    the order of arrival nor on how it is cut into batches."""
-    have: dict[int, tuple[int, str, int]] = {}
-    if state.exists:
-        have = {page: (version, text, images) for page, version, text, images in zip(*state.get, strict=True)}
-    changed = False
-    for pdf in rows:
-        for page, version, text, images in zip(pdf["page_no"], pdf["version"], pdf["text"], pdf["n_images"], strict=True):
-            got = (int(version), text if isinstance(text, str) else "", 0 if pd.isna(images) else int(images))
-            if have.get(int(page), got) < got or int(page) not in have:
-                have[int(page)] = got
-                changed = True
-    if changed:
-        pages = sorted(have)
-        state.update((pages, *([have[p][k] for p in pages] for k in range(3))))
-        for k in range(0, len(pages), CHUNK):
-            out = [(key[0], p, have[p][1], have[p][2], have[p][0]) for p in pages[k : k + CHUNK]]
-            yield pd.DataFrame(out, columns=["paper_id", "page_no", "text", "n_images", "version"]).astype({"page_no": "int32", "n_images": "int32", "version": "int64"})
-
-
-def whole_papers(pages: DataFrame) -> DataFrame:
-    """All pages so far of the papers that a batch changes. Pages without a paper or a number are left out."""
-    keep_state_on_disk(pages.sparkSession)
+def page_rows(pages: DataFrame) -> DataFrame:
+    """Pages with a version; those without a paper or a number are left out."""
     version = F.coalesce("version", F.lit(0)) if "version" in pages.columns else F.lit(0)
-    rows = pages.filter("paper_id is not null and page_no is not null").select("paper_id", "page_no", "text", "n_images", version.cast("bigint").alias("version"))
-    return rows.groupBy("paper_id").applyInPandasWithState(merge_pages, PAGES, "pages array<int>, versions array<bigint>, texts array<string>, images array<int>", "update", GroupStateTimeout.NoTimeout)
+    held = F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_images", F.lit(0)).cast("int").alias("n_images")
+    return pages.filter("paper_id is not null and page_no is not null").select("paper_id", "page_no", *held, version.cast("bigint").alias("version"))
 
 
-def batch_mark(batch: DataFrame, number: int, otherwise: str) -> str:
-    """What tells a batch of a stream from all others; the same when the batch is repeated."""
-    return f"{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId') or otherwise}/{number}"
+def merge_pages(now: DataFrame, fresh: DataFrame, mark: str) -> DataFrame:
+    """Pages of papers (the columns of HELD) with fresh ones (of ``page_rows``) in them. All pages of a paper that gets a new or changed page
+    bear ``mark``, those of one that gets what it has do not; a paper that bears it already keeps it, so that a repeated batch gives what it gave.
+
+    Of a page that comes more than once that with the greatest (version, text, images) stays: what is held does not depend on
+    the order of arrival nor on how it is cut into batches. Rows are shuffled once, by paper."""
+    rows = now.withColumn("_old", F.lit(True)).unionByName(fresh.withColumn("_old", F.lit(False)), allowMissingColumns=True).repartition("paper_id")
+    order = Window.partitionBy("paper_id", "page_no").orderBy(F.desc("version"), F.desc("text"), F.desc("n_images"), F.desc("_old"))
+    page = Window.partitionBy("paper_id", "page_no")
+    ranked = rows.withColumns({"_r": F.row_number().over(order), "_was": F.max("batch").over(page)}).filter("_r = 1")
+    # a fresh row that equals what is held stands behind it and changes nothing
+    paper = Window.partitionBy("paper_id")
+    ranked = ranked.withColumns({"_changed": F.max(~F.col("_old")).over(paper), "_mark": F.max("_was").over(paper)})
+    return ranked.select("paper_id", "page_no", "text", "n_images", "version", F.when(F.col("_changed"), mark).otherwise(F.col("_mark")).alias("batch"))
 
 
 def clue_rows(clues: DataFrame) -> DataFrame:

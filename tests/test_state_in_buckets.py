@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import memory
 from evidentia.sinks.buckets import BucketStore
-from evidentia.streaming.incremental import current_memory, keep_memory, memory_store
-from evidentia.streaming.state import clue_rows, merge_memory
+from evidentia.streaming.incremental import current_evidence, current_memory, keep_memory, memory_store, page_stream, pages_store, watch
+from evidentia.streaming.state import PAGES, clue_rows, merge_memory, merge_pages, page_rows
 
 CLUES = "owner string, fp string, title string, runs int, last_seen timestamp, unresolved array<string>, page_hints map<string,array<int>>, scheme int"
 
@@ -57,3 +57,30 @@ def test_a_bucket_is_a_file(spark, tmp_path, adaptive):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert len(list((tmp_path / "t").rglob("*.parquet"))) == 8 and store.read(spark).count() == 4000
+
+
+def test_pages_without_state_operators(spark, tmp_path):
+    folder, out, state = (f"file://{tmp_path}/{x}" for x in ("in", "out", "state"))
+    spark.createDataFrame([("P", 1, "All models are trained for 30 epochs.", 0, 0)], PAGES).drop("version").write.parquet(folder)
+    query = watch(page_stream(spark, folder), out, state, buckets=2)
+    query.awaitTermination()
+    assert all(not p["stateOperators"] for p in query.recentProgress)
+    assert [(r["owner_id"], r["key"], r["raw_value"]) for r in current_evidence(spark, out, 2).collect()] == [("P", "epochs", "30")]
+
+
+def test_pages_of_a_repeated_batch(spark, tmp_path):
+    """A batch that comes again gives the pages that it gave; the same pages in another batch give none; others' pages stay as they are."""
+    store = BucketStore(f"file://{tmp_path}/p", pages_store("x").schema, ("paper_id",), 2)
+    pages = lambda *rows: page_rows(spark.createDataFrame(list(rows), PAGES))
+
+    def put(fresh, mark):
+        touched = store.touched(fresh)
+        store.rewrite(merge_pages(store.read(spark, touched), fresh, mark), touched)
+        return sorted((r["paper_id"], r["page_no"], r["text"], r["n_images"], r["version"]) for r in store.read(spark).filter(F.col("batch") == mark).collect())
+
+    first = pages(("P", 1, "a", 0, 1), ("P", 2, None, None, None), ("Q", 1, "x", 0, 1), (None, 1, "x", 0, 1), ("P", None, "x", 0, 1))
+    assert put(first, "s/0") == [("P", 1, "a", 0, 1), ("P", 2, "", 0, 0), ("Q", 1, "x", 0, 1)]
+    second = pages(("P", 1, "b", 0, 1), ("P", 1, "c", 0, 0), ("Q", 1, "w", 0, 1))  # of Q an older text
+    for _ in range(2):
+        assert put(second, "s/1") == [("P", 1, "b", 0, 1), ("P", 2, "", 0, 0)]
+    assert put(first, "s/2") == [] and store.read(spark).count() == 3
