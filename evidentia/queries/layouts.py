@@ -12,33 +12,42 @@ from .align import table
 from .audits import _parts, _text
 
 
-def _boxes(place: Column, y: Column, text: Column) -> Column:
-    """Words of a text as boxes from (place, y) on, of six units a letter and four between words."""
-    words = F.split(text, " ")
-    before = lambda i: F.aggregate(F.slice(words, F.lit(1), i), F.lit(0), lambda a, w: a + F.length(w) * 6 + 4)
+#: A word of a page: where it stands, whether it is jittered to the right and down and moves down with its line, and the word or the column that has it.
+_WORD = "dx int, dy int, right boolean, down boolean, by_line boolean, given string, of string"
 
-    def box(w: Column, i: Column) -> Column:
-        x0, y0 = (place + before(i)).cast("double"), y.cast("double")
-        return F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + F.length(w) * 6).alias("x1"), (y0 + 10).alias("y1"), w.alias("word"))
 
-    return F.transform(words, box)
+def _laid(x: int, y: int, *words: str, right: bool = True, down: bool = True, by_line: bool = False) -> list[Column]:
+    """Words from (x, y) on, of six units a letter and four between words; ``:c`` stands for the word that the column c has, and is the last."""
+    placed = []
+    for word in words:
+        fields = (x, y, right, down, by_line, None if word[0] == ":" else word, word[1:] if word[0] == ":" else None)
+        placed.append(F.struct(*[F.lit(v).cast(c.split()[1]).alias(c.split()[0]) for v, c in zip(fields, _WORD.split(", "), strict=True)]))
+        x += len(word) * 6 + 4
+    return placed
 
 
 def boxed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders laid out as tables, jittered, with a merged head over two columns and a column that only some rows fill, between lines of prose."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    rows = table(spark, sf_dir, "lineitem").withColumn("i", F.row_number().over(order)).withColumn("paper_id", _text("o", F.col("l_orderkey")))
-    x = lambda k: F.lit(10 + 150 * k) + F.col("l_partkey") % 5
-    y = lambda i: (i + 5) * 20 + F.col("l_suppkey") % 3
+    # by paper, so that the words of its page need not be shuffled again
+    order = Window.partitionBy("paper_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = table(spark, sf_dir, "lineitem").withColumn("paper_id", _text("o", F.col("l_orderkey"))).withColumn("i", F.row_number().over(order))
+    # the words of a line are a constant, of which there are four: what a line's own columns say is put in behind
     head = [
-        _boxes(F.lit(10), F.lit(5), F.lit("Some prose that stands above the table")),
-        _boxes(F.lit(10), y(F.lit(0)), F.lit("Order")), _boxes(F.lit(165), y(F.lit(0)), F.lit("Sizes of the lines and their flags")),
-        *[_boxes(x(k), y(F.lit(1)), F.lit(t)) for k, t in enumerate(("Name", "Quantity", "Flag"))],
+        *_laid(10, 5, *"Some prose that stands above the table".split(), right=False, down=False),
+        *_laid(10, 100, "Order", right=False), *_laid(165, 100, *"Sizes of the lines and their flags".split(), right=False),
+        *[w for k, t in enumerate(("Name", "Quantity", "Flag")) for w in _laid(10 + 150 * k, 120, t)],
     ]
-    line = [_boxes(x(0), y(F.col("i") + 1), _text("line ", F.col("i"))), _boxes(x(1), y(F.col("i") + 1), F.col("l_quantity").cast("int").cast("string"))]
-    flag = _boxes(x(2), y(F.col("i") + 1), F.concat("l_returnflag", F.lit(" flag")))
-    boxes = F.concat(*line, F.when(F.col("l_returnflag") != "N", flag).otherwise(F.array()), F.when(F.col("i") == 1, F.concat(*head)).otherwise(F.array()))
-    words = rows.select("paper_id", F.lit(1).alias("page_no"), F.inline(boxes))
+    line = [*_laid(10, 120, "line", ":i", by_line=True), *_laid(160, 120, ":quantity", by_line=True)]
+    flag = [*_laid(310, 120, ":flag", by_line=True), *_laid(314, 120, ":after_flag", by_line=True)]
+    flagged, first = F.coalesce(F.col("l_returnflag") != "N", F.lit(False)), F.col("i") == 1
+    laid = F.when(flagged & first, F.array(*line, *flag, *head)).when(flagged, F.array(*line, *flag)).when(first, F.array(*line, *head)).otherwise(F.array(*line))
+    own = [F.col("i").cast("string").alias("i"), (F.col("i") * 20).alias("lower"), F.col("l_quantity").cast("int").cast("string").alias("quantity"), F.col("l_returnflag").alias("flag"), (F.col("l_partkey") % 5).alias("to_right"), (F.col("l_suppkey") % 3).alias("to_down")]
+    words = rows.select("paper_id", *own, F.inline(laid))
+    word = F.when(F.col("of").isNull(), F.col("given")).when(F.col("of") == "i", F.col("i")).when(F.col("of") == "quantity", F.col("quantity")).when(F.col("of") == "flag", F.col("flag")).otherwise("flag")
+    x0 = F.col("dx") + F.when(F.col("right"), F.col("to_right")).otherwise(0) + F.when(F.col("of") == "after_flag", F.length("flag") * 6).otherwise(0)
+    y0 = F.col("dy") + F.when(F.col("down"), F.col("to_down")).otherwise(0) + F.when(F.col("by_line"), F.col("lower")).otherwise(0)
+    words = words.select("paper_id", x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), word.alias("word"))
+    words = words.select("paper_id", F.lit(1).alias("page_no"), "x0", "y0", (F.col("x0") + F.length("word") * 6).alias("x1"), (F.col("y0") + 10).alias("y1"), "word")
     return layout.table_cells(words).select("paper_id", "page_no", "table_no", "row_no", "col_no", "cell", "span")
 
 
