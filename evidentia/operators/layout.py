@@ -1,4 +1,4 @@
-"""Tables from laid-out words: rows, cells and columns from coordinates, by gaps and islands in the sorted words of whole pages.
+"""Tables from laid-out words: rows, cells and columns from coordinates, by gaps and islands in the words of whole pages.
 
 * Rows are islands of words whose heights overlap.
 * Cells are islands of words of a row that stand no further apart than ``WORD_GAP`` of the row's height.
@@ -7,7 +7,8 @@
 * A cell that overlaps two cells of the row above or below is a merged one. Columns are islands of all other cells of a table, so that a column
   that only its head fills is one too. A merged cell counts for the first column that it reaches.
 
-One window sorts the words of each page; workers then take whole pages, as many as come together, and work on arrays: a word costs no call of its own.
+The words of a page become one row, which a task holds by itself; workers take many pages at once and work on arrays: neither a word nor a page costs
+a call of its own.
 Not-a-number is the greatest number and equals itself, as in Spark.
 """
 
@@ -20,12 +21,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Part of a word's height that may lie within the row above; shares of a row's height between words of a cell, and between rows of a table.
 INTO, WORD_GAP, ROW_GAP = 0.3, 0.6, 2.5
 PAGE = ("paper_id", "page_no")
 BOX = ("x0", "y0", "x1", "y1")
+#: Words that a worker takes at once, but for longer pages.
+WORDS = 50_000
 
 
 def _gt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -89,11 +91,13 @@ def _overlaps(cells: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray
     return found
 
 
-def _tables(words: pa.Table) -> pa.RecordBatch | None:
-    """The cells of the tables of whole pages; ``n`` is 1 where a page begins, and its word tells which."""
-    x0, y0, x1, y1 = (words[c].to_numpy() for c in BOX)
-    first = words["n"].to_numpy() == 1
-    page = np.cumsum(first) - 1
+def _tables(pages: pa.RecordBatch) -> pa.RecordBatch | None:
+    """The cells of the tables of pages, one a row, with lists of what their words have."""
+    x0, y0, x1, y1 = (pages.column(c).flatten().to_numpy() for c in BOX)
+    page = np.repeat(np.arange(pages.num_rows), pc.list_value_length(pages.column("word")).to_numpy())
+    first = np.concatenate([[True], page[1:] != page[:-1]])
+    down = np.lexsort((y1, x0, y0, page))
+    x0, y0, x1, y1 = (v[down] for v in (x0, y0, x1, y1))
     # rows
     breaks = first | _ge(y0 + INTO * (y1 - y0), _before(y1, page))
     row = np.cumsum(breaks) - 1
@@ -104,7 +108,7 @@ def _tables(words: pa.Table) -> pa.RecordBatch | None:
     x0, x1, in_row = x0[across], x1[across], row[across]
     breaks = _gt(x0 - _before(x1, in_row), WORD_GAP * (bottom - top)[in_row])
     breaks[of_row] = True
-    text = pc.take(words["word"].combine_chunks(), pa.array(across))
+    text = pc.take(pages.column("word").flatten(), pa.array(down[across]))
     text = _by_word(text, (x0[1:] == x0[:-1]) & ~_gt(x1[1:], x1[:-1]) & (in_row[1:] == in_row[:-1]))
     of_cell = np.flatnonzero(breaks)
     cells = {"row": in_row[of_cell], "x0": x0[of_cell], "x1": np.maximum.reduceat(x1, of_cell)}
@@ -156,9 +160,9 @@ def _tables(words: pa.Table) -> pa.RecordBatch | None:
     # cells of a row that lie in one column are one
     of_place = np.flatnonzero(np.concatenate([[True], (cells["row"][1:] != cells["row"][:-1]) | (col_no[1:] != col_no[:-1])]))
     rows = cells["row"][of_place]
-    at = pa.array(np.flatnonzero(first)[row_page[rows]])
+    at = pa.array(row_page[rows])
     ints = lambda v: pa.array(v.astype(np.int32), pa.int32())
-    columns = [pc.take(words[c].combine_chunks(), at) for c in PAGE]
+    columns = [pc.take(pages.column(c), at) for c in PAGE]
     columns += [ints(table_no[table[rows]]), ints(row_no[rows]), ints(col_no[of_place]), _joined(text, of_place), ints(np.maximum.reduceat(span, of_place))]
     return pa.RecordBatch.from_arrays(columns, names=[*PAGE, "table_no", "row_no", "col_no", "cell", "span"])
 
@@ -174,31 +178,23 @@ def _by_word(text: pa.Array, same: np.ndarray) -> pa.Array:
     return pa.array(words, text.type)
 
 
-def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tables of pages, as many at once as end in a batch."""
-    open_: list[pa.RecordBatch] = []
+def _in_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tables of pages, of some ``WORDS`` words at once."""
     for batch in batches:
-        begins = np.flatnonzero(batch.column("n").to_numpy() == 1)
-        if len(begins):
-            last = int(begins[-1])
-            done = [b for b in (*open_, batch.slice(0, last)) if b.num_rows]
-            if done and (out := _tables(pa.Table.from_batches(done))) is not None:
+        ends, begin = np.cumsum(pc.list_value_length(batch.column("word")).to_numpy()), 0
+        while begin < batch.num_rows:
+            end = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + WORDS, "right"))
+            end = max(end, begin + 1)
+            if (out := _tables(batch.slice(begin, end - begin))) is not None:
                 yield out
-            open_, batch = [], batch.slice(last)
-        open_.append(batch)
-    done = [b for b in open_ if b.num_rows]
-    if done and (out := _tables(pa.Table.from_batches(done))) is not None:
-        yield out
+            begin = end
 
 
 def table_cells(words: DataFrame) -> DataFrame:
     """Cells of tables (the columns of TABLE_CELLS) and ``span``, the number of columns that a cell reaches over, of words (paper_id, page_no, x0, y0,
     x1, y1, word). Words that are null or blank, or whose box is null or empty, take no part. Words are shuffled at most once, by page."""
     seen = words.filter("trim(word) <> '' and x1 > x0 and y1 > y0").select(*PAGE, *[F.col(c).cast("double").alias(c) for c in BOX], F.trim("word").alias("word"))
-    down = Window.partitionBy(*PAGE).orderBy("y0", "x0", "y1")
     types = {f.name: f.dataType.simpleString() for f in words.schema}
     told = ", ".join([*[f"{c} {types[c]}" for c in PAGE], "table_no int", "row_no int", "col_no int", "cell string", "span int"])
-    numbered = seen.withColumn("n", F.row_number().over(down))
-    # which page it is goes with its first word only
-    named = numbered.select(*[F.when(F.col("n") == 1, F.col(c)).alias(c) for c in PAGE], *BOX, "word", "n")
-    return named.mapInArrow(_whole_pages, told)
+    # none of the five is null, so that the lists of a page are in step
+    return seen.groupBy(*PAGE).agg(*[F.collect_list(c).alias(c) for c in (*BOX, "word")]).mapInArrow(_in_turns, told)
